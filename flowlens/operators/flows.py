@@ -237,29 +237,35 @@ def nfstream_stats(sessions: DataFrame, *, key_cols: list[str] | None = None) ->
     ms = F.lit(1000.0)
     scopes = {"bidirectional": None, "src2dst": fwd, "dst2src": ~fwd}
     aggs = [F.min("o").alias("_first"), F.max("o").alias("_last")]
+    derived = []
     for name, cond in scopes.items():
         def w(c, cond=cond):
             return c if cond is None else F.when(cond, c)
-        gap = F.col("gap_us") if cond is None else F.col("dir_gap_us")
-        gap_ms = w(gap / ms)
+        gap = w(F.col("gap_us") if cond is None else F.col("dir_gap_us"))
         ln = w(F.col("pkt_len"))
         aggs += [
             (F.count(F.lit(1)) if cond is None else F.count_if(cond)).alias(f"{name}_packets"),
             F.coalesce(F.sum(ln), F.lit(0)).cast("bigint").alias(f"{name}_bytes"),
-            F.min(ln).alias(f"{name}_min_ps"), F.avg(ln).alias(f"{name}_mean_ps"),
-            F.stddev_pop(ln).alias(f"{name}_stddev_ps"), F.max(ln).alias(f"{name}_max_ps"),
-            F.min(gap_ms).alias(f"{name}_min_iat"), F.avg(gap_ms).alias(f"{name}_mean_iat"),
-            F.stddev_pop(gap_ms).alias(f"{name}_stddev_iat"), F.max(gap_ms).alias(f"{name}_max_iat"),
+            F.min(ln).alias(f"{name}_min_ps"), F.max(ln).alias(f"{name}_max_ps"),
+            *moment_aggs(ln, f"{name}_ps"),
+            F.min(gap).alias(f"_{name}_gmin"), F.max(gap).alias(f"_{name}_gmax"),
+            *moment_aggs(gap, f"{name}_iat"),
             *[_flag_count(bit, cond).alias(f"{name}_{f}_packets") for f, bit in TCP_FLAG_BITS.items()],
         ]
+        derived += [
+            (f"{name}_mean_ps", m_mean(f"{name}_ps")), (f"{name}_stddev_ps", m_std(f"{name}_ps")),
+            (f"{name}_min_iat", F.col(f"_{name}_gmin") / ms), (f"{name}_mean_iat", m_mean(f"{name}_iat", 1000.0)),
+            (f"{name}_stddev_iat", m_std(f"{name}_iat", 1000.0)), (f"{name}_max_iat", F.col(f"_{name}_gmax") / ms),
+        ]
     agg = sessions.groupBy(*key_cols, "sid").agg(*aggs)
-    fill0 = [c for c in agg.columns if c.endswith(("_ps", "_iat"))]
+    keep = [c for c in agg.columns if c not in (*key_cols, "sid", "_first", "_last") and not c.startswith("_")]
     return agg.select(
         F.col("ip1").alias("src_ip"), F.col("ip2").alias("dst_ip"),
         F.col("port1").alias("src_port"), F.col("port2").alias("dst_port"), "protocol",
         F.floor(F.col("_first.ts_us") / F.lit(1000)).cast("bigint").alias("bidirectional_first_seen_ms"),
         F.floor(F.col("_last.ts_us") / F.lit(1000)).cast("bigint").alias("bidirectional_last_seen_ms"),
         ((F.col("_last.ts_us") - F.col("_first.ts_us")) / ms).alias("bidirectional_duration_ms"),
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in fill0 else F.col(c)
-          for c in agg.columns if c not in (*key_cols, "sid", "_first", "_last")],
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c.endswith(("_min_ps", "_max_ps")) else F.col(c)
+          for c in keep],
+        *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in derived],
     )

@@ -150,3 +150,197 @@ def f2_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f5_flow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow statistics with the 120 s idle rule, every flow kept."""
     return _flow_select(fl.build_flows(fx.packets(spark, sf_dir), idle_timeout=120.0))
+
+
+# ---------------------------------------------------------------- F11, C18-C25
+from flowlens.operators import features as fe  # noqa: E402
+from flowlens.operators import dpi  # noqa: E402
+
+NF_SCOPES = {"bidirectional": None, "src2dst": "is_fwd", "dst2src": "NOT is_fwd"}
+NF_FLAGS = {"syn": 2, "ack": 16, "fin": 1, "rst": 4, "psh": 8, "urg": 32}
+
+
+def nf_sql(timeout_us: int) -> str:
+    """DuckDB twin of packets -> sessionize -> nfstream_stats."""
+    parts = []
+    for name, cond in NF_SCOPES.items():
+        w = (lambda e: e) if cond is None else (lambda e, c=cond: f"CASE WHEN {c} THEN {e} END")
+        gap = "gap_us" if cond is None else "dir_gap_us"
+        cnt = "count(*)" if cond is None else f"count(*) FILTER (WHERE {cond})"
+        parts += [
+            f"CAST({cnt} AS BIGINT) AS {name}_packets",
+            f"CAST(coalesce(sum({w('pkt_len')}), 0) AS BIGINT) AS {name}_bytes",
+            f"coalesce(min({w('pkt_len')}), 0) AS {name}_min_ps",
+            f"coalesce(max({w('pkt_len')}), 0) AS {name}_max_ps",
+            sql_moments(w('pkt_len'), f"{name}_ps"),
+            f"min({w(gap)}) AS _{name}_gmin", f"max({w(gap)}) AS _{name}_gmax",
+            sql_moments(w(gap), f"{name}_iat"),
+        ]
+        for f, bit in NF_FLAGS.items():
+            c = "protocol = 6 AND (flags & %d) <> 0" % bit + ("" if cond is None else f" AND {cond}")
+            parts.append(f"CAST(count(*) FILTER (WHERE {c}) AS BIGINT) AS {name}_{f}_packets")
+    derived = []
+    for name in NF_SCOPES:
+        derived += [
+            f"coalesce({sql_mean(name + '_ps')}, 0) AS {name}_mean_ps",
+            f"coalesce({sql_std(name + '_ps')}, 0) AS {name}_stddev_ps",
+            f"coalesce(_{name}_gmin / 1000.0, 0) AS {name}_min_iat",
+            f"coalesce({sql_mean(name + '_iat', 1000.0)}, 0) AS {name}_mean_iat",
+            f"coalesce({sql_std(name + '_iat', 1000.0)}, 0) AS {name}_stddev_iat",
+            f"coalesce(_{name}_gmax / 1000.0, 0) AS {name}_max_iat",
+        ]
+    return fx.with_sql(fx.PACKETS_SQL, KEY_SQL, sessions_sql(timeout_us), f"""
+nf_raw AS (
+  SELECT ip1 AS src_ip, ip2 AS dst_ip, port1 AS src_port, port2 AS dst_port, protocol,
+         CAST(floor(min(ts_us) / 1000) AS BIGINT) AS bidirectional_first_seen_ms,
+         CAST(floor(max(ts_us) / 1000) AS BIGINT) AS bidirectional_last_seen_ms,
+         (max(ts_us) - min(ts_us)) / 1000.0 AS bidirectional_duration_ms,
+         {', '.join(parts)}
+  FROM gaps GROUP BY ip1, ip2, port1, port2, protocol, sess_no
+),
+nf AS (SELECT *, {', '.join(derived)} FROM nf_raw)""")
+
+
+NF_OUT_INT = [f"{s}_{m}" for s in NF_SCOPES for m in
+              ["packets", "bytes", "min_ps", "max_ps", *[f"{f}_packets" for f in NF_FLAGS]]]
+NF_OUT_FLOAT = [f"{s}_{m}" for s in NF_SCOPES for m in
+                ["mean_ps", "stddev_ps", "min_iat", "mean_iat", "stddev_iat", "max_iat"]]
+NF_ID = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bidirectional_first_seen_ms"]
+
+
+@register("f11_nfstream_flows", nf_sql(120_000_000) + f"""
+SELECT {', '.join(NF_ID)}, {sql_r3('bidirectional_duration_ms', 'bidirectional_duration_ms')},
+       {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in NF_OUT_INT)},
+       {', '.join(sql_r3(c, c) for c in NF_OUT_FLOAT)}
+FROM nf""")
+def f11_nfstream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NFStream-shaped flow families, 120 s idle rule."""
+    s = fl.sessionize(fl.canonical_key(fx.packets(spark, sf_dir)), 120.0)
+    nf = fl.nfstream_stats(s)
+    return nf.select(*NF_ID, *r3("bidirectional_duration_ms"),
+                     *[F.col(c).cast("bigint").alias(c) for c in NF_OUT_INT], *r3(*NF_OUT_FLOAT))
+
+
+C25_FLOAT = {
+    "flow_duration": "bidirectional_duration_ms / 1000.0",
+    "packets_per_second": "CASE WHEN bidirectional_duration_ms / 1000.0 > 0 THEN bidirectional_packets / (bidirectional_duration_ms / 1000.0) ELSE 0 END",
+    "bytes_per_second": "CASE WHEN bidirectional_duration_ms / 1000.0 > 0 THEN bidirectional_bytes / (bidirectional_duration_ms / 1000.0) ELSE 0 END",
+    "byte_ratio": "CASE WHEN dst2src_bytes > 0 THEN CAST(src2dst_bytes AS DOUBLE) / dst2src_bytes ELSE src2dst_bytes END",
+    "packet_ratio": "CASE WHEN dst2src_packets > 0 THEN CAST(src2dst_packets AS DOUBLE) / dst2src_packets ELSE src2dst_packets END",
+    "down_up_ratio": "CASE WHEN src2dst_bytes > 0 THEN CAST(dst2src_bytes AS DOUBLE) / src2dst_bytes ELSE 0 END",
+    "idle_mean": "bidirectional_max_iat * 0.5",
+    "packet_length_variance": "bidirectional_stddev_ps * bidirectional_stddev_ps",
+    "packet_length_cv": "CASE WHEN bidirectional_mean_ps > 0 THEN bidirectional_stddev_ps / bidirectional_mean_ps ELSE 0 END",
+    "packet_length_q1": "bidirectional_mean_ps - 0.675 * bidirectional_stddev_ps",
+    "packet_length_q3": "bidirectional_mean_ps + 0.675 * bidirectional_stddev_ps",
+    "periodicity_score": "CASE WHEN bidirectional_stddev_iat > 0 THEN bidirectional_mean_iat / bidirectional_stddev_iat ELSE 0 END",
+    "connection_rate": "CASE WHEN bidirectional_duration_ms / 1000.0 > 0 THEN src2dst_syn_packets / (bidirectional_duration_ms / 1000.0) ELSE 0 END",
+    "syn_ack_delay": "bidirectional_mean_iat * 0.1",
+    "time_of_day_score": "CASE WHEN ((bidirectional_first_seen_ms / 1000.0 / 3600.0) - 24.0 * floor(bidirectional_first_seen_ms / 1000.0 / 3600.0 / 24.0)) BETWEEN 9 AND 17 THEN 0.0 ELSE 0.5 END",
+}
+C25_INT = {
+    "failed_connections": "src2dst_rst_packets",
+    "protocol_hint": f"CASE WHEN dst_port IN ({', '.join(map(str, fe.VPN_PORTS_FULL))}) THEN 1 ELSE 0 END",
+    "encryption_detected": "0",
+    "packet_count_total": "bidirectional_packets",
+    "byte_count_total": "bidirectional_bytes",
+}
+
+
+@register("c25_extract_all", nf_sql(120_000_000) + f"""
+SELECT src_ip || ':' || CAST(src_port AS VARCHAR) || '-' || dst_ip || ':' || CAST(dst_port AS VARCHAR)
+         || '-' || CAST(protocol AS VARCHAR) AS flow_id,
+       bidirectional_first_seen_ms,
+       {', '.join(sql_r3(e, c) for c, e in C25_FLOAT.items())},
+       {', '.join(f'CAST({e} AS BIGINT) AS {c}' for c, e in C25_INT.items())}
+FROM nf""")
+def c25_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full derived-feature block over NFStream-shaped flows."""
+    s = fl.sessionize(fl.canonical_key(fx.packets(spark, sf_dir)), 120.0)
+    feats = fe.extract_all(fl.nfstream_stats(s))
+    return feats.select("flow_id", "bidirectional_first_seen_ms", *r3(*C25_FLOAT),
+                        *[F.col(c).cast("bigint").alias(c) for c in C25_INT])
+
+
+# ---------------------------------------------------------------- F12, J1
+SYN_SQL = """
+syn AS (
+  SELECT src_ip, src_port, dst_ip, dst_port,
+         arg_min(CAST(coalesce(mss, 1460) AS BIGINT), (ts_us, packet_no)) AS tcp_mss,
+         arg_min(ttl, (ts_us, packet_no)) AS ip_ttl,
+         arg_min(win, (ts_us, packet_no)) AS tcp_window,
+         arg_min(opts, (ts_us, packet_no)) AS tcp_options_count
+  FROM packets WHERE protocol = 6 AND (flags & 2) <> 0 AND (flags & 16) = 0
+  GROUP BY src_ip, src_port, dst_ip, dst_port
+)"""
+
+
+@register("f12_first_syn", fx.with_sql(fx.PACKETS_SQL, SYN_SQL) +
+          "SELECT *, tcp_mss + 40 AS tcp_mtu FROM syn")
+def f12_first_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First SYN-without-ACK per directed 4-tuple: MSS (default 1460), TTL,
+    window, option count, MTU = MSS + 40 (F12)."""
+    return dpi.first_syn(fx.packets(spark, sf_dir))
+
+
+@register("j1_join_handshake", fx.with_sql(fx.PACKETS_SQL, SYN_SQL, """
+dflows AS (SELECT DISTINCT src_ip, src_port, dst_ip, dst_port, protocol FROM packets)""") + """
+SELECT f.src_ip, f.src_port, f.dst_ip, f.dst_port, f.protocol,
+       s.tcp_mss, s.ip_ttl, s.tcp_window, s.tcp_options_count, s.tcp_mss + 40 AS tcp_mtu
+FROM dflows f LEFT JOIN syn s USING (src_ip, src_port, dst_ip, dst_port)""")
+def j1_join_handshake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed conversations LEFT JOIN their first SYN."""
+    p = fx.packets(spark, sf_dir)
+    conv = p.select("src_ip", "src_port", "dst_ip", "dst_port", "protocol").distinct()
+    return dpi.join_handshake(conv, dpi.first_syn(p)).select(
+        "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "tcp_mss", "ip_ttl", "tcp_window",
+        "tcp_options_count", "tcp_mtu")
+
+
+# ---------------------------------------------------------------- F13, J2
+ENTROPY_SQL = """
+bytes_ AS (
+  SELECT packet_no, src_ip, src_port, dst_ip, dst_port, octet_length(payload) AS n,
+         unnest(regexp_extract_all(hex(payload), '..')) AS b
+  FROM payloads WHERE octet_length(payload) > 0
+),
+hist AS (SELECT packet_no, src_ip, src_port, dst_ip, dst_port, n, b, count(*) AS c FROM bytes_
+         GROUP BY ALL),
+ent AS (SELECT packet_no, src_ip, src_port, dst_ip, dst_port,
+               -sum((c / n) * log2(c / n)) AS h FROM hist GROUP BY ALL),
+flow_ent AS (SELECT src_ip, src_port, dst_ip, dst_port, avg(h) AS entropy_score,
+                    CAST(count(*) AS BIGINT) AS payload_packets
+             FROM ent GROUP BY ALL)"""
+
+
+@register("f13_payload_entropy", fx.with_sql(fx.PAYLOADS_SQL, ENTROPY_SQL) + f"""
+SELECT src_ip, src_port, dst_ip, dst_port, {sql_r3('entropy_score', 'entropy_score')}, payload_packets
+FROM flow_ent""")
+def f13_payload_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean Shannon byte entropy of payloads per directed endpoint pair."""
+    e = dpi.payload_entropy(fx.payloads(spark, sf_dir))
+    return e.select("src_ip", "src_port", "dst_ip", "dst_port", *r3("entropy_score"), "payload_packets")
+
+
+@register("f13_document_entropy", fx.with_sql(fx.PAYLOADS_SQL, ENTROPY_SQL) + f"""
+SELECT p.packet_no AS doc_id, {sql_r3('coalesce(e.h, 0)', 'entropy')}
+FROM payloads p LEFT JOIN ent e USING (packet_no)""")
+def f13_document_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte entropy of every single payload (whole documents), 0 for empty."""
+    p = fx.payloads(spark, sf_dir)
+    return p.select(F.col("packet_no").alias("doc_id"), round3(dpi.byte_entropy("payload")).alias("entropy"))
+
+
+@register("j2_join_entropy", fx.with_sql(fx.PAYLOADS_SQL, ENTROPY_SQL, """
+conv AS (SELECT DISTINCT src_ip, src_port, dst_ip, dst_port FROM payloads)""") + f"""
+SELECT c.src_ip, c.src_port, c.dst_ip, c.dst_port,
+       {sql_r3('coalesce(f.entropy_score, 0.0)', 'entropy_score')},
+       CAST(CASE WHEN coalesce(f.entropy_score, 0.0) > 7.5 THEN 1 ELSE 0 END AS BIGINT) AS encryption_detected
+FROM conv c LEFT JOIN flow_ent f USING (src_ip, src_port, dst_ip, dst_port)""")
+def j2_join_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations LEFT JOIN mean entropy; miss -> 0; encrypted iff > 7.5."""
+    p = fx.payloads(spark, sf_dir)
+    conv = p.select(*dpi.DIRECTED).distinct()
+    j = dpi.join_entropy(conv, dpi.payload_entropy(p))
+    return j.select(*dpi.DIRECTED, *r3("entropy_score"),
+                    F.col("encryption_detected").cast("bigint").alias("encryption_detected"))
