@@ -344,3 +344,107 @@ def j2_join_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = dpi.join_entropy(conv, dpi.payload_entropy(p))
     return j.select(*dpi.DIRECTED, *r3("entropy_score"),
                     F.col("encryption_detected").cast("bigint").alias("encryption_detected"))
+
+
+# ---------------------------------------------------------------- C1, C2, C11, C15, C26, P14, A3
+from flowlens.functions import parse as ps  # noqa: E402
+from flowlens.operators import logs as lg  # noqa: E402
+
+KV_SQL = f"""
+kv AS (
+  SELECT line_no,
+         regexp_extract_all(line, '{ps.KV_PATTERN}', 1) AS ks,
+         list_transform(list_zip(regexp_extract_all(line, '{ps.KV_PATTERN}', 2),
+                                 regexp_extract_all(line, '{ps.KV_PATTERN}', 3)),
+                        lambda z: CASE WHEN coalesce(z[1], '') <> '' THEN z[1] ELSE coalesce(z[2], '') END) AS vs
+  FROM log_lines
+  WHERE trim(line) <> '' AND NOT starts_with(line, '#')
+)"""
+
+
+def kv_get(k: str, default: str = "''") -> str:
+    return f"coalesce(vs[len(ks) - list_position(list_reverse(ks), '{k}') + 1], {default})"
+
+
+def sql_digits(e: str) -> str:
+    return f"CASE WHEN regexp_full_match(trim({e}), '[0-9]+') THEN CAST(trim({e}) AS BIGINT) ELSE 0 END"
+
+
+def sql_lookup(e: str, mapping: dict, default: str) -> str:
+    arms = " ".join(f"WHEN {e} = '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {arms} ELSE '{default}' END"
+
+
+@register("c1_kv_parse", fx.with_sql(fx.LOG_LINES_SQL, KV_SQL) + f"""
+SELECT line_no, CAST(len(list_distinct(ks)) AS BIGINT) AS n_keys,
+       {kv_get('srcip')} AS srcip, {kv_get('app')} AS app, {kv_get('sessionid')} AS sessionid,
+       {kv_get('action')} AS action
+FROM kv WHERE len(ks) > 0""")
+def c1_kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key=value log lines -> map (C1); a few fields and the key count."""
+    p = lg.parse_lines(fx.log_lines(spark, sf_dir))
+    m = F.col("fields")
+    return p.select("line_no", F.size(m).cast("bigint").alias("n_keys"),
+                    *[F.coalesce(F.try_element_at(m, F.lit(k)), F.lit("")).alias(k)
+                      for k in ("srcip", "app", "sessionid", "action")])
+
+
+FW_SQL = f"""
+fw0 AS (
+  SELECT line_no,
+         {kv_get('srcip')} AS src_ip, {kv_get('dstip')} AS dst_ip,
+         {sql_digits(kv_get('srcport'))} AS src_port, {sql_digits(kv_get('dstport'))} AS dst_port,
+         {sql_digits(kv_get('proto', "'0'"))} AS protocol,
+         CASE WHEN {kv_get('date')} <> '' AND {kv_get('time')} <> ''
+              THEN try_strptime({kv_get('date')} || ' ' || {kv_get('time')}, '%Y-%m-%d %H:%M:%S') END AS timestamp,
+         {sql_digits(kv_get('sentbyte'))} AS byte_count_fwd, {sql_digits(kv_get('rcvdbyte'))} AS byte_count_bwd,
+         {sql_digits(kv_get('sentpkt'))} AS packet_count_fwd, {sql_digits(kv_get('rcvdpkt'))} AS packet_count_bwd,
+         {sql_digits(kv_get('duration', "'0'"))} AS flow_duration,
+         CASE WHEN {kv_get('app')} <> '' AND {kv_get('app')} NOT IN ('tcp', 'udp') THEN {kv_get('app')}
+              ELSE {kv_get('service')} END AS service_name,
+         CASE WHEN {kv_get('action', "'accept'")} = 'deny' OR {kv_get('crlevel')} IN ('high', 'critical')
+                   OR {kv_get('threats')} <> '' THEN 'Suspicious' ELSE 'Benign' END AS intent_label,
+         {kv_get('action', "'accept'")} AS action, {kv_get('sessionid')} AS session_id
+  FROM kv WHERE len(ks) > 0
+),
+fw AS (
+  SELECT *, {sql_lookup('service_name', lg.APP_LABELS, 'Unknown')} AS app_label,
+         byte_count_fwd + byte_count_bwd AS byte_count_total,
+         packet_count_fwd + packet_count_bwd AS packet_count_total
+  FROM fw0
+),
+fwv AS (SELECT * FROM fw WHERE src_ip <> '' AND dst_ip <> '' AND byte_count_total > 0),
+fwd AS (SELECT * FROM fwv QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY line_no) = 1)"""
+
+FW_COLS = ["line_no", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "timestamp", "byte_count_fwd",
+           "byte_count_bwd", "byte_count_total", "packet_count_fwd", "packet_count_bwd", "packet_count_total",
+           "flow_duration", "service_name", "app_label", "intent_label", "action", "session_id"]
+FW_FLOAT = {
+    "packets_per_second": "CASE WHEN flow_duration > 0 THEN packet_count_total / flow_duration ELSE 0 END",
+    "bytes_per_second": "CASE WHEN flow_duration > 0 THEN byte_count_total / flow_duration ELSE 0 END",
+    "byte_ratio": "CASE WHEN byte_count_bwd > 0 THEN byte_count_fwd / byte_count_bwd ELSE 0 END",
+    "down_up_ratio": "CASE WHEN byte_count_bwd > 0 AND byte_count_fwd > 0 THEN byte_count_bwd / byte_count_fwd ELSE 0 END",
+    "packet_ratio": "CASE WHEN packet_count_bwd > 0 THEN packet_count_fwd / packet_count_bwd ELSE 0 END",
+    "packet_length_mean": "CASE WHEN packet_count_total > 0 THEN byte_count_total / packet_count_total ELSE 0 END",
+}
+
+
+@register("c26_firewall_flows", fx.with_sql(fx.LOG_LINES_SQL, KV_SQL, FW_SQL) + f"""
+SELECT {', '.join(FW_COLS)}, {', '.join(sql_r3(e, c) for c, e in FW_FLOAT.items())}
+FROM fwd""")
+def c26_firewall_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firewall lines -> unified flows: digit-guarded ints, date+time, app and
+    intent rules, rates/ratios, valid-only, first row per session (C2, C11,
+    C15, C26, J6, P14, A3, P8)."""
+    f = lg.firewall_flows(fx.log_lines(spark, sf_dir), order_cols=["line_no"])
+    return f.select(*FW_COLS, *r3(*FW_FLOAT))
+
+
+@register("a3_session_dedupe", fx.with_sql(fx.LOG_LINES_SQL, KV_SQL, FW_SQL) + """
+SELECT dst_ip, CAST(count(*) AS BIGINT) AS flows, CAST(sum(byte_count_total) AS BIGINT) AS bytes
+FROM fwd GROUP BY dst_ip""")
+def a3_session_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per destination: flows left after keep-first dedupe on session id (A3)."""
+    f = lg.firewall_flows(fx.log_lines(spark, sf_dir), order_cols=["line_no"])
+    return f.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("flows"),
+                                   F.sum("byte_count_total").cast("bigint").alias("bytes"))
