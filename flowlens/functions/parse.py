@@ -133,12 +133,8 @@ def hex_tokens(payload, max_tokens: int = 128) -> Column:
 # ------------------------------------------------------------------ C13 / C14 / C15
 def iso_text(ts) -> Column:
     """TIMESTAMP -> 'YYYY-MM-DDTHH:MM:SS[.ffffff]' (fraction only when non-zero,
-    like Python's isoformat)."""
-    t = col(ts)
-    micros = F.pmod(F.unix_micros(t), F.lit(1_000_000))
-    return F.when(t.isNotNull(), F.concat(
-        F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(F.lit(""))))
+    like Python's isoformat). One reference to `ts`, so nesting stays small."""
+    return F.regexp_replace(F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
 
 
 def parse_ts(c, formats=ISO_FORMATS) -> Column:
@@ -150,15 +146,16 @@ def parse_ts(c, formats=ISO_FORMATS) -> Column:
 def to_iso(c, formats=ISO_FORMATS) -> Column:
     """Epoch number -> UTC ISO; text in a known layout -> ISO; other text kept
     as is; NULL/'' -> '' (C13, C14). Free-form parsing is narrowed to
-    `formats` (documented divergence)."""
+    `formats` (documented divergence). Epoch seconds round to the nearest
+    microsecond, as Python's conversion does."""
     s = F.trim(col(c).cast("string"))
-    epoch = s.try_cast("double")
-    from_epoch = F.timestamp_micros((epoch * F.lit(1_000_000.0)).cast("bigint"))
-    parsed = parse_ts(s, formats)
-    return (F.when(s.isNull() | (s == ""), F.lit(""))
-             .when(epoch.isNotNull() & ~F.isnan(epoch), iso_text(from_epoch))
-             .when(parsed.isNotNull(), iso_text(parsed))
-             .otherwise(s))
+    micros = F.round(s.try_cast("double") * F.lit(1_000_000.0)).try_cast("bigint")
+    return F.coalesce(
+        F.when(F.coalesce(s, F.lit("")) == "", F.lit("")),
+        iso_text(F.timestamp_micros(micros)),
+        iso_text(parse_ts(s, formats)),
+        s,
+    )
 
 
 def date_time_ts(date_col, time_col) -> Column:

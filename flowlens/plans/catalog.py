@@ -448,3 +448,111 @@ def a3_session_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lg.firewall_flows(fx.log_lines(spark, sf_dir), order_cols=["line_no"])
     return f.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("flows"),
                                    F.sum("byte_count_total").cast("bigint").alias("bytes"))
+
+
+# ---------------------------------------------------------------- P1, P2, C3-C6, C13, C14, A1, T1, P11-P13
+from flowlens.operators import unify as un  # noqa: E402
+
+
+def _truthy_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL AND {c} NOT IN ('', '0') THEN {c} END"
+
+
+def _iso_sql(t: str) -> str:
+    return (f"(strftime({t}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({t}) % 1000000 <> 0 "
+            f"THEN '.' || lpad(CAST(epoch_us({t}) % 1000000 AS VARCHAR), 6, '0') ELSE '' END)")
+
+
+def _to_iso_sql(e: str) -> str:
+    s = f"trim({e})"
+    fmts = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f",
+            "%Y-%m-%d %H:%M:%S.%f"]
+    parsed = "coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in fmts) + ")"
+    from_epoch = f"make_timestamp(CAST(round(TRY_CAST({s} AS DOUBLE) * 1000000.0) AS BIGINT))"
+    return (f"CASE WHEN {s} IS NULL OR {s} = '' THEN '' "
+            f"WHEN TRY_CAST({s} AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST({s} AS DOUBLE)) THEN {_iso_sql(from_epoch)} "
+            f"WHEN {parsed} IS NOT NULL THEN {_iso_sql(parsed)} ELSE {s} END")
+
+
+def _normalized_sql() -> str:
+    rec_cols = ["rec_no", *fx.RECORD_ALIASES_ODD, *fx.RECORD_ALIASES_EVEN, "props"]
+    fields = []
+    for field, names in un.ALIASES.items():
+        present = [_truthy_sql(n) for n in names if n in rec_cols]
+        e = f"coalesce({', '.join(present)}, '')" if present else "''"
+        if field == "timestamp":
+            e = _to_iso_sql(e)
+        fields.append(f"{e} AS {field}")
+    rest = [c for c in rec_cols if c not in un.UNIFIED_COLUMNS and c != "rec_no"]
+    entries = "[" + ", ".join(f"('{c}', CAST({c} AS VARCHAR))" for c in rest) + "]"
+    meta = (f"CASE WHEN len(list_filter({entries}, lambda e: e[2] IS NOT NULL)) > 0 THEN "
+            f"CAST(to_json(map_from_entries(list_filter({entries}, lambda e: e[2] IS NOT NULL))) AS VARCHAR) "
+            f"ELSE '' END")
+    return f"""
+normalized AS (
+  SELECT rec_no, {', '.join(fields)}, 'csv' AS source_type, {meta} AS additional_meta
+  FROM records
+)"""
+
+
+NORM_SQL = _normalized_sql()
+UNIFIED_SQL = """
+unified AS (
+  SELECT * FROM normalized
+  QUALIFY row_number() OVER (PARTITION BY timestamp, src_ip, dst_ip, src_port, dst_port, protocol, packet_len
+                             ORDER BY rec_no) = 1
+)"""
+
+
+@register("p1_normalize_records", fx.with_sql(fx.RECORDS_SQL, NORM_SQL) + "SELECT * FROM normalized")
+def p1_normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias resolution (first truthy), ISO timestamps and spill-over JSON."""
+    return un.normalize(fx.records(spark, sf_dir), "csv", keep=["rec_no"])
+
+
+@register("a1_unify_records", fx.with_sql(fx.RECORDS_SQL, NORM_SQL, UNIFIED_SQL) + "SELECT * FROM unified")
+def a1_unify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalize -> keep-first on the 7 record columns -> sort by time."""
+    return un.unify(fx.records(spark, sf_dir), "csv", ["rec_no"], keep=["rec_no"])
+
+
+def _preprocessed_sql() -> str:
+    lint = lambda c, d: (f"coalesce(CASE WHEN TRY_CAST({c} AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST({c} AS DOUBLE)) "
+                         f"THEN CAST(trunc(TRY_CAST({c} AS DOUBLE)) AS BIGINT) END, {d})")
+    up = "upper(protocol)"
+    proto = (f"CASE WHEN protocol IS NULL THEN '' WHEN regexp_full_match({up}, '[0-9]+') THEN "
+             f"CASE {' '.join(f'WHEN {up} = {chr(39)}{n}{chr(39)} THEN {chr(39)}{k}{chr(39)}' for k, n in ps.PROTO_NUMBERS.items())} ELSE {up} END "
+             f"ELSE split_part({up}, '/', 1) END")
+    lbl = "coalesce(lower(trim(label)), '')"
+    pos = " OR ".join(f"contains(lbl, '{t}')" for t in ps.LABEL_POSITIVE_TOKENS)
+    neg = " OR ".join(f"contains(lbl, '{t}')" for t in ps.LABEL_NEGATIVE_TOKENS)
+    words = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    num = (f"CASE WHEN lbl = '' THEN NULL WHEN {pos} THEN 1 WHEN {neg} THEN 0 "
+           f"WHEN lbl IN ({words(ps.LABEL_TRUE_WORDS)}) THEN 1 WHEN lbl IN ({words(ps.LABEL_FALSE_WORDS)}) THEN 0 END")
+    pnum = "CASE " + " ".join(f"WHEN upper(p) = '{k}' THEN {n}" for k, n in ps.PROTO_NUMBERS.items()) + " ELSE 0 END"
+    return f"""
+pre0 AS (
+  SELECT rec_no, {_to_iso_sql('timestamp')} AS timestamp, src_ip, dst_ip,
+         {lint('src_port', -1)} AS src_port, {lint('dst_port', -1)} AS dst_port, {proto} AS p,
+         {lint('packet_len', 0)} AS packet_len, direction, {lbl} AS lbl, source_type, additional_meta
+  FROM unified
+),
+pre AS (
+  SELECT rec_no, timestamp, src_ip, dst_ip, src_port, dst_port, p AS protocol, packet_len, direction,
+         lbl AS label, source_type, additional_meta, CAST({pnum} AS BIGINT) AS protocol_num,
+         CAST({num} AS INTEGER) AS label_num
+  FROM pre0
+  WHERE src_ip IS NOT NULL AND src_ip <> '' AND dst_ip IS NOT NULL AND dst_ip <> ''
+    AND timestamp IS NOT NULL AND timestamp <> ''
+  QUALIFY row_number() OVER (PARTITION BY timestamp, src_ip, dst_ip, src_port, dst_port, p, packet_len
+                             ORDER BY rec_no) = 1
+)"""
+
+
+@register("c6_preprocess_records", fx.with_sql(fx.RECORDS_SQL, NORM_SQL, UNIFIED_SQL, _preprocessed_sql())
+          + "SELECT * FROM pre")
+def c6_preprocess_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record cleaning: lenient ints, protocol name/number, label 0/1/NULL,
+    essentials filter, dedupe (P11, P12, C3-C6, C14, A1)."""
+    u = un.unify(fx.records(spark, sf_dir), "csv", ["rec_no"], keep=["rec_no"])
+    return un.preprocess(u, ["rec_no"])

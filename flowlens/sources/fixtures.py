@@ -293,3 +293,75 @@ payloads AS (
 
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+# ---------------------------------------------------------------- B7 records
+RECORD_LABELS = ["VPN-Chat", "novpn", "Benign", "tor", "yes", ""]  # by user_id % 6
+# odd event_id rows use the first alias set, even rows the second (A9 aliases)
+RECORD_ALIASES_ODD = ["time", "source_ip", "destination_ip", "sport", "dport", "proto", "length", "class"]
+RECORD_ALIASES_EVEN = ["ts", "src", "dst", "srcport", "dstport", "layer", "size", "target"]
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` -> heterogeneous text records as a by-name union of two file
+    shapes would give them (absent columns NULL, all values text).
+
+    rec_no = event_id. Odd rows carry an epoch-seconds `time`, even rows a
+    'yyyy-MM-dd HH:mm:ss' `ts`; ports '0' now and then (falsy), sizes '' now
+    and then; labels cycle through RECORD_LABELS; `props` is the spill-over.
+    """
+    e = table(spark, sf_dir, "events")
+    uid, eid = F.col("user_id"), F.col("event_id")
+    odd = eid % 2 == 1
+    c2s = ~F.col("event_type").isin("error", "signup")
+    cli_ip = F.concat(F.lit("10.0.0."), _s(uid % 250))
+    srv_ip = F.concat(F.lit("93.184.216."), _s(uid % 7))
+    cli_port = F.lit(40000) + uid % 1000
+    srv_port = _case(uid % 5, dict(enumerate(SERVER_PORTS)), 80)
+    sport = F.when(eid % 10 == 0, F.lit("0")).otherwise(_s(F.when(c2s, cli_port).otherwise(srv_port)))
+    dport = _s(F.when(c2s, srv_port).otherwise(cli_port))
+    src = F.when(c2s, cli_ip).otherwise(srv_ip)
+    dst = F.when(c2s, srv_ip).otherwise(cli_ip)
+    tcp = uid % 4 != 0
+    size = F.when(eid % 9 == 0, F.lit("")).otherwise(_s((F.lit(40) + F.floor(F.col("value") * 4)).cast("bigint")))
+    label = _case(uid % 6, dict(enumerate(RECORD_LABELS)), "")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    epoch_text = F.concat(_s(_div(us, 1_000_000)), F.lit("."), F.lpad(_s(F.pmod(us, F.lit(1_000_000))), 6, "0"))
+    vals_odd = [epoch_text, src, dst, sport, dport,
+                F.when(tcp, F.lit("TCP/HTTP")).otherwise(F.lit("udp")), size, label]
+    vals_even = [F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), src, dst, sport, dport,
+                 F.when(tcp, F.lit("6")).otherwise(F.lit("17")), size, label]
+    return e.select(
+        eid.alias("rec_no"),
+        *[F.when(odd, v).alias(n) for n, v in zip(RECORD_ALIASES_ODD, vals_odd)],
+        *[F.when(~odd, v).alias(n) for n, v in zip(RECORD_ALIASES_EVEN, vals_even)],
+        F.col("props"),
+    )
+
+
+def _records_sql() -> str:
+    c2s = "event_type NOT IN ('error','signup')"
+    cli_ip = "'10.0.0.' || CAST(user_id % 250 AS VARCHAR)"
+    srv_ip = "'93.184.216.' || CAST(user_id % 7 AS VARCHAR)"
+    srv_port = _sql_case("user_id % 5", dict(enumerate(SERVER_PORTS)), 80)
+    sport = (f"CASE WHEN event_id % 10 = 0 THEN '0' ELSE CAST(CASE WHEN {c2s} THEN 40000 + user_id % 1000 "
+             f"ELSE {srv_port} END AS VARCHAR) END")
+    dport = f"CAST(CASE WHEN {c2s} THEN {srv_port} ELSE 40000 + user_id % 1000 END AS VARCHAR)"
+    src = f"CASE WHEN {c2s} THEN {cli_ip} ELSE {srv_ip} END"
+    dst = f"CASE WHEN {c2s} THEN {srv_ip} ELSE {cli_ip} END"
+    size = "CASE WHEN event_id % 9 = 0 THEN '' ELSE CAST(CAST(40 + floor(value * 4) AS BIGINT) AS VARCHAR) END"
+    label = _sql_case("user_id % 6", dict(enumerate(RECORD_LABELS)), "")
+    vals_odd = ["CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0')", src, dst, sport, dport,
+                "CASE WHEN user_id % 4 <> 0 THEN 'TCP/HTTP' ELSE 'udp' END", size, label]
+    vals_even = ["strftime(ts, '%Y-%m-%d %H:%M:%S')", src, dst, sport, dport,
+                 "CASE WHEN user_id % 4 <> 0 THEN '6' ELSE '17' END", size, label]
+    cols = [f"CASE WHEN event_id % 2 = 1 THEN {v} END AS {n}" for n, v in zip(RECORD_ALIASES_ODD, vals_odd)]
+    cols += [f"CASE WHEN event_id % 2 = 0 THEN {v} END AS {n}" for n, v in zip(RECORD_ALIASES_EVEN, vals_even)]
+    return f"""
+records AS (
+  SELECT event_id AS rec_no, {', '.join(cols)}, props
+  FROM events
+)"""
+
+
+RECORDS_SQL = _records_sql()
