@@ -556,3 +556,193 @@ def c6_preprocess_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     essentials filter, dedupe (P11, P12, C3-C6, C14, A1)."""
     u = un.unify(fx.records(spark, sf_dir), "csv", ["rec_no"], keep=["rec_no"])
     return un.preprocess(u, ["rec_no"])
+
+
+# ---------------------------------------------------------------- P3-P10, U1, A2, P15, P16, A5, P21, M1, A8
+from flowlens.operators import align as al  # noqa: E402
+from flowlens.operators import clean as cl  # noqa: E402
+from flowlens.operators import split as sp  # noqa: E402
+from flowlens.operators import stats as st  # noqa: E402
+
+FLOW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "timestamp"]
+FLOW_EXTRAS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def aligned_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return al.align(fx.flows(spark, sf_dir))
+
+
+def _aligned_sql() -> str:
+    present = {"src_ip", "dst_ip", "src_port", "dst_port", "protocol", "timestamp", "flow_duration",
+               "packet_count_fwd", "packet_count_bwd", "byte_count_fwd", "byte_count_bwd",
+               "app_label", "intent_label", "dataset_source"}
+    derived = {
+        "packet_count_total": "CAST(packet_count_fwd + packet_count_bwd AS BIGINT)",
+        "byte_count_total": "CAST(byte_count_fwd + byte_count_bwd AS BIGINT)",
+        "byte_ratio": "byte_count_fwd / CAST(CASE WHEN byte_count_bwd = 0 THEN 1 ELSE byte_count_bwd END AS DOUBLE)",
+        "packet_ratio": "packet_count_fwd / CAST(CASE WHEN packet_count_bwd = 0 THEN 1 ELSE packet_count_bwd END AS DOUBLE)",
+    }
+    cols = []
+    for c in al.CORE:
+        if c in present:
+            e = c
+        elif c in derived:
+            e = derived[c]
+        elif c.endswith(("_count", "_total")):
+            e = "0"
+        elif c in al.UNKNOWN_SENTINEL_COLUMNS:
+            e = "-1"
+        elif c == "source_file":
+            e = "'Unknown'"
+        else:
+            e = "0.0"
+        if c in al.INT_COLUMNS:
+            e = f"CAST({e} AS BIGINT)"
+        elif c in al.FLOAT_COLUMNS:
+            e = f"coalesce(CAST({e} AS DOUBLE), 0.0)"
+        cols.append(f"{e} AS {c}")
+    return f"""
+aligned AS (
+  SELECT {', '.join(cols)}, {', '.join(FLOW_EXTRAS)}
+  FROM flows
+)"""
+
+
+ALIGNED_SQL = _aligned_sql()
+ALIGNED_FLOAT_OUT = ["flow_duration", "byte_ratio", "packet_ratio", "packet_length_mean", "down_up_ratio"]
+
+
+@register("p7_align_flows", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL) + f"""
+SELECT * EXCLUDE ({', '.join(ALIGNED_FLOAT_OUT)}), {', '.join(sql_r3(c, c) for c in ALIGNED_FLOAT_OUT)}
+FROM aligned""")
+def p7_align_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-computed flows aligned to the 49-column core: derived totals and
+    ratios, typed defaults, coercion, core order, extras kept (P5-P10)."""
+    a = aligned_flows(spark, sf_dir)
+    return a.select(*[c for c in a.columns if c not in ALIGNED_FLOAT_OUT], *r3(*ALIGNED_FLOAT_OUT))
+
+
+def _merged_by_source(df: DataFrame) -> DataFrame:
+    return df.groupBy("dataset_source", "intent_label").agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("byte_count_total").cast("bigint").alias("bytes"))
+
+
+@register("u1_merge_sources", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, fx.LOG_LINES_SQL, KV_SQL, FW_SQL) + f"""
+SELECT dataset_source, intent_label, CAST(count(*) AS BIGINT) AS flows, CAST(sum(byte_count_total) AS BIGINT) AS bytes
+FROM (SELECT dataset_source, {sql_lookup('intent_label', al.INTENT_LABELS, '@@')} AS il0, intent_label AS il1,
+             byte_count_total FROM aligned
+      UNION ALL
+      SELECT '{lg.DATASET_SOURCE}', intent_label, intent_label, byte_count_total FROM fwd) u(dataset_source, il0, il1, byte_count_total)
+CROSS JOIN LATERAL (SELECT CASE WHEN il0 = '@@' THEN il1 ELSE il0 END AS intent_label)
+GROUP BY dataset_source, intent_label""")
+def u1_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By-name union of aligned flow files and firewall flows with intent
+    normalisation; flows and bytes per source and intent (U1, J6, S10)."""
+    fw = al.align(lg.firewall_flows(fx.log_lines(spark, sf_dir), order_cols=["line_no"]))
+    merged = al.merge([aligned_flows(spark, sf_dir), fw])
+    return _merged_by_source(merged)
+
+
+DEDUPED_SQL = f"""
+deduped AS (
+  SELECT * FROM aligned
+  QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol
+                             ORDER BY {', '.join(FLOW_ORDER)}) = 1
+)"""
+
+
+def deduped_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.dedupe_flows(aligned_flows(spark, sf_dir), FLOW_ORDER)
+
+
+@register("a2_dedupe_flows", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + """
+SELECT src_ip, dst_ip, src_port, dst_port, protocol, l_orderkey, l_linenumber, l_partkey, l_suppkey, intent_label
+FROM deduped""")
+def a2_dedupe_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-first on the flow 5-tuple under a total order (A2)."""
+    return deduped_flows(spark, sf_dir).select(
+        "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "l_orderkey", "l_linenumber", "l_partkey",
+        "l_suppkey", "intent_label")
+
+
+RAW_FLOW_COLS = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_count_fwd", "packet_count_bwd",
+                 "byte_count_fwd", "byte_count_bwd", "flow_duration", "intent_label", "app_label",
+                 "dataset_source", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+                 "timestamp"]
+
+
+@register("p15_missing_values", fx.with_sql(fx.FLOWS_SQL) + f"""
+SELECT intent_label, CAST(count(*) AS BIGINT) AS flows,
+       {sql_r3('sum(coalesce(flow_duration, 0))', 'duration_sum')}
+FROM flows
+WHERE ({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in RAW_FLOW_COLS)}) / {float(len(RAW_FLOW_COLS))!r} <= 0.05
+GROUP BY intent_label""")
+def p15_missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row NULL-share filter (threshold 5 % here) then typed NULL fill."""
+    f = fx.flows(spark, sf_dir).select(*RAW_FLOW_COLS)
+    f = cl.fill_missing(cl.drop_sparse_rows(f, 0.05))
+    return f.groupBy("intent_label").agg(F.count(F.lit(1)).alias("flows"),
+                                         round3(F.sum("flow_duration")).alias("duration_sum"))
+
+
+def outlier_sql(src: str, cols: list[str], factor: float = 3.0) -> tuple[str, str]:
+    ctes, prev = [], src
+    for i, c in enumerate(cols):
+        ctes.append(f"""
+b{i} AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, stddev_samp({c}) AS sd FROM {prev}),
+o{i} AS (SELECT s.* FROM {prev} s, b{i}
+         WHERE b{i}.sd = 0 OR b{i}.q3 - b{i}.q1 = 0
+            OR s.{c} BETWEEN b{i}.q1 - {factor!r} * (b{i}.q3 - b{i}.q1) AND b{i}.q3 + {factor!r} * (b{i}.q3 - b{i}.q1))""")
+        prev = f"o{i}"
+    return ",".join(ctes), prev
+
+
+A5_COLUMNS = [c for c in al.CORE if c in al.FLOAT_COLUMNS or c in al.INT_COLUMNS]
+A5_COLUMNS = [c for c in A5_COLUMNS if c not in st.OUTLIER_EXCLUDED and not c.endswith(st.OUTLIER_EXCLUDED_SUFFIXES)]
+_A5_CTES, _A5_LAST = outlier_sql("deduped", A5_COLUMNS)
+
+
+@register("a5_iqr_outliers", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL, _A5_CTES) + f"""
+SELECT src_ip, dst_ip, src_port, dst_port, protocol, l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM {_A5_LAST}""")
+def a5_iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential IQR outlier removal (factor 3, exact linear quartiles) over
+    the deduplicated aligned flows (P20, A5)."""
+    kept, _ = st.remove_outliers(deduped_flows(spark, sf_dir), 3.0, columns=A5_COLUMNS)
+    return kept.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "l_orderkey", "l_linenumber",
+                       "l_partkey", "l_suppkey")
+
+
+@register("m1_stratified_split", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL, """
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY intent_label
+              ORDER BY md5('42|' || src_ip || '|' || CAST(src_port AS VARCHAR) || '|' || dst_ip || '|'
+                           || CAST(dst_port AS VARCHAR) || '|' || CAST(protocol AS VARCHAR)),
+                       src_ip, src_port, dst_ip, dst_port, protocol) - 1 AS ord,
+            count(*) OVER (PARTITION BY intent_label) AS n
+  FROM deduped
+)""") + """
+SELECT src_ip, dst_ip, src_port, dst_port, protocol, intent_label,
+       CASE WHEN ord < floor(floor(n * 0.3) * 0.5) THEN 'test' WHEN ord < floor(n * 0.3) THEN 'val'
+            ELSE 'train' END AS split
+FROM ranked""")
+def m1_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified 70/15/15 split by intent over deduplicated flows, md5(seed|key) order (M1)."""
+    key = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
+    s = sp.stratified_split(deduped_flows(spark, sf_dir), "intent_label", key)
+    return s.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "intent_label", "split")
+
+
+@register("p21_stage_datasets", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + """
+SELECT 'stage1' AS stage, app_label AS label, CAST(count(*) AS BIGINT) AS flows FROM deduped
+WHERE app_label <> 'Unknown' GROUP BY app_label
+UNION ALL
+SELECT 'stage2', intent_label, CAST(count(*) AS BIGINT) FROM deduped GROUP BY intent_label""")
+def p21_stage_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage-1 (known app) and stage-2 (all) sets, label counts."""
+    d = deduped_flows(spark, sf_dir)
+    s1 = sp.stage1(d).groupBy(F.col("app_label").alias("label")).agg(F.count(F.lit(1)).alias("flows")) \
+        .select(F.lit("stage1").alias("stage"), "label", "flows")
+    s2 = sp.stage2(d).groupBy(F.col("intent_label").alias("label")).agg(F.count(F.lit(1)).alias("flows")) \
+        .select(F.lit("stage2").alias("stage"), "label", "flows")
+    return s1.unionByName(s2)
