@@ -746,3 +746,172 @@ def p21_stage_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s2 = sp.stage2(d).groupBy(F.col("intent_label").alias("label")).agg(F.count(F.lit(1)).alias("flows")) \
         .select(F.lit("stage2").alias("stage"), "label", "flows")
     return s1.unionByName(s2)
+
+
+# ---------------------------------------------------------------- J3-J5, M2-M4, M9, C33
+from flowlens.operators import enrich as en  # noqa: E402
+from flowlens.operators import score as sc  # noqa: E402
+
+
+def sql_ip_long(e: str) -> str:
+    o = [f"TRY_CAST(split_part({e}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
+    ok = f"regexp_full_match({e}, '\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}')" + "".join(
+        f" AND {x} <= 255" for x in o)
+    return f"(CASE WHEN {ok} THEN {o[0]} * 16777216 + {o[1]} * 65536 + {o[2]} * 256 + {o[3]} END)"
+
+
+def sql_in_ranges(v: str, cidrs: list[str]) -> str:
+    return "(" + " OR ".join(f"{v} BETWEEN {lo} AND {hi}" for lo, hi in map(en.cidr_bounds, cidrs)) + ")"
+
+
+@register("j5_private_ranges", fx.with_sql(fx.PACKETS_SQL, f"""
+ips AS (SELECT src_ip AS ip FROM packets UNION SELECT dst_ip FROM packets),
+v AS (SELECT ip, {sql_ip_long('ip')} AS n FROM ips)""") + f"""
+SELECT ip, coalesce({sql_in_ranges('n', en.PRIVATE_RANGES_DECLARED)}, false) AS private_declared,
+       coalesce({sql_in_ranges('n', en.PRIVATE_RANGES_IANA)} AND NOT {sql_in_ranges('n', en.PRIVATE_EXCEPTIONS_IANA)}, false)
+         AS private_python
+FROM v""")
+def j5_private_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Private-range containment of every address seen, declared list vs the
+    wider IANA list (J5, Q24)."""
+    p = fx.packets(spark, sf_dir)
+    ips = p.select(F.col("src_ip").alias("ip")).union(p.select(F.col("dst_ip").alias("ip"))).distinct()
+    return ips.select("ip", en.is_private(F.col("ip"), "declared").alias("private_declared"),
+                      en.is_private(F.col("ip"), "python").alias("private_python"))
+
+
+NATION_RANGES_SQL = """
+nranges AS (SELECT n_nationkey, n_name, 2886729728 + n_nationkey * 256 AS lo, 2886729728 + n_nationkey * 256 + 255 AS hi
+            FROM nation)"""
+
+
+@register("j5_range_join", fx.with_sql(fx.FLOWS_SQL, NATION_RANGES_SQL) + f"""
+SELECT f.dst_ip, r.n_name, CAST(count(*) AS BIGINT) AS flows
+FROM flows f LEFT JOIN nranges r ON {sql_ip_long('f.dst_ip')} BETWEEN r.lo AND r.hi
+GROUP BY f.dst_ip, r.n_name""")
+def j5_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range (CIDR) join of flow destinations against a range table, one
+    172.16.<nation>.0/24 block per nation, via /16 buckets (J5)."""
+    from flowlens.sources.tables import table
+    n = table(spark, sf_dir, "nation")
+    base = F.lit(en.cidr_bounds("172.16.0.0/24")[0])
+    ranges = n.select((base + F.col("n_nationkey") * 256).cast("bigint").alias("lo"),
+                      (base + F.col("n_nationkey") * 256 + 255).cast("bigint").alias("hi"), "n_name")
+    j = en.range_join(fx.flows(spark, sf_dir).select("dst_ip"), "dst_ip", ranges)
+    return j.groupBy("dst_ip", "n_name").agg(F.count(F.lit(1)).alias("flows"))
+
+
+def intel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = fx.ip_intel(spark, sf_dir)
+    return i.select("ip", "fraud_score", F.col("ip_type").alias("connection_type"),
+                    F.col("is_proxy").alias("proxy_code"), F.col("ip_type").alias("usage_type"),
+                    F.col("asn").cast("string").alias("country"))
+
+
+INTEL_ATTR_SQL = f"""
+attrs AS (
+  SELECT i.ip, 0 AS is_private, i.fraud_score AS ipqs_fraud_score, ip_type AS ipqs_connection_type,
+         CASE WHEN is_proxy IN (1, 2) THEN 1 ELSE 0 END AS ip2proxy_is_proxy,
+         CASE WHEN is_proxy IN (1, 2) THEN CAST(asn AS VARCHAR) END AS ip2proxy_country,
+         CASE WHEN is_proxy IN (1, 2) THEN ip_type END AS ip2proxy_usage_type
+  FROM ip_intel i
+)"""
+
+
+@register("j3_enrich_ips", fx.with_sql(fx.FLOWS_SQL, fx.IP_INTEL_SQL, INTEL_ATTR_SQL) + """
+SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey, f.src_ip, f.dst_ip,
+       a.ipqs_fraud_score AS src_ipqs_fraud_score, a.ipqs_connection_type AS src_ipqs_connection_type,
+       a.ip2proxy_is_proxy AS src_ip2proxy_is_proxy, a.ip2proxy_country AS src_ip2proxy_country,
+       a.ip2proxy_usage_type AS src_ip2proxy_usage_type, b.ipqs_fraud_score AS dst_ipqs_fraud_score
+FROM flows f LEFT JOIN attrs a ON f.src_ip = a.ip LEFT JOIN attrs b ON f.dst_ip = b.ip""")
+def j3_enrich_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reputation attributes joined on both flow ends with src_/dst_ prefixes,
+    private short-cut off (J3, J4)."""
+    e = en.enrich_flows(fx.flows(spark, sf_dir), intel_table(spark, sf_dir), private_rule=None)
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "src_ip", "dst_ip",
+                    "src_ipqs_fraud_score", "src_ipqs_connection_type", "src_ip2proxy_is_proxy",
+                    "src_ip2proxy_country", "src_ip2proxy_usage_type", "dst_ipqs_fraud_score")
+
+
+@register("m2_policy_actions", fx.with_sql(fx.DECISIONS_SQL) + f"""
+SELECT id, risk,
+       CASE WHEN risk <= 20 THEN 'ALLOW' WHEN risk <= 60 THEN 'CHALLENGE' ELSE 'BLOCK' END AS action,
+       CASE WHEN risk <= 20 THEN '{sc.POLICY[0][2]}' WHEN risk <= 60 THEN '{sc.POLICY[1][2]}'
+            ELSE '{sc.POLICY[2][2]}' END AS reason
+FROM decisions""")
+def m2_policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy action and reason from the risk score (M2)."""
+    d = fx.decisions_direct(spark, sf_dir)
+    action, reason = sc.policy(F.col("risk"))
+    return d.select("id", "risk", action.alias("action"), reason.alias("reason"))
+
+
+@register("m3_risk_scoring", """
+WITH s AS (SELECT event_id AS id, CAST(CAST((floor(value * 100) % 10000) / 10000.0 AS FLOAT) AS DOUBLE) AS p
+           FROM events),
+r AS (SELECT id, p, CAST(trunc(p * 99.0) AS BIGINT) AS risk_score FROM s)
+SELECT id, risk_score, CASE WHEN risk_score > 60 THEN 'MALICIOUS' ELSE 'BENIGN' END AS intent_class,
+       floor((CASE WHEN risk_score > 60 THEN p ELSE 1.0 - p END) * 1000 + 0.5) / 1000 AS intent_confidence,
+       CASE WHEN risk_score <= 20 THEN 'ALLOW' WHEN risk_score <= 60 THEN 'CHALLENGE' ELSE 'BLOCK' END AS action
+FROM r""")
+def m3_risk_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability -> risk 0-99 (float32 model output), intent, confidence,
+    action (M3, M2, M5); the probability is derived from `events.value`."""
+    from flowlens.sources.tables import table
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), ((F.floor(F.col("value") * 100) % 10000) / F.lit(10000.0)).alias("p"))
+    d = sc.decide(e, "p")
+    return d.select("id", "risk_score", "intent_class", round3("intent_confidence").alias("intent_confidence"),
+                    "action")
+
+
+@register("m4_app_class", f"""
+SELECT vec_id,
+       CASE WHEN list_position(embedding[1:8], list_max(embedding[1:8])) <= {len(sc.APP_CLASSES)}
+            THEN [{', '.join(repr(c) for c in sc.APP_CLASSES)}][list_position(embedding[1:8], list_max(embedding[1:8]))]
+            ELSE 'UNKNOWN' END AS app_class,
+       CAST(list_max(embedding[1:8]) AS DOUBLE) AS app_confidence
+FROM embeddings""")
+def m4_app_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-stage class = argmax of 8 class scores (first 8 embedding
+    values), confidence = the max (M4, C28)."""
+    from flowlens.sources.tables import table
+    e = table(spark, sf_dir, "embeddings")
+    a = sc.app_class(F.slice(F.col("embedding"), 1, 8))
+    return e.select("vec_id", a["app_class"].alias("app_class"), a["app_confidence"].alias("app_confidence"))
+
+
+C33_MAP = {"duration": "flow_duration", "mean_flowiat": "mean_iat_total", "std_flowiat": "std_iat_total",
+           "min_flowiat": "min_iat_total", "max_flowiat": "max_iat_total", "mean_fiat": "mean_iat_fwd",
+           "mean_biat": "mean_iat_bwd", "flowPktsPerSecond": "packets_per_second",
+           "flowBytesPerSecond": "bytes_per_second"}
+
+
+@register("c33_feature_vector", flow_oracle(120_000_000) .replace("\nSELECT ", "\n, fl AS (SELECT ", 1) + ")" + f"""
+SELECT src_ip, dst_ip, src_port, dst_port, protocol, start_us,
+       [{', '.join(f"CAST({C33_MAP[n]} AS FLOAT)" if n in C33_MAP else 'CAST(0.0 AS FLOAT)' for n in sc.STAGE2_FEATURES)}] AS features
+FROM fl""")
+def c33_feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered float32 feature vector of the served model from per-flow
+    statistics; absent names -> 0 (C33)."""
+    f = _flow_select(fl.build_flows(fx.packets(spark, sf_dir), idle_timeout=120.0))
+    m = sc.features_map(f, C33_MAP)
+    return f.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us",
+                    sc.feature_vector(m, sc.STAGE2_FEATURES).alias("features"))
+
+
+@register("m9_edge_prefilter", fx.with_sql(fx.FLOWS_SQL, fx.IP_INTEL_SQL) + """
+SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey,
+       CASE WHEN i.fraud_score > 90 OR (i.ip_type = 'datacenter' AND i.asn % 5 = 0) THEN 'BLOCK' ELSE 'PASS' END
+         AS edge_action
+FROM flows f LEFT JOIN ip_intel i ON f.src_ip = i.ip
+WHERE i.ip IS NOT NULL""")
+def m9_edge_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge rules over enriched flows: fraud > 90 or datacenter with a listed
+    ASN (asn % 5 = 0 here) -> BLOCK (M9)."""
+    i = fx.ip_intel(spark, sf_dir).select(F.col("ip").alias("src_ip"), "fraud_score",
+                                          (F.col("ip_type") == "datacenter").alias("is_datacenter"),
+                                          (F.col("asn") % 5 == 0).alias("bad_asn"))
+    f = fx.flows(spark, sf_dir).join(i, on="src_ip", how="inner").withColumn("mtu", F.lit(-1))
+    e = sc.edge_prefilter(f)
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "edge_action")
