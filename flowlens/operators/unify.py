@@ -43,7 +43,6 @@ def normalize(records: DataFrame, source_type: str, *, keep: list[str] | None =
     for field, names in ALIASES.items():
         present = [truthy(F.col(n)) for n in names if n in cols]
         out[field] = F.coalesce(*present, F.lit("")) if present else F.lit("")
-    out["timestamp"] = ps.to_iso(out["timestamp"])
     rest = [c for c in records.columns if c not in UNIFIED_COLUMNS and c not in keep]
     if rest:
         m = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]),
@@ -51,10 +50,11 @@ def normalize(records: DataFrame, source_type: str, *, keep: list[str] | None =
         meta = F.when(F.size(m) > 0, F.to_json(m)).otherwise(F.lit(""))
     else:
         meta = F.lit("")
-    return records.select(*keep, *[out[f].alias(f) for f in ALIASES if f != "direction"],
-                          out["direction"].alias("direction"),
-                          F.lit(source_type).alias("source_type"), meta.alias("additional_meta")) \
-        .select(*keep, *UNIFIED_COLUMNS)
+    # two projections: the resolved alias is referenced several times by the
+    # ISO conversion, so it is computed once first (keeps generated code small)
+    resolved = records.select(*keep, *[out[f].alias(f) for f in ALIASES],
+                              F.lit(source_type).alias("source_type"), meta.alias("additional_meta"))
+    return resolved.withColumn("timestamp", ps.to_iso(F.col("timestamp"))).select(*keep, *UNIFIED_COLUMNS)
 
 
 def dedupe_records(df: DataFrame, order_cols: list) -> DataFrame:
@@ -83,6 +83,14 @@ def preprocess(unified: DataFrame, order_cols: list, *, drop_unlabeled: bool = F
     for c in UNIFIED_COLUMNS:
         if c not in d.columns:
             d = d.withColumn(c, F.lit(""))  # P11
+    # essentials (P12) are tested on the raw text: the ISO conversion maps
+    # exactly the NULL/blank timestamps to ''. Filtering first keeps Catalyst
+    # from pushing the converted expression down into the scan filter.
+    ess = F.lit(True)
+    for c in ("src_ip", "dst_ip", "timestamp"):
+        ess = ess & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "" if c == "timestamp"
+                                            else F.col(c) != "")
+    d = d.where(ess)
     d = d.withColumns({
         "timestamp": ps.to_iso(F.col("timestamp")),
         "src_port": ps.lenient_int(F.col("src_port"), -1),
@@ -95,8 +103,4 @@ def preprocess(unified: DataFrame, order_cols: list, *, drop_unlabeled: bool = F
                        "label_num": ps.infer_label_num(F.col("label"), negatives_first)})
     if drop_unlabeled:
         d = d.where(F.col("label_num").isNotNull())
-    ess = F.lit(True)
-    for c in ("src_ip", "dst_ip", "timestamp"):
-        ess = ess & F.col(c).isNotNull() & (F.col(c) != "")
-    d = d.where(ess)
     return dedupe_records(d, order_cols)
