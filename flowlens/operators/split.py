@@ -29,14 +29,14 @@ def hash_order(key_cols: list[str], seed: int = 42):
 
 def stratified_split(df: DataFrame, label_col: str, key_cols: list[str], *,
                      holdout: float = 0.3, test_share: float = 0.5, seed: int = 42,
-                     stratify: bool = True) -> DataFrame:
+                     stratify: bool = True, bucket_hex_digits: int = 4) -> DataFrame:
     """Adds `split` in {'train', 'val', 'test'} (M1).
 
     Per class (or over all rows when stratify=False or there is a single
     class) rows are ordered by md5(seed|key); the first floor(n * holdout)
     form the hold-out, of which the first floor(h * test_share) are 'test'
     and the rest 'val'. test_share=1.0 gives a two-way train/test split
-    (80/20: holdout=0.2). Ordinals come from a range-partitioned ranking,
+    (80/20: holdout=0.2). Ordinals are counted per (class, digest prefix),
     so a class holding most rows is still spread over many tasks.
     """
     d = df.withColumn("_h", hash_order(key_cols, seed))
@@ -45,7 +45,9 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: list[str], *,
         n_classes = d.select(label_col).distinct().limit(2).count()
         if n_classes < 2:
             group = []
-    d = ordinal_within_group(d, group, ["_h", *key_cols], name="_ord")
+    # the leading hex digits of the digest are a bucket that follows the order
+    bucket = F.conv(F.substring("_h", 1, bucket_hex_digits), 16, 10).cast("bigint")
+    d = ordinal_within_group(d, group, ["_h", *key_cols], bucket, name="_ord")
     if group:
         counts = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
         d = d.join(counts, on=group, how="inner")

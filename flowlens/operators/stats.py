@@ -7,17 +7,70 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.topk import ordinal_within_group
+
+
+def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 512,
+                 collect_below: int = 100_000) -> dict[int, float]:
+    """Exact k-th smallest values (0-based) of a numeric column by iterated
+    range narrowing: a mergeable quantile sketch proposes cut points, one
+    grouped count finds the range holding position k, and the search repeats
+    inside that range. It stops when the range is small enough to sort
+    (<= collect_below values reach the driver) or holds a single value --
+    so a value repeated a billion times costs one pass, not one task."""
+    out = {}
+    base = df.select(F.col(col).cast("double").alias("x"))
+    first = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if first["lo"] == first["hi"]:
+        return {k: float(first["lo"]) for k in ks}
+    if first["n"] <= collect_below:
+        vals = sorted(r[0] for r in base.collect())
+        return {k: float(vals[k]) for k in ks}
+    for k in sorted(set(ks)):
+        cur, kk = base, k
+        stats = first
+        while True:
+            if stats is None:
+                stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+            if stats["lo"] == stats["hi"] or stats["n"] <= collect_below:
+                if stats["lo"] == stats["hi"]:
+                    out[k] = float(stats["lo"])
+                else:
+                    vals = sorted(r[0] for r in cur.select("x").collect())
+                    out[k] = float(vals[kk])
+                break
+            probs = [i / fanout for i in range(1, fanout)]
+            cuts = cur.select(F.percentile_approx("x", probs, 10 * fanout)).first()[0]
+            cuts = sorted(set(float(c) for c in cuts))
+            arr = F.array(*[F.lit(c) for c in cuts])
+            # key 2i: strictly between cut i-1 and cut i; key 2i+1: equal to cut i.
+            # Cut points are data values, so every open range loses rows: progress.
+            key = F.size(F.filter(arr, lambda c: c < F.col("x"))) * 2 + F.array_contains(arr, F.col("x")).cast("int")
+            counts = sorted((r["b"], r["n"]) for r in
+                            cur.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+            seen = 0
+            for bi, n in counts:
+                if kk < seen + n:
+                    i, eq = divmod(bi, 2)
+                    if eq:
+                        cond = F.col("x") == F.lit(cuts[i])
+                    else:
+                        cond = F.lit(True)
+                        if i > 0:
+                            cond = cond & (F.col("x") > F.lit(cuts[i - 1]))
+                        if i < len(cuts):
+                            cond = cond & (F.col("x") < F.lit(cuts[i]))
+                    cur, kk = cur.where(cond), kk - seen
+                    break
+                seen += n
+            stats = None
+    return out
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Linear-interpolation quantiles (pandas / DuckDB `quantile_cont`) of the
-    non-NULL values, exactly, by distributed rank selection: values are
-    range-partitioned and ranked (see `ordinal_within_group`) and only the
-    two neighbours of every requested position come back to the driver.
-    Memory per task is bounded by the partition size, whatever the number
-    of distinct values; the `percentile` aggregate instead merges a map of
-    all distinct values in one task."""
+    non-NULL values, exactly (see `kth_smallest`); memory per task never
+    depends on the number of distinct values, unlike the `percentile`
+    aggregate, which merges a map of all of them in one task."""
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     n = x.count()
     if n == 0:
@@ -27,9 +80,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
         h = (n - 1) * p
         lo = int(math.floor(h))
         want[p] = (lo, min(lo + 1, n - 1), h - lo)
-    idx = sorted({i for lo, hi, _ in want.values() for i in (lo, hi)})
-    ranked = ordinal_within_group(x.withColumn("_tie", F.monotonically_increasing_id()), [], ["x", "_tie"])
-    got = {r["_ord"]: r["x"] for r in ranked.where(F.col("_ord").isin(idx)).select("_ord", "x").collect()}
+    got = kth_smallest(x, "x", [i for lo, hi, _ in want.values() for i in (lo, hi)])
     return [got[lo] + (got[hi] - got[lo]) * frac for lo, hi, frac in (want[p] for p in probs)]
 
 

@@ -42,26 +42,64 @@ def first_per_key(df: DataFrame, key_cols: list[str], order_cols: list) -> DataF
               .select(*df.columns))
 
 
-def ordinal_within_group(df: DataFrame, group_cols: list[str], order_cols: list,
-                         num_partitions: int | None = None, name: str = "_ord") -> DataFrame:
+def ordinal_within_group(df: DataFrame, group_cols: list[str], order_cols: list, bucket,
+                         name: str = "_ord") -> DataFrame:
     """0-based row number of every row inside its group under a total order,
-    computed without ever sending one group to one task (W6, M1, A5).
+    without sending a whole group to one task (W6, M1).
 
-    The rows are range-partitioned on (group, order): a hot group spans many
-    partitions. Each partition numbers its rows locally; a small table of
-    per-(partition, group) counts gives every partition the number of rows of
-    the same group in earlier partitions, which is added back.
+    `bucket` is an integer column that never decreases along the order (for
+    a hash order: a prefix of the hash). Rows are numbered inside each
+    (group, bucket) window; a small table of per-(group, bucket) counts gives
+    the number of rows of earlier buckets, which is added back. Everything is
+    a function of the row values, so re-executed or re-partitioned branches
+    always agree.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     okeys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    s = (df.repartitionByRange(n, *[F.col(g) for g in group_cols], *okeys)
-           .withColumn("_pid", F.spark_partition_id()))
-    local = Window.partitionBy("_pid", *group_cols).orderBy(*okeys)
-    s = s.withColumn("_lrn", F.row_number().over(local) - 1)
-    counts = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *group_cols, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    return (s.join(offsets, on=["_pid", *group_cols], how="inner")
+    d = df.withColumn("_bkt", bucket)
+    local = Window.partitionBy(*group_cols, "_bkt").orderBy(*okeys)
+    d = d.withColumn("_lrn", F.row_number().over(local) - 1)
+    counts = df.withColumn("_bkt", bucket).groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group_cols, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return (d.join(offsets, on=[*group_cols, "_bkt"], how="inner")
              .withColumn(name, (F.col("_off") + F.col("_lrn")).cast("bigint"))
-             .drop("_pid", "_lrn", "_off"))
+             .drop("_bkt", "_lrn", "_off"))
+
+
+def range_buckets(df: DataFrame, col: str, n: int = 256, accuracy: int = 10_000):
+    """Integer bucket column for `col` from approximate quantile cut points
+    (one sketch aggregate; the cut points come back as a short literal list).
+    The bucket never decreases as `col` grows."""
+    probs = [i / n for i in range(1, n)]
+    cuts = df.select(F.percentile_approx(F.col(col).cast("double"), probs, accuracy)).first()[0] or []
+    cuts = sorted(set(float(c) for c in cuts if c is not None))
+    arr = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(arr, lambda c: c <= F.col(col).cast("double")))
+
+
+def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str], *,
+                descending: bool = False, prefix: str = "before_", buckets: int = 256) -> DataFrame:
+    """For every row, the sums of `value_cols` over the rows strictly before
+    it in its group when ordered by `order_col` (values distinct per group).
+
+    Rows are cut into value ranges (`range_buckets`); running sums are taken
+    inside each (group, range) window and the totals of earlier ranges are
+    added from a small per-(group, range) table -- a running total with no
+    single-task window and no dependence on physical partition numbers.
+    """
+    b = range_buckets(df, order_col, buckets)
+    if descending:
+        b = F.lit(buckets + 1) - b
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    d = df.withColumn("_bkt", b)
+    local = Window.partitionBy(*group_cols, "_bkt").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    for v in value_cols:
+        d = d.withColumn(f"_l_{v}", F.coalesce(F.sum(v).over(local), F.lit(0)))
+    tot = df.withColumn("_bkt", b).groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*group_cols, "_bkt",
+                      *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    out = d.join(offs, on=[*group_cols, "_bkt"], how="inner")
+    for v in value_cols:
+        out = out.withColumn(f"{prefix}{v}", F.col(f"_o_{v}") + F.col(f"_l_{v}"))
+    return out.drop("_bkt", *[f"_{k}_{v}" for k in ("l", "o") for v in value_cols])

@@ -915,3 +915,207 @@ def m9_edge_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fx.flows(spark, sf_dir).join(i, on="src_ip", how="inner").withColumn("mtu", F.lit(-1))
     e = sc.edge_prefilter(f)
     return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "edge_action")
+
+
+# ---------------------------------------------------------------- A6-A16, T2, A14, D7
+from flowlens.operators import evaluate as ev  # noqa: E402
+from flowlens.operators import profile as pr  # noqa: E402
+
+
+@register("a6_label_distribution", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + f"""
+SELECT intent_label, CAST(count(*) AS BIGINT) AS count,
+       {sql_r3('count(*) * 100.0 / sum(count(*)) OVER ()', 'pct')}
+FROM deduped GROUP BY intent_label""")
+def a6_label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent label counts and percentages of the deduplicated flows."""
+    d = pr.distribution(deduped_flows(spark, sf_dir), "intent_label")
+    return d.select("intent_label", "count", round3("pct").alias("pct"))
+
+
+@register("a7_null_counts", fx.with_sql(fx.FLOWS_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS nulls FROM flows"
+    for c in RAW_FLOW_COLS))
+def a7_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL count of every column in one pass."""
+    return pr.null_counts(fx.flows(spark, sf_dir).select(*RAW_FLOW_COLS)).select("column", "nulls")
+
+
+@register("a9_basic_stats", fx.with_sql(fx.FLOWS_SQL) + f"""
+SELECT CAST(count(*) AS BIGINT) AS rows, {len(RAW_FLOW_COLS)} AS columns,
+       CAST(sum({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in RAW_FLOW_COLS)}) AS BIGINT) AS missing_values,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(RAW_FLOW_COLS)} FROM flows)) AS BIGINT)
+         AS duplicate_rows
+FROM flows""")
+def a9_basic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, columns, missing cells and duplicate rows."""
+    b = pr.basic_stats(fx.flows(spark, sf_dir).select(*RAW_FLOW_COLS))
+    return b.select(F.col("rows").cast("bigint").alias("rows"), F.col("columns").cast("int").alias("columns"),
+                    F.col("missing_values").cast("bigint").alias("missing_values"),
+                    F.col("duplicate_rows").cast("bigint").alias("duplicate_rows"))
+
+
+CORR_COLS = ["flow_duration", "packet_count_fwd", "packet_count_bwd", "packet_count_total", "byte_count_fwd",
+             "byte_count_bwd", "byte_count_total", "byte_ratio", "packet_ratio"]
+
+
+@register("a10_correlations", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {sql_r3(f'corr({a}, {b})', 'corr')} FROM deduped"
+    for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]))
+def a10_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairwise Pearson correlations in one aggregate pass (A10)."""
+    c = pr.correlations(deduped_flows(spark, sf_dir).select(*CORR_COLS))
+    return c.select("col_a", "col_b", round3("corr").alias("corr"))
+
+
+def _hist_sql(col: str, transform: str, arg) -> str:
+    x = f"least(CAST({col} AS DOUBLE), {float(arg)!r})" if transform == "clip" else f"log10(CAST({col} AS DOUBLE) + 1.0)"
+    return f"""
+SELECT '{col}' AS column, CAST(least(floor((x - lo2) / (hi2 - lo2) * 50.0), 49) AS INTEGER) AS bin,
+       CAST(count(*) AS BIGINT) AS count
+FROM (SELECT {x} AS x FROM deduped) v,
+     (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo2,
+             CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi2
+      FROM (SELECT {x} AS x FROM deduped) WHERE x IS NOT NULL AND NOT isnan(x)) m
+WHERE x IS NOT NULL AND NOT isnan(x)
+GROUP BY 1, 2"""
+
+
+@register("a11_histograms", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + " UNION ALL ".join(
+    _hist_sql(*h) for h in pr.FLOW_HISTOGRAMS))
+def a11_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six 50-bin flow histograms (clip / log10(x+1) transforms)."""
+    d = deduped_flows(spark, sf_dir)
+    out = None
+    for col, tr, arg in pr.FLOW_HISTOGRAMS:
+        h = pr.histogram(d, col, tr, arg).select("column", "bin", "count")
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+GROUP_FIELDS = ["vpn_flag", "dataset_source", "app_label", "intent_label"]
+
+
+@register("a12_group_distributions", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + " UNION ALL ".join(
+    f"SELECT '{g}' AS field, CAST({g} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS count FROM deduped GROUP BY {g}"
+    for g in GROUP_FIELDS))
+def a12_group_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per VPN flag, source, app and intent label."""
+    d = deduped_flows(spark, sf_dir)
+    out = None
+    for g in GROUP_FIELDS:
+        x = d.groupBy(F.col(g).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count")) \
+            .select(F.lit(g).alias("field"), "value", "count")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@register("a13_traffic_summary", flow_oracle(120_000_000).replace("\nSELECT ", "\n, fl AS (SELECT ", 1) + ")" + f"""
+SELECT CAST(count(*) AS BIGINT) AS flows, CAST(sum(packet_count_total) AS BIGINT) AS total_packets,
+       CAST(sum(byte_count_total) AS BIGINT) AS total_bytes,
+       {sql_r3('avg(flow_duration)', 'mean_duration')}, {sql_r3('avg(packet_count_total)', 'mean_packets')},
+       {sql_r3(f"avg(CASE WHEN dst_port IN ({', '.join(map(str, fe.VPN_PORTS_FULL))}) THEN 1.0 ELSE 0.0 END) * 100.0", 'vpn_port_pct')}
+FROM fl""")
+def a13_traffic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traffic summary over packet-built flows."""
+    f = _flow_select(fl.build_flows(fx.packets(spark, sf_dir), idle_timeout=120.0))
+    s = pr.traffic_summary(f, fe.VPN_PORTS_FULL)
+    return s.select(F.col("flows").cast("bigint").alias("flows"),
+                    F.col("total_packets").cast("bigint").alias("total_packets"),
+                    F.col("total_bytes").cast("bigint").alias("total_bytes"),
+                    round3("mean_duration").alias("mean_duration"), round3("mean_packets").alias("mean_packets"),
+                    round3("vpn_port_pct").alias("vpn_port_pct"))
+
+
+@register("t2_top_ports", fx.with_sql(fx.PACKETS_SQL) + """
+SELECT dst_port, CAST(count(*) AS BIGINT) AS count FROM packets GROUP BY dst_port
+ORDER BY count DESC, dst_port LIMIT 10""")
+def t2_top_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-10 destination ports, ties broken by port (T2; the limit is the report)."""
+    return pr.top_values(fx.packets(spark, sf_dir), "dst_port", 10)
+
+
+@register("a15_class_imbalance", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + f"""
+SELECT CAST(count(*) AS BIGINT) AS classes, max(n) AS max_count, min(n) AS min_count,
+       {sql_r3('max(n) / min(n)', 'ratio')}, max(n) / min(n) > 5.0 AS warn
+FROM (SELECT intent_label, CAST(count(*) AS BIGINT) AS n FROM deduped GROUP BY intent_label)""")
+def a15_class_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class count, max/min ratio and warning > 5."""
+    i = pr.imbalance(deduped_flows(spark, sf_dir), "intent_label")
+    return i.select(F.col("classes").cast("bigint").alias("classes"), "max_count", "min_count",
+                    round3("ratio").alias("ratio"), "warn")
+
+
+EVAL_SQL = """
+scored AS (
+  SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y,
+         CAST(CAST((floor(value * 100) % 10000) / 10000.0 AS FLOAT) AS DOUBLE) AS p
+  FROM events
+),
+pred AS (SELECT *, CASE WHEN CAST(trunc(p * 99.0) AS BIGINT) > 60 THEN 1 ELSE 0 END AS yhat FROM scored)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.sources.tables import table
+    e = table(spark, sf_dir, "events")
+    s = e.select("event_id", (F.col("event_type") == "error").cast("int").alias("y"),
+                 ((F.floor(F.col("value") * 100) % 10000) / F.lit(10000.0)).alias("p"))
+    d = sc.decide(s, "p")
+    return d.withColumns({"yhat": (F.col("intent_class") == "MALICIOUS").cast("int"),
+                          "p": F.col("p").cast("float").cast("double")})
+
+
+@register("a14_classification_report", fx.with_sql(EVAL_SQL, """
+cm AS (SELECT y, yhat, count(*) AS c FROM pred GROUP BY y, yhat),
+cls AS (SELECT y AS cls FROM cm UNION SELECT yhat FROM cm),
+t AS (SELECT cls,
+             coalesce((SELECT sum(c) FROM cm WHERE y = cls), 0) AS support,
+             coalesce((SELECT sum(c) FROM cm WHERE yhat = cls), 0) AS predicted,
+             coalesce((SELECT sum(c) FROM cm WHERE y = cls AND yhat = cls), 0) AS tp
+      FROM cls)""") + """
+SELECT cls, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, CAST(tp AS BIGINT) AS tp,
+       floor((CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END) * 1000 + 0.5) / 1000 AS precision,
+       floor((CASE WHEN support > 0 THEN tp / support ELSE 0 END) * 1000 + 0.5) / 1000 AS recall,
+       floor((sum(tp) OVER () / sum(support) OVER ()) * 1000 + 0.5) / 1000 AS accuracy
+FROM t""")
+def a14_classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class precision/recall, support, accuracy of the risk rule
+    (error events as positives) (A14, M8)."""
+    r = ev.per_class(_scored(spark, sf_dir), "y", "yhat")
+    return r.select(F.col("cls").cast("int").alias("cls"), F.col("support").cast("bigint").alias("support"),
+                    F.col("predicted").cast("bigint").alias("predicted"), F.col("tp").cast("bigint").alias("tp"),
+                    round3("precision").alias("precision"), round3("recall").alias("recall"),
+                    round3("accuracy").alias("accuracy"))
+
+
+@register("a14_roc_auc", fx.with_sql(EVAL_SQL, """
+st AS (SELECT p AS score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg
+       FROM scored GROUP BY p),
+cu AS (SELECT *, coalesce(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              AS above_pos FROM st)""") + """
+SELECT floor((sum(neg * (above_pos + 0.5 * pos)) / (sum(pos) * sum(neg))) * 1000000 + 0.5) / 1000000 AS auc,
+       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives
+FROM cu""")
+def a14_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC-AUC by the rank-sum identity over skew-safe prefix sums."""
+    a = ev.roc_auc(_scored(spark, sf_dir), "y", "p")
+    return a.select((F.floor(F.col("auc") * 1000000 + 0.5) / 1000000).alias("auc"),
+                    F.col("positives").cast("bigint").alias("positives"),
+                    F.col("negatives").cast("bigint").alias("negatives"))
+
+
+@register("d7_operating_points", fx.with_sql(EVAL_SQL, """
+st AS (SELECT p AS score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg
+       FROM scored GROUP BY p),
+cu AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+              sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
+       FROM st)""") + """
+SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       floor(tp / (SELECT sum(pos) FROM st) * 1000000 + 0.5) / 1000000 AS tpr,
+       floor(fp / (SELECT sum(neg) FROM st) * 1000000 + 0.5) / 1000000 AS fpr
+FROM cu""")
+def d7_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold sweep: TP/FP, TPR, FPR at every distinct score."""
+    o = ev.operating_points(_scored(spark, sf_dir), "y", "p")
+    return o.select("score", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
+                    (F.floor(F.col("tpr") * 1000000 + 0.5) / 1000000).alias("tpr"),
+                    (F.floor(F.col("fpr") * 1000000 + 0.5) / 1000000).alias("fpr"))

@@ -54,3 +54,15 @@ def test_dedupe_idempotent(spark):
 def test_first_per_key_survivor(spark):
     df = spark.createDataFrame([("k", 3, "c"), ("k", 1, "a"), ("k", 2, "b")], "k string, o int, v string")
     assert first_per_key(df, ["k"], ["o"]).first().v == "a"
+
+
+def test_kth_smallest_narrowing_with_hot_value(spark):
+    import numpy as np
+    vals = [5.0] * 3000 + [float(i) for i in range(2000)] + [1e9, -7.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    ks = [0, 1, 2500, 4000, len(vals) - 1]
+    got = st.kth_smallest(df, "x", ks, fanout=8, collect_below=50)
+    srt = sorted(vals)
+    assert got == {k: srt[k] for k in ks}
+    q = st.exact_quantiles(df, "x", [0.25, 0.75])
+    assert q == [float(np.quantile(np.array(vals), p)) for p in (0.25, 0.75)]
