@@ -1119,3 +1119,110 @@ def d7_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("score", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
                     (F.floor(F.col("tpr") * 1000000 + 0.5) / 1000000).alias("tpr"),
                     (F.floor(F.col("fpr") * 1000000 + 0.5) / 1000000).alias("fpr"))
+
+
+# ---------------------------------------------------------------- C30-C32, F14, C12
+from flowlens.operators import images as im  # noqa: E402
+
+EP_KEY_SQL = """
+keyed AS (
+  SELECT *, (src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port)) AS is_fwd,
+         CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN src_ip ELSE dst_ip END AS ip1,
+         CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN src_port ELSE dst_port END AS port1,
+         CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN dst_ip ELSE src_ip END AS ip2,
+         CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN dst_port ELSE src_port END AS port2
+  FROM packets WHERE protocol IN (6, 17)
+)"""
+
+PIX_SQL = fx.with_sql(fx.PACKETS_SQL, EP_KEY_SQL, sessions_sql(60_000_000), """
+sized AS (SELECT *, count(*) OVER (PARTITION BY ip1, port1, ip2, port2, protocol, sess_no) AS flow_packets FROM gaps),
+ord AS (
+  SELECT *,
+         row_number() OVER (PARTITION BY ip1, port1, ip2, port2, protocol, sess_no ORDER BY ts_us, packet_no) - 1 AS idx,
+         lag(ts_us) OVER (PARTITION BY ip1, port1, ip2, port2, protocol, sess_no ORDER BY ts_us, packet_no) AS pix_prev_ts,
+         first_value(src_ip) OVER (PARTITION BY ip1, port1, ip2, port2, protocol, sess_no ORDER BY ts_us, packet_no) AS c_ip,
+         first_value(src_port) OVER (PARTITION BY ip1, port1, ip2, port2, protocol, sess_no ORDER BY ts_us, packet_no) AS c_port
+  FROM sized WHERE flow_packets >= 3
+),
+pix AS (
+  SELECT ip1, port1, ip2, port2, protocol, sess_no, idx, CAST(idx // 64 AS INTEGER) AS row, CAST(idx % 64 AS INTEGER) AS col,
+    CAST(trunc(greatest(least(CAST(CAST(CASE WHEN src_ip = c_ip AND src_port = c_port
+         THEN least(pkt_len, 1500) / 1500.0 * 255.0 ELSE 0.0 END AS FLOAT) AS DOUBLE), 255.0), 0.0)) AS INTEGER) AS r,
+    CAST(trunc(greatest(least(CAST(CAST(CASE WHEN NOT (src_ip = c_ip AND src_port = c_port)
+         THEN least(pkt_len, 1500) / 1500.0 * 255.0 ELSE 0.0 END AS FLOAT) AS DOUBLE), 255.0), 0.0)) AS INTEGER) AS g,
+    CAST(trunc(greatest(least(CAST(CAST(least(coalesce((ts_us - pix_prev_ts) / 1000000.0, 0.0), 1.0) / 1.0 * 255.0
+         AS FLOAT) AS DOUBLE), 255.0), 0.0)) AS INTEGER) AS b,
+    ts_us, flow_packets
+  FROM ord WHERE idx < 4096
+)""")
+
+
+def _block(spark: SparkSession, sf_dir: str):
+    s = im.block_flows(fx.packets(spark, sf_dir))
+    return s, im.pixels(s)
+
+
+@register("c30_packet_block_pixels", PIX_SQL + """
+SELECT ip1 AS src_ip, port1 AS src_port, ip2 AS dst_ip, port2 AS dst_port, protocol, idx, row, col, r, g, b
+FROM pix""")
+def c30_packet_block_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel table of 64x64 packet-block images: R/G sizes by direction from
+    the initiator, B the capped gap (C30, W1, W3, W4)."""
+    _, p = _block(spark, sf_dir)
+    return p.select(F.col("ip1").alias("src_ip"), F.col("port1").alias("src_port"), F.col("ip2").alias("dst_ip"),
+                    F.col("port2").alias("dst_port"), "protocol", "idx", "row", "col", "r", "g", "b")
+
+
+@register("c31_packet_block_images", PIX_SQL + """
+SELECT ip1 AS src_ip, port1 AS src_port, ip2 AS dst_ip, port2 AS dst_port, protocol,
+       CAST(count(*) AS BIGINT) AS lit_pixels, CAST(sum(r + g + b) AS BIGINT) AS pixel_sum,
+       12288 AS image_len, floor(sum(r + g + b) / 255.0 / 12288 * 1000000 + 0.5) / 1000000 AS mean_scaled
+FROM pix GROUP BY ip1, port1, ip2, port2, protocol, sess_no HAVING sum(r + g + b) > 0""")
+def c31_packet_block_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembled zero-padded images (flattened 64x64x3) and their /255
+    float32 scaling; summarised per image (C31, C32)."""
+    _, p = _block(spark, sf_dir)
+    img = im.images(p)
+    total = F.aggregate(F.col("image"), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    scaled_sum = F.aggregate(im.scale_pixels(F.col("image")), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return img.select(
+        F.col("ip1").alias("src_ip"), F.col("port1").alias("src_port"), F.col("ip2").alias("dst_ip"),
+        F.col("port2").alias("dst_port"), "protocol", F.col("packets_drawn").cast("bigint").alias("lit_pixels"),
+        total.alias("pixel_sum"), F.size("image").alias("image_len"),
+        (F.floor(total / F.lit(255.0) / F.lit(12288.0) * 1000000 + 0.5) / 1000000).alias("mean_scaled"),
+    ).where(scaled_sum >= 0)
+
+
+@register("f14_image_manifest", PIX_SQL + """,
+fl2 AS (
+  SELECT ip1, port1, ip2, port2, protocol, sess_no, min(ts_us) AS s_us, max(ts_us) AS e_us,
+         CAST(max(flow_packets) AS BIGINT) AS num_packets, min(packet_no) AS p0
+  FROM sized WHERE flow_packets >= 3 GROUP BY ALL
+),
+lit AS (SELECT ip1, port1, ip2, port2, protocol, sess_no FROM pix GROUP BY ALL HAVING sum(r + g + b) > 0),
+m AS (SELECT f.* FROM fl2 f JOIN lit USING (ip1, port1, ip2, port2, protocol, sess_no))
+SELECT 'flow_capture_' || lpad(CAST(row_number() OVER (ORDER BY s_us, ip1, port1, ip2, port2, protocol) - 1 AS VARCHAR), 7, '0')
+         || '.png' AS image_filename,
+       ip1 AS src_ip, port1 AS src_port, ip2 AS dst_ip, port2 AS dst_port,
+       CASE WHEN protocol = 6 THEN 'TCP' ELSE 'UDP' END AS protocol,
+       regexp_replace(strftime(make_timestamp(s_us), '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') || 'Z' AS start_ts,
+       regexp_replace(strftime(make_timestamp(e_us), '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') || 'Z' AS end_ts,
+       num_packets
+FROM m""")
+def f14_image_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the saved images: sequence-numbered names, key, protocol
+    name, ISO 'Z' first/last times, packet count (F14)."""
+    s, p = _block(spark, sf_dir)
+    return im.manifest(s, p)
+
+
+@register("c12_token_samples", fx.with_sql(fx.PAYLOADS_SQL, """
+cls AS (SELECT dst_ip, row_number() OVER (ORDER BY dst_ip) - 1 AS label FROM (SELECT DISTINCT dst_ip FROM payloads))""") + """
+SELECT p.packet_no AS doc_id, CAST(c.label AS INTEGER) AS label,
+       array_to_string(regexp_extract_all(lower(hex(p.payload[1:128])), '..'), ' ') AS text_a
+FROM payloads p JOIN cls c USING (dst_ip)""")
+def c12_token_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, text_a) byte-token samples: class index by sorted class name
+    (language here), first 128 payload bytes as hex tokens (C12, S8)."""
+    t = im.token_samples(fx.payloads(spark, sf_dir), "dst_ip")
+    return t.select(F.col("packet_no").alias("doc_id"), F.col("label").cast("int").alias("label"), "text_a")
