@@ -1226,3 +1226,179 @@ def c12_token_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     (language here), first 128 payload bytes as hex tokens (C12, S8)."""
     t = im.token_samples(fx.payloads(spark, sf_dir), "dst_ip")
     return t.select(F.col("packet_no").alias("doc_id"), F.col("label").cast("int").alias("label"), "text_a")
+
+
+# ---------------------------------------------------------------- R1-R10, F3
+from flowlens.operators import chains as ch  # noqa: E402
+from flowlens.streaming import rollups as ro  # noqa: E402
+
+
+def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ro.decision_events(fx.decisions(spark, sf_dir))
+
+
+EVENTS_SQL = fx.with_sql(fx.DECISIONS_SQL, """
+ev AS (SELECT *, CASE WHEN risk <= 20 THEN 'ALLOW' WHEN risk <= 60 THEN 'CHALLENGE' ELSE 'BLOCK' END AS action,
+              app_class NOT IN ('UNKNOWN', 'VPN') AS deanonymised FROM decisions)""")
+
+
+@register("r9_stream_scoring", EVENTS_SQL + "SELECT id, action, app_class AS flow_type, deanonymised FROM ev")
+def r9_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-request decision events: action, flow type, deanonymised."""
+    return decision_events(spark, sf_dir).select("id", "action", "flow_type", "deanonymised")
+
+
+@register("r1_running_kpis", EVENTS_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS total_scanned, CAST(count(*) FILTER (WHERE is_vpn) AS BIGINT) AS detected_vpn,
+       CAST(count(*) FILTER (WHERE deanonymised) AS BIGINT) AS deanonymised_flows,
+       CAST(count(*) FILTER (WHERE action = 'BLOCK') AS BIGINT) AS high_risk_blocks
+FROM ev""")
+def r1_running_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running KPI totals."""
+    return ro.kpis(decision_events(spark, sf_dir))
+
+
+def _tumbling_sql(seconds: int) -> str:
+    return EVENTS_SQL + f"""
+SELECT time_bucket(INTERVAL {seconds} SECOND, ts) AS window_start,
+       time_bucket(INTERVAL {seconds} SECOND, ts) + INTERVAL {seconds} SECOND AS window_end,
+       CAST(count(*) FILTER (WHERE NOT is_vpn) AS BIGINT) AS normal, CAST(count(*) FILTER (WHERE is_vpn) AS BIGINT) AS vpn
+FROM ev GROUP BY 1, 2"""
+
+
+@register("r2_tumbling_1s", _tumbling_sql(1))
+def r2_tumbling_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normal/vpn counts per 1-second tumbling window (R2)."""
+    return ro.tumbling_counts(decision_events(spark, sf_dir), "1 second")
+
+
+@register("r3_tumbling_5s", _tumbling_sql(5))
+def r3_tumbling_5s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normal/vpn counts per 5-second tumbling window."""
+    return ro.tumbling_counts(decision_events(spark, sf_dir), "5 seconds")
+
+
+@register("r4_action_rate", EVENTS_SQL + """,
+sl AS (SELECT action, time_bucket(INTERVAL 10 SECOND, ts) - k * INTERVAL 10 SECOND AS window_start
+       FROM ev, (SELECT unnest(generate_series(0, 5)) AS k))
+SELECT window_start, window_start + INTERVAL 60 SECOND AS window_end, action, CAST(count(*) AS BIGINT) AS n,
+       floor(count(*) / 60.0 * 1000 + 0.5) / 1000 AS rate_per_s
+FROM sl GROUP BY 1, 2, 3""")
+def r4_action_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-action prediction rate over a 1-minute window sliding by 10 s."""
+    r = ro.action_rate(decision_events(spark, sf_dir), "1 minute", "10 seconds")
+    return r.select("window_start", "window_end", "action", "n", round3("rate_per_s").alias("rate_per_s"))
+
+
+def _latency_sql() -> str:
+    b = ro.LATENCY_BUCKETS_MS
+    cum = ", ".join(f"CAST(count(*) FILTER (WHERE latency_ms <= {x}) AS BIGINT) AS le_{x}" for x in b)
+
+    def q(p):
+        arms, prev_c, prev_b = [], "0", 0.0
+        for x in b:
+            arms.append(f"WHEN le_{x} >= le_inf * {p} THEN {prev_b!r} + ({float(x)!r} - {prev_b!r}) * "
+                        f"(le_inf * {p} - {prev_c}) / (le_{x} - {prev_c})")
+            prev_c, prev_b = f"le_{x}", float(x)
+        return f"CASE WHEN le_inf = 0 THEN NULL {' '.join(arms)} ELSE {float(b[-1])!r} END"
+    return EVENTS_SQL + f""",
+sl AS (SELECT latency_ms, time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS window_start
+       FROM ev, (SELECT unnest(generate_series(0, 4)) AS k)),
+h AS (SELECT window_start, {cum}, CAST(count(*) AS BIGINT) AS le_inf FROM sl GROUP BY window_start)
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, {', '.join(f'le_{x}' for x in b)}, le_inf,
+       floor(({q(0.95)}) * 1000 + 0.5) / 1000 AS p95_ms, floor(({q(0.99)}) * 1000 + 0.5) / 1000 AS p99_ms
+FROM h"""
+
+
+@register("r5_latency_histogram", _latency_sql())
+def r5_latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative latency buckets and interpolated p95/p99 per 5-minute
+    window sliding by 1 minute (R5)."""
+    h = ro.latency_histogram(decision_events(spark, sf_dir), "5 minutes", "1 minute")
+    return h.select(*[c for c in h.columns if c not in ("p95_ms", "p99_ms")],
+                    round3("p95_ms").alias("p95_ms"), round3("p99_ms").alias("p99_ms"))
+
+
+@register("r8_stream_sessions", fx.with_sql(fx.PACKETS_SQL, KEY_SQL, sessions_sql(60_000_000)) + """
+SELECT ip1, port1, ip2, port2, protocol, CAST(count(*) AS BIGINT) AS packets, CAST(sum(pkt_len) AS BIGINT) AS bytes,
+       CAST(count(*) FILTER (WHERE is_fwd) AS BIGINT) AS packets_fwd, min(ts_us) AS start_us, max(ts_us) AS end_us
+FROM gaps GROUP BY ip1, port1, ip2, port2, protocol, sess_no""")
+def r8_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows by `session_window` with a 60 s gap -- the streaming form of F2."""
+    s = ro.stream_sessions(fx.packets(spark, sf_dir), "60 seconds")
+    return s.select("ip1", "port1", "ip2", "port2", "protocol", "packets", F.col("bytes").cast("bigint").alias("bytes"),
+                    "packets_fwd", "start_us", "end_us")
+
+
+@register("r10_stream_dedupe", fx.with_sql(fx.DECISIONS_SQL) + """
+SELECT DISTINCT src, dst, dst_port, risk FROM decisions""")
+def r10_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate requests (same endpoints and risk) dropped within the
+    watermark (R10); in batch every duplicate is dropped."""
+    d = ro.stream_dedupe(fx.decisions(spark, sf_dir), ["src", "dst", "dst_port", "risk"], "10 minutes")
+    return d.select("src", "dst", "dst_port", "risk")
+
+
+CACHE_SQL = fx.with_sql(fx.DECISIONS_SQL, """
+req AS (SELECT id, src, dst, dst_port, epoch_us(ts) AS t, risk,
+               CASE WHEN risk < 20 THEN 3600000000 ELSE 300000000 END AS ttl FROM decisions),
+nx AS (SELECT a.id, (SELECT b.id FROM req b WHERE b.src = a.src AND b.dst = a.dst AND b.dst_port = a.dst_port
+                      AND b.t >= a.t + a.ttl ORDER BY b.t, b.id LIMIT 1) AS nxt FROM req a),
+roots AS (SELECT arg_min(id, (t, id)) AS id FROM req GROUP BY src, dst, dst_port),
+chain AS (
+  WITH RECURSIVE c(id) AS (SELECT id FROM roots UNION ALL SELECT nx.nxt FROM c JOIN nx USING (id) WHERE nx.nxt IS NOT NULL)
+  SELECT id FROM c
+),
+marked AS (SELECT r.*, r.id NOT IN (SELECT id FROM chain) AS cached FROM req r),
+served AS (SELECT *, last_value(CASE WHEN NOT cached THEN id END IGNORE NULLS)
+                       OVER (PARTITION BY src, dst, dst_port ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS writer_id
+           FROM marked)""")
+
+
+@register("r7_decision_cache", CACHE_SQL + """
+SELECT s.id, s.cached, s.writer_id, w.risk AS served_risk FROM served s JOIN req w ON w.id = s.writer_id""")
+def r7_decision_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision-cache replay: TTL from the write (3600 s if risk < 20 else
+    300 s), hits do not extend it, next request after expiry rescored (R7)."""
+    c = ch.decision_cache(fx.decisions(spark, sf_dir))
+    return c.select("id", "cached", "writer_id", "served_risk")
+
+
+@register("r6_cache_counts", CACHE_SQL + """
+SELECT CASE WHEN cached THEN 'hit' ELSE 'miss' END AS status, CAST(count(*) AS BIGINT) AS count FROM served GROUP BY 1""")
+def r6_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache hit/miss counts."""
+    return ro.cache_counts(ch.decision_cache(fx.decisions(spark, sf_dir)))
+
+
+F3_SQL = fx.with_sql(fx.PACKETS_SQL, KEY_SQL, sessions_sql(120_000_000), """
+pk AS (SELECT packet_no, ip1, port1, ip2, port2, protocol, sess_no, ts_us, pkt_len FROM gaps),
+nx AS (SELECT a.packet_no, (SELECT b.packet_no FROM pk b WHERE b.ip1 = a.ip1 AND b.port1 = a.port1 AND b.ip2 = a.ip2
+                              AND b.port2 = a.port2 AND b.protocol = a.protocol AND b.sess_no = a.sess_no
+                              AND b.ts_us >= a.ts_us + 60000000 ORDER BY b.ts_us, b.packet_no LIMIT 1) AS nxt FROM pk a),
+roots AS (SELECT arg_min(packet_no, (ts_us, packet_no)) AS packet_no FROM pk GROUP BY ip1, port1, ip2, port2, protocol, sess_no),
+chain AS (
+  WITH RECURSIVE c(packet_no) AS (SELECT packet_no FROM roots UNION ALL
+                                  SELECT nx.nxt FROM c JOIN nx USING (packet_no) WHERE nx.nxt IS NOT NULL)
+  SELECT packet_no FROM c
+),
+sub AS (SELECT pk.*, last_value(CASE WHEN packet_no IN (SELECT packet_no FROM chain) THEN packet_no END IGNORE NULLS)
+          OVER (PARTITION BY ip1, port1, ip2, port2, protocol, sess_no ORDER BY ts_us, packet_no
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sub FROM pk)""")
+
+
+@register("f3_active_timeout", F3_SQL + """
+SELECT ip1 AS src_ip, port1 AS src_port, ip2 AS dst_ip, port2 AS dst_port, protocol, sub AS first_packet,
+       min(ts_us) AS start_us, max(ts_us) AS end_us, CAST(count(*) AS BIGINT) AS packets,
+       CAST(sum(pkt_len) AS BIGINT) AS bytes
+FROM sub GROUP BY ALL""")
+def f3_active_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows with a 120 s idle rule split at a 60 s active timeout with
+    chained boundaries (F3; 1800 s in the reference configuration)."""
+    key = [*fl.KEY, "sid"]
+    s = fl.sessionize(fl.canonical_key(fx.packets(spark, sf_dir)), 120.0)
+    a = ch.active_split(s, 60.0, key_cols=key)
+    return a.groupBy(F.col("ip1").alias("src_ip"), F.col("port1").alias("src_port"), F.col("ip2").alias("dst_ip"),
+                     F.col("port2").alias("dst_port"), "protocol", F.col("sub").alias("first_packet")) \
+        .agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
+             F.count(F.lit(1)).alias("packets"), F.sum("pkt_len").cast("bigint").alias("bytes"))

@@ -22,6 +22,7 @@ FLOW_DST_PORTS = {1: 443, 2: 1194, 3: 53, 4: 500}  # by l_linenumber, else 8080
 INTENT_BY_RETURNFLAG = {"R": "DoS Wednesday", "A": "Benign Monday"}  # else Portscan Friday
 IP_TYPES = ["datacenter", "residential", "mobile"]  # by s_suppkey % 3
 LOG_APPS = ["MS Teams", "DNS", "SMB", ""]  # by o_orderkey % 4
+DECISION_APPS = ["BROWSING", "CHAT", "VOIP", "VIDEO", "FILE_TRANSFER", "P2P", "VPN", "UNKNOWN"]  # by user_id % 8
 
 
 def _case(expr: Column, mapping: dict, default) -> Column:
@@ -214,22 +215,9 @@ log_lines AS (
 
 
 # ---------------------------------------------------------------- B5 decisions
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` -> scored-request rows (id, ts, src, dst, is_vpn, risk, latency_ms)."""
-    p = packets(spark, sf_dir)
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "value", "event_type", "user_id")
-    return (e.join(p, e.event_id == p.packet_no)
-            .select(F.col("event_id").alias("id"),
-                    F.col("ts").cast("timestamp").alias("ts"),
-                    F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"),
-                    F.col("dst_port"),
-                    (F.col("event_id") % 3 == 0).alias("is_vpn"),
-                    (F.floor("value") % 100).cast("bigint").alias("risk"),
-                    F.floor(F.col("value") * 4).cast("bigint").alias("latency_ms")))
-
-
 def decisions_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same rows as `decisions` without the self-join (single scan)."""
+    """`events` -> scored-request rows (id, ts on the compressed clock, src,
+    dst, dst_port, is_vpn, risk, latency_ms, app_class)."""
     e = table(spark, sf_dir, "events")
     uid = F.col("user_id")
     c2s = ~F.col("event_type").isin("error", "signup")
@@ -237,21 +225,24 @@ def decisions_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     srv_ip = F.concat(F.lit("93.184.216."), _s(uid % 7))
     cli_port = F.lit(40000) + uid % 1000
     srv_port = _case(uid % 5, dict(enumerate(SERVER_PORTS)), 80)
+    epoch_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ts_c = F.lit(EPOCH_2024_US) + _div(epoch_us - F.lit(EPOCH_2024_US), TIME_COMPRESSION)
     return e.select(
         F.col("event_id").alias("id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.timestamp_micros(ts_c).alias("ts"),
         F.when(c2s, cli_ip).otherwise(srv_ip).alias("src"),
         F.when(c2s, srv_ip).otherwise(cli_ip).alias("dst"),
         F.when(c2s, srv_port).otherwise(cli_port).cast("bigint").alias("dst_port"),
         (F.col("event_id") % 3 == 0).alias("is_vpn"),
         (F.floor("value") % 100).cast("bigint").alias("risk"),
         F.floor(F.col("value") * 4).cast("bigint").alias("latency_ms"),
+        _case(uid % 8, dict(enumerate(DECISION_APPS)), "UNKNOWN").alias("app_class"),
     )
 
 
 DECISIONS_SQL = f"""
 decisions AS (
-  SELECT event_id AS id, ts,
+  SELECT event_id AS id, make_timestamp({EPOCH_2024_US} + (epoch_us(ts) - {EPOCH_2024_US}) // {TIME_COMPRESSION}) AS ts,
          CASE WHEN event_type NOT IN ('error','signup') THEN '10.0.0.' || CAST(user_id % 250 AS VARCHAR)
               ELSE '93.184.216.' || CAST(user_id % 7 AS VARCHAR) END AS src,
          CASE WHEN event_type NOT IN ('error','signup') THEN '93.184.216.' || CAST(user_id % 7 AS VARCHAR)
@@ -260,7 +251,8 @@ decisions AS (
               ELSE 40000 + user_id % 1000 END AS BIGINT) AS dst_port,
          event_id % 3 = 0 AS is_vpn,
          CAST(floor(value) % 100 AS BIGINT) AS risk,
-         CAST(floor(value * 4) AS BIGINT) AS latency_ms
+         CAST(floor(value * 4) AS BIGINT) AS latency_ms,
+         {_sql_case('user_id % 8', dict(enumerate(DECISION_APPS)), 'UNKNOWN')} AS app_class
   FROM events
 )"""
 
@@ -365,3 +357,6 @@ records AS (
 
 
 RECORDS_SQL = _records_sql()
+
+
+decisions = decisions_direct
