@@ -88,9 +88,6 @@ def sessionize(keyed: DataFrame, idle_timeout: float | None = 60.0, *,
     timeout_us = None if idle_timeout is None else int(round(idle_timeout * US))
 
     df = keyed.withColumn("o", o).withColumn("bkt", F.floor(F.col("o.k") / F.lit(width)).cast("bigint"))
-    if timeout_us is None:
-        # one flow per key: the timeline never breaks
-        df = df.withColumn("bkt", F.lit(0).cast("bigint"))
 
     wb = Window.partitionBy(*key_cols, "bkt").orderBy("o")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)

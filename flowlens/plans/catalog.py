@@ -1402,3 +1402,244 @@ def f3_active_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("port2").alias("dst_port"), "protocol", F.col("sub").alias("first_packet")) \
         .agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
              F.count(F.lit(1)).alias("packets"), F.sum("pkt_len").cast("bigint").alias("bytes"))
+
+
+# ---------------------------------------------------------------- D1-D19, M7, M12
+from flowlens.operators import detect as dt_  # noqa: E402
+from flowlens.operators import monitor as mo  # noqa: E402
+from flowlens.operators import train as tr  # noqa: E402
+
+
+@register("d2_mss_fingerprint", fx.with_sql(fx.PACKETS_SQL, SYN_SQL) + f"""
+SELECT src_ip, src_port, dst_ip, dst_port, tcp_mss, tcp_mss < 1440 AS mss_vpn,
+       CASE WHEN tcp_mss < 1440 THEN CAST(0.85 AS DOUBLE) END AS mss_vpn_confidence,
+       CASE {' '.join(f"WHEN tcp_mss BETWEEN {lo} AND {hi} THEN '{n}'" for n, lo, hi in dt_.MSS_BANDS)} END AS mss_band
+FROM syn""")
+def d2_mss_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MSS fingerprint of first SYNs: VPN below 1440 and the band."""
+    d = dt_.mss_fingerprint(dpi.first_syn(fx.packets(spark, sf_dir)))
+    return d.select("src_ip", "src_port", "dst_ip", "dst_port", "tcp_mss", "mss_vpn", "mss_vpn_confidence", "mss_band")
+
+
+@register("d1_vpn_likelihood", fx.with_sql(fx.PAYLOADS_SQL, ENTROPY_SQL, """
+conv AS (SELECT DISTINCT src_ip, src_port, dst_ip, dst_port FROM payloads)""") + f"""
+SELECT c.src_ip, c.dst_ip,
+       CASE WHEN coalesce(f.entropy_score, 0.0) > 7.5 AND c.dst_port IN ({', '.join(map(str, dt_.VPN_RULE_PORTS))}) THEN 'HIGH'
+            ELSE 'LOW' END AS vpn_probability
+FROM conv c LEFT JOIN flow_ent f USING (src_ip, src_port, dst_ip, dst_port)""")
+def d1_vpn_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented VPN likelihood rule over entropy-joined conversations (D1);
+    MSS is unknown for payload-only captures."""
+    p = fx.payloads(spark, sf_dir)
+    j = dpi.join_entropy(p.select(*dpi.DIRECTED).distinct(), dpi.payload_entropy(p)).withColumn("mss", F.lit(None))
+    return dt_.vpn_likelihood(j).select("src_ip", "dst_ip", "vpn_probability")
+
+
+def _logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.sources.tables import table
+    d = fx.decisions(spark, sf_dir)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "props")
+    return d.join(e, "id").select(F.col("src").alias("ip"), F.col("user_id").alias("account"),
+                                  (F.col("event_type") != "error").alias("success"), F.col("props").alias("agent"),
+                                  "ts")
+
+
+@register("d3_credential_stuffing", fx.with_sql(fx.DECISIONS_SQL) + f"""
+SELECT d.src AS ip, time_bucket(INTERVAL 5 MINUTE, d.ts) AS window_start, CAST(count(*) AS BIGINT) AS volume,
+       {sql_r3("avg(CASE WHEN e.event_type = 'error' THEN 1.0 ELSE 0.0 END)", 'failure_rate')},
+       CAST(count(DISTINCT e.user_id) AS BIGINT) AS account_velocity,
+       {sql_r3('count(DISTINCT e.props) / count(*)', 'agent_diversity')},
+       avg(CASE WHEN e.event_type = 'error' THEN 1.0 ELSE 0.0 END) > 0.7 AND count(*) > 20 AS flagged
+FROM decisions d JOIN events e ON e.event_id = d.id GROUP BY 1, 2""")
+def d3_credential_stuffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request clusters by source and 5-minute window: volume, failure rate,
+    account velocity, agent diversity, flag (D3)."""
+    c = dt_.credential_stuffing(_logins(spark, sf_dir))
+    return c.select("ip", "window_start", "volume", round3("failure_rate").alias("failure_rate"),
+                    "account_velocity", round3("agent_diversity").alias("agent_diversity"), "flagged")
+
+
+@register("d4_beaconing", flow_oracle(120_000_000).replace("\nSELECT ", "\n, fl AS (SELECT ", 1) + ")" + f""",
+g2 AS (SELECT *, start_us - lag(start_us) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY start_us) AS gap FROM fl),
+a AS (SELECT src_ip, dst_ip, dst_port, CAST(count(*) AS BIGINT) AS flows,
+             CAST(count(DISTINCT CAST(make_timestamp(start_us) AS DATE)) AS BIGINT) AS persistence_days,
+             {sql_moments('gap', 'gap')}, {sql_moments('byte_count_total', 'sz')}
+      FROM g2 GROUP BY ALL),
+dv AS (SELECT src_ip, CAST(count(DISTINCT dst_ip) AS BIGINT) AS dst_diversity FROM fl GROUP BY src_ip)
+SELECT a.src_ip, dst_ip, dst_port, flows, persistence_days, dst_diversity,
+       {sql_r3(f"CASE WHEN {sql_mean('gap')} > 0 THEN greatest(0.0, 1.0 - {sql_std('gap')} / {sql_mean('gap')}) ELSE 0.0 END", 'periodicity')},
+       {sql_r3(f"CASE WHEN {sql_mean('sz')} > 0 THEN {sql_std('sz')} / {sql_mean('sz')} ELSE 0.0 END", 'size_cv')},
+       dst_port NOT IN (80, 443) AS non_standard_port
+FROM a LEFT JOIN dv USING (src_ip)""")
+def d4_beaconing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beaconing features per (src, dst, port): periodicity, persistence,
+    size stability, destination diversity, non-standard port (D4)."""
+    f = fl.build_flows(fx.packets(spark, sf_dir), idle_timeout=120.0)
+    b = dt_.beaconing(f)
+    return b.select("src_ip", "dst_ip", "dst_port", "flows", "persistence_days", "dst_diversity",
+                    round3("periodicity").alias("periodicity"), round3("size_cv").alias("size_cv"),
+                    "non_standard_port")
+
+
+@register("d5_interaction_graph", fx.with_sql(fx.FLOWS_SQL, """
+fi AS (SELECT dst_ip AS ip, count(DISTINCT src_ip) AS fan_in FROM flows GROUP BY 1),
+fo AS (SELECT src_ip AS ip, count(DISTINCT dst_ip) AS fan_out FROM flows GROUP BY 1),
+rare AS (SELECT ip FROM fi WHERE fan_in = 1),
+rb AS (SELECT src_ip AS ip, sum(CAST(byte_count_fwd + byte_count_bwd AS DOUBLE)) AS rare_bytes
+       FROM flows WHERE dst_ip IN (SELECT ip FROM rare) GROUP BY 1),
+n AS (SELECT coalesce(fi.ip, fo.ip) AS ip, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out
+      FROM fi FULL JOIN fo ON fi.ip = fo.ip),
+n2 AS (SELECT n.*, coalesce(rb.rare_bytes, 0) AS rare_bytes FROM n LEFT JOIN rb USING (ip))""") + f"""
+SELECT ip, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out,
+       {sql_r3('greatest(percent_rank() OVER (ORDER BY fan_in), percent_rank() OVER (ORDER BY fan_out), percent_rank() OVER (ORDER BY rare_bytes))', 'graph_anomaly_score')}
+FROM n2""")
+def d5_interaction_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fan-in / fan-out / rare-destination volume per IP and a 0..1 anomaly
+    score from exact percent ranks (D5)."""
+    f = fx.flows(spark, sf_dir).withColumn("byte_count_total", F.col("byte_count_fwd") + F.col("byte_count_bwd"))
+    g = dt_.interaction_graph(f)
+    return g.select("ip", F.col("fan_in").cast("bigint").alias("fan_in"), F.col("fan_out").cast("bigint").alias("fan_out"),
+                    round3("graph_anomaly_score").alias("graph_anomaly_score"))
+
+
+@register("d15_active_idle", fx.with_sql(fx.PACKETS_SQL, KEY_SQL, sessions_sql(120_000_000), """
+seg AS (SELECT *, sum(CASE WHEN gap_us IS NULL OR gap_us > 10000000 THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY ip1, port1, ip2, port2, protocol, sess_no ORDER BY ts_us, packet_no
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg_no FROM gaps),
+sg AS (SELECT ip1, port1, ip2, port2, protocol, sess_no, seg_no, max(ts_us) - min(ts_us) AS active_us,
+              arg_min_null(gap_us, (ts_us, packet_no)) AS idle_us FROM seg GROUP BY ALL),
+fa AS (SELECT ip1, port1, ip2, port2, protocol, sess_no, CAST(count(*) AS BIGINT) AS segments,
+              min(active_us) AS amin, max(active_us) AS amax, min(idle_us) AS imin, max(idle_us) AS imax,
+              """ + sql_moments('active_us', 'act') + ", " + sql_moments('idle_us', 'idl') + """ FROM sg GROUP BY ALL)""") + f"""
+SELECT ip1, port1, ip2, port2, protocol, segments,
+       {sql_r3('coalesce(amin / 1000000.0, 0)', 'min_active')}, {sql_r3(f"coalesce({sql_mean('act', 1e6)}, 0)", 'mean_active')},
+       {sql_r3('coalesce(amax / 1000000.0, 0)', 'max_active')}, {sql_r3(f"coalesce({sql_std('act', 1e6)}, 0)", 'std_active')},
+       {sql_r3('coalesce(imin / 1000000.0, 0)', 'min_idle')}, {sql_r3(f"coalesce({sql_mean('idl', 1e6)}, 0)", 'mean_idle')},
+       {sql_r3('coalesce(imax / 1000000.0, 0)', 'max_idle')}, {sql_r3(f"coalesce({sql_std('idl', 1e6)}, 0)", 'std_idle')}
+FROM fa""")
+def d15_active_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active/idle segment statistics inside 120 s flows, 10 s threshold."""
+    s = fl.sessionize(fl.canonical_key(fx.packets(spark, sf_dir)), 120.0)
+    a = dt_.active_idle(s, 10.0)
+    cols = ["min_active", "mean_active", "max_active", "std_active", "min_idle", "mean_idle", "max_idle", "std_idle"]
+    return a.select("ip1", "port1", "ip2", "port2", "protocol", "segments", *r3(*cols))
+
+
+@register("d9_business_metrics", EVENTS_SQL + f"""
+SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, CAST(count(*) AS BIGINT) AS decisions,
+       CAST(count(*) FILTER (WHERE action = 'BLOCK') AS BIGINT) AS blocked,
+       {sql_r3("count(*) FILTER (WHERE action = 'CHALLENGE') / count(*)", 'challenge_rate')},
+       {sql_r3("count(*) FILTER (WHERE action = 'ALLOW') / count(*)", 'pass_rate')}
+FROM ev GROUP BY 1""")
+def d9_business_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Challenge rate, pass rate and blocks per minute."""
+    b = mo.business_metrics(decision_events(spark, sf_dir), "1 minute")
+    return b.select("window_start", "decisions", "blocked", round3("challenge_rate").alias("challenge_rate"),
+                    round3("pass_rate").alias("pass_rate"))
+
+
+@register("d16_pseudonymize", fx.with_sql(fx.DECISIONS_SQL) + """
+SELECT id, CASE WHEN (epoch_us((SELECT max(ts) FROM decisions)) - epoch_us(ts)) / 3600000000.0 > 0.25 THEN sha256('s1' || src) ELSE src END AS src,
+       CASE WHEN (epoch_us((SELECT max(ts) FROM decisions)) - epoch_us(ts)) / 3600000000.0 > 0.25 THEN sha256('s1' || dst) ELSE dst END AS dst
+FROM decisions""")
+def d16_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPs older than the pseudonymisation age (15 min on the compressed
+    clock; 24 h in the document) replaced by salted SHA-256 (D16)."""
+    d = fx.decisions(spark, sf_dir)
+    now = d.agg(F.max("ts")).first()[0]
+    p = mo.pseudonymize(d, now, ip_cols=("src", "dst"), salt="s1", hash_after_hours=0.25, keep_days=None)
+    return p.select("id", "src", "dst")
+
+
+@register("d17_session_trend", fx.with_sql(fx.DECISIONS_SQL) + """
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, src, CAST(count(*) AS BIGINT) AS sessions
+FROM decisions GROUP BY 1, 2""")
+def d17_session_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions per 5-minute window and origin."""
+    return mo.session_trend(fx.decisions(spark, sf_dir), "src", "5 minutes")
+
+
+D18_DEFAULTS = {"ttl": -1, "window_size": -1, "mss": -1, "flow_duration": 0.0, "packet_count_bwd": 0,
+                "byte_count_bwd": 0}
+
+
+@register("d18_feature_availability", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, fx.LOG_LINES_SQL, KV_SQL, FW_SQL) + f"""
+SELECT dataset_source, {', '.join(sql_r3(f"avg(CASE WHEN {c} <> {v} THEN 1.0 ELSE 0.0 END)", c) for c, v in D18_DEFAULTS.items())}
+FROM (SELECT dataset_source, ttl, window_size, mss, flow_duration, packet_count_bwd, byte_count_bwd FROM aligned
+      UNION ALL
+      SELECT '{lg.DATASET_SOURCE}', -1, -1, -1, CAST(flow_duration AS DOUBLE), packet_count_bwd, byte_count_bwd FROM fwd)
+GROUP BY dataset_source""")
+def d18_feature_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of measured (non-default) values per feature and source."""
+    fw = al.align(lg.firewall_flows(fx.log_lines(spark, sf_dir), order_cols=["line_no"]))
+    m = al.merge([aligned_flows(spark, sf_dir), fw])
+    a = pr.feature_availability(m, "dataset_source", D18_DEFAULTS)
+    return a.select("dataset_source", *r3(*D18_DEFAULTS))
+
+
+@register("d19_review_queue", EVENTS_SQL + """
+SELECT ev.id, ev.action, CASE WHEN e.event_type = 'error' THEN 'BLOCK' ELSE 'ALLOW' END AS true_action
+FROM ev JOIN events e ON e.event_id = ev.id
+WHERE ev.action <> CASE WHEN e.event_type = 'error' THEN 'BLOCK' ELSE 'ALLOW' END""")
+def d19_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions whose action disagrees with the feedback verdict (error
+    events should be blocked, the rest allowed) (D19)."""
+    from flowlens.sources.tables import table
+    fb = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_type") == "error", F.lit("BLOCK")).otherwise(F.lit("ALLOW")).alias("true_action"))
+    return mo.review_queue(decision_events(spark, sf_dir), fb).select("id", "action", "true_action")
+
+
+MI_FEATURES = ["flow_duration", "byte_count_fwd", "packet_count_fwd"]
+
+
+def _mi_sql(c: str) -> str:
+    return f"""
+SELECT '{c}' AS feature, {sql_r3('sum((n / tot) * ln(n * tot / (nb * ny)))', 'mi')}
+FROM (SELECT b, y, n, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS tot
+      FROM (SELECT least(floor((CAST({c} AS DOUBLE) - lo) / w), 9) AS b, intent_label AS y, CAST(count(*) AS DOUBLE) AS n
+            FROM deduped, (SELECT min(CAST({c} AS DOUBLE)) AS lo,
+                                  CASE WHEN max({c}) > min({c}) THEN (max(CAST({c} AS DOUBLE)) - min(CAST({c} AS DOUBLE))) / 10 ELSE 1.0 END AS w
+                           FROM deduped)
+            WHERE {c} IS NOT NULL GROUP BY 1, 2))"""
+
+
+@register("d12_mutual_information", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) +
+          " UNION ALL ".join(_mi_sql(c) for c in MI_FEATURES))
+def d12_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information between 10-bin features and the intent label."""
+    d = deduped_flows(spark, sf_dir)
+    out = None
+    for c in MI_FEATURES:
+        m = tr.mutual_information(d, c, "intent_label").select("feature", round3("mi").alias("mi"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("m12_class_weights", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + f"""
+SELECT intent_label, {sql_r3('(SELECT count(*) FROM deduped) / ((SELECT count(DISTINCT intent_label) FROM deduped) * count(*))', 'weight')}
+FROM deduped GROUP BY intent_label""")
+def m12_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'balanced' class weights n / (k * n_c)."""
+    w = tr.class_weights(deduped_flows(spark, sf_dir), "intent_label")
+    return w.select("intent_label", round3("weight").alias("weight")).distinct()
+
+
+@register("m7_train_gbt")
+def m7_train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient-boosted trees (200 x depth 6, lr 0.1) trained on the train
+    split of the deduplicated flows to tell DoS from other intents, then
+    evaluated on the test split: accuracy, per-class report, ROC-AUC (M7, M8).
+    Trees are Spark ML's, so no SQL twin exists."""
+    d = deduped_flows(spark, sf_dir).withColumn("y", (F.col("intent_label") == "DoS").cast("int"))
+    feats = tr.feature_columns(d, exclude=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+                                           "y"])
+    s = sp.stratified_split(d, "y", ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"], holdout=0.2,
+                            test_share=1.0)
+    model = tr.train_gbt(s.where("split = 'train'"), feats, "y")
+    scored = tr.probability(model, s.where("split = 'test'"), feats).withColumn(
+        "yhat", (F.col("p") >= 0.5).cast("int"))
+    rep = ev.per_class(scored, "y", "yhat")
+    auc = ev.roc_auc(scored, "y", "p").first()["auc"]
+    return rep.select("cls", "support", "precision", "recall", "f1", "accuracy", F.lit(auc).alias("auc"))
