@@ -1632,7 +1632,8 @@ def m7_train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     split of the deduplicated flows to tell DoS from other intents, then
     evaluated on the test split: accuracy, per-class report, ROC-AUC (M7, M8).
     Trees are Spark ML's, so no SQL twin exists."""
-    d = deduped_flows(spark, sf_dir).withColumn("y", (F.col("intent_label") == "DoS").cast("int"))
+    d = deduped_flows(spark, sf_dir)
+    d = d.withColumn("y", (al.map_or_keep(F.col("intent_label"), al.INTENT_LABELS) == "DoS").cast("int"))
     feats = tr.feature_columns(d, exclude=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                                            "y"])
     s = sp.stratified_split(d, "y", ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"], holdout=0.2,
