@@ -53,3 +53,37 @@ def test_epoch_to_iso(spark):
     df = spark.createDataFrame([("1704067207.5",), ("not a time",), (None,)], "t string")
     assert [r[0] for r in df.select(ps.to_iso(F.col("t"))).collect()] == \
         ["2024-01-01T00:00:07.500000", "not a time", ""]
+
+
+def test_capture_reader_round_trip(spark, tmp_path):
+    from flowlens.sources.pcap import read_captures, write_capture
+    pk = [(1_000_000, "10.0.0.1", 1234, "10.0.0.2", 80, 6, 2, b""),
+          (1_500_000, "10.0.0.2", 80, "10.0.0.1", 1234, 6, 18, b"hi"),
+          (2_000_000, "10.0.0.1", 5353, "10.0.0.9", 53, 17, 0, b"q")]
+    write_capture(str(tmp_path / "a.pcap"), pk)
+    rows = read_captures(spark, str(tmp_path)).orderBy("packet_no").collect()
+    assert [(r.ts_us, r.src_ip, r.src_port, r.dst_port, r.protocol, r.flags) for r in rows] == \
+        [(1_000_000, "10.0.0.1", 1234, 80, 6, 2), (1_500_000, "10.0.0.2", 80, 1234, 6, 18),
+         (2_000_000, "10.0.0.1", 5353, 53, 17, None)]
+    assert rows[1].payload == b"hi" and rows[0].source_file == "a.pcap"
+
+
+def test_flow_text_and_json_sources(spark, tmp_path):
+    from flowlens.sources import files as fs
+    (tmp_path / "f.txt").write_text("# header\n\n1704067200.5 10.0.0.1:1234 > 10.0.0.2:80 TCP 60 vpn\n"
+                                    "1704067201 10.0.0.3:5 10.0.0.4:6 UDP\n")
+    r = fs.read_flow_text(spark, str(tmp_path / "f.txt")).orderBy("line_no").collect()
+    assert (r[0].timestamp, r[0].src_port, r[0].dst_ip, r[0].protocol, r[0].label) == \
+        ("2024-01-01T00:00:00.500000", "1234", "10.0.0.2", "TCP", "vpn")
+    # without an arrow the arrow is assumed at token 2, so the 4th token is the destination
+    assert (r[1].dst_ip, r[1].protocol, r[1].packet_len) == ("UDP", "", "")
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('[{"src": "1.1.1.1", "dst": "2.2.2.2", "x": 5}, 3]')
+    (tmp_path / "j" / "b.json").write_text('{"train": [{"src_ip": "3.3.3.3"}], "test": [{"src_ip": "4.4.4.4"}]}')
+    (tmp_path / "j" / "c.json").write_text('{"source_ip": "5.5.5.5", "time": 0}')
+    j = {r.src_ip: r for r in fs.read_json_records(spark, str(tmp_path / "j")).collect()}
+    assert set(j) == {"1.1.1.1", "3.3.3.3", "4.4.4.4", "5.5.5.5"}
+    # every key that is not a unified column name is spilled, aliases included (as the reference)
+    assert j["1.1.1.1"].additional_meta == '{"src":"1.1.1.1","dst":"2.2.2.2","x":"5"}'
+    assert '"__subset":"train"' in j["3.3.3.3"].additional_meta
+    assert j["5.5.5.5"].timestamp == ""  # 0 is falsy, as in the reference
