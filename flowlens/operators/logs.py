@@ -60,8 +60,9 @@ def to_flow(parsed: DataFrame, source_file: Column | str | None = None) -> DataF
     app, service = g("app"), g("service")
     app_name = F.when((app != "") & ~app.isin("tcp", "udp"), app).otherwise(service)
     action, crlevel, threats = g("action", "accept"), g("crlevel"), g("threats")
+    keep = [c for c in parsed.columns if c != "source_file"]
     d = parsed.select(
-        "*",
+        *keep,
         g("srcip").alias("src_ip"), g("dstip").alias("dst_ip"),
         digits_int(g("srcport")).alias("src_port"), digits_int(g("dstport")).alias("dst_port"),
         digits_int(g("proto", "0")).alias("protocol"),

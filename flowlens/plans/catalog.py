@@ -474,7 +474,7 @@ def _to_iso_sql(e: str) -> str:
             f"WHEN {parsed} IS NOT NULL THEN {_iso_sql(parsed)} ELSE {s} END")
 
 
-def _normalized_sql() -> str:
+def _normalized_sql(source: str = "records", name: str = "normalized") -> str:
     rec_cols = ["rec_no", *fx.RECORD_ALIASES_ODD, *fx.RECORD_ALIASES_EVEN, "props"]
     fields = []
     for field, names in un.ALIASES.items():
@@ -489,9 +489,9 @@ def _normalized_sql() -> str:
             f"CAST(to_json(map_from_entries(list_filter({entries}, lambda e: e[2] IS NOT NULL))) AS VARCHAR) "
             f"ELSE '' END")
     return f"""
-normalized AS (
+{name} AS (
   SELECT rec_no, {', '.join(fields)}, 'csv' AS source_type, {meta} AS additional_meta
-  FROM records
+  FROM {source}
 )"""
 
 
@@ -1644,3 +1644,95 @@ def m7_train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = ev.per_class(scored, "y", "yhat")
     auc = ev.roc_auc(scored, "y", "p").first()["auc"]
     return rep.select("cls", "support", "precision", "recall", "f1", "accuracy", F.lit(auc).alias("auc"))
+
+
+# ---------------------------------------------------------------- S1-S4, S7, S11, S14 (files derived from the tables)
+import hashlib  # noqa: E402
+
+from flowlens.session import ensure_checkpoint_dir  # noqa: E402
+from flowlens.sources import files as fs  # noqa: E402
+
+
+def derived_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder for files that a query first writes from the tables (under the
+    cluster's shared checkpoint folder)."""
+    h = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/derived/{name}-{h}"
+
+
+def _flow_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.packets(spark, sf_dir)
+    ts_text = F.concat((F.col("ts_us") / 1_000_000).cast("bigint").cast("string"), F.lit("."),
+                       F.lpad((F.col("ts_us") % 1_000_000).cast("string"), 6, "0"))
+    proto = F.when(F.col("protocol") == 6, F.lit("TCP")).otherwise(F.lit("UDP"))
+    label = F.when(F.col("packet_no") % 7 == 0, F.lit(None)) \
+        .otherwise(F.when(F.col("dst_port").isin(1194, 51820), F.lit("vpn")).otherwise(F.lit("benign")))
+    arrow = F.when(F.col("packet_no") % 10 == 0, F.lit(None)).otherwise(F.lit(">"))
+    line = F.concat_ws(" ", ts_text, F.concat_ws(":", "src_ip", "src_port"), arrow,
+                       F.concat_ws(":", "dst_ip", "dst_port"), proto, F.col("pkt_len").cast("string"), label)
+    return p.select(line.alias("value"))
+
+
+FLOW_TEXT_SQL = fx.with_sql(fx.PACKETS_SQL, f"""
+ft AS (
+  SELECT packet_no, {_iso_sql('make_timestamp(ts_us)')} AS timestamp, src_ip, CAST(src_port AS VARCHAR) AS src_port,
+         CASE WHEN packet_no % 10 = 0 THEN CASE WHEN protocol = 6 THEN 'TCP' ELSE 'UDP' END ELSE dst_ip END AS dst_ip,
+         CASE WHEN packet_no % 10 = 0 THEN '' ELSE CAST(dst_port AS VARCHAR) END AS dst_port,
+         CASE WHEN packet_no % 10 = 0 THEN CAST(pkt_len AS VARCHAR) ELSE CASE WHEN protocol = 6 THEN 'TCP' ELSE 'UDP' END END
+           AS protocol,
+         CASE WHEN packet_no % 10 = 0
+              THEN CASE WHEN packet_no % 7 = 0 THEN '' WHEN dst_port IN (1194, 51820) THEN 'vpn' ELSE 'benign' END
+              ELSE CAST(pkt_len AS VARCHAR) END AS packet_len,
+         CASE WHEN packet_no % 10 = 0 OR packet_no % 7 = 0 THEN '' WHEN dst_port IN (1194, 51820) THEN 'vpn'
+              ELSE 'benign' END AS label
+  FROM packets
+)""")
+
+
+@register("s4_flow_text_source", FLOW_TEXT_SQL + """
+SELECT timestamp, src_ip, dst_ip, src_port, dst_port, protocol, packet_len, '' AS direction, label,
+       'flow_txt' AS source_type, '' AS additional_meta
+FROM ft""")
+def s4_flow_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets written as whitespace flow text (some lines without the arrow
+    or the label), read back by the flow-text source (S4, S9)."""
+    path = derived_dir(spark, sf_dir, "flow_text")
+    _flow_text_lines(spark, sf_dir).write.mode("overwrite").text(path)
+    return fs.read_flow_text(spark, path).select(*un.UNIFIED_COLUMNS)
+
+
+CSV_RECORDS_SQL = """
+records_csv AS (SELECT rec_no, """ + ", ".join(f"nullif({c}, '') AS {c}" for c in
+                                            [*fx.RECORD_ALIASES_ODD, *fx.RECORD_ALIASES_EVEN, "props"]) + """
+                FROM records)"""
+
+
+@register("s2_csv_source", fx.with_sql(fx.RECORDS_SQL, CSV_RECORDS_SQL, _normalized_sql("records_csv")) + """
+SELECT * EXCLUDE (rec_no) FROM normalized""")
+def s2_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heterogeneous records written as two CSV shapes (odd / even rows with
+    different headers), read back by the CSV source and normalised (S2, P1,
+    P2). An empty CSV field reads back as missing, as with pandas."""
+    path = derived_dir(spark, sf_dir, "records_csv")
+    r = fx.records(spark, sf_dir)
+    odd = r.where(F.col("rec_no") % 2 == 1).select(*fx.RECORD_ALIASES_ODD, "props")
+    even = r.where(F.col("rec_no") % 2 == 0).select(*fx.RECORD_ALIASES_EVEN, "props")
+    odd.write.mode("overwrite").option("header", True).csv(f"{path}/odd")
+    even.write.mode("overwrite").option("header", True).csv(f"{path}/even")
+    a = fs.read_csv_records(spark, f"{path}/odd")
+    b = fs.read_csv_records(spark, f"{path}/even")
+    return a.unionByName(b).select(*un.UNIFIED_COLUMNS)
+
+
+@register("s7_firewall_files", fx.with_sql(fx.LOG_LINES_SQL, KV_SQL, FW_SQL) + """
+SELECT 'flows' AS metric, CAST(count(*) AS BIGINT) AS value FROM fwd
+UNION ALL SELECT 'bytes', CAST(sum(byte_count_total) AS BIGINT) FROM fwd""")
+def s7_firewall_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firewall lines written as log files, read by glob with the file name
+    as source_file, parsed and deduplicated per session (S7, S9, C26)."""
+    path = derived_dir(spark, sf_dir, "fw_logs")
+    fx.log_lines(spark, sf_dir).select(F.col("line").alias("value")).repartition(4).write.mode("overwrite").text(path)
+    lines = fs.read_firewall_logs(spark, f"{path}/*.txt")
+    f = lg.firewall_flows(lines, order_cols=["source_file", "line_no"], source_file="source_file")
+    return f.agg(F.count(F.lit(1)).alias("flows"), F.sum("byte_count_total").cast("bigint").alias("bytes")) \
+        .selectExpr("stack(2, 'flows', flows, 'bytes', bytes) AS (metric, value)")
