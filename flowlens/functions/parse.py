@@ -32,13 +32,14 @@ def kv_map(line) -> Column:
     """
     s = col(line)
     pat = "(?U)" + KV_PATTERN
-    keys = F.regexp_extract_all(s, F.lit(pat), 1)
-    quoted = F.regexp_extract_all(s, F.lit(pat), 2)
-    plain = F.regexp_extract_all(s, F.lit(pat), 3)
-    vals = F.zip_with(quoted, plain, lambda q, p: F.when(F.coalesce(q, F.lit("")) != "", q)
-                      .otherwise(F.coalesce(p, F.lit(""))))
-    skip = (F.trim(s) == "") | s.startswith("#") | (F.size(keys) == 0)
-    return F.when(~skip, F.map_from_arrays(keys, vals))
+    # one regex pass: every whole `key=value` match, then split at the first '='
+    pairs = F.regexp_extract_all(s, F.lit(pat), 0)
+    entries = F.transform(pairs, lambda x: F.struct(
+        F.substring_index(x, "=", 1).alias("k"),
+        F.regexp_replace(F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, 1 << 30),
+                         r'^"(.*)"$', "$1").alias("v")))
+    skip = (F.trim(s) == "") | s.startswith("#") | (F.size(pairs) == 0)
+    return F.when(~skip, F.map_from_entries(entries))
 
 
 # ------------------------------------------------------------------ C3 / C4 / C5

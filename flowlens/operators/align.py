@@ -178,13 +178,25 @@ def coerce_types(df: DataFrame) -> DataFrame:
     """19 ints (bad -> 0), 23 floats (bad -> 0.0), 6 strings (NULL/'nan' ->
     'Unknown'), timestamp (bad -> NULL) (P9)."""
     out = {}
+    types = dict(df.dtypes)
+    integral = ("bigint", "int", "smallint", "tinyint")
+
+    def as_double(c):
+        # numeric columns are widened directly; only text goes through parsing
+        t = types[c]
+        if t in integral or t in ("double", "float") or t.startswith("decimal"):
+            return F.col(c).cast("double")
+        return F.col(c).cast("string").try_cast("double")
     for c in INT_COLUMNS:
         if c in df.columns:
-            d = F.col(c).cast("string").try_cast("double")
-            out[c] = F.coalesce(F.when(~F.isnan(d), d).try_cast("bigint"), F.lit(0)).cast("bigint")
+            if types[c] in integral:
+                out[c] = F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))
+            else:
+                d = as_double(c)
+                out[c] = F.coalesce(F.when(~F.isnan(d), d).try_cast("bigint"), F.lit(0)).cast("bigint")
     for c in FLOAT_COLUMNS:
         if c in df.columns:
-            d = F.col(c).cast("string").try_cast("double")
+            d = as_double(c)
             out[c] = F.coalesce(F.when(~F.isnan(d), d), F.lit(0.0))
     for c in STRING_COLUMNS:
         if c in df.columns:

@@ -40,19 +40,13 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: list[str], *,
     so a class holding most rows is still spread over many tasks.
     """
     d = df.withColumn("_h", hash_order(key_cols, seed))
+    # one class or no stratification: the whole table is one group (grouping
+    # by a single-valued label gives the same ordinals)
     group = [label_col] if stratify else []
-    if stratify:
-        n_classes = d.select(label_col).distinct().limit(2).count()
-        if n_classes < 2:
-            group = []
     # the leading hex digits of the digest are a bucket that follows the order
     bucket = F.conv(F.substring("_h", 1, bucket_hex_digits), 16, 10).cast("bigint")
-    d = ordinal_within_group(d, group, ["_h", *key_cols], bucket, name="_ord")
-    if group:
-        counts = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        d = d.join(counts, on=group, how="inner")
-    else:
-        d = d.withColumn("_n", F.lit(df.count()))
+    d = ordinal_within_group(d, group, ["_h", *key_cols], bucket, name="_ord") \
+        .withColumnRenamed("_ord_group_size", "_n")
     n_hold = F.floor(F.col("_n") * F.lit(holdout))
     n_test = F.floor(n_hold * F.lit(test_share))
     split = (F.when(F.col("_ord") < n_test, F.lit("test"))

@@ -13,66 +13,60 @@ def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 512,
                  collect_below: int = 100_000) -> dict[int, float]:
     """Exact k-th smallest values (0-based) of a numeric column by iterated
     range narrowing: a mergeable quantile sketch proposes cut points, one
-    grouped count finds the range holding position k, and the search repeats
-    inside that range. It stops when the range is small enough to sort
-    (<= collect_below values reach the driver) or holds a single value --
-    so a value repeated a billion times costs one pass, not one task."""
-    out = {}
+    grouped count places every wanted position in a range, and the search
+    repeats inside each such range. It stops when a range is small enough
+    to sort (<= collect_below values reach the driver) or holds a single
+    value -- so a value repeated a billion times costs one pass, not one
+    task. All positions share each pass."""
     base = df.select(F.col(col).cast("double").alias("x"))
-    first = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    if first["lo"] == first["hi"]:
-        return {k: float(first["lo"]) for k in ks}
-    if first["n"] <= collect_below:
-        vals = sorted(r[0] for r in base.collect())
+    return _kth(base, sorted(set(ks)), fanout, collect_below, None)
+
+
+def _kth(cur: DataFrame, ks: list[int], fanout: int, collect_below: int, stats) -> dict[int, float]:
+    if stats is None:
+        stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if stats["lo"] == stats["hi"]:
+        return {k: float(stats["lo"]) for k in ks}
+    if stats["n"] <= collect_below:
+        vals = sorted(r[0] for r in cur.collect())
         return {k: float(vals[k]) for k in ks}
-    for k in sorted(set(ks)):
-        cur, kk = base, k
-        stats = first
-        while True:
-            if stats is None:
-                stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-            if stats["lo"] == stats["hi"] or stats["n"] <= collect_below:
-                if stats["lo"] == stats["hi"]:
-                    out[k] = float(stats["lo"])
-                else:
-                    vals = sorted(r[0] for r in cur.select("x").collect())
-                    out[k] = float(vals[kk])
-                break
-            probs = [i / fanout for i in range(1, fanout)]
-            cuts = cur.select(F.percentile_approx("x", probs, 10 * fanout)).first()[0]
-            cuts = sorted(set(float(c) for c in cuts))
-            arr = F.array(*[F.lit(c) for c in cuts])
-            # key 2i: strictly between cut i-1 and cut i; key 2i+1: equal to cut i.
-            # Cut points are data values, so every open range loses rows: progress.
-            key = F.size(F.filter(arr, lambda c: c < F.col("x"))) * 2 + F.array_contains(arr, F.col("x")).cast("int")
-            counts = sorted((r["b"], r["n"]) for r in
-                            cur.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-            seen = 0
-            for bi, n in counts:
-                if kk < seen + n:
-                    i, eq = divmod(bi, 2)
-                    if eq:
-                        cond = F.col("x") == F.lit(cuts[i])
-                    else:
-                        cond = F.lit(True)
-                        if i > 0:
-                            cond = cond & (F.col("x") > F.lit(cuts[i - 1]))
-                        if i < len(cuts):
-                            cond = cond & (F.col("x") < F.lit(cuts[i]))
-                    cur, kk = cur.where(cond), kk - seen
-                    break
-                seen += n
-            stats = None
+    probs = [i / fanout for i in range(1, fanout)]
+    cuts = cur.select(F.percentile_approx("x", probs, 10 * fanout)).first()[0]
+    cuts = sorted(set(float(c) for c in cuts))
+    arr = F.array(*[F.lit(c) for c in cuts])
+    # key 2i: strictly between cut i-1 and cut i; key 2i+1: equal to cut i.
+    # Cut points are data values, so every open range loses rows: progress.
+    key = F.size(F.filter(arr, lambda c: c < F.col("x"))) * 2 + F.array_contains(arr, F.col("x")).cast("int")
+    counts = sorted((r["b"], r["n"]) for r in cur.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    out, seen, want = {}, 0, list(ks)
+    for bi, n in counts:
+        inside = [k for k in want if seen <= k < seen + n]
+        if inside:
+            i, eq = divmod(bi, 2)
+            if eq:
+                out.update({k: cuts[i] for k in inside})
+            else:
+                cond = F.lit(True)
+                if i > 0:
+                    cond = cond & (F.col("x") > F.lit(cuts[i - 1]))
+                if i < len(cuts):
+                    cond = cond & (F.col("x") < F.lit(cuts[i]))
+                sub = _kth(cur.where(cond), [k - seen for k in inside], fanout, collect_below,
+                           {"n": n, "lo": None, "hi": 0} if n > collect_below else {"n": n, "lo": 0, "hi": 1})
+                out.update({k: sub[k - seen] for k in inside})
+        seen += n
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats=None) -> list[float | None]:
     """Linear-interpolation quantiles (pandas / DuckDB `quantile_cont`) of the
     non-NULL values, exactly (see `kth_smallest`); memory per task never
     depends on the number of distinct values, unlike the `percentile`
     aggregate, which merges a map of all of them in one task."""
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = x.count()
+    if stats is None:
+        stats = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n = stats["n"]
     if n == 0:
         return [None for _ in probs]
     want = {}
@@ -80,7 +74,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
         h = (n - 1) * p
         lo = int(math.floor(h))
         want[p] = (lo, min(lo + 1, n - 1), h - lo)
-    got = kth_smallest(x, "x", [i for lo, hi, _ in want.values() for i in (lo, hi)])
+    got = _kth(x, sorted({i for lo, hi, _ in want.values() for i in (lo, hi)}), 512, 100_000, stats)
     return [got[lo] + (got[hi] - got[lo]) * frac for lo, hi, frac in (want[p] for p in probs)]
 
 
@@ -104,6 +98,17 @@ def outlier_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str
             and not c.endswith(OUTLIER_EXCLUDED_SUFFIXES)]
 
 
+def _column_stats(df: DataFrame, cols: list[str]) -> dict:
+    aggs = []
+    for j, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        ok = x.isNotNull() & ~F.isnan(x)
+        aggs += [F.stddev_samp(x).alias(f"sd{j}"), F.count_if(ok).alias(f"n{j}"),
+                 F.min(F.when(ok, x)).alias(f"lo{j}"), F.max(F.when(ok, x)).alias(f"hi{j}")]
+    r = df.agg(*aggs).first()
+    return {c: {"sd": r[f"sd{j}"], "n": r[f"n{j}"], "lo": r[f"lo{j}"], "hi": r[f"hi{j}"]} for j, c in enumerate(cols)}
+
+
 def remove_outliers(df: DataFrame, factor: float = 3.0, *, mode: str = "sequential",
                     method: str = "exact", columns: list[str] | None = None,
                     exclude: list[str] | None = None, checkpoint: bool = True) -> tuple[DataFrame, list[dict]]:
@@ -121,14 +126,25 @@ def remove_outliers(df: DataFrame, factor: float = 3.0, *, mode: str = "sequenti
     base = df.checkpoint(eager=True) if checkpoint else df
     q = exact_quantiles if method == "exact" else approx_quantiles
     cur, report, cond_all = base, [], F.lit(True)
+    # one pass over the input: a column constant there stays constant on every
+    # subset, so it is skipped without further jobs; the statistics stay valid
+    # for later columns until a filter is applied
+    stats: dict | None = _column_stats(base, cols) if cols else {}
+    constant = {c for c, v in stats.items() if v["sd"] is not None and v["sd"] == 0}
     for c in cols:
         src = cur if mode == "sequential" else base
-        sd = src.select(F.stddev_samp(F.col(c).cast("double")).alias("sd")).first()["sd"]
+        if c in constant:
+            report.append({"column": c, "std": 0.0, "q1": None, "q3": None, "applied": False})
+            continue
+        if stats is None:
+            stats = _column_stats(src, [c])
+        st = stats[c]
+        sd = st["sd"]
         rec = {"column": c, "std": sd, "q1": None, "q3": None, "applied": False}
         if sd is not None and sd == 0:
             report.append(rec)
             continue
-        q1, q3 = q(src, c, [0.25, 0.75])
+        q1, q3 = q(src, c, [0.25, 0.75], st) if method == "exact" else q(src, c, [0.25, 0.75])
         rec.update(q1=q1, q3=q3)
         if q1 is None or q3 - q1 == 0:
             report.append(rec)
@@ -139,6 +155,7 @@ def remove_outliers(df: DataFrame, factor: float = 3.0, *, mode: str = "sequenti
         report.append(rec)
         if mode == "sequential":
             cur = cur.where(cond)
+            stats = None
         else:
             cond_all = cond_all & cond
     return (cur if mode == "sequential" else base.where(cond_all)), report

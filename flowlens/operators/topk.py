@@ -58,9 +58,13 @@ def ordinal_within_group(df: DataFrame, group_cols: list[str], order_cols: list,
     d = df.withColumn("_bkt", bucket)
     local = Window.partitionBy(*group_cols, "_bkt").orderBy(*okeys)
     d = d.withColumn("_lrn", F.row_number().over(local) - 1)
-    counts = df.withColumn("_bkt", bucket).groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    # counts come from the windowed rows themselves, so both branches share
+    # one shuffle (exchange reuse) and the input is computed once
+    counts = d.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    whole = Window.partitionBy(*group_cols)
+    offsets = counts.select(*group_cols, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_cnt").over(whole).alias(f"{name}_group_size"))
     return (d.join(offsets, on=[*group_cols, "_bkt"], how="inner")
              .withColumn(name, (F.col("_off") + F.col("_lrn")).cast("bigint"))
              .drop("_bkt", "_lrn", "_off"))
