@@ -34,10 +34,13 @@ def kv_map(line) -> Column:
     pat = "(?U)" + KV_PATTERN
     # one regex pass: every whole `key=value` match, then split at the first '='
     pairs = F.regexp_extract_all(s, F.lit(pat), 0)
-    entries = F.transform(pairs, lambda x: F.struct(
-        F.substring_index(x, "=", 1).alias("k"),
-        F.regexp_replace(F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, 1 << 30),
-                         r'^"(.*)"$', "$1").alias("v")))
+    def entry(x):
+        k = F.substring_index(x, "=", 1)
+        rest = F.substring(x, F.length(k) + 2, F.lit(1 << 30))
+        quoted = rest.startswith('"') & rest.endswith('"') & (F.length(rest) >= 2)
+        return F.struct(k.alias("k"), F.when(quoted, F.substring(rest, F.lit(2), F.length(rest) - 2))
+                        .otherwise(rest).alias("v"))
+    entries = F.transform(pairs, entry)
     skip = (F.trim(s) == "") | s.startswith("#") | (F.size(pairs) == 0)
     return F.when(~skip, F.map_from_entries(entries))
 

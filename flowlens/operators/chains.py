@@ -11,8 +11,8 @@ holding a key's events in one task:
 2. `chain_members`: the chain root -> next -> next ... per key, found by
    pointer doubling: after round k every pointer jumps 2^k steps and the
    member set doubles; log2(chain length) rounds of uniform id joins. Each
-   round is checkpointed, so lineage stays short and lost executors cost
-   at most one round.
+   round is written to the shared checkpoint folder, so lineage stays short
+   and lost executors cost at most one round.
 3. `fill_forward`: every event takes the latest chain member at or before it.
 """
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import materialize
+
 
 def _bucket(t: Column, width: int) -> Column:
     return F.floor(t / F.lit(width)).cast("bigint")
@@ -65,7 +67,7 @@ def chain_members(nodes: DataFrame, roots: DataFrame, id_col: str = "id", *, che
     members = roots.select(F.col(id_col).alias("_m")).distinct()
 
     def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint(eager=True) if checkpoint else df.cache()
+        return materialize(df, "chain") if checkpoint else df.cache()
 
     jump, members = cut(jump), cut(members)
     for _ in range(max_rounds):

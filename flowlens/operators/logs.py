@@ -41,8 +41,13 @@ def lookup(c: Column, mapping: dict, default) -> Column:
 
 
 def parse_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Text lines -> (line columns..., fields MAP); unparsable lines dropped."""
-    return lines.withColumn("fields", kv_map(F.col(line_col))).where(F.col("fields").isNotNull())
+    """Text lines -> (line columns..., fields MAP); unparsable lines dropped.
+
+    The map is produced by a one-element generator: later filters on the
+    parsed fields cannot be pushed below it, so the regex parse runs once per
+    line instead of once per field referenced by a filter."""
+    return lines.select("*", F.explode(F.array(kv_map(F.col(line_col)))).alias("fields")) \
+        .where(F.col("fields").isNotNull())
 
 
 def to_flow(parsed: DataFrame, source_file: Column | str | None = None) -> DataFrame:

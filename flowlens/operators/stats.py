@@ -7,9 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.session import materialize
 
 
-def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 512,
+
+def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 128,
                  collect_below: int = 100_000) -> dict[int, float]:
     """Exact k-th smallest values (0-based) of a numeric column by iterated
     range narrowing: a mergeable quantile sketch proposes cut points, one
@@ -22,6 +24,16 @@ def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 512,
     return _kth(base, sorted(set(ks)), fanout, collect_below, None)
 
 
+def _rank_expr(x, cuts: list[float], lo: int = 0, hi: int | None = None):
+    """Number of cut points < x, as a balanced comparison tree (log2 of the
+    number of cuts comparisons per row)."""
+    hi = len(cuts) if hi is None else hi
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x > F.lit(cuts[mid]), _rank_expr(x, cuts, mid + 1, hi)).otherwise(_rank_expr(x, cuts, lo, mid))
+
+
 def _kth(cur: DataFrame, ks: list[int], fanout: int, collect_below: int, stats) -> dict[int, float]:
     if stats is None:
         stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
@@ -33,12 +45,14 @@ def _kth(cur: DataFrame, ks: list[int], fanout: int, collect_below: int, stats)
     probs = [i / fanout for i in range(1, fanout)]
     cuts = cur.select(F.percentile_approx("x", probs, 10 * fanout)).first()[0]
     cuts = sorted(set(float(c) for c in cuts))
-    arr = F.array(*[F.lit(c) for c in cuts])
     # key 2i: strictly between cut i-1 and cut i; key 2i+1: equal to cut i.
     # Cut points are data values, so every open range loses rows: progress.
-    key = F.size(F.filter(arr, lambda c: c < F.col("x"))) * 2 + F.array_contains(arr, F.col("x")).cast("int")
+    i = _rank_expr(F.col("x"), cuts)
+    eq = F.coalesce(F.try_element_at(F.array(*[F.lit(c) for c in cuts]), i + 1) == F.col("x"), F.lit(False))
+    key = i * 2 + eq.cast("int")
     counts = sorted((r["b"], r["n"]) for r in cur.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
     out, seen, want = {}, 0, list(ks)
+    small, large = [], []  # (bucket condition, positions relative to the bucket, offset, n)
     for bi, n in counts:
         inside = [k for k in want if seen <= k < seen + n]
         if inside:
@@ -51,10 +65,22 @@ def _kth(cur: DataFrame, ks: list[int], fanout: int, collect_below: int, stats)
                     cond = cond & (F.col("x") > F.lit(cuts[i - 1]))
                 if i < len(cuts):
                     cond = cond & (F.col("x") < F.lit(cuts[i]))
-                sub = _kth(cur.where(cond), [k - seen for k in inside], fanout, collect_below,
-                           {"n": n, "lo": None, "hi": 0} if n > collect_below else {"n": n, "lo": 0, "hi": 1})
-                out.update({k: sub[k - seen] for k in inside})
+                (small if n <= collect_below else large).append((bi, cond, inside, seen, n))
         seen += n
+    if small:
+        # every small range in one job: tag rows with their range and sort per range
+        tag = None
+        for bi, cond, *_ in small:
+            tag = F.when(cond, F.lit(bi)) if tag is None else tag.when(cond, F.lit(bi))
+        got: dict[int, list[float]] = {}
+        for r in cur.select(tag.alias("b"), "x").where(F.col("b").isNotNull()).collect():
+            got.setdefault(r["b"], []).append(r["x"])
+        for bi, _, inside, off, _ in small:
+            vals = sorted(got[bi])
+            out.update({k: float(vals[k - off]) for k in inside})
+    for bi, cond, inside, off, n in large:
+        sub = _kth(cur.where(cond), [k - off for k in inside], fanout, collect_below, {"n": n, "lo": None, "hi": 0})
+        out.update({k: sub[k - off] for k in inside})
     return out
 
 
@@ -74,7 +100,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats=None) ->
         h = (n - 1) * p
         lo = int(math.floor(h))
         want[p] = (lo, min(lo + 1, n - 1), h - lo)
-    got = _kth(x, sorted({i for lo, hi, _ in want.values() for i in (lo, hi)}), 512, 100_000, stats)
+    got = _kth(x, sorted({i for lo, hi, _ in want.values() for i in (lo, hi)}), 128, 100_000, stats)
     return [got[lo] + (got[hi] - got[lo]) * frac for lo, hi, frac in (want[p] for p in probs)]
 
 
@@ -98,15 +124,22 @@ def outlier_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str
             and not c.endswith(OUTLIER_EXCLUDED_SUFFIXES)]
 
 
-def _column_stats(df: DataFrame, cols: list[str]) -> dict:
-    aggs = []
-    for j, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        ok = x.isNotNull() & ~F.isnan(x)
-        aggs += [F.stddev_samp(x).alias(f"sd{j}"), F.count_if(ok).alias(f"n{j}"),
-                 F.min(F.when(ok, x)).alias(f"lo{j}"), F.max(F.when(ok, x)).alias(f"hi{j}")]
-    r = df.agg(*aggs).first()
-    return {c: {"sd": r[f"sd{j}"], "n": r[f"n{j}"], "lo": r[f"lo{j}"], "hi": r[f"hi{j}"]} for j, c in enumerate(cols)}
+def _column_stats(df: DataFrame, cols: list[str], chunk: int = 8) -> dict:
+    """std, count, min, max of several columns; a few columns per aggregate
+    keep each generated aggregation method small."""
+    out = {}
+    for start in range(0, len(cols), chunk):
+        part = cols[start:start + chunk]
+        aggs = []
+        for j, c in enumerate(part):
+            x = F.col(c).cast("double")
+            ok = x.isNotNull() & ~F.isnan(x)
+            aggs += [F.stddev_samp(x).alias(f"sd{j}"), F.count_if(ok).alias(f"n{j}"),
+                     F.min(F.when(ok, x)).alias(f"lo{j}"), F.max(F.when(ok, x)).alias(f"hi{j}")]
+        r = df.agg(*aggs).first()
+        out.update({c: {"sd": r[f"sd{j}"], "n": r[f"n{j}"], "lo": r[f"lo{j}"], "hi": r[f"hi{j}"]}
+                    for j, c in enumerate(part)})
+    return out
 
 
 def remove_outliers(df: DataFrame, factor: float = 3.0, *, mode: str = "sequential",
@@ -123,7 +156,7 @@ def remove_outliers(df: DataFrame, factor: float = 3.0, *, mode: str = "sequenti
     Returns the filtered frame and one bounds record per column.
     """
     cols = columns if columns is not None else outlier_columns(df, exclude)
-    base = df.checkpoint(eager=True) if checkpoint else df
+    base = materialize(df, "outliers-input") if checkpoint else df
     q = exact_quantiles if method == "exact" else approx_quantiles
     cur, report, cond_all = base, [], F.lit(True)
     # one pass over the input: a column constant there stays constant on every

@@ -65,3 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str = "stage"):
+    """Write `df` as Parquet under the shared checkpoint folder and read it
+    back: cuts lineage like `checkpoint()`, survives executor loss, and later
+    passes read only the columns they need (columnar, compressed)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
