@@ -1736,3 +1736,79 @@ def s7_firewall_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lg.firewall_flows(lines, order_cols=["source_file", "line_no"], source_file="source_file")
     return f.agg(F.count(F.lit(1)).alias("flows"), F.sum("byte_count_total").cast("bigint").alias("bytes")) \
         .selectExpr("stack(2, 'flows', flows, 'bytes', bytes) AS (metric, value)")
+
+
+# ---------------------------------------------------------------- T3, T4, A4, A8, C7, C8, P17
+@register("t3_latest_decisions", EVENTS_SQL + """
+SELECT id, ts, src, dst, action FROM ev ORDER BY ts DESC, id DESC LIMIT 15""")
+def t3_latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest 15 decisions (T3; the limit is the report)."""
+    return decision_events(spark, sf_dir).select("id", "ts", "src", "dst", "action") \
+        .orderBy(F.col("ts").desc(), F.col("id").desc()).limit(15)
+
+
+@register("t4_last_buckets", "SELECT * FROM (" + _tumbling_sql(1) + ") ORDER BY window_start DESC LIMIT 20")
+def t4_last_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last 20 one-second buckets of the normal/VPN chart (T4)."""
+    return ro.tumbling_counts(decision_events(spark, sf_dir), "1 second") \
+        .orderBy(F.col("window_start").desc()).limit(20)
+
+
+@register("a4_dedupe_per_second", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL) + f"""
+SELECT intent_label, CAST(count(*) AS BIGINT) AS flows FROM (
+  SELECT * FROM aligned
+  QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol, date_trunc('second', timestamp)
+                             ORDER BY {', '.join(FLOW_ORDER)}) = 1)
+GROUP BY intent_label""")
+def a4_dedupe_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-first on the 5-tuple plus the timestamp floored to the second (A4)."""
+    d = cl.dedupe_flows_per_second(aligned_flows(spark, sf_dir), FLOW_ORDER)
+    return d.groupBy("intent_label").agg(F.count(F.lit(1)).alias("flows"))
+
+
+@register("a8_step_counts", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, fx.LOG_LINES_SQL, KV_SQL, FW_SQL, DEDUPED_SQL,
+                                        _A5_CTES) + f"""
+SELECT 'initial' AS step, CAST((SELECT count(*) FROM flows) AS BIGINT) AS rows
+UNION ALL SELECT 'after_merge', CAST((SELECT count(*) FROM aligned) + (SELECT count(*) FROM fwd) AS BIGINT)
+UNION ALL SELECT 'after_dedupe', CAST((SELECT count(*) FROM deduped) AS BIGINT)
+UNION ALL SELECT 'after_cleaning', CAST((SELECT count(*) FROM {_A5_LAST}) AS BIGINT)""")
+def a8_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows at each step of the dataset build: input flows, after merging the
+    firewall flows, after 5-tuple dedupe of the flow source, after the
+    sequential IQR cleaning (A8)."""
+    raw = fx.flows(spark, sf_dir)
+    fw = lg.firewall_flows(fx.log_lines(spark, sf_dir), order_cols=["line_no"])
+    merged = al.merge([aligned_flows(spark, sf_dir), al.align(fw)])
+    ded = deduped_flows(spark, sf_dir)
+    kept, _ = st.remove_outliers(ded, 3.0, columns=A5_COLUMNS)
+    counts = [("initial", raw.count()), ("after_merge", merged.count()), ("after_dedupe", ded.count()),
+              ("after_cleaning", kept.count())]
+    return spark.createDataFrame(counts, "step string, rows long")
+
+
+@register("c8_file_stem_labels", fx.with_sql(fx.FLOWS_SQL) + """
+SELECT DISTINCT replace(intent_label, ' ', '-') || '-no-metadata.parquet' AS file_name,
+       intent_label AS stem_label,
+       CASE WHEN upper(app_label) LIKE 'VPN%' THEN 1 ELSE 0 END AS vpn_target
+FROM flows""")
+def c8_file_stem_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from `<Label-Words>-no-metadata.parquet` file names (C8) and
+    the VPN target rule on app labels (C7)."""
+    from flowlens.functions import parse as ps_
+    f = fx.flows(spark, sf_dir).select(
+        F.concat(F.regexp_replace("intent_label", " ", "-"), F.lit("-no-metadata.parquet")).alias("file_name"),
+        "app_label")
+    return f.select("file_name", ps_.label_from_file_stem(F.col("file_name")).alias("stem_label"),
+                    ps_.is_vpn_target(F.col("app_label")).alias("vpn_target")).distinct()
+
+
+@register("p17_sentinel_fill", fx.with_sql(fx.FLOWS_SQL) + f"""
+SELECT intent_label, {sql_r3('sum(coalesce(flow_duration, 0))', 'duration_sum')},
+       CAST(count(*) FILTER (WHERE flow_duration IS NULL) AS BIGINT) AS filled
+FROM flows GROUP BY intent_label""")
+def p17_sentinel_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentinel NULL fill: infrastructure/flag columns -1, other numerics 0."""
+    f = fx.flows(spark, sf_dir)
+    filled = cl.fill_missing_sentinel(f.withColumn("_was_null", F.col("flow_duration").isNull()))
+    return filled.groupBy("intent_label").agg(round3(F.sum("flow_duration")).alias("duration_sum"),
+                                              F.count_if("_was_null").alias("filled"))
