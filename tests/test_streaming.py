@@ -18,7 +18,7 @@ def test_tumbling_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     n = ev.count()
     # events arrive in time order (event ids follow time), four files in sequence
-    ev.withColumn("part", F.floor(F.col("id") * 4 / F.lit(n))).write.partitionBy("part").parquet(src)
+    ev.withColumn("part", F.floor(F.col("id") * 4 / F.lit(n))).coalesce(1).write.partitionBy("part").parquet(src)
     parts = [f"{src}/part={i}" for i in range(4)]
     stream = read_stream(spark, parts[0].rsplit("/", 1)[0] + "/*", ev.schema, max_files_per_trigger=1)
     out = str(tmp_path / "out")
