@@ -75,3 +75,19 @@ def test_decision_cache_fixture(spark):
     out = {r.id: (r.cached, r.writer_id, r.served_risk)
            for r in ch.decision_cache(df, checkpoint=False).collect()}
     assert out == {1: (False, 1, 25), 2: (True, 1, 25), 3: (False, 3, 5), 4: (True, 3, 5), 5: (False, 5, 70)}
+
+
+def test_streaming_cache_equals_batch_replay(spark, tmp_path):
+    from flowlens.operators import chains as ch
+    from flowlens.streaming.state import decision_cache_stream
+    d = fx.decisions(spark, SF).select("id", "ts", "src", "dst", "dst_port", "risk")
+    n = d.count()
+    src = str(tmp_path / "req")
+    d.withColumn("part", F.floor(F.col("id") * 3 / F.lit(n))).coalesce(1).write.partitionBy("part").parquet(src)
+    stream = read_stream(spark, src + "/*", d.schema, max_files_per_trigger=1)
+    out = str(tmp_path / "out")
+    run_available_now(stream, decision_cache_stream, out, checkpoint=str(tmp_path / "ck"))
+    got = sorted(map(tuple, spark.read.parquet(out).select("id", "cached", "writer_id", "served_risk").collect()))
+    want = sorted(map(tuple, ch.decision_cache(d, checkpoint=False)
+                      .select("id", "cached", "writer_id", "served_risk").collect()))
+    assert got == want
