@@ -158,3 +158,46 @@ def extract_all(df: DataFrame, *, vpn_ports=VPN_PORTS_FULL, ratio_rule: str = "n
               .transform(vpn_features, vpn_ports)
               .transform(behavioral_features)
               .transform(label_placeholders))
+
+
+def light_flow_statistics(df: DataFrame) -> DataFrame:
+    """Lighter variant of the flow block (C19): when only bidirectional totals
+    exist, each direction is taken as half of them; ratios fall back to the
+    numerator (Q1)."""
+    g = lambda n: _get(df, n, None)
+    tp, tb = F.col("bidirectional_packets"), F.col("bidirectional_bytes")
+    d = df.withColumns({
+        "packet_count_total": tp, "byte_count_total": tb,
+        "packet_count_fwd": F.coalesce(g("src2dst_packets"), tp / 2),
+        "packet_count_bwd": F.coalesce(g("dst2src_packets"), tp / 2),
+        "byte_count_fwd": F.coalesce(g("src2dst_bytes"), tb / 2),
+        "byte_count_bwd": F.coalesce(g("dst2src_bytes"), tb / 2),
+        "flow_duration": F.col("bidirectional_duration_ms") / F.lit(1000.0),
+    })
+    return d.withColumns({
+        "packets_per_second": ratio("packet_count_total", "flow_duration", "zero"),
+        "bytes_per_second": ratio("byte_count_total", "flow_duration", "zero"),
+        "byte_ratio": ratio("byte_count_fwd", "byte_count_bwd", "numerator"),
+        "packet_ratio": ratio("packet_count_fwd", "packet_count_bwd", "numerator"),
+    })
+
+
+# fixed values (C29): port categories
+SYSTEM_PORTS_BELOW = 1024
+REGISTERED_PORTS_BELOW = 49152
+
+
+def documented_features(df: DataFrame) -> DataFrame:
+    """Documented extra features (C29): byte asymmetry, is_tcp / is_udp,
+    destination-port category, burst score = packets/s over the global mean
+    (one aggregate; the mean comes back as a single number)."""
+    mean_pps = df.agg(F.avg("packets_per_second")).first()[0] or 0.0
+    fwd, bwd = F.col("byte_count_fwd"), F.col("byte_count_bwd")
+    port = F.col("dst_port")
+    return df.withColumns({
+        "asymmetry": F.when(fwd + bwd > 0, (fwd - bwd) / (fwd + bwd)).otherwise(F.lit(0.0)),
+        "is_tcp": (F.col("protocol") == 6).cast("int"), "is_udp": (F.col("protocol") == 17).cast("int"),
+        "port_category": F.when(port < SYSTEM_PORTS_BELOW, F.lit("system"))
+                          .when(port < REGISTERED_PORTS_BELOW, F.lit("registered")).otherwise(F.lit("dynamic")),
+        "burst_score": F.col("packets_per_second") / F.lit(mean_pps) if mean_pps else F.lit(0.0),
+    })

@@ -66,3 +66,28 @@ def test_kth_smallest_narrowing_with_hot_value(spark):
     assert got == {k: srt[k] for k in ks}
     q = st.exact_quantiles(df, "x", [0.25, 0.75])
     assert q == [float(np.quantile(np.array(vals), p)) for p in (0.25, 0.75)]
+
+
+def test_rename_derive_and_align(spark):
+    from flowlens.operators import align as al
+    df = spark.createDataFrame(
+        [(" 10.0.0.1", 3, 1, 10.0, 20.0, 1.0, 3.0, 100, 0)],
+        "` Source IP` string, `Total Fwd Packets` long, ` Total Backward Packets` long, "
+        "` Fwd Packet Length Mean` double, `Bwd Packet Length Mean` double, `Fwd Packet Length Std` double, "
+        "` Bwd Packet Length Std` double, `Total Length of Fwd Packets` long, ` Total Length of Bwd Packets` long")
+    a = al.align(df, mapping=al.CIC_COLUMNS).first()
+    assert a.packet_count_total == 4 and a.byte_count_total == 100
+    assert a.packet_length_mean == (10.0 * 3 + 20.0 * 1) / 4 and a.packet_length_std == 2.0
+    assert a.packet_length_variance == 4.0 and a.byte_ratio == 100.0  # zero denominator -> divide by 1
+    assert a.ttl == -1 and a.source_file == "Unknown" and a.mean_iat_total == 0.0
+    assert list(al.reorder(al.align(df, mapping=al.CIC_COLUMNS)).columns[:5]) == al.CORE[:5]
+
+
+def test_documented_features(spark):
+    from flowlens.operators import features as fe
+    df = spark.createDataFrame([(30, 10, 6, 443, 2.0), (0, 0, 17, 50000, 6.0)],
+                               "byte_count_fwd long, byte_count_bwd long, protocol long, dst_port long, "
+                               "packets_per_second double")
+    r = fe.documented_features(df).orderBy("dst_port").collect()
+    assert (r[0].asymmetry, r[0].is_tcp, r[0].port_category, r[0].burst_score) == (0.5, 1, "system", 0.5)
+    assert (r[1].asymmetry, r[1].is_udp, r[1].port_category, r[1].burst_score) == (0.0, 1, "dynamic", 1.5)
