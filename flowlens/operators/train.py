@@ -134,3 +134,21 @@ def mutual_information(df: DataFrame, feature: str, label_col: str, bins: int =
 def redundant_pairs(corr_long: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Feature pairs with |corr| > 0.9 (D12), from `profile.correlations`."""
     return corr_long.where(F.abs(F.col("corr")) > threshold)
+
+
+def undersample(df: DataFrame, label_col: str, key_cols: list[str], *, target_ratio: float = 0.2,
+                seed: int = 42) -> DataFrame:
+    """Random undersampling (D10): every class larger than n_min / target_ratio
+    keeps about that many rows, chosen by a seeded hash of the row key -- the
+    same rows on every run and partitioning. Per-class sizes come from one
+    aggregate (one row per class)."""
+    counts = {r[label_col]: r["n"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return df
+    cap = min(counts.values()) / target_ratio
+    frac = {k: min(1.0, cap / n) for k, n in counts.items()}
+    m = F.create_map(*[F.lit(x) for kv in frac.items() for x in kv])
+    from flowlens.operators.split import hash_order
+    # uniform in [0, 1) from the md5(seed|key) digest used by the splits (same in SQL engines)
+    u = F.conv(F.substring(hash_order(key_cols, seed), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
+    return df.where(u < F.element_at(m, F.col(label_col)))

@@ -1812,3 +1812,21 @@ def p17_sentinel_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = cl.fill_missing_sentinel(f.withColumn("_was_null", F.col("flow_duration").isNull()))
     return filled.groupBy("intent_label").agg(round3(F.sum("flow_duration")).alias("duration_sum"),
                                               F.count_if("_was_null").alias("filled"))
+
+
+@register("d10_undersample", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL, """
+cnt AS (SELECT intent_label, count(*) AS n FROM deduped GROUP BY intent_label),
+cap AS (SELECT min(n) / 0.2 AS cap FROM cnt),
+u AS (SELECT d.intent_label,
+             CAST(('0x' || substr(md5('42|' || d.src_ip || '|' || CAST(d.src_port AS VARCHAR) || '|' || d.dst_ip || '|'
+                  || CAST(d.dst_port AS VARCHAR) || '|' || CAST(d.protocol AS VARCHAR)), 1, 13)) AS BIGINT)
+               / 4503599627370496.0 AS u,
+             least(1.0, (SELECT cap FROM cap) / c.n) AS frac
+      FROM deduped d JOIN cnt c USING (intent_label))""") + """
+SELECT intent_label, CAST(count(*) AS BIGINT) AS kept FROM u WHERE u < frac GROUP BY intent_label""")
+def d10_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random undersampling to a minority/majority ratio of at least 0.2 with
+    a seeded md5 row hash (D10 undersampling; SMOTE is not built)."""
+    d = deduped_flows(spark, sf_dir)
+    u = tr.undersample(d, "intent_label", ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"], target_ratio=0.2)
+    return u.groupBy("intent_label").agg(F.count(F.lit(1)).alias("kept"))

@@ -91,3 +91,13 @@ def test_documented_features(spark):
     r = fe.documented_features(df).orderBy("dst_port").collect()
     assert (r[0].asymmetry, r[0].is_tcp, r[0].port_category, r[0].burst_score) == (0.5, 1, "system", 0.5)
     assert (r[1].asymmetry, r[1].is_udp, r[1].port_category, r[1].burst_score) == (0.0, 1, "dynamic", 1.5)
+
+
+def test_undersample_is_deterministic_and_bounded(spark):
+    from flowlens.operators import train as tr
+    df = spark.range(0, 6000).withColumn("label", F.when(F.col("id") < 200, "rare").otherwise("common"))
+    a = tr.undersample(df, "label", ["id"], target_ratio=0.2)
+    b = tr.undersample(df.repartition(7), "label", ["id"], target_ratio=0.2)
+    assert sorted(r.id for r in a.collect()) == sorted(r.id for r in b.collect())
+    n = {r.label: r["count"] for r in a.groupBy("label").count().collect()}
+    assert n["rare"] == 200 and 800 < n["common"] < 1200

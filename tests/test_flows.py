@@ -69,3 +69,18 @@ def test_packets_conserved_and_partitioning_independent(spark):
     assert a.agg(F.sum("packet_count_total")).first()[0] == p.count()
     b = fl.build_flows(p.repartition(7, "packet_no"), idle_timeout=60.0, bucket=45)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_hot_key_holding_half_the_packets(spark):
+    """One key owns half of all packets: small time buckets (many tasks for
+    the hot key) give exactly the flows of one whole-timeline window."""
+    p = fx.packets(spark, SF)
+    hot = p.withColumns({"src_ip": F.lit("10.9.9.9"), "dst_ip": F.lit("93.184.216.9"),
+                         "src_port": F.lit(5555).cast("bigint"), "dst_port": F.lit(443).cast("bigint"),
+                         "protocol": F.lit(6).cast("bigint"),
+                         "packet_no": F.col("packet_no") + F.lit(10_000_000)})
+    both = p.unionByName(hot)
+    small = fl.build_flows(both, idle_timeout=60.0, bucket=30)
+    whole = fl.build_flows(both, idle_timeout=60.0, bucket=10 ** 9)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, whole.collect()))
+    assert small.where("src_ip = '10.9.9.9'").agg(F.sum("packet_count_total")).first()[0] == p.count()
