@@ -1830,3 +1830,80 @@ def d10_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = deduped_flows(spark, sf_dir)
     u = tr.undersample(d, "intent_label", ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"], target_ratio=0.2)
     return u.groupBy("intent_label").agg(F.count(F.lit(1)).alias("kept"))
+
+
+# ---------------------------------------------------------------- C17, C27, C28, C29, P24, T5
+from flowlens.functions.exprs import clamp01  # noqa: E402
+from flowlens.operators.topk import top_n_per_group  # noqa: E402
+
+
+@register("c17_calendar_parts", fx.with_sql(fx.DECISIONS_SQL) + """
+SELECT id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS weekday,
+       CASE WHEN isodow(ts) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend
+FROM decisions""")
+def c17_calendar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hour, weekday (Mon=0) and weekend flag of decisions (C17)."""
+    d = fx.decisions(spark, sf_dir)
+    parts = ps.calendar_parts(F.col("ts"))
+    return d.select("id", parts["hour"].alias("hour"), parts["weekday"].alias("weekday"),
+                    parts["is_weekend"].alias("is_weekend"))
+
+
+@register("c27_c28_scaling_and_codes", fx.with_sql(fx.DECISIONS_SQL) + f"""
+SELECT id, {sql_r3('CASE WHEN latency_ms < 0 THEN 0.0 WHEN latency_ms > 200 THEN 1.0 ELSE latency_ms / 200.0 END', 'latency_scaled')},
+       CAST(CASE {' '.join(f"WHEN app_class = '{c}' THEN {i}" for i, c in enumerate(sc.APP_CLASSES))}
+            ELSE {len(sc.APP_CLASSES) - 1} END AS INTEGER) AS app_index
+FROM decisions""")
+def c27_c28_scaling_and_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Min-max clamp of latency to [0, 1] over 0..200 ms (C27) and the
+    application-class index, unknown -> last (C28)."""
+    d = fx.decisions(spark, sf_dir)
+    return d.select("id", round3(clamp01(F.col("latency_ms"), 0, 200)).alias("latency_scaled"),
+                    sc.encode_app_class(F.col("app_class")).alias("app_index"))
+
+
+@register("p24_quality_report", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL) + """
+SELECT CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(*) FILTER (WHERE src_ip IS NULL) AS BIGINT) AS null_src_ip,
+       CAST(count(*) FILTER (WHERE dst_ip IS NULL) AS BIGINT) AS null_dst_ip,
+       CAST(count(*) FILTER (WHERE protocol IS NULL) AS BIGINT) AS null_protocol,
+       CAST(count(*) FILTER (WHERE intent_label IS NULL) AS BIGINT) AS null_intent_label,
+       CAST(count(*) FILTER (WHERE src_port < 0 OR src_port > 65535 OR dst_port < 0 OR dst_port > 65535) AS BIGINT)
+         AS invalid_ports,
+       CAST(count(*) FILTER (WHERE protocol IN (1, 6, 17)) AS BIGINT) AS valid_protocols,
+       CAST(count(*) FILTER (WHERE NOT regexp_full_match(src_ip, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}')
+                              OR NOT regexp_full_match(dst_ip, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}')) AS BIGINT) AS invalid_ips,
+       CAST(count(*) FILTER (WHERE flow_duration <= 0) AS BIGINT) AS non_positive_duration,
+       CAST(count(*) FILTER (WHERE app_label <> 'Unknown') AS BIGINT) AS known_app_label
+FROM aligned""")
+def p24_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality checks of the aligned flows in one pass."""
+    return cl.quality_report(aligned_flows(spark, sf_dir))
+
+
+@register("c29_documented_features", flow_oracle(120_000_000).replace("\nSELECT ", "\n, fl AS (SELECT ", 1) + ")" + f"""
+SELECT src_ip, dst_ip, src_port, dst_port, protocol, start_us,
+       {sql_r3('CASE WHEN byte_count_fwd + byte_count_bwd > 0 THEN (byte_count_fwd - byte_count_bwd) / (byte_count_fwd + byte_count_bwd) ELSE 0.0 END', 'asymmetry')},
+       CASE WHEN dst_port < 1024 THEN 'system' WHEN dst_port < 49152 THEN 'registered' ELSE 'dynamic' END AS port_category,
+       CAST(protocol = 6 AS INTEGER) AS is_tcp,
+       {sql_r3('packets_per_second / (SELECT avg(packets_per_second) FROM fl)', 'burst_score')}
+FROM fl""")
+def c29_documented_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asymmetry, port category, protocol flags and burst score vs the global
+    mean over packet-built flows (C29)."""
+    f = _flow_select(fl.build_flows(fx.packets(spark, sf_dir), idle_timeout=120.0))
+    d = fe.documented_features(f)
+    return d.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us",
+                    round3("asymmetry").alias("asymmetry"), "port_category", "is_tcp",
+                    round3("burst_score").alias("burst_score"))
+
+
+@register("t5_first_packets", fx.with_sql(fx.PACKETS_SQL) + """
+SELECT src_ip, dst_ip, CAST(count(*) AS BIGINT) AS kept, CAST(sum(pkt_len) AS BIGINT) AS bytes FROM (
+  SELECT * FROM packets QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY ts_us, packet_no) <= 5)
+GROUP BY src_ip, dst_ip""")
+def t5_first_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 5 packets of every directed address pair by time (T5 row cap;
+    the cap is the operator) with the skew-safe two-round top-n."""
+    p = top_n_per_group(fx.packets(spark, sf_dir), ["src_ip", "dst_ip"], ["ts_us", "packet_no"], 5)
+    return p.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("kept"), F.sum("pkt_len").cast("bigint").alias("bytes"))
