@@ -1907,3 +1907,14 @@ def t5_first_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     the cap is the operator) with the skew-safe two-round top-n."""
     p = top_n_per_group(fx.packets(spark, sf_dir), ["src_ip", "dst_ip"], ["ts_us", "packet_no"], 5)
     return p.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("kept"), F.sum("pkt_len").cast("bigint").alias("bytes"))
+
+
+@register("d14_indicators_zscore", fx.with_sql(fx.FLOWS_SQL) + f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(flow_duration IS NULL AS INTEGER) AS flow_duration_missing,
+       {sql_r3('(byte_count_fwd - avg(byte_count_fwd) OVER ()) / stddev_samp(byte_count_fwd) OVER ()', 'byte_count_fwd_z')}
+FROM flows""")
+def d14_indicators_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing-value indicator and z-score from one statistics pass."""
+    f = tr.zscore(tr.missing_indicators(fx.flows(spark, sf_dir), ["flow_duration"]), ["byte_count_fwd"])
+    return f.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flow_duration_missing",
+                    round3("byte_count_fwd_z").alias("byte_count_fwd_z"))
