@@ -15,11 +15,13 @@ def spread(df: DataFrame) -> DataFrame:
     fewer splits than cores (a small file has one row group, so one task
     would run all per-row work before the first shuffle). On large inputs
     the scan already has enough splits and nothing is added."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        spark = df.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: leave the scan as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
