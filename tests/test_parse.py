@@ -87,3 +87,15 @@ def test_flow_text_and_json_sources(spark, tmp_path):
     assert j["1.1.1.1"].additional_meta == '{"src":"1.1.1.1","dst":"2.2.2.2","x":"5"}'
     assert '"__subset":"train"' in j["3.3.3.3"].additional_meta
     assert j["5.5.5.5"].timestamp == ""  # 0 is falsy, as in the reference
+
+
+def test_label_helpers(spark):
+    df = spark.createDataFrame([("/d/DoS-Hulk-no-metadata.parquet", "img_Chat_x.pcap.png", "vpn-chat"),
+                                ("Benign-no-metadata.parquet", "img_Video.pcap_1.png", "Browsing")],
+                               "path string, img string, label string")
+    r = df.select(ps.label_from_file_stem(F.col("path")).alias("a"), ps.label_from_image_name(F.col("img")).alias("b"),
+                  ps.is_vpn_target(F.col("label")).alias("c")).collect()
+    assert [tuple(x) for x in r] == [("DoS Hulk", "Chat", 1), ("Benign", "Video", 0)]
+    from flowlens.operators import split as sp
+    s = sp.stage2(spark.createDataFrame([("Unknown",), ("DoS",)], "intent_label string"), relabel_unknown=True)
+    assert [x.intent_label for x in s.collect()] == ["Unclassified", "DoS"]
