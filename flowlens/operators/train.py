@@ -29,6 +29,14 @@ def feature_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str
     return [c for c, t in df.dtypes if (t in NUMERIC or t.startswith("decimal")) and c not in ex]
 
 
+def varying(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that are not constant (one aggregate). A tree never splits on
+    a constant feature, so dropping them leaves the model unchanged and
+    saves the per-feature split search."""
+    r = df.agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if r[f"v{i}"]]
+
+
 def class_weights(df: DataFrame, label_col: str, out_col: str = "weight") -> DataFrame:
     """'balanced' weights n / (k * n_c) as a column (M12); the per-class
     table has one row per class."""
@@ -52,10 +60,13 @@ def train_gbt(train: DataFrame, features: list[str], label_col: str = "y", *, ma
     if train.select(label_col).distinct().limit(2).count() < 2:
         raise ValueError("training data holds a single class")
     gbt = GBTClassifier(featuresCol="features", labelCol=label_col, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step_size, seed=seed, lossType="logistic")
+                        stepSize=step_size, seed=seed, lossType="logistic", cacheNodeIds=True)
     if weight_col:
         gbt.setWeightCol(weight_col)
-    return gbt.fit(prepare(train, features))
+    # the boosting rounds re-read the training rows: cut the lineage once
+    from flowlens.session import materialize
+    cols = [*features, label_col, *([weight_col] if weight_col else [])]
+    return gbt.fit(prepare(materialize(train.select(*cols), "gbt-train"), features))
 
 
 def probability(model, df: DataFrame, features: list[str], out_col: str = "p") -> DataFrame:

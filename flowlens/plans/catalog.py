@@ -1638,6 +1638,7 @@ def m7_train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            "y"])
     s = sp.stratified_split(d, "y", ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"], holdout=0.2,
                             test_share=1.0)
+    feats = tr.varying(s.where("split = 'train'"), feats)
     model = tr.train_gbt(s.where("split = 'train'"), feats, "y")
     scored = tr.probability(model, s.where("split = 'test'"), feats).withColumn(
         "yhat", (F.col("p") >= 0.5).cast("int"))
