@@ -1170,7 +1170,8 @@ def c30_packet_block_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     the initiator, B the capped gap (C30, W1, W3, W4)."""
     _, p = _block(spark, sf_dir)
     return p.select(F.col("ip1").alias("src_ip"), F.col("port1").alias("src_port"), F.col("ip2").alias("dst_ip"),
-                    F.col("port2").alias("dst_port"), "protocol", "idx", "row", "col", "r", "g", "b")
+                    F.col("port2").alias("dst_port"), "protocol", F.col("idx").cast("bigint").alias("idx"), "row", "col",
+                    "r", "g", "b")
 
 
 @register("c31_packet_block_images", PIX_SQL + """
