@@ -101,3 +101,15 @@ def test_undersample_is_deterministic_and_bounded(spark):
     assert sorted(r.id for r in a.collect()) == sorted(r.id for r in b.collect())
     n = {r.label: r["count"] for r in a.groupBy("label").count().collect()}
     assert n["rare"] == 200 and 800 < n["common"] < 1200
+
+
+def test_ingest_map_and_alignment_counters(spark):
+    from flowlens.operators import align as al
+    from flowlens.operators import profile as pr
+    df = spark.createDataFrame([(5, 2.5, 0.5, "x")], "` Flow Duration` long, ` Fwd Packet Length Mean` double, "
+                                                     "` Fwd Packet Length Std` double, extra string")
+    r = al.rename_columns(df, al.CIC_INGEST_COLUMNS)
+    assert sorted(r.columns) == ["extra", "flow_duration", "packet_length_mean", "packet_length_std"]
+    a = al.align(df, mapping=al.CIC_INGEST_COLUMNS)
+    c = pr.alignment_counters(df, a, al.CORE)
+    assert c["columns_after"] == len(al.CORE) + 1 and c["kept"] == 1  # only `extra` keeps its name
