@@ -58,13 +58,6 @@ def digits_int(c, default: int = 0) -> Column:
     return F.coalesce(F.when(s.rlike("^[0-9]+$"), s.try_cast("bigint")), F.lit(default)).cast("bigint")
 
 
-def lenient_int(c, default: int) -> Column:
-    """int(float(x)) with a default for anything unparsable."""
-    d = col(c).cast("string").try_cast("double")
-    ok = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(9.2e18))
-    return F.when(ok, d.cast("bigint")).otherwise(F.lit(default)).cast("bigint")
-
-
 def ipv4_to_long(c) -> Column:
     """Dotted IPv4 -> BIGINT; NULL when the text is not four octets 0..255."""
     s = col(c).cast("string")
