@@ -1,16 +1,19 @@
 """Session settings every flowlens job relies on.
 
 `configure(spark)` pins the runtime SQL settings the operators assume
-(UTC session zone, last-wins map keys, AQE with skew handling). It only
-touches runtime-settable confs, so it is safe on a shared cluster session.
+(UTC session zone, last-wins map keys, AQE with skew handling) and ships the
+package to the executors. It only touches runtime-settable confs, so it is
+safe on a shared cluster session.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     # every timestamp the operators produce or parse is UTC
@@ -23,14 +26,40 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+_shipped: set[str] = set()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One JVM holds driver and executors, so a folder of this machine is
+    shared by all of them (`local-cluster` has executors of its own)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application:
+    functions handed to `mapInArrow` and the like are pickled by name, so the
+    worker must be able to import them wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="flowlens-"), "flowlens-package")
+    stage = tempfile.mkdtemp(prefix="flowlens-")
+    shutil.copytree(package, os.path.join(stage, os.path.basename(package)),
+                    ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(base, "zip", stage))
+    _shipped.add(sc.applicationId)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   app: str = "flowlens") -> SparkSession:
     """Session for tests and the local bench (never used on a cluster)."""
@@ -55,24 +84,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster `spark.checkpoint.dir` is set by the deployment and is read
-    as-is. Only when it is unset (local tests) a scratch folder is created.
+    as-is; without it there is no folder that driver and executors share, and
+    an error is raised. Only a local session (one JVM) gets a folder of its own.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
-def materialize(df, name: str = "stage"):
-    """Write `df` as Parquet under the shared checkpoint folder and read it
-    back: cuts lineage like `checkpoint()`, survives executor loss, and later
-    passes read only the columns they need (columnar, compressed)."""
-    import uuid
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+class Scratch:
+    """Parquet stages of one run, in a folder of their own under the shared
+    checkpoint folder. A stage cuts lineage like `checkpoint()`, survives the
+    loss of executors, and later passes read only the columns they need.
+
+    `drop` removes stages that nothing will read again; the caller keeps the
+    ones that a returned DataFrame still reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+    def path(self, stage: str) -> str:
+        return f"{self.root}/{stage}"
+
+    def write(self, df: DataFrame, stage: str, **options: str) -> DataFrame:
+        df.write.options(**options).mode("overwrite").parquet(self.path(stage))
+        return self.spark.read.schema(df.schema).parquet(self.path(stage))
+
+    def drop(self, *stages: str) -> None:
+        for stage in stages:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(stage))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """`df` as one Parquet stage (see `Scratch`)."""
+    return Scratch(df.sparkSession, name).write(df, name)
