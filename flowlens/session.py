@@ -119,10 +119,20 @@ class Scratch:
         df.write.options(**options).mode("overwrite").parquet(self.path(stage))
         return self.spark.read.schema(df.schema).parquet(self.path(stage))
 
+    def _folder(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *stages: str) -> None:
         for stage in stages:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(stage))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            at, fs = self._folder(self.path(stage))
+            fs.delete(at, True)
+
+    def keep_only(self, *stages: str) -> None:
+        """Drop every stage but these."""
+        at, fs = self._folder(self.root)
+        if fs.exists(at):
+            self.drop(*({f.getPath().getName() for f in fs.listStatus(at)} - set(stages)))
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
