@@ -54,6 +54,8 @@ COUNTS = 1 << 17
 BLOCK = 2048
 FANOUT = 32
 PAIRS_AT_ONCE = 4096
+#: Bits of the table that keeps texts from being read for nothing.
+SLOTS = 1 << 24
 
 
 class Rule:
@@ -336,21 +338,39 @@ def _search(cells: DataFrame, rule: Rule) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
-def _set_rows(docs: DataFrame, n: int) -> DataFrame:
+def _slots(ids: str):
+    return F.pmod(F.xxhash64(ids), F.lit(SLOTS)).cast("int")
+
+
+def _set_rows(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(fp, s) of the wanted classes (fp, id): the sets of the texts whose id
+    may be wanted by a bit table of fixed size, so that other texts are neither
+    hashed nor moved, then an exact semi-join on the fingerprint."""
+    spark = texts.sparkSession
+    bits = np.zeros(SLOTS // 64, np.int64)
+    slot = _slots("id")
+    words_set = wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word")) \
+        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("slot") % 64)).alias("bits"))
+    for word, value in words_set.collect():  # SLOTS / 64 rows at most
+        bits[word] = value
+    shared = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+
     def run(batches):
+        table = shared.value
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(table[batch.column(2).to_numpy()])))
             for at in range(0, batch.num_rows, 256):
                 fps, sets = [], []
                 for _, values in _sets(batch.slice(at, 256), n):
                     fps.append(_fingerprint(values) if len(values) else None)
                     sets.append(values.view(np.int64))
-                at_end = np.cumsum([0, *map(len, sets)])
-                flat = pa.array(np.concatenate(sets))
+                ends = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(at_end, pa.int32()), flat)],
-                    ["fp", "s"])
+                    [pa.array(fps, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["fp", "s"])
 
-    return docs.mapInArrow(run, "fp long, s array<long>")
+    found = texts.select("id", "text", slot.alias("slot")).mapInArrow(run, "fp long, s array<long>")
+    return found.join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
@@ -383,25 +403,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .where(rule.sizes(F.col("na"), F.col("n"))).select("anchor", "na", "pa", F.col("fp").alias("b"), "n", "point")
     alike = scratch.write(_bounded(paired, rule), "alike")
 
-    # sets of the points that any later comparison may need
-    counted = cells.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    wide = scratch.write(cells.select("h", "fp").join(counted.where("m > 2"), "h"), "wide")
-    active = alike.select(F.col("a").alias("fp")).unionByName(alike.select(F.col("b").alias("fp"))) \
-        .unionByName(wide.select("fp")).distinct()
-    wanted = classes.join(active, "fp", "left_semi").select(F.col("id").alias("want"))
-    sets = scratch.write(
-        _set_rows(texts.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi"), n)
-        .where("fp is not null").dropDuplicates(["fp"]), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        s = sets.select("fp", "s")
-        both = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         overlap = F.size(F.array_intersect("sa", "sb"))
-        return both.where(rule.enough(overlap, F.size("sa"), F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return both.where(rule.enough(overlap, F.size("sa"), F.size("sb"))) \
+            .select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        return classes.select("fp", "id").join(fps, "fp", "left_semi")
 
-    best = alike.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = scratch.write(verified(best), "links-1")
-    parts = components(links, scratch, "parts-1")
+    best = scratch.write(
+        alike.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "best")
+    sets = scratch.write(_set_rows(texts, ends(best), n), "sets-1")
+    parts = components(scratch.write(verified(best, sets), "links-1"), scratch, "parts-1")
 
     # points that an anchor didn't bring together
     def labelled(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -409,19 +424,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return df.join(p, col, "left").withColumn(name, F.coalesce(name, col))
 
     rest = labelled(labelled(alike.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    placed = labelled(wide, "fp", "c")
-    mixed = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    placed = labelled(cells.select("h", "fp"), "fp", "c")
+    mixed = placed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")) \
+        .where("m > 2 and c0 <> c1").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = placed.join(mixed, "h").withColumn("blocks", blocks).withColumn("block", block) \
-        .select("h", "fp", "c", "block", other).join(small, "fp") \
+    tiles = placed.join(mixed, "h").select("h", "fp", "c", block.alias("block"), other).join(small, "fp") \
         .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "c",
                 "n", "point")
     tiles = tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    more = rest.unionByName(_search(tiles, rule)).distinct().join(best, ["a", "b"], "left_anti")
-    links2 = scratch.write(verified(more).unionByName(parts), "links-2")
-    final = components(links2, scratch, "parts-2")
+    more = scratch.write(
+        rest.unionByName(_search(tiles, rule)).distinct().join(best, ["a", "b"], "left_anti"), "more")
+    late = _set_rows(texts, ends(more).join(sets, "fp", "left_anti"), n)
+    sets = sets.unionByName(scratch.write(late, "sets-2"))
+    final = components(scratch.write(verified(more, sets).unionByName(parts), "links-2"), scratch, "parts-2")
 
     named = classes.select("fp", "id").join(final.toDF("fp", "root"), "fp", "left") \
         .select("fp", "id", F.coalesce("root", "fp").alias("root"))
