@@ -350,7 +350,7 @@ def _set_rows(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     bits = np.zeros(SLOTS // 64, np.int64)
     slot = _slots("id")
     words_set = wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word")) \
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("slot") % 64)).alias("bits"))
+        .agg(F.expr("bit_or(shiftleft(1L, slot % 64)) AS bits"))
     for word, value in words_set.collect():  # SLOTS / 64 rows at most
         bits[word] = value
     shared = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
