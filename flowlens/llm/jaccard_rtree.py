@@ -19,9 +19,9 @@ How it runs on Spark:
    frequent (a fixed-size table of counts over all documents), so passages that
    many documents share come last and rarely make a cell. A frequent
    coordinate's cell is dealt out in parts of bounded size.
-3. Anchors: every point is compared with the most alike of its cells' anchors
-   (the cell's smallest fingerprint). That joins most of a group of copies by
-   as many comparisons as it has members.
+3. Anchors: every point is compared with its cells' anchors (the cell's
+   smallest fingerprint). That joins most of a group of copies by few
+   comparisons for each member.
 4. Cells that still hold several components are searched with an R-tree
    bulk-loaded over their points, in blocks of bounded size; pairs inside a
    component are not looked at again.
@@ -51,7 +51,7 @@ GROUPS = 256
 #: Entries of the table of coordinate counts that gives their order.
 COUNTS = 1 << 17
 #: Points of one block of the search in a cell.
-BLOCK = 2048
+BLOCK = 1024
 FANOUT = 32
 PAIRS_AT_ONCE = 4096
 #: Bits of the table that keeps texts from being read for nothing.
@@ -220,7 +220,7 @@ def members(dealt: DataFrame) -> DataFrame:
 
 def _bounded(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs with points (a, na, pa, b, nb, pb) -> those whose summed minima
-    reach the wanted overlap, with the bound."""
+    reach the wanted overlap."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
@@ -230,10 +230,9 @@ def _bounded(pairs: DataFrame, rule: Rule) -> DataFrame:
                 bound = _minima(x, y, na, nb)
                 keep = np.flatnonzero(rule.enough(bound, na, nb))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep)), part.column(3).take(pa.array(keep)),
-                     pa.array(bound[keep] / np.maximum(na, nb)[keep])], ["a", "b", "bound"])
+                    [part.column(0).take(pa.array(keep)), part.column(3).take(pa.array(keep))], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long, bound double")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _minima(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -265,7 +264,8 @@ class RTree:
         return np.arange(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][1])))
 
     def pairs(self, other: RTree, rule: Rule):
-        """Index pairs (of the given rows) whose bound reaches the wanted overlap."""
+        """Index pairs (of the given rows) whose bound reaches the wanted
+        overlap, with the bound's share of both sizes."""
         stack = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
         while stack:
             la, a, lb, b = stack.pop()
@@ -283,32 +283,63 @@ class RTree:
                 & (100 * highb[right][None] >= rule.percent * lowa[left][:, None])
             i, j = np.nonzero(least & fits)
             if la == 0 and lb == 0:
-                yield self.order[left[i]], other.order[right[j]]
+                share = bound[i, j] / (lowa[left[i]] + lowb[right[j]])
+                yield self.order[left[i]], other.order[right[j]], share
             else:
                 stack += [(la, int(p), lb, int(q)) for p, q in zip(left[i], right[j])]
 
 
-def _search(cells: DataFrame, rule: Rule) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Indices of pairs that span what all pairs (of labels a and b) connect,
+    for every part the pair of largest share first."""
+    labels = np.unique(np.concatenate([a, b]))
+    a, b = np.searchsorted(labels, a), np.searchsorted(labels, b)
+    part, chosen = np.arange(len(labels)), []
+    order = np.argsort(-share, kind="stable")
+    while len(order := order[part[a[order]] != part[b[order]]]):
+        ends = np.concatenate([part[a[order]], part[b[order]]])
+        which = np.concatenate([np.arange(len(order))] * 2)
+        rank = np.lexsort((which, ends))
+        firsts = which[rank[np.flatnonzero(np.diff(ends[rank], prepend=-1))]]
+        for k in order[np.unique(firsts)]:
+            x, y = part[a[k]], part[b[k]]
+            if x != y:
+                part[part == max(x, y)] = min(x, y)
+                chosen.append(k)
+    return np.array(chosen, np.int64)
+
+
+def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
     """Rows (h, i, j, block, fp, c, n, point) sorted by (h, i, j): the points of
     blocks i and j of cell h, c their component. Pairs of points in different
-    components that the trees of the two blocks leave."""
+    components that the trees of the two blocks leave, or as many of them
+    (likeliest first) as would make one of what they connect."""
     def joined(rows: list) -> list:
         block, fp, c, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
         vectors = np.concatenate([r[4] for r in rows])
-        low = block.min()
-        one, two = np.flatnonzero(block == low), np.flatnonzero(block != low)
+        one = np.flatnonzero(block == block.min())
+        two = np.flatnonzero(block != block.min())
+        own = not len(two)
         tree = RTree(vectors[one], n[one])
-        found = tree.pairs(tree, rule) if not len(two) else tree.pairs(RTree(vectors[two], n[two]), rule)
         out = []
-        for x, y in found:
-            a, b = one[x], (two if len(two) else one)[y]
-            differ = (c[a] != c[b]) & ((fp[a] < fp[b]) if not len(two) else True)
-            a, b = a[differ], b[differ]
-            out.append(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])]))
-        return out
+        for x, y, share in tree.pairs(tree if own else RTree(vectors[two], n[two]), rule):
+            a, b = one[x], (one if own else two)[y]
+            keep = (c[a] != c[b]) & ((fp[a] < fp[b]) if own else True)
+            out.append((a[keep], b[keep], share[keep]))
+        if not out:
+            return out
+        a, b, share = (np.concatenate(x) for x in zip(*out))
+        if spanning and len(a):
+            few = _forest(c[a], c[b], share)
+            a, b = a[few], b[few]
+        return [np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])])]
+
+    def pairs(found: list) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches):
-        key, held, found, rows_found = None, [], [], 0
+        key, held, found = None, [], []
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
             turns = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
@@ -322,18 +353,13 @@ def _search(cells: DataFrame, rule: Rule) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 held.append([part.column(i).to_numpy().astype(np.int64) for i in range(3, 7)]
                             + [_binary(part.column(7), np.uint8).reshape(-1, GROUPS)])
-            rows_found = sum(f.shape[1] for f in found)
-            if rows_found > 100_000:
-                yield _pairs(found)
+            if sum(f.shape[1] for f in found) > 100_000:
+                yield pairs(found)
                 found = []
         if held:
             found += joined(held)
         if found:
-            yield _pairs(found)
-
-    def _pairs(found: list) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            yield pairs(found)
 
     return cells.mapInArrow(run, "a long, b long")
 
@@ -373,6 +399,23 @@ def _set_rows(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
 
 
+def _tiles(cells: DataFrame, parts: DataFrame, small: DataFrame) -> DataFrame:
+    """Cells of three points or more in several components, dealt out in pairs
+    of blocks; one cell of those with the same points."""
+    label = parts.select(F.col("u").alias("fp"), F.col("v").alias("c"))
+    placed = cells.select("h", "fp").join(label, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    mixed = placed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"),
+                                    F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("same")) \
+        .where("m > 2 and c0 <> c1").groupBy("m", "same").agg(F.min("h").alias("h")) \
+        .select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return placed.join(mixed, "h").select("h", "fp", "c", block.alias("block"), other).join(small, "fp") \
+        .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "c",
+                "n", "point") \
+        .repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                        percent: int = 75) -> DataFrame:
     """One row (id, n_shingles, component_id) per row of `docs`: the size of its
@@ -413,33 +456,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
         return classes.select("fp", "id").join(fps, "fp", "left_semi")
 
-    best = scratch.write(
-        alike.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "best")
-    sets = scratch.write(_set_rows(texts, ends(best), n), "sets-1")
-    parts = components(scratch.write(verified(best, sets), "links-1"), scratch, "parts-1")
-
-    # points that an anchor didn't bring together
-    def labelled(df: DataFrame, col: str, name: str) -> DataFrame:
-        p = parts.select(F.col("u").alias(col), F.col("v").alias(name))
-        return df.join(p, col, "left").withColumn(name, F.coalesce(name, col))
-
-    rest = labelled(labelled(alike.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    placed = labelled(cells.select("h", "fp"), "fp", "c")
-    mixed = placed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")) \
-        .where("m > 2 and c0 <> c1").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = placed.join(mixed, "h").select("h", "fp", "c", block.alias("block"), other).join(small, "fp") \
-        .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "c",
-                "n", "point")
-    tiles = tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    more = scratch.write(
-        rest.unionByName(_search(tiles, rule)).distinct().join(best, ["a", "b"], "left_anti"), "more")
-    late = _set_rows(texts, ends(more).join(sets, "fp", "left_anti"), n)
-    sets = sets.unionByName(scratch.write(late, "sets-2"))
-    final = components(scratch.write(verified(more, sets).unionByName(parts), "links-2"), scratch, "parts-2")
-
-    named = classes.select("fp", "id").join(final.toDF("fp", "root"), "fp", "left") \
+    tested, sets = alike, scratch.write(_set_rows(texts, ends(alike), n), "sets-1")
+    parts = components(scratch.write(verified(alike, sets), "links-1"), scratch, "parts-1")
+    for turn, spanning in ((2, True), (3, False)):  # what anchors didn't bring together: likely links, then all others
+        tiles = _tiles(cells, parts, small)
+        found = _search(tiles, rule, spanning).distinct().join(tested, ["a", "b"], "left_anti")
+        found = scratch.write(found, f"found-{turn}")
+        late = _set_rows(texts, ends(found).join(sets, "fp", "left_anti"), n)
+        sets = sets.unionByName(scratch.write(late, f"sets-{turn}"))
+        links = scratch.write(verified(found, sets).unionByName(parts), f"links-{turn}")
+        parts = components(links, scratch, f"parts-{turn}")
+        tested = tested.unionByName(found)
+
+    named = classes.select("fp", "id").join(parts.toDF("fp", "root"), "fp", "left") \
         .select("fp", "id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     owner = named.join(lowest, "root").select("fp", "component_id")
