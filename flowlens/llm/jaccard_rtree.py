@@ -16,15 +16,17 @@ How it runs on Spark:
    n - ceil(t n) + 1 coordinates of each, for any order of the coordinates, as
    the minima over the others sum to less than the wanted overlap. A cell holds
    the points with one such coordinate. Coordinates are ordered from rare to
-   frequent (a fixed-size table of counts over all documents), so passages that
-   many documents share come last and rarely make a cell. A frequent
-   coordinate's cell is dealt out in parts of bounded size.
+   frequent (fixed-size tables of shingle and word counts over all documents),
+   so passages that many documents share and runs of common words come last and
+   rarely make a cell. A frequent coordinate's cell is dealt out in parts of
+   bounded size.
 3. Anchors: every point is compared with its cells' anchors (the cell's
    smallest fingerprint). That joins most of a group of copies by few
    comparisons for each member.
 4. Cells that still hold several components are searched with an R-tree
-   bulk-loaded over their points, in blocks of bounded size; pairs inside a
-   component are not looked at again.
+   bulk-loaded over their points, in blocks of bounded size: first for the
+   likeliest links between components, then, where there were any, for all
+   pairs that the bound leaves between the components that remain.
 5. Surviving pairs are verified on the whole sets, and components follow.
 
 Defined results: null, empty and blank texts have no shingles, size 0 and are
@@ -46,10 +48,12 @@ from flowlens.llm.components import components
 from flowlens.llm.text import U, groups, shingle_sets, utf8, words
 from flowlens.session import Scratch, configure
 
-#: Groups of a point; a count is one byte, 255 meaning "at least that many".
+#: Least groups of a point; longer sets have more (a power of two, so that a
+#: count is about 4 at most). A count is one byte, 255 meaning "at least that".
 GROUPS = 256
-#: Entries of the table of coordinate counts that gives their order.
+#: Entries of the tables of shingle and word counts that give the coordinates' order.
 COUNTS = 1 << 17
+WORD_COUNTS = 1 << 16
 #: Points of one block of the search in a cell.
 BLOCK = 1024
 FANOUT = 32
@@ -77,34 +81,54 @@ class Rule:
 
 
 def _point(values: np.ndarray) -> np.ndarray:
-    counts = np.bincount((values & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return counts.astype(np.uint8) if counts.max(initial=0) < 255 else np.full(GROUPS, 255, np.uint8)
+    groups_of = max(GROUPS, 1 << max(0, (len(values) // 4 - 1)).bit_length())
+    counts = np.bincount((values & U(groups_of - 1)).astype(np.int64), minlength=groups_of)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def _folded(vectors: np.ndarray, groups_of: int) -> np.ndarray:
+    """The same points over fewer groups."""
+    if vectors.shape[1] == groups_of:
+        return vectors
+    return np.minimum(vectors.reshape(len(vectors), -1, groups_of).sum(1, dtype=np.int64), 255).astype(np.uint8)
+
+
+def _minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed minima over the last axis; without limit where both counts of a
+    group are cut off at 255."""
+    low = np.minimum(x, y)
+    total = low.sum(-1, dtype=np.int64)
+    if low.size and low.max() == 255:
+        total[low.max(-1) == 255] = np.iinfo(np.int32).max
+    return total
 
 
 def _fingerprint(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
-def _sets(batch: pa.RecordBatch, n: int):
-    """(row, distinct shingle hashes in order) of the second column's texts."""
+def _sets(batch: pa.RecordBatch, n: int, weight: np.ndarray | None = None, word_counts: np.ndarray | None = None):
+    """Distinct shingle hashes in order, and their weights, of the second
+    column's texts; words are added up in `word_counts`."""
     data, offsets = utf8(batch.column(1))
     for i, j in groups(offsets):
-        for k, values in enumerate(shingle_sets(words(data, offsets[i:j + 1]), n), i):
-            yield k, values
+        w = words(data, offsets[i:j + 1])
+        if word_counts is not None:
+            word_counts += np.bincount((w.hash & U(WORD_COUNTS - 1)).astype(np.int64), minlength=WORD_COUNTS)
+        yield from shingle_sets(w, n, weight)
 
 
 def _bytes_column(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.tobytes() if r is not None else None for r in rows], pa.binary())
 
 
-def _binary(column: pa.Array, dtype) -> np.ndarray:
-    """The concatenated values of a binary column."""
+def _vectors(column: pa.Array) -> list[np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, at, data = column.buffers()
-    o = np.frombuffer(at, np.int32)
-    lo, hi = int(o[column.offset]), int(o[column.offset + len(column)])
-    return np.frombuffer(data, np.uint8)[lo:hi].view(dtype) if hi > lo else np.zeros(0, dtype)
+    at = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [data[x:y] for x, y in zip(at[:-1], at[1:])]
 
 
 POINTS = "id long, fp long, n int, point binary, bucket int, cnt long"
@@ -114,10 +138,10 @@ def points(docs: DataFrame, n: int) -> DataFrame:
     """(id, fp, n, point) of every row, and the counts of the coordinates'
     buckets as rows (bucket, cnt) of each task."""
     def run(batches):
-        counts = np.zeros(COUNTS, np.int64)
+        counts, word_counts = np.zeros(COUNTS, np.int64), np.zeros(WORD_COUNTS, np.int64)
         for batch in batches:
             fps, sizes, vectors = [], [], []
-            for _, values in _sets(batch, n):
+            for values, _ in _sets(batch, n, word_counts=word_counts):
                 np.add.at(counts, (values >> U(47)).astype(np.int64), 1)
                 fps.append(_fingerprint(values) if len(values) else None)
                 sizes.append(len(values))
@@ -126,6 +150,7 @@ def points(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _bytes_column(vectors),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], ["id", "fp", "n", "point", "bucket", "cnt"])
+        counts = np.concatenate([counts, word_counts])
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 10_000):
             part = used[at:at + 10_000]
@@ -143,26 +168,30 @@ ENTRIES = "h long, part int, hot boolean, fp long"
 def entries(docs: DataFrame, n: int, rule: Rule, counts: np.ndarray) -> DataFrame:
     """(h, fp) for the first coordinates of each set, rare ones first; `part`
     deals out the cell of a frequent coordinate."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    limit = 4096 + 4 * (int(counts.sum()) // COUNTS)
+    mean = int(counts[:COUNTS].sum()) // COUNTS
+    limit = 4096 + 4 * mean
+    # far above what chance makes of a table entry, in steps of that; below, what its words tell
+    level = np.maximum(0, counts[:COUNTS] - mean) // (1 + 4 * int(mean ** 0.5))
+    shared = docs.sparkSession.sparkContext.broadcast((level, 1 + counts[:COUNTS] // limit, np.log2(1.0 + counts[COUNTS:])))
 
     def run(batches):
-        order, seen = shared.value, set()
+        (levels, split, weight), seen = shared.value, set()
         for batch in batches:
-            hs, cs, fps, lengths = [], [], [], []
-            for _, values in _sets(batch, n):
+            hs, ps, fps, lengths = [], [], [], []
+            for values, often in _sets(batch, n, weight):
                 if not len(values) or (fp := _fingerprint(values)) in seen:
                     continue
                 seen.add(fp)
-                often = order[(values >> U(47)).astype(np.int64)]
-                first = np.argsort(often, kind="stable")[:rule.prefix(len(values))]
+                entry = (values >> U(47)).astype(np.int64)
+                rank = levels[entry] * 4096 + np.rint(often * 4).astype(np.int64)
+                first = np.argsort(rank, kind="stable")[:rule.prefix(len(values))]
                 hs.append(values[first])
-                cs.append(often[first])
+                ps.append(split[entry[first]])
                 fps.append(fp)
                 lengths.append(len(first))
             if hs:
                 owner = np.repeat(np.array(fps, np.int64), lengths)
-                parts = 1 + np.concatenate(cs) // limit
+                parts = np.concatenate(ps)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(hs).view(np.int64)),
                      pa.array((owner.view(U) % parts.astype(U)).astype(np.int32)),
@@ -226,21 +255,20 @@ def _bounded(pairs: DataFrame, rule: Rule) -> DataFrame:
             for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
                 part = batch.slice(at, PAIRS_AT_ONCE)
                 na, nb = (part.column(i).to_numpy().astype(np.int64) for i in (1, 4))
-                x, y = (_binary(part.column(i), np.uint8).reshape(-1, GROUPS) for i in (2, 5))
-                bound = _minima(x, y, na, nb)
-                keep = np.flatnonzero(rule.enough(bound, na, nb))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep)), part.column(3).take(pa.array(keep))], ["a", "b"])
+                x, y = _vectors(part.column(2)), _vectors(part.column(5))
+                shape = np.array([min(len(p), len(q)) for p, q in zip(x, y)])
+                wide = np.array([max(len(p), len(q)) for p, q in zip(x, y)])
+                keep = np.zeros(len(shape), bool)
+                for g, h in set(zip(shape.tolist(), wide.tolist())):
+                    rows = np.flatnonzero((shape == g) & (wide == h))
+                    one, two = (np.stack([_folded(v[k][None], g)[0] for k in rows]) for v in (x, y))
+                    keep[rows] = rule.enough(_minima(one, two), na[rows], nb[rows])
+                keep = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(3).take(keep)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _minima(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    total = np.minimum(x, y).sum(-1, dtype=np.int64)
-    full = (x.min(-1) == 255) & (y.min(-1) == 255)  # counts that one byte can't hold
-    return np.where(full, np.minimum(na, nb), total)
-
-
 class RTree:
     """Bulk-loaded R-tree over count vectors (sort-tile: by size, then by the
     coordinate that varies most within the tile). `pairs` joins two trees."""
@@ -248,16 +276,16 @@ class RTree:
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
         order = np.argsort(sizes, kind="stable")
         tile = FANOUT * FANOUT
-        for at in range(0, len(order), tile):
+        for at in range(0, len(order) if len(order) > FANOUT else 0, tile):
             part = order[at:at + tile]
             axis = int(np.argmax(vectors[part].astype(np.float32).var(0)))
             order[at:at + tile] = part[np.argsort(vectors[part, axis], kind="stable")]
-        self.order, self.vectors, self.sizes = order, vectors[order], sizes[order]
-        self.levels = [(np.arange(len(order)), self.vectors, self.sizes, self.sizes)]
-        while len(self.levels[-1][0]) > 1 or len(self.levels) == 1:
-            _, top, low, high = self.levels[-1]
+        self.order, sizes = order, sizes[order]
+        self.levels = [(vectors[order], sizes, sizes)]
+        while len(self.levels[-1][1]) > FANOUT:
+            top, low, high = self.levels[-1]
             cuts = np.arange(0, len(top), FANOUT)
-            self.levels.append((cuts, np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts),
+            self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts),
                                 np.maximum.reduceat(high, cuts)))
 
     def _children(self, level: int, node: int) -> np.ndarray:
@@ -266,27 +294,24 @@ class RTree:
     def pairs(self, other: RTree, rule: Rule):
         """Index pairs (of the given rows) whose bound reaches the wanted
         overlap, with the bound's share of both sizes."""
-        stack = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
+        la, lb = len(self.levels) - 1, len(other.levels) - 1
+        stack = [(la, np.arange(len(self.levels[la][1])), lb, np.arange(len(other.levels[lb][1])))]
         while stack:
-            la, a, lb, b = stack.pop()
-            if la >= lb:
-                left, right, la = self._children(la, a), np.array([b]), la - 1
-            else:
-                left, right, lb = np.array([a]), other._children(lb, b), lb - 1
-            _, va, lowa, higha = self.levels[la]
-            _, vb, lowb, highb = other.levels[lb]
-            x, y = va[left][:, None], vb[right][None]
-            bound = np.minimum(x, y).sum(-1, dtype=np.int64)
-            full = (x.max(-1) == 255) & (y.max(-1) == 255)
-            least = rule.enough(bound, lowa[left][:, None], lowb[right][None]) | full
+            la, left, lb, right = stack.pop()
+            (va, lowa, higha), (vb, lowb, highb) = self.levels[la], other.levels[lb]
             fits = (100 * higha[left][:, None] >= rule.percent * lowb[right][None]) \
                 & (100 * highb[right][None] >= rule.percent * lowa[left][:, None])
-            i, j = np.nonzero(least & fits)
+            i, j = np.nonzero(fits)
+            bound = np.concatenate([np.zeros(0, np.int64)] + [
+                _minima(va[left[i[at:at + 4096]]], vb[right[j[at:at + 4096]]]) for at in range(0, len(i), 4096)])
+            least = rule.enough(bound, lowa[left[i]], lowb[right[j]])
+            i, j, bound = left[i[least]], right[j[least]], bound[least]
             if la == 0 and lb == 0:
-                share = bound[i, j] / (lowa[left[i]] + lowb[right[j]])
-                yield self.order[left[i]], other.order[right[j]], share
+                yield self.order[i], other.order[j], bound / (lowa[i] + lowb[j])
             else:
-                stack += [(la, int(p), lb, int(q)) for p, q in zip(left[i], right[j])]
+                for p, q in zip(i.tolist(), j.tolist()):
+                    stack.append((max(0, la - 1), self._children(la, p) if la else np.array([p]),
+                                  max(0, lb - 1), other._children(lb, q) if lb else np.array([q])))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -314,54 +339,68 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
     blocks i and j of cell h, c their component. Pairs of points in different
     components that the trees of the two blocks leave, or as many of them
     (likeliest first) as would make one of what they connect."""
-    def joined(rows: list) -> list:
+    def trees(rows: np.ndarray, vectors: list[np.ndarray], n: np.ndarray) -> dict[int, tuple]:
+        """By their number of groups, and folded to half of it."""
+        out = {}
+        for g in {len(vectors[r]) for r in rows}:
+            own = np.array([r for r in rows if len(vectors[r]) == g])
+            full = np.stack([vectors[r] for r in own])
+            out[g] = own, RTree(full, n[own]), RTree(_folded(full, g // 2), n[own]) if g > GROUPS else None
+        return out
+
+    def joined(h: int, rows: list) -> list:
         block, fp, c, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
-        vectors = np.concatenate([r[4] for r in rows])
-        one = np.flatnonzero(block == block.min())
-        two = np.flatnonzero(block != block.min())
-        own = not len(two)
-        tree = RTree(vectors[one], n[one])
+        vectors = [v for r in rows for v in r[4]]
+        low = block == block.min()
+        one = trees(np.flatnonzero(low), vectors, n)
+        own = bool(low.all())
+        two = one if own else trees(np.flatnonzero(~low), vectors, n)
         out = []
-        for x, y, share in tree.pairs(tree if own else RTree(vectors[two], n[two]), rule):
-            a, b = one[x], (one if own else two)[y]
-            keep = (c[a] != c[b]) & ((fp[a] < fp[b]) if own else True)
-            out.append((a[keep], b[keep], share[keep]))
+        for g, (ra, full, _) in one.items():  # linked sets differ by one step of the number of groups at most
+            for k, x, y in ((g, full, 1), (2 * g, full, 2), (g // 2, one[g][2], 1)):
+                if k not in two or (own and k < g) or x is None:
+                    continue
+                rb = two[k][0]
+                for i, j, share in x.pairs(two[k][y], rule):
+                    i, j = ra[i], rb[j]
+                    keep = (c[i] != c[j]) & ((fp[i] < fp[j]) if own and k == g else True)
+                    out.append((i[keep], j[keep], share[keep]))
         if not out:
             return out
         a, b, share = (np.concatenate(x) for x in zip(*out))
         if spanning and len(a):
             few = _forest(c[a], c[b], share)
             a, b = a[few], b[few]
-        return [np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])])]
+        return [np.stack([np.full(len(a), h), np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])])]
 
     def pairs(found: list) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        h, a, b = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(a), pa.array(b)], ["h", "a", "b"])
 
     def run(batches):
         key, held, found = None, [], []
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
             turns = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            rest = [batch.column(i).to_numpy().astype(np.int64) for i in range(3, 7)]
+            vectors = _vectors(batch.column(7))
             for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
                 if hi == lo:
                     continue
                 if key != (now := tuple(keys[:, lo].tolist())):
                     if held:
-                        found += joined(held)
+                        found += joined(key[0], held)
                     key, held = now, []
-                part = batch.slice(lo, hi - lo)
-                held.append([part.column(i).to_numpy().astype(np.int64) for i in range(3, 7)]
-                            + [_binary(part.column(7), np.uint8).reshape(-1, GROUPS)])
+                held.append([c[lo:hi] for c in rest] + [vectors[lo:hi]])
             if sum(f.shape[1] for f in found) > 100_000:
                 yield pairs(found)
                 found = []
         if held:
-            found += joined(held)
+            found += joined(key[0], held)
         if found:
             yield pairs(found)
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(run, "h long, a long, b long")
 
 
 def _slots(ids: str):
@@ -387,7 +426,7 @@ def _set_rows(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             batch = batch.take(pa.array(np.flatnonzero(table[batch.column(2).to_numpy()])))
             for at in range(0, batch.num_rows, 256):
                 fps, sets = [], []
-                for _, values in _sets(batch.slice(at, 256), n):
+                for values, _ in _sets(batch.slice(at, 256), n):
                     fps.append(_fingerprint(values) if len(values) else None)
                     sets.append(values.view(np.int64))
                 ends = np.cumsum([0, *map(len, sets)])
@@ -427,8 +466,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     first = scratch.write(points(texts, n), "points")
     table = first.where("bucket is not null").groupBy("bucket").agg(F.sum("cnt").alias("cnt"))
-    counts = np.zeros(COUNTS, np.int64)
-    for row in table.collect():  # COUNTS rows at most
+    counts = np.zeros(COUNTS + WORD_COUNTS, np.int64)
+    for row in table.collect():  # as many rows at most
         counts[row[0]] = row[1]
     rows = first.where("bucket is null")
     classes = scratch.write(
@@ -441,9 +480,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = cells.select("anchor", "fp").unionByName(
         cells.where("hot").join(tops, "h").select(F.col("top").alias("anchor"), F.col("anchor").alias("fp")))
     near = near.where("anchor <> fp").distinct()
-    small = classes.select("fp", "n", "point")
-    paired = near.join(small.toDF("anchor", "na", "pa"), "anchor").join(small, "fp") \
-        .where(rule.sizes(F.col("na"), F.col("n"))).select("anchor", "na", "pa", F.col("fp").alias("b"), "n", "point")
+    small, sizes = classes.select("fp", "n", "point"), classes.select("fp", "n")
+    fitting = near.join(sizes.toDF("anchor", "na"), "anchor").join(sizes, "fp") \
+        .where(rule.sizes(F.col("na"), F.col("n"))).select("anchor", "fp")
+    paired = fitting.join(small.toDF("anchor", "na", "pa"), "anchor").join(small, "fp") \
+        .select("anchor", "na", "pa", F.col("fp").alias("b"), "n", "point")
     alike = scratch.write(_bounded(paired, rule), "alike")
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -458,15 +499,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     tested, sets = alike, scratch.write(_set_rows(texts, ends(alike), n), "sets-1")
     parts = components(scratch.write(verified(alike, sets), "links-1"), scratch, "parts-1")
+    searched = cells
     for turn, spanning in ((2, True), (3, False)):  # what anchors didn't bring together: likely links, then all others
-        tiles = _tiles(cells, parts, small)
-        found = _search(tiles, rule, spanning).distinct().join(tested, ["a", "b"], "left_anti")
-        found = scratch.write(found, f"found-{turn}")
-        late = _set_rows(texts, ends(found).join(sets, "fp", "left_anti"), n)
+        found = scratch.write(_search(_tiles(searched, parts, small), rule, spanning), f"found-{turn}")
+        fresh = scratch.write(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"fresh-{turn}")
+        late = _set_rows(texts, ends(fresh).join(sets, "fp", "left_anti"), n)
         sets = sets.unionByName(scratch.write(late, f"sets-{turn}"))
-        links = scratch.write(verified(found, sets).unionByName(parts), f"links-{turn}")
+        links = scratch.write(verified(fresh, sets).unionByName(parts), f"links-{turn}")
         parts = components(links, scratch, f"parts-{turn}")
-        tested = tested.unionByName(found)
+        tested = tested.unionByName(fresh)
+        searched = cells.join(found.select("h").distinct(), "h", "left_semi")  # no other cell has a pair that is left
 
     named = classes.select("fp", "id").join(parts.toDF("fp", "root"), "fp", "left") \
         .select("fp", "id", F.coalesce("root", "fp").alias("root"))

@@ -131,19 +131,29 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
     return Words(start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, offsets, "left"))
 
 
-def shingle_sets(w: Words, n: int = 5) -> Iterator[np.ndarray]:
-    """For each document the sorted distinct hashes of its n-word shingles;
-    with fewer words the whole sequence is one, without words there is none."""
+def shingle_sets(w: Words, n: int = 5, weight: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each document the sorted distinct hashes of its n-word shingles and
+    the sums of their words' weights (by the low bits of a word's hash); with
+    fewer words the whole sequence is one shingle, without words there is none."""
     m = len(w.hash) - n + 1
     if m > 0:
         acc = w.hash[:m] * _POSITION[0]
         for j in range(1, n):
             acc = acc + w.hash[j:j + m] * _POSITION[j]
         acc = mix(acc)
+    total = None
+    if weight is not None:
+        total = np.zeros(len(w.hash) + 1)
+        np.cumsum(weight[(w.hash & U(len(weight) - 1)).astype(np.int64)], out=total[1:])
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= n:
-            yield np.unique(acc[a:b - n + 1])
+            if total is None:
+                yield np.unique(acc[a:b - n + 1]), None
+            else:
+                values, at = np.unique(acc[a:b - n + 1], return_index=True)
+                yield values, total[a + n:b + 1][at] - total[a:b - n + 1][at]
         elif b > a:
-            yield mix((w.hash[a:b] * _POSITION[:b - a]).sum(dtype=U, keepdims=True) + np.array([b - a], U) * _LENGTH)
+            short = mix((w.hash[a:b] * _POSITION[:b - a]).sum(dtype=U, keepdims=True) + np.array([b - a], U) * _LENGTH)
+            yield short, None if total is None else total[b:b + 1] - total[a:a + 1]
         else:
-            yield np.zeros(0, U)
+            yield np.zeros(0, U), None if total is None else np.zeros(0)
