@@ -86,8 +86,11 @@ def as_text(vector: Column) -> Column:
 def _signs(vector: Column) -> Column:
     """The 60 sums of +1 / -1: twice the count of set bits less the paragraphs."""
     packed = F.slice(vector, WORDS + 1, SHIFTS)
-    fields = [F.transform(packed, lambda x, s=s: F.shiftright(x, s).bitwiseAND(_long(_FIELD))) for s in (0, 20, 40)]
-    return F.transform(F.concat(*fields), lambda c: _long(2) * c - vector[LANES - 1])
+
+    def fields(shift: int) -> Column:
+        return F.transform(packed, lambda x: F.shiftright(x, shift).bitwiseAND(_long(_FIELD)))
+
+    return F.transform(F.concat(fields(0), fields(20), fields(40)), lambda c: _long(2) * c - vector[LANES - 1])
 
 
 def _square(values: Column) -> Column:
@@ -124,7 +127,7 @@ def with_next(docs: DataFrame, id_col: str, order: list[Column], columns: list[s
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))
-    at = docs.agg(F.percentile_approx(id_col, shares, F.lit(100 * ranges)).alias("s"), F.max(id_col).alias("top")).first()
+    at = docs.agg(F.percentile_approx(id_col, shares, F.lit(20 * ranges)).alias("s"), F.max(id_col).alias("top")).first()
     splitters = sorted(set(at["s"] or []))
     ids = F.col(id_col)
     # a row at a splitter is the largest of its range and follows the range above; the first row follows the lowest

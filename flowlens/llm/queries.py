@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowlens.llm import pii
+from flowlens.llm.content_dedup import content_duplicates
+from flowlens.llm.fingerprints import fingerprint_edits
 from flowlens.llm.jaccard_rtree import jaccard_components
-from flowlens.session import configure
+from flowlens.llm.rule_ensemble import held_out, quality_model
+from flowlens.session import Scratch, configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +35,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SIGNS = (1 << 0) | (1 << 20) | (1 << 40)
+_SUMS = [f"list_sum(list_transform(d, lambda x: CAST('0x' || substr(x, {1 + 15 * i}, 15) AS BIGINT)))" for i in range(4)]
+_SUMS += [f"list_sum(list_transform(d, lambda x: (CAST('0x' || substr(x, 1, 15) AS BIGINT) >> {k}) & {_SIGNS}))"
+          for k in range(20)]
+
+
+def _vector_sql(name: str, of: str) -> str:
+    lanes = ", ".join(f"CAST(({s}) % {1 << 60} AS BIGINT)" for s in _SUMS)
+    return (f"{name} AS (SELECT doc_id, [{lanes}, len(d)] AS v FROM (SELECT doc_id, "
+            f"list_transform(string_split({of}, chr(10)), lambda p: sha256(p)) AS d FROM edited))")
+
+
+def _signs_sql(v: str) -> str:
+    return (f"list_transform(range(0, 60), lambda j: 2 * (({v}[5 + j % 20] >> (20 * (j // 20))) & 1048575) - {v}[25])")
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    x, y = _signs_sql(a), _signs_sql(b)
+    apart = f"list_sum(list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    total = " + ".join(f"list_sum(list_transform({s}, lambda z: z * z))" for s in (x, y))
+    return (f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST({apart} AS DOUBLE) "
+            f"/ CAST(greatest({total}, 1) AS DOUBLE)) END")
+
+
+def _hex_sql(v: str) -> str:
+    return f"array_to_string(list_transform({v}, lambda x: format('{{:015x}}', x)), '')"
+
+
+FINGERPRINT_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+nx AS (SELECT doc_id, t, length(t) AS n, lead(doc_id) OVER w AS next_id, lead(t) OVER w AS next_t,
+              first_value(doc_id) OVER w AS first_id, first_value(t) OVER w AS first_t
+       FROM t WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edited AS (SELECT doc_id, t, n, coalesce(next_id, first_id) AS next_id,
+                  substr(t, 1, n - n // 2) || substr(coalesce(next_t, first_t), 1, n // 2) AS e FROM nx),
+{_vector_sql('own', 't')}, {_vector_sql('changed', 'e')}
+SELECT e.doc_id, e.n AS n_chars, sha256(e.e) AS edited_sha256, {_hex_sql('o.v')} AS fingerprint,
+       {_hex_sql('c.v')} AS edited_fingerprint, {_likeness_sql('o.v', 'c.v')} AS near_edited,
+       {_likeness_sql('o.v', 'x.v')} AS near_next
+FROM edited e JOIN own o ON o.doc_id = e.doc_id JOIN changed c ON c.doc_id = e.doc_id JOIN own x ON x.doc_id = e.next_id"""
+
+
+@register("op1_document_fingerprints", FINGERPRINT_SQL)
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@register("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@register("op4_exact_dedup", f"""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(body) AS text_sha256
+FROM (SELECT doc_id, {FOLD} AS body FROM documents) WINDOW w AS (PARTITION BY body)""")
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules, stats = quality_model(docs, labels, Scratch(spark, "quality"))
+    scored = stats.select("doc_id", held_out("doc_id").alias("held_out"), rules.score("stats").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 COMPONENTS_SQL = f"""
 w AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 sh AS (
