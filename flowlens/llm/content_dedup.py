@@ -1,11 +1,13 @@
 """Exact deduplication by a distributed sort of the normalised contents.
 
 Texts are folded (A-Z to a-z), range-partitioned by Spark's sampled splitters
-on the folded bytes and sorted externally, so that equal texts are neighbours;
-the window over equal neighbours compares whole texts and names the row that
-stays. Texts that fill a large share of a range are found first by their
-digests (a partial aggregate; at most `4 x ranges` of them by construction) and
-sorted in several parts, whose results are joined by digest afterwards.
+on the first HEAD code points of the folded text and, where many texts begin
+alike, its digest (so that the sampled keys stay short), and sorted externally,
+so that equal texts are neighbours; the window over equal neighbours compares
+whole texts and names the row that stays. Texts that fill a large share of a
+range are found first by their digests (a partial aggregate; at most
+`4 x ranges` of them by construction) and sorted in several parts, whose
+results are joined by digest afterwards.
 
 All of it is DataFrame operations.
 
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from flowlens.session import Scratch, configure
 
+HEAD = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,9 +47,10 @@ def content_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = F.coalesce(F.ceil(F.col("copies") / per_part).cast("int"), F.lit(1))
     dealt = rows.join(F.broadcast(heavy), "text_sha256", "left") \
         .withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), parts), F.lit(0)).cast("int")) \
-        .repartitionByRange(ranges, "body", "part")
+        .withColumn("head_of", F.substring("body", 1, HEAD)) \
+        .repartitionByRange(ranges, "head_of", "text_sha256", "part")
     first = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    equal = Window.partitionBy("body", "part")
+    equal = Window.partitionBy("head_of", "text_sha256", "body", "part")
     sorted_rows = scratch.write(
         dealt.select("id", "text_sha256", F.col("copies").isNotNull().alias("split"),
                      F.first("id").over(equal.orderBy(first)).alias("head"),
