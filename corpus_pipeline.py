@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-and read again as the next stage's docs.
+STAGES lists (name, function): each function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of `docs`, whatever they are.
+
+Rows that a stage keeps are whole rows of its input; ids and texts may be null
+and rows may repeat. A null or empty text goes through like others: the
+classifier scores it, exact duplicates of it go, it is linked with nothing.
 """
 
 from __future__ import annotations
@@ -9,22 +14,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.llm.bin_packing import pack
+from flowlens.llm.content_dedup import content_duplicates
 from flowlens.llm.jaccard_rtree import jaccard_components
+from flowlens.llm.pii import redact
+from flowlens.llm.rule_ensemble import quality_model, with_statistics
+from flowlens.session import Scratch, configure
+
+#: Scores under this are rejected.
+QUALITY = 0.3
+
+
+def _free_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble doesn't reject. The rules are compiled
+    into one column over the text's statistics, so no row moves."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    scratch, stats = Scratch(spark, "pipeline-quality"), _free_name(docs, "statistics")
+    rules, _ = quality_model(docs, labels, scratch)
+    scratch.keep_only()
+    return with_statistics(docs, "text", stats).where(rules.score(stats) >= QUALITY).drop(stats)
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of `docs` with an id of `kept`, a null id included."""
+    wanted = kept.select(F.col("doc_id").alias(name := _free_name(docs, "kept_id"))).distinct()
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (but for the case of A-Z) the row with the largest id."""
+    return _keep(docs, content_duplicates(docs).where("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of the n-gram join connect, the smallest id."""
+    groups = jaccard_components(docs)
+    return _keep(docs, groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the personal data that is found, n_chars as they are then."""
+    return redact(docs)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    kept = jaccard_components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    return pack(docs)
 
 
-STAGES = [("n-gram Jaccard join", one_of_each_group)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("PII", personal_data),
+    ("best-fit packing", packing),
+]
 
+#: The classifier is trained, which SQL can't express; tests/llm holds run()
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; what is between is written under the shared
+    checkpoint folder and goes when the next stage has read it."""
+    configure(spark)
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.keep_only(f"stage-{k}")
     return docs

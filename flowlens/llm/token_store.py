@@ -20,6 +20,8 @@ empty table gives an empty store; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,7 +33,8 @@ from flowlens.session import configure
 
 END_ID = 2
 #: Words that a worker keeps encoded.
-CACHE = 400_000
+CACHE = 1_000_000
+MARKS = ",.!?;:"
 TEXT_AT_ONCE = 1 << 20
 ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -45,25 +48,73 @@ OPTIONS = {
 _tokenizers: dict[str, tuple] = {}
 
 
+def _of_letters(word: str) -> bool:
+    """Whether the tokenizer, too, sees nothing but letters."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordCache(dict):
-    """Ids of words as bytes; those that are missing are encoded together."""
+    """Ids of words as bytes; those that are missing are encoded together.
+
+    Letters and marks are encoded apart by the tokenizer, so a word of letters
+    before a mark is looked up without it; words of letters are encoded in one
+    text, whose ids part where a word's last symbol ends."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _fill(self, words: list[str]) -> None:
+        """Encode words that aren't known."""
+        letters = [w for w in words if _of_letters(w)]
+        whole, = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
+        ids = np.array(whole.ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+        rest = [w for w in words if not _of_letters(w)]
+        if len(stops) == len(letters):
+            at = [0, *(stops * 4).tolist()]
+            data = ids.tobytes()
+            self.update(zip(letters, map(data.__getitem__, map(slice, at[:-1], at[1:]))))
+        else:
+            rest = words
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self[word] = np.array(found.ids, np.uint32).tobytes()
 
     def encode(self, words: list[str]) -> list[bytes]:
-        missing = list({w for w in words if w not in self})
+        missing = {w for w in words if w not in self}
         if len(self) + len(missing) > CACHE:
             self.clear()
-            missing = list(set(words))
-        for at in range(0, len(missing), 10_000):
-            part = missing[at:at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[word] = np.array(found.ids, np.uint32).tobytes()
+            missing = set(words)
+        marked = {w for w in missing if w[-1] in MARKS and _of_letters(w[:-1])}
+        plain = list({w for w in (missing - marked) | {w[:-1] for w in marked} | set(MARKS) if w not in self})
+        for at in range(0, len(plain), 5_000):
+            self._fill(plain[at:at + 5_000])
+        for w in marked:
+            self[w] = self[w[:-1]] + self[w[-1]]
         return list(map(self.__getitem__, words))
 
 
+_SPLIT = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+
+
+def _words(text: str | None) -> list[str]:
+    """Words of a text, folded where Python and the tokenizer fold alike. They
+    split at the same white space but for four control characters."""
+    if not text:
+        return []
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return _SPLIT.findall(text)
+    return text.split()
+
+
 def _cache(path: str) -> WordCache:
     if path not in _tokenizers:
         import os
@@ -74,7 +125,7 @@ def _cache(path: str) -> WordCache:
 
 def encode(texts: list[str | None], cache: WordCache, end_id: int = END_ID) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, with the end id."""
-    end, split = np.array([end_id], "<u4").tobytes(), [(t or "").split() for t in texts]
+    end, split = np.array([end_id], "<u4").tobytes(), [_words(t) for t in texts]
     flat = cache.encode([w for words in split for w in words])
     out, at = [], 0
     for words in split:
