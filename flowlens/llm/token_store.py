@@ -8,10 +8,10 @@ index, so that a reader of a few documents, or of n_tokens alone, reads few
 pages.
 
 Texts are dealt out by ranges of their ids before they are encoded (a text
-takes less room than its ids), sorted, encoded word by word through a bounded
-cache of encoded words, and written by Spark's Parquet writer. The tokenizer
-drops white space and splits at it, so a text's ids are those of its words in
-order.
+takes less room than its ids), sorted, encoded word by word, and written by
+Spark's Parquet writer. The tokenizer drops white space and splits at it, so a
+text's ids are those of its words in order; a worker encodes a word once and
+keeps its ids, by the word's 64-bit hash, for up to CACHE words.
 
 Defined results: a null text is empty and has the end id alone; rows with the
 same id follow each other, ordered by their texts; null ids come first; an
@@ -20,7 +20,7 @@ empty table gives an empty store; other columns are not looked at.
 
 from __future__ import annotations
 
-import re
+import os
 import unicodedata
 import zlib
 
@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.llm.text import U, groups, utf8, words
 from flowlens.session import configure
 
 END_ID = 2
 #: Words that a worker keeps encoded.
-CACHE = 1_000_000
+CACHE = 3_000_000
 MARKS = ",.!?;:"
-TEXT_AT_ONCE = 1 << 20
 ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
@@ -45,7 +45,7 @@ OPTIONS = {
     "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "PARQUET_2_0",
 }
 
-_tokenizers: dict[str, tuple] = {}
+_caches: dict[str, WordIds] = {}
 
 
 def _of_letters(word: str) -> bool:
@@ -53,12 +53,9 @@ def _of_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
-class WordCache(dict):
-    """Ids of words as bytes; those that are missing are encoded together.
-
-    Letters and marks are encoded apart by the tokenizer, so a word of letters
-    before a mark is looked up without it; words of letters are encoded in one
-    text, whose ids part where a word's last symbol ends."""
+class WordIds:
+    """Ids of the words met so far, by the words' hashes (A-Z folded, as the
+    tokenizer does): sorted keys, and places in one pool of ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,85 +63,80 @@ class WordCache(dict):
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-
-    def _fill(self, words: list[str]) -> None:
-        """Encode words that aren't known."""
-        letters = [w for w in words if _of_letters(w)]
-        whole, = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
-        ids = np.array(whole.ids, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
-        rest = [w for w in words if not _of_letters(w)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of words. Those of letters alone are encoded in one text, whose
+        ids part where a word's last symbol ends."""
+        out: list = [None] * len(texts)
+        letters = [i for i, t in enumerate(texts) if _of_letters(t)]
+        whole, = self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in letters)], add_special_tokens=False)
+        ids = np.array(whole.ids, np.int32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(letters):
-            at = [0, *(stops * 4).tolist()]
-            data = ids.tobytes()
-            self.update(zip(letters, map(data.__getitem__, map(slice, at[:-1], at[1:]))))
-        else:
-            rest = words
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self[word] = np.array(found.ids, np.uint32).tobytes()
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        missing = {w for w in words if w not in self}
-        if len(self) + len(missing) > CACHE:
-            self.clear()
-            missing = set(words)
-        marked = {w for w in missing if w[-1] in MARKS and _of_letters(w[:-1])}
-        plain = list({w for w in (missing - marked) | {w[:-1] for w in marked} | set(MARKS) if w not in self})
+            for i, part in zip(letters, np.split(ids, stops[:-1])):
+                out[i] = part
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(found.ids, np.int32)
+        return out
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Add words; a mark after letters is encoded apart, as it is a token
+        of its own."""
+        stems: dict[str, int] = {}
+        parts = []
+        for t in texts:
+            marked = t[-1] in MARKS and _of_letters(t[:-1])
+            parts.append((stems.setdefault(t[:-1] if marked else t, len(stems)),
+                          stems.setdefault(t[-1], len(stems)) if marked else None))
+        plain, found = list(stems), []
         for at in range(0, len(plain), 5_000):
-            self._fill(plain[at:at + 5_000])
-        for w in marked:
-            self[w] = self[w[:-1]] + self[w[-1]]
-        return list(map(self.__getitem__, words))
-
-
-_SPLIT = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-
-
-def _words(text: str | None) -> list[str]:
-    """Words of a text, folded where Python and the tokenizer fold alike. They
-    split at the same white space but for four control characters."""
-    if not text:
-        return []
-    try:
-        text.encode("latin-1")
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return _SPLIT.findall(text)
-    return text.split()
-
-
-def _cache(path: str) -> WordCache:
-    if path not in _tokenizers:
-        import os
+            found += self._encoded(plain[at:at + 5_000])
+        ids = [found[a] if b is None else np.concatenate([found[a], found[b]]) for a, b in parts]
+        size = np.array(list(map(len, ids)), np.int64)
+        total = int(size.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
+        self.pool[self.used:self.used + total] = np.concatenate(ids)
+        at = self.used + np.cumsum(size) - size
+        self.used += total
+        place = np.searchsorted(self.keys, hashes)
+        self.keys, self.at, self.size = (np.insert(x, place, y) for x, y in
+                                         ((self.keys, hashes), (self.at, at), (self.size, size)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts at `offsets`, each with the end id, and their offsets."""
+        w = words(data, offsets)
+        keys, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != keys[inside]
+        if new.any():
+            if len(self.keys) + int(new.sum()) > CACHE:
+                self.forget()
+                new[:] = True
+            texts = [data[a:b].tobytes().decode() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
+            self._learn(keys[new], texts)
+            place = np.searchsorted(self.keys, keys)
+        at, size = self.at[place][word], self.size[place][word]
+        ends = np.cumsum(np.append(0, size))
+        stops = ends[w.first]
+        take = np.repeat(at - ends[:-1], size) + np.arange(int(ends[-1]))
+        ids = np.insert(self.pool[take], stops[1:], end_id)
+        return ids, stops + np.arange(len(stops))
+
+
+def ids_of(path: str) -> WordIds:
+    if path not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[path] = WordCache(path)
-    return _tokenizers[path]
-
-
-def encode(texts: list[str | None], cache: WordCache, end_id: int = END_ID) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, with the end id."""
-    end, split = np.array([end_id], "<u4").tobytes(), [_words(t) for t in texts]
-    flat = cache.encode([w for words in split for w in words])
-    out, at = [], 0
-    for words in split:
-        out.append(b"".join([*flat[at:at + len(words)], end]))
-        at += len(words)
-    return out
-
-
-def _slices(batch: pa.RecordBatch, column: int, limit: int = TEXT_AT_ONCE):
-    """Rows with up to `limit` bytes of the column, of one row at least."""
-    at, size = 0, 0
-    for i, value in enumerate(batch.column(column)):
-        n = len(value.as_buffer()) if value.is_valid else 0
-        if size and size + n > limit:
-            yield batch.slice(at, i - at)
-            at, size = i, 0
-        size += n
-    if at < batch.num_rows:
-        yield batch.slice(at)
+        _caches[path] = WordIds(path)
+    return _caches[path]
 
 
 STORE = "doc_id long, n_tokens long, ids array<int>"
@@ -156,14 +148,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     configure(docs.sparkSession)
 
     def run(batches):
-        cache = _cache(tokenizer)
+        known = ids_of(tokenizer)
         for batch in batches:
-            for part in _slices(batch, 1):
-                found = encode(part.column(1).to_pylist(), cache, end_id)
-                sizes = np.array([len(f) // 4 for f in found], np.int64)
-                at = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-                ids = pa.array(np.frombuffer(b"".join(found), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(at, ids)],
+            data, offsets = utf8(batch.column(1))
+            for i, j in groups(offsets):
+                ids, at = known.encode(data, offsets[i:j + 1], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), lists],
                                                  ["doc_id", "n_tokens", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
