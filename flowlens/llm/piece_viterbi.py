@@ -37,10 +37,10 @@ from flowlens.session import configure
 
 MARK = "▁"
 UNKNOWN = 10.0
-CACHE = 400_000
+CACHE = 1_200_000
 #: Code points of the words that are segmented together.
-CELLS = 1 << 18
-TEXT_AT_ONCE = 1 << 20
+CELLS = 1 << 17
+TEXT_AT_ONCE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 
