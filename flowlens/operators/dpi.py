@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.operators.topk import top_n_per_group
+from flowlens.sources.tables import spread
 
 DIRECTED = ["src_ip", "src_port", "dst_ip", "dst_port"]
 DEFAULT_MSS = 1460
@@ -47,8 +48,12 @@ def first_syn(packets: DataFrame, *, keep: str = "first", syn_filter: str = "syn
 # ------------------------------------------------------------------ J1
 def join_handshake(flows: DataFrame, syn: DataFrame) -> DataFrame:
     """flows LEFT JOIN first-SYN on the directed 4-tuple; protocol is not part
-    of the key (J1). Misses stay NULL, as in the reference's merge."""
-    return flows.join(syn, on=DIRECTED, how="left")
+    of the key (J1). Misses stay NULL, as in the reference's merge, but when
+    there is no SYN at all the five columns are 0."""
+    none = syn.agg(F.count(F.lit(1)) == 0).scalar()
+    added = [c for c in syn.columns if c not in DIRECTED]
+    joined = flows.join(syn, on=DIRECTED, how="left")
+    return joined.withColumns({c: F.when(none, F.lit(0)).otherwise(F.col(c)).cast("bigint") for c in added})
 
 
 # ------------------------------------------------------------------ F13
@@ -79,7 +84,7 @@ def payload_entropy(payloads: DataFrame, *, sample_size: int | None = None,
     """Mean payload entropy per directed endpoint pair (F13). Empty payloads
     are skipped. `sample_size` reproduces the reference's first-N-packets
     sampling per capture (`partition_col`); None uses every packet."""
-    p = payloads.where(F.length("payload") > 0)
+    p = spread(payloads.where(F.length("payload") > 0))
     if sample_size is not None:
         p = top_n_per_group(p, [partition_col] if partition_col else [], ["packet_no"], sample_size)
     return (p.withColumn("_h", byte_entropy("payload"))

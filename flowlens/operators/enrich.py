@@ -1,6 +1,6 @@
 """IP enrichment: private-range containment (J5), reputation dimension joined
 on both ends (J3), proxy rule (J4). The reference calls web services per IP;
-here the attributes come from a table, joined once per distinct IP."""
+here the attributes come from a table."""
 
 from __future__ import annotations
 
@@ -39,9 +39,9 @@ def in_ranges(ip_long: Column, cidrs: list[str]) -> Column:
     return e
 
 
-def is_private(ip: Column, rule: str = "declared") -> Column:
-    """Private-address test (J5). rule='declared' uses the declared list;
-    'python' the wider IANA list the reference's check actually applies.
+def is_private(ip: Column, rule: str = "python") -> Column:
+    """Private-address test (J5). rule='python' is the wider IANA list that the
+    reference's check applies; 'declared' the list it declares.
     Non-IPv4 text -> False."""
     v = ipv4_to_long(ip)
     if rule == "declared":
@@ -75,25 +75,17 @@ def range_join(df: DataFrame, ip_col: str, ranges: DataFrame, *, bucket_bits: in
     return left.join(r, cond, how).drop(r["_b"]).drop(left["_b"]).drop("_ipl")
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast hint only behind a size check: small dimensions ship to every
-    task, larger ones fall back to a shuffle join (AQE may still convert)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def ip_attributes(ips: DataFrame, intel: DataFrame, *, private_rule: str | None = "declared",
-                  max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row per distinct IP: is_private + reputation attributes.
+def intel_attributes(intel: DataFrame) -> DataFrame:
+    """(ip, attributes) of a reputation table, one row per IP.
 
     `intel` columns: ip, fraud_score, vpn, proxy, tor, connection_type,
     proxy_code, proxy_type, country, usage_type (missing ones are NULL).
-    Private IPs carry only is_private (private_rule=None: no short-cut).
     """
     def g(c, t="string"):
         return F.col(c) if c in intel.columns else F.lit(None).cast(t)
     code = g("proxy_code", "bigint")
     is_proxy = code.isin(PROXY_CODES)
-    dim = intel.select(
+    return intel.select(
         F.col("ip"),
         g("fraud_score", "bigint").alias("ipqs_fraud_score"), g("vpn", "bigint").alias("ipqs_vpn"),
         g("proxy", "bigint").alias("ipqs_proxy"), g("tor", "bigint").alias("ipqs_tor"),
@@ -103,22 +95,20 @@ def ip_attributes(ips: DataFrame, intel: DataFrame, *, private_rule: str | None
         F.when(is_proxy, g("country")).alias("ip2proxy_country"),
         F.when(is_proxy, g("usage_type")).alias("ip2proxy_usage_type"),
     )
-    priv = is_private(F.col("ip"), private_rule) if private_rule else F.lit(False)
-    j = ips.select("ip").distinct().withColumn("is_private", priv.cast("int")) \
-        .join(sized_broadcast(dim, max_broadcast_rows), on="ip", how="left")
-    return j.select("ip", "is_private",
-                    *[F.when(F.col("is_private") == 0, F.col(a)).alias(a) for a in INTEL_ATTRS])
-
-
-def enrich_flows(flows: DataFrame, intel: DataFrame, *, private_rule: str | None = "declared",
-                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Distinct IPs of both ends -> attributes -> joined twice with src_/dst_
-    prefixes (J3). The per-IP table is computed once and reused by both joins
-    (Spark reuses the exchange)."""
-    ips = flows.select(F.col("src_ip").alias("ip")).unionByName(flows.select(F.col("dst_ip").alias("ip"))) \
-        .where(F.col("ip").isNotNull())
-    attrs = ip_attributes(ips, intel, private_rule=private_rule, max_broadcast_rows=max_broadcast_rows)
-    cols = ["is_private", *INTEL_ATTRS]
-    src = attrs.select(F.col("ip").alias("src_ip"), *[F.col(c).alias(f"src_{c}") for c in cols])
-    dst = attrs.select(F.col("ip").alias("dst_ip"), *[F.col(c).alias(f"dst_{c}") for c in cols])
-    return flows.join(src, on="src_ip", how="left").join(dst, on="dst_ip", how="left")
+
+
+def enrich_flows(flows: DataFrame, intel: DataFrame, *, private_rule: str | None = "python") -> DataFrame:
+    """Attributes of both ends with src_/dst_ prefixes (J3): the flows are
+    joined to the reputation table once per end, and Spark chooses the join by
+    the table's size. A private IP carries is_private alone (private_rule=None:
+    no short-cut); an unknown one has NULL attributes, as has a NULL address."""
+    dim, out = intel_attributes(intel), flows
+    for side in ("src", "dst"):
+        ip = F.col(f"{side}_ip")
+        found = dim.select(F.col("ip").alias(f"{side}_ip"), *[F.col(c).alias(f"_{side}_{c}") for c in INTEL_ATTRS])
+        private = is_private(ip, private_rule) if private_rule else F.lit(False)
+        private = F.when(ip.isNotNull(), private.cast("int"))
+        out = out.join(found, on=f"{side}_ip", how="left").withColumn(f"{side}_is_private", private)
+        out = out.withColumns({f"{side}_{c}": F.when(F.col(f"{side}_is_private") == 0, F.col(f"_{side}_{c}"))
+                               for c in INTEL_ATTRS}).drop(*[f"_{side}_{c}" for c in INTEL_ATTRS])
+    return out

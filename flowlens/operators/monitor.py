@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DRIFT_ALERT = 0.3
@@ -65,14 +65,22 @@ def business_metrics(events: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def pseudonymize(df: DataFrame, now, *, ts_col: str = "ts", ip_cols=("src_ip", "dst_ip"), salt: str = "",
-                 hash_after_hours: int = 24, keep_days: int | None = 7) -> DataFrame:
-    """Retention (D16): rows older than `keep_days` dropped; IPs of rows older
-    than 24 h replaced by sha2(salt || ip, 256)."""
-    now_c = F.lit(now).cast("timestamp")
-    age_h = (F.unix_micros(now_c) - F.unix_micros(F.col(ts_col).cast("timestamp"))) / F.lit(3_600_000_000.0)
-    d = df if keep_days is None else df.where(age_h <= F.lit(keep_days * 24.0))
-    return d.withColumns({c: F.when(age_h > hash_after_hours, F.sha2(F.concat(F.lit(salt), F.col(c)), 256))
-                          .otherwise(F.col(c)) for c in ip_cols})
+                 hash_after_hours: float = 24) -> DataFrame:
+    """IPs of rows older than 24 h replaced by sha2(salt || ip, 256) (D16);
+    `now` is a time or a column (a scalar subquery, say). Every row stays."""
+    age_h = _age_hours(now, ts_col)
+    return df.withColumns({c: F.when(age_h > hash_after_hours, F.sha2(F.concat(F.lit(salt), F.col(c)), 256))
+                           .otherwise(F.col(c)) for c in ip_cols})
+
+
+def _age_hours(now, ts_col: str) -> Column:
+    now = now if isinstance(now, Column) else F.lit(now)
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts_col).cast("timestamp"))) / F.lit(3_600_000_000.0)
+
+
+def drop_expired(df: DataFrame, now, keep_days: float, *, ts_col: str = "ts") -> DataFrame:
+    """Retention (D16): rows of the last `keep_days` days."""
+    return df.where(_age_hours(now, ts_col) <= F.lit(keep_days * 24.0))
 
 
 def session_trend(events: DataFrame, origin_col: str = "src", width: str = "1 hour") -> DataFrame:

@@ -50,9 +50,9 @@ def basic_stats(df: DataFrame) -> DataFrame:
         (F.col("rows") - F.lit(distinct_rows)).alias("duplicate_rows"), tmap.alias("data_types"))
 
 
-def correlations(df: DataFrame, max_columns: int = 30) -> DataFrame:
-    """Pearson correlation of the first `max_columns` numeric columns, long
-    form (col_a, col_b, corr), all pairs in a single aggregate pass (A10)."""
+def correlations(df: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Pearson correlation of the numeric columns (the first `max_columns` of
+    them if asked for), long form (col_a, col_b, corr), all pairs in a single aggregate pass (A10)."""
     cols = numeric_columns(df)[:max_columns]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:

@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from flowlens.session import materialize
 
+#: A sketch of 2 * EXACT entries keeps every value of a range this long.
+EXACT = 10_000
 
 
-def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 128,
-                 collect_below: int = 100_000) -> dict[int, float]:
+def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 128, exact: int = EXACT) -> dict[int, float]:
     """Exact k-th smallest values (0-based) of a numeric column by iterated
     range narrowing: a mergeable quantile sketch proposes cut points, one
     grouped count places every wanted position in a range, and the search
-    repeats inside each such range. It stops when a range is small enough
-    to sort (<= collect_below values reach the driver) or holds a single
-    value -- so a value repeated a billion times costs one pass, not one
-    task. All positions share each pass."""
+    repeats inside each such range. It ends where a range holds a single value
+    (so a value repeated a billion times costs one pass, not one task) or so few
+    rows that the sketch keeps them all and answers exactly. All positions
+    share each pass, and only cut points and counts leave the executors."""
     base = df.select(F.col(col).cast("double").alias("x"))
-    return _kth(base, sorted(set(ks)), fanout, collect_below, None)
+    return _kth(base, sorted(set(ks)), fanout, exact, None)
 
 
 def _rank_expr(x, cuts: list[float], lo: int = 0, hi: int | None = None):
@@ -34,14 +35,22 @@ def _rank_expr(x, cuts: list[float], lo: int = 0, hi: int | None = None):
     return F.when(x > F.lit(cuts[mid]), _rank_expr(x, cuts, mid + 1, hi)).otherwise(_rank_expr(x, cuts, lo, mid))
 
 
-def _kth(cur: DataFrame, ks: list[int], fanout: int, collect_below: int, stats) -> dict[int, float]:
+def _from_sketch(cur: DataFrame, ranges: list[tuple], exact: int) -> dict[int, float]:
+    """Positions of short ranges (condition, positions, offset, rows), all in
+    one aggregate: with fewer rows than entries the sketch is exact."""
+    aggs = [F.percentile_approx(F.when(cond, F.col("x")), [(k - off + 0.5) / n for k in ks], 2 * exact).alias(f"r{i}")
+            for i, (cond, ks, off, n) in enumerate(ranges)]
+    row = cur.agg(*aggs).first()
+    return {k: float(v) for i, (_, ks, _, _) in enumerate(ranges) for k, v in zip(ks, row[f"r{i}"])}
+
+
+def _kth(cur: DataFrame, ks: list[int], fanout: int, exact: int, stats) -> dict[int, float]:
     if stats is None:
         stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     if stats["lo"] == stats["hi"]:
         return {k: float(stats["lo"]) for k in ks}
-    if stats["n"] <= collect_below:
-        vals = sorted(r[0] for r in cur.collect())
-        return {k: float(vals[k]) for k in ks}
+    if stats["n"] <= exact:
+        return _from_sketch(cur, [(F.lit(True), ks, 0, stats["n"])], exact)
     probs = [i / fanout for i in range(1, fanout)]
     cuts = cur.select(F.percentile_approx("x", probs, 10 * fanout)).first()[0]
     cuts = sorted(set(float(c) for c in cuts))
@@ -51,10 +60,10 @@ def _kth(cur: DataFrame, ks: list[int], fanout: int, collect_below: int, stats)
     eq = F.coalesce(F.try_element_at(F.array(*[F.lit(c) for c in cuts]), i + 1) == F.col("x"), F.lit(False))
     key = i * 2 + eq.cast("int")
     counts = sorted((r["b"], r["n"]) for r in cur.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    out, seen, want = {}, 0, list(ks)
-    small, large = [], []  # (bucket condition, positions relative to the bucket, offset, n)
+    out, seen = {}, 0
+    short, long = [], []
     for bi, n in counts:
-        inside = [k for k in want if seen <= k < seen + n]
+        inside = [k for k in ks if seen <= k < seen + n]
         if inside:
             i, eq = divmod(bi, 2)
             if eq:
@@ -65,21 +74,12 @@ def _kth(cur: DataFrame, ks: list[int], fanout: int, collect_below: int, stats)
                     cond = cond & (F.col("x") > F.lit(cuts[i - 1]))
                 if i < len(cuts):
                     cond = cond & (F.col("x") < F.lit(cuts[i]))
-                (small if n <= collect_below else large).append((bi, cond, inside, seen, n))
+                (short if n <= exact else long).append((cond, inside, seen, n))
         seen += n
-    if small:
-        # every small range in one job: tag rows with their range and sort per range
-        tag = None
-        for bi, cond, *_ in small:
-            tag = F.when(cond, F.lit(bi)) if tag is None else tag.when(cond, F.lit(bi))
-        got: dict[int, list[float]] = {}
-        for r in cur.select(tag.alias("b"), "x").where(F.col("b").isNotNull()).collect():
-            got.setdefault(r["b"], []).append(r["x"])
-        for bi, _, inside, off, _ in small:
-            vals = sorted(got[bi])
-            out.update({k: float(vals[k - off]) for k in inside})
-    for bi, cond, inside, off, n in large:
-        sub = _kth(cur.where(cond), [k - off for k in inside], fanout, collect_below, {"n": n, "lo": None, "hi": 0})
+    if short:
+        out.update(_from_sketch(cur, short, exact))
+    for cond, inside, off, n in long:
+        sub = _kth(cur.where(cond), [k - off for k in inside], fanout, exact, {"n": n, "lo": None, "hi": 0})
         out.update({k: sub[k - off] for k in inside})
     return out
 
@@ -100,7 +100,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats=None) ->
         h = (n - 1) * p
         lo = int(math.floor(h))
         want[p] = (lo, min(lo + 1, n - 1), h - lo)
-    got = _kth(x, sorted({i for lo, hi, _ in want.values() for i in (lo, hi)}), 128, 100_000, stats)
+    got = _kth(x, sorted({i for lo, hi, _ in want.values() for i in (lo, hi)}), 128, EXACT, stats)
     return [got[lo] + (got[hi] - got[lo]) * frac for lo, hi, frac in (want[p] for p in probs)]
 
 

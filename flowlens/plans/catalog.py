@@ -9,6 +9,7 @@ compare equal despite different summation orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _every_eighth(k: int):
+    """Values of the embedding at k, k + 8, ..."""
+    return F.filter("embedding", lambda x, i: i % 8 == F.lit(k))
+
+
 def r3(*cols: str) -> list:
     return [round3(c).alias(c) for c in cols]
 
@@ -822,13 +828,17 @@ attrs AS (
 SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey, f.src_ip, f.dst_ip,
        a.ipqs_fraud_score AS src_ipqs_fraud_score, a.ipqs_connection_type AS src_ipqs_connection_type,
        a.ip2proxy_is_proxy AS src_ip2proxy_is_proxy, a.ip2proxy_country AS src_ip2proxy_country,
-       a.ip2proxy_usage_type AS src_ip2proxy_usage_type, b.ipqs_fraud_score AS dst_ipqs_fraud_score
-FROM flows f LEFT JOIN attrs a ON f.src_ip = a.ip LEFT JOIN attrs b ON f.dst_ip = b.ip""")
+       a.ip2proxy_usage_type AS src_ip2proxy_usage_type, b.ipqs_fraud_score AS dst_ipqs_fraud_score,
+       CASE WHEN f.src_ip LIKE '45.%' THEN 0 ELSE 1 END AS src_is_private,
+       CASE WHEN f.dst_ip LIKE '45.%' THEN 0 ELSE 1 END AS dst_is_private
+FROM flows f LEFT JOIN attrs a ON f.src_ip = a.ip AND f.src_ip LIKE '45.%'
+             LEFT JOIN attrs b ON f.dst_ip = b.ip AND f.dst_ip LIKE '45.%'""")
 def j3_enrich_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reputation attributes joined on both flow ends with src_/dst_ prefixes,
-    private short-cut off (J3, J4)."""
-    e = en.enrich_flows(fx.flows(spark, sf_dir), intel_table(spark, sf_dir), private_rule=None)
-    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "src_ip", "dst_ip",
+    """Reputation attributes joined on both flow ends with src_/dst_ prefixes;
+    private ends carry none (J3, J4, J5)."""
+    e = en.enrich_flows(fx.flows(spark, sf_dir), intel_table(spark, sf_dir))
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "src_ip", "dst_ip", "src_is_private",
+                    "dst_is_private",
                     "src_ipqs_fraud_score", "src_ipqs_connection_type", "src_ip2proxy_is_proxy",
                     "src_ip2proxy_country", "src_ip2proxy_usage_type", "dst_ipqs_fraud_score")
 
@@ -866,18 +876,20 @@ def m3_risk_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("m4_app_class", f"""
+WITH s AS (SELECT vec_id, [{', '.join(f'list_max(list_filter(embedding, lambda x, i: i % 8 = {(k + 1) % 8}))' for k in range(8))}] AS s
+           FROM embeddings)
 SELECT vec_id,
-       CASE WHEN list_position(embedding[1:8], list_max(embedding[1:8])) <= {len(sc.APP_CLASSES)}
-            THEN [{', '.join(repr(c) for c in sc.APP_CLASSES)}][list_position(embedding[1:8], list_max(embedding[1:8]))]
+       CASE WHEN list_position(s, list_max(s)) <= 8
+            THEN ['BROWSING', 'CHAT', 'VOIP', 'VIDEO', 'FILE_TRANSFER', 'P2P', 'C2_CNC', 'UNKNOWN'][list_position(s, list_max(s))]
             ELSE 'UNKNOWN' END AS app_class,
-       CAST(list_max(embedding[1:8]) AS DOUBLE) AS app_confidence
-FROM embeddings""")
+       CAST(list_max(s) AS DOUBLE) AS app_confidence
+FROM s""")
 def m4_app_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-stage class = argmax of 8 class scores (first 8 embedding
-    values), confidence = the max (M4, C28)."""
+    """First-stage class = argmax of 8 class scores, each the largest of every
+    eighth value of the whole embedding; confidence = the max (M4, C28)."""
     from flowlens.sources.tables import table
     e = table(spark, sf_dir, "embeddings")
-    a = sc.app_class(F.slice(F.col("embedding"), 1, 8))
+    a = sc.app_class(F.array(*[F.array_max(_every_eighth(k)) for k in range(8)]))
     return e.select("vec_id", a["app_class"].alias("app_class"), a["app_confidence"].alias("app_confidence"))
 
 
@@ -903,18 +915,21 @@ def c33_feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("m9_edge_prefilter", fx.with_sql(fx.FLOWS_SQL, fx.IP_INTEL_SQL) + """
 SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey,
        CASE WHEN i.fraud_score > 90 OR (i.ip_type = 'datacenter' AND i.asn % 5 = 0) THEN 'BLOCK' ELSE 'PASS' END
-         AS edge_action
-FROM flows f LEFT JOIN ip_intel i ON f.src_ip = i.ip
-WHERE i.ip IS NOT NULL""")
+         AS edge_action,
+       CAST(CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS edge_vpn_flag
+FROM flows f LEFT JOIN ip_intel i ON f.src_ip = i.ip""")
 def m9_edge_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge rules over enriched flows: fraud > 90 or datacenter with a listed
-    ASN (asn % 5 = 0 here) -> BLOCK (M9)."""
+    """Edge rules over all flows, unknown sources included: fraud > 90 or
+    datacenter with a listed ASN (asn % 5 = 0 here) -> BLOCK; a small MTU sets
+    the VPN flag (M9)."""
     i = fx.ip_intel(spark, sf_dir).select(F.col("ip").alias("src_ip"), "fraud_score",
                                           (F.col("ip_type") == "datacenter").alias("is_datacenter"),
                                           (F.col("asn") % 5 == 0).alias("bad_asn"))
-    f = fx.flows(spark, sf_dir).join(i, on="src_ip", how="inner").withColumn("mtu", F.lit(-1))
-    e = sc.edge_prefilter(f)
-    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "edge_action")
+    ok = F.col("l_orderkey")
+    mtu = F.when(ok % 11 == 0, F.lit(1349)).when(ok % 11 == 1, F.lit(1350)).when(ok % 11 == 2, F.lit(-1)).otherwise(F.lit(1500))
+    e = sc.edge_prefilter(fx.flows(spark, sf_dir).join(i, on="src_ip", how="left").withColumn("mtu", mtu))
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "edge_action",
+                    F.col("edge_vpn_flag").cast("bigint").alias("edge_vpn_flag"))
 
 
 # ---------------------------------------------------------------- A6-A16, T2, A14, D7
@@ -1425,14 +1440,15 @@ def d2_mss_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("d1_vpn_likelihood", fx.with_sql(fx.PAYLOADS_SQL, ENTROPY_SQL, """
 conv AS (SELECT DISTINCT src_ip, src_port, dst_ip, dst_port FROM payloads)""") + f"""
 SELECT c.src_ip, c.dst_ip,
-       CASE WHEN coalesce(f.entropy_score, 0.0) > 7.5 AND c.dst_port IN ({', '.join(map(str, dt_.VPN_RULE_PORTS))}) THEN 'HIGH'
-            ELSE 'LOW' END AS vpn_probability
+       CASE WHEN coalesce(f.entropy_score, 0.0) > 7.5 AND c.dst_port IN (1194, 1723, 500, 4500, 51820) THEN 'HIGH'
+            WHEN c.dst_ip LIKE '%fr' AND coalesce(f.entropy_score, 0.0) > 7.5 THEN 'MEDIUM' ELSE 'LOW' END AS vpn_probability
 FROM conv c LEFT JOIN flow_ent f USING (src_ip, src_port, dst_ip, dst_port)""")
 def d1_vpn_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documented VPN likelihood rule over entropy-joined conversations (D1);
-    MSS is unknown for payload-only captures."""
+    the MSS is 1380 towards one of the languages, 1400 else."""
     p = fx.payloads(spark, sf_dir)
-    j = dpi.join_entropy(p.select(*dpi.DIRECTED).distinct(), dpi.payload_entropy(p)).withColumn("mss", F.lit(None))
+    j = dpi.join_entropy(p.select(*dpi.DIRECTED).distinct(), dpi.payload_entropy(p)) \
+        .withColumn("mss", F.when(F.col("dst_ip").endswith("fr"), F.lit(1380)).otherwise(F.lit(1400)))
     return dt_.vpn_likelihood(j).select("src_ip", "dst_ip", "vpn_probability")
 
 
@@ -1547,8 +1563,8 @@ def d16_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPs older than the pseudonymisation age (15 min on the compressed
     clock; 24 h in the document) replaced by salted SHA-256 (D16)."""
     d = fx.decisions(spark, sf_dir)
-    now = d.agg(F.max("ts")).first()[0]
-    p = mo.pseudonymize(d, now, ip_cols=("src", "dst"), salt="s1", hash_after_hours=0.25, keep_days=None)
+    now = d.agg(F.max("ts")).scalar()
+    p = mo.pseudonymize(d, now, ip_cols=("src", "dst"), salt="s1", hash_after_hours=0.25)
     return p.select("id", "src", "dst")
 
 
@@ -1649,17 +1665,14 @@ def m7_train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S1-S4, S7, S11, S14 (files derived from the tables)
-import hashlib  # noqa: E402
-
-from flowlens.session import ensure_checkpoint_dir  # noqa: E402
+from flowlens.session import Scratch  # noqa: E402
 from flowlens.sources import files as fs  # noqa: E402
 
 
-def derived_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Folder for files that a query first writes from the tables (under the
-    cluster's shared checkpoint folder)."""
-    h = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/derived/{name}-{h}"
+def derived_dir(spark: SparkSession, name: str) -> str:
+    """Folder of its own for files that a query first writes from the tables
+    (under the cluster's shared checkpoint folder)."""
+    return Scratch(spark, name).path("files")
 
 
 def _flow_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1698,14 +1711,15 @@ FROM ft""")
 def s4_flow_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets written as whitespace flow text (some lines without the arrow
     or the label), read back by the flow-text source (S4, S9)."""
-    path = derived_dir(spark, sf_dir, "flow_text")
+    path = derived_dir(spark, "flow_text")
     _flow_text_lines(spark, sf_dir).write.mode("overwrite").text(path)
     return fs.read_flow_text(spark, path).select(*un.UNIFIED_COLUMNS)
 
 
 CSV_RECORDS_SQL = """
 records_csv AS (SELECT rec_no, """ + ", ".join(f"nullif({c}, '') AS {c}" for c in
-                                            [*fx.RECORD_ALIASES_ODD, *fx.RECORD_ALIASES_EVEN, "props"]) + """
+                                            [*fx.RECORD_ALIASES_ODD, *fx.RECORD_ALIASES_EVEN]) + """,
+                       CASE WHEN rec_no % 2 = 0 THEN nullif(props, '') END AS props
                 FROM records)"""
 
 
@@ -1713,17 +1727,36 @@ records_csv AS (SELECT rec_no, """ + ", ".join(f"nullif({c}, '') AS {c}" for c i
 SELECT * EXCLUDE (rec_no) FROM normalized""")
 def s2_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heterogeneous records written as two CSV shapes (odd / even rows with
-    different headers), read back by the CSV source and normalised (S2, P1,
-    P2). An empty CSV field reads back as missing, as with pandas."""
-    path = derived_dir(spark, sf_dir, "records_csv")
+    different headers) into one folder, read back together by the CSV source and
+    normalised (S2, P1, P2). An empty CSV field reads back as missing, as with
+    pandas."""
+    path = derived_dir(spark, "records_csv")
     r = fx.records(spark, sf_dir)
-    odd = r.where(F.col("rec_no") % 2 == 1).select(*fx.RECORD_ALIASES_ODD, "props")
+    odd = r.where(F.col("rec_no") % 2 == 1).select(*fx.RECORD_ALIASES_ODD)  # these files lack a column
     even = r.where(F.col("rec_no") % 2 == 0).select(*fx.RECORD_ALIASES_EVEN, "props")
-    odd.write.mode("overwrite").option("header", True).csv(f"{path}/odd")
-    even.write.mode("overwrite").option("header", True).csv(f"{path}/even")
-    a = fs.read_csv_records(spark, f"{path}/odd")
-    b = fs.read_csv_records(spark, f"{path}/even")
-    return a.unionByName(b).select(*un.UNIFIED_COLUMNS)
+    odd.write.option("header", True).csv(path)
+    even.write.mode("append").option("header", True).csv(path)
+    return fs.read_csv_records(spark, path).select(*un.UNIFIED_COLUMNS)
+
+
+@register("s3_json_source", fx.with_sql(fx.RECORDS_SQL, CSV_RECORDS_SQL, _normalized_sql("records_csv")) + """
+SELECT timestamp, src_ip, dst_ip, src_port, dst_port, protocol, packet_len, direction, label, 'json' AS source_type,
+       rec_no % 2 AS folder
+FROM normalized""")
+def s3_json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON documents, a list of objects in one folder and an
+    object of lists in the other, under the same file names; read back by the
+    JSON source, which tells files apart by their whole path (S3, S9)."""
+    path = derived_dir(spark, "records_json")
+    r = fx.records(spark, sf_dir).withColumn("block", F.pmod(F.xxhash64("rec_no"), F.lit(8)))
+    for folder, names in ((1, fx.RECORD_ALIASES_ODD), (0, [*fx.RECORD_ALIASES_EVEN, "props"])):
+        rows = F.collect_list(F.struct(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in names]))
+        doc = F.to_json(rows) if folder else F.to_json(F.struct(rows.alias("flows")))
+        docs = r.where(F.col("rec_no") % 2 == folder).groupBy("block").agg(doc.alias("value"))
+        docs.write.partitionBy("block").text(f"{path}/{folder}")
+    out = fs.read_json_records(spark, [f"{path}/0/*", f"{path}/1/*"])
+    folder = F.regexp_extract("source_path", r"/([01])/block=", 1).cast("bigint")
+    return out.select(*[c for c in un.UNIFIED_COLUMNS if c != "additional_meta"], folder.alias("folder"))
 
 
 @register("s7_firewall_files", fx.with_sql(fx.LOG_LINES_SQL, KV_SQL, FW_SQL) + """
@@ -1732,8 +1765,9 @@ UNION ALL SELECT 'bytes', CAST(sum(byte_count_total) AS BIGINT) FROM fwd""")
 def s7_firewall_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firewall lines written as log files, read by glob with the file name
     as source_file, parsed and deduplicated per session (S7, S9, C26)."""
-    path = derived_dir(spark, sf_dir, "fw_logs")
-    fx.log_lines(spark, sf_dir).select(F.col("line").alias("value")).repartition(4).write.mode("overwrite").text(path)
+    path = derived_dir(spark, "fw_logs")
+    lines = fx.log_lines(spark, sf_dir).repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    lines.select(F.col("line").alias("value")).write.text(path)
     lines = fs.read_firewall_logs(spark, f"{path}/*.txt")
     f = lg.firewall_flows(lines, order_cols=["source_file", "line_no"], source_file="source_file")
     return f.agg(F.count(F.lit(1)).alias("flows"), F.sum("byte_count_total").cast("bigint").alias("bytes")) \
@@ -1783,15 +1817,15 @@ def a8_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = al.merge([aligned_flows(spark, sf_dir), al.align(fw)])
     ded = deduped_flows(spark, sf_dir)
     kept, _ = st.remove_outliers(ded, 3.0, columns=A5_COLUMNS)
-    counts = [("initial", raw.count()), ("after_merge", merged.count()), ("after_dedupe", ded.count()),
-              ("after_cleaning", kept.count())]
-    return spark.createDataFrame(counts, "step string, rows long")
+    steps = [("initial", raw), ("after_merge", merged), ("after_dedupe", ded), ("after_cleaning", kept)]
+    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(step).alias("step"), "rows") for step, df in steps]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @register("c8_file_stem_labels", fx.with_sql(fx.FLOWS_SQL) + """
 SELECT DISTINCT replace(intent_label, ' ', '-') || '-no-metadata.parquet' AS file_name,
        intent_label AS stem_label,
-       CASE WHEN upper(app_label) LIKE 'VPN%' THEN 1 ELSE 0 END AS vpn_target
+       CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS vpn_target
 FROM flows""")
 def c8_file_stem_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels from `<Label-Words>-no-metadata.parquet` file names (C8) and
@@ -1799,21 +1833,23 @@ def c8_file_stem_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.functions import parse as ps_
     f = fx.flows(spark, sf_dir).select(
         F.concat(F.regexp_replace("intent_label", " ", "-"), F.lit("-no-metadata.parquet")).alias("file_name"),
-        "app_label")
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("vpn-"), F.col("app_label")))
+        .otherwise(F.concat(F.col("app_label"), F.lit("-vpn"))).alias("app_label"))
     return f.select("file_name", ps_.label_from_file_stem(F.col("file_name")).alias("stem_label"),
                     ps_.is_vpn_target(F.col("app_label")).alias("vpn_target")).distinct()
 
 
 @register("p17_sentinel_fill", fx.with_sql(fx.FLOWS_SQL) + f"""
-SELECT intent_label, {sql_r3('sum(coalesce(flow_duration, 0))', 'duration_sum')},
-       CAST(count(*) FILTER (WHERE flow_duration IS NULL) AS BIGINT) AS filled
-FROM flows GROUP BY intent_label""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(flow_duration, 0) AS flow_duration,
+       CASE WHEN l_orderkey % 5 = 0 THEN -1 ELSE 64 END AS ttl, CASE WHEN l_orderkey % 7 = 0 THEN -1 ELSE 1 END AS vpn_flag
+FROM flows""")
 def p17_sentinel_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentinel NULL fill: infrastructure/flag columns -1, other numerics 0."""
-    f = fx.flows(spark, sf_dir)
-    filled = cl.fill_missing_sentinel(f.withColumn("_was_null", F.col("flow_duration").isNull()))
-    return filled.groupBy("intent_label").agg(round3(F.sum("flow_duration")).alias("duration_sum"),
-                                              F.count_if("_was_null").alias("filled"))
+    f = fx.flows(spark, sf_dir).withColumns({
+        "ttl": F.when(F.col("l_orderkey") % 5 != 0, F.lit(64).cast("bigint")),
+        "vpn_flag": F.when(F.col("l_orderkey") % 7 != 0, F.lit(1).cast("bigint"))})
+    return cl.fill_missing_sentinel(f).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flow_duration",
+                                              "ttl", "vpn_flag")
 
 
 @register("d10_undersample", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL, """

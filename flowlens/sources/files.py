@@ -32,11 +32,29 @@ def provenance(df: DataFrame) -> DataFrame:
     return df.withColumns({"source_file": F.col("_metadata.file_name"), "source_path": F.col("_metadata.file_path")})
 
 
+def csv_headers(spark: SparkSession, paths) -> DataFrame:
+    """(source_path, header) of every CSV file: its first line. Lines of a split
+    are numbered in order, and the first line lies in the split at offset 0."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_path"),
+                                          F.col("_metadata.file_block_start").alias("at"))
+    return lines.where("at = 0").withColumn("n", F.monotonically_increasing_id()) \
+        .groupBy("source_path").agg(F.min_by("value", "n").alias("header"))
+
+
 def read_csv_records(spark: SparkSession, paths, source_type: str = "csv", order_col: str | None = None) -> DataFrame:
     """CSV files with a header -> unified records (S2). All columns read as
-    text; files with different headers are unioned by name."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-    raw = provenance(raw)
+    text. Files with the same header are read together, and the groups are put
+    together by column name, so a folder may mix headers; only the distinct
+    headers and the file names reach the driver."""
+    by_header: dict[str, list[str]] = {}
+    for path, header in csv_headers(spark, paths).collect():
+        by_header.setdefault(header, []).append(path)
+    raw = None
+    for header in sorted(by_header):
+        part = provenance(spark.read.option("header", True).option("inferSchema", False).csv(sorted(by_header[header])))
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    if raw is None:
+        raw = spark.createDataFrame([], "source_file string, source_path string")
     keep = ["source_file", "source_path"] + ([order_col] if order_col else [])
     return un.normalize(raw, source_type, keep=keep)
 
@@ -74,8 +92,7 @@ def read_json_records(spark: SparkSession, paths) -> DataFrame:
         .where(F.col("lst").isNotNull()) \
         .select("source_file", "source_path", F.explode("lst").alias("m"), "subset") \
         .withColumn("m", F.map_concat("m", F.create_map(F.lit("__subset"), F.col("subset")))).drop("subset")
-    all_lists = obj.where(as_obj_lists.isNotNull()).select("source_file")
-    single = obj.join(all_lists, "source_file", "left_anti").select("source_file", "source_path", as_obj.alias("m"))
+    single = obj.where(as_obj_lists.isNull()).select("source_file", "source_path", as_obj.alias("m"))
     maps = list_rows.unionByName(nested).unionByName(single).where(F.col("m").isNotNull())
     return normalize_maps(maps, "m", "json", ["source_file", "source_path"])
 
@@ -102,11 +119,20 @@ def parse_flow_line(line: Column) -> Column:
                         F.lit("protocol"), at(a + 2), F.lit("packet_len"), at(a + 3), F.lit("label"), at(a + 4))
 
 
+def with_line_order(lines: DataFrame) -> DataFrame:
+    """`line_no`: a struct that orders lines by file path, offset of the split in
+    the file and position in the task, whichever task reads the split."""
+    return lines.withColumn("line_no", F.struct(F.col("_metadata.file_path").alias("path"),
+                                                F.col("_metadata.file_block_start").alias("at"),
+                                                F.monotonically_increasing_id().alias("n")))
+
+
 def read_flow_text(spark: SparkSession, paths, order: bool = True) -> DataFrame:
     """Whitespace flow text files -> unified records (S4). Blank and '#'
-    lines are skipped. Keeps `line_no` (per-file offset order) for keep-first."""
-    t = provenance(spark.read.text(paths)).withColumn("line_no", F.monotonically_increasing_id()) if order else \
-        provenance(spark.read.text(paths))
+    lines are skipped. Keeps `line_no` (order of file path, split and line, the
+    same however Spark packs the splits) for keep-first."""
+    t = provenance(spark.read.text(paths))
+    t = with_line_order(t) if order else t
     t = t.where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     t = t.withColumn("m", parse_flow_line(F.col("value")))
     keep = ["source_file", "source_path"] + (["line_no"] if order else [])
@@ -127,8 +153,7 @@ def read_labelled_flows(spark: SparkSession, root: str, pattern: str = "*-no-met
 
 def read_firewall_logs(spark: SparkSession, paths) -> DataFrame:
     """Firewall log text by path or glob with the file name as source_file."""
-    t = provenance(spark.read.text(paths)).withColumnRenamed("value", "line")
-    return t.withColumn("line_no", F.monotonically_increasing_id())
+    return with_line_order(provenance(spark.read.text(paths)).withColumnRenamed("value", "line"))
 
 
 def capture_labels(files: DataFrame, mode: str = "folder") -> DataFrame:
@@ -160,14 +185,18 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def batch_summary(flows: DataFrame, files: DataFrame, n_features: int) -> DataFrame:
-    """Per input file: flows, feature count and a status (S14) --
-    SUCCESS (rows), EMPTY (no rows); files Spark could not read are listed
-    as ERROR by the caller from `ignoreCorruptFiles` runs."""
-    per = flows.groupBy("source_file").agg(F.count(F.lit(1)).alias("flows"))
-    f = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"))
-    return f.join(per, "source_file", "left").select(
-        "source_file", F.coalesce("flows", F.lit(0)).alias("flows"), F.lit(n_features).alias("features"),
-        F.when(F.col("flows") > 0, F.lit("SUCCESS")).otherwise(F.lit("EMPTY")).alias("status"))
+    """Per input file, by its whole path: flows, feature count and a status
+    (S14) -- SUCCESS (rows), EMPTY (no rows), ERROR where `files` has an `error`
+    (see `pcap.capture_summary`). `flows` name their file in `source_path`."""
+    per = flows.groupBy("source_path").agg(F.count(F.lit(1)).alias("flows"))
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    f = files.select(F.col("source_path" if "source_path" in files.columns else "path").alias("source_path"),
+                     error.alias("error"))
+    return f.join(per, "source_path", "left").select(
+        "source_path", F.regexp_extract("source_path", r"([^/]+)$", 1).alias("source_file"),
+        F.coalesce("flows", F.lit(0)).alias("flows"), F.lit(n_features).alias("features"),
+        F.when(F.col("error").isNotNull(), F.lit("ERROR")).when(F.col("flows") > 0, F.lit("SUCCESS"))
+        .otherwise(F.lit("EMPTY")).alias("status"))
 
 
 def save_feature_names(spark: SparkSession, names: list[str], path: str) -> None:

@@ -16,6 +16,10 @@ from flowlens.sources.tables import table
 # fixed values of the adapters (FIXTURES.md B1-B5)
 EPOCH_2024_US = 1704067200000000
 TIME_COMPRESSION = 1440  # 30 days -> 30 minutes
+# packets: the half hours begin at a quarter to an hour, those of the next server port 37 hours later, so keys cross
+# hours, and hours of the day and days of the week differ
+PACKET_START_US = EPOCH_2024_US + 45 * 60 * 1_000_000
+PORT_SHIFT_US = 37 * 3600 * 1_000_000
 SERVER_PORTS = [443, 1194, 53, 51820, 80]  # by user_id % 5
 EVENT_FLAGS = {"signup": 18, "view": 2, "click": 24, "purchase": 17, "error": 4}
 FLOW_DST_PORTS = {1: 443, 2: 1194, 3: 53, 4: 500}  # by l_linenumber, else 8080
@@ -64,7 +68,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     srv_port = _case(uid % 5, dict(enumerate(SERVER_PORTS)), 80)
     return e.select(
         eid.alias("packet_no"),
-        (F.lit(EPOCH_2024_US) + _div(epoch_us - F.lit(EPOCH_2024_US), TIME_COMPRESSION)).alias("ts_us"),
+        (F.lit(PACKET_START_US) + _div(epoch_us - F.lit(EPOCH_2024_US), TIME_COMPRESSION)
+         + (uid % 5) * F.lit(PORT_SHIFT_US)).alias("ts_us"),
         F.when(c2s, cli_ip).otherwise(srv_ip).alias("src_ip"),
         F.when(c2s, cli_port).otherwise(srv_port).cast("bigint").alias("src_port"),
         F.when(c2s, srv_ip).otherwise(cli_ip).alias("dst_ip"),
@@ -82,7 +87,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKETS_SQL = f"""
 packets AS (
   SELECT event_id AS packet_no,
-         {EPOCH_2024_US} + (epoch_us(ts) - {EPOCH_2024_US}) // {TIME_COMPRESSION} AS ts_us,
+         {PACKET_START_US} + (epoch_us(ts) - {EPOCH_2024_US}) // {TIME_COMPRESSION} + (user_id % 5) * {PORT_SHIFT_US} AS ts_us,
          CASE WHEN event_type NOT IN ('error','signup') THEN '10.0.0.' || CAST(user_id % 250 AS VARCHAR)
               ELSE '93.184.216.' || CAST(user_id % 7 AS VARCHAR) END AS src_ip,
          CAST(CASE WHEN event_type NOT IN ('error','signup') THEN 40000 + user_id % 1000
@@ -103,13 +108,21 @@ packets AS (
 
 
 # ---------------------------------------------------------------- B2 flows
+def _net(sk: Column) -> Column:
+    """Every third supplier has a public address."""
+    return F.when(sk % 3 == 0, F.lit("45.")).otherwise(F.lit("10."))
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`lineitem` -> pre-computed flow table (CIC-style aligned flows)."""
+    """`lineitem` -> pre-computed flow table (CIC-style aligned flows). Ends are
+    private, public and known to `ip_intel`, or public and unknown."""
     li = table(spark, sf_dir, "lineitem")
     sk, pk, ok, ln = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
     return li.select(
-        F.concat(F.lit("10."), _s(F.expr("l_suppkey div 250")), F.lit("."), _s(sk % 250), F.lit(".1")).alias("src_ip"),
-        F.concat(F.lit("172.16."), _s(pk % 20), F.lit(".1")).alias("dst_ip"),
+        F.concat(_net(sk), _s(F.expr("l_suppkey div 250")), F.lit("."), _s(sk % 250),
+                 F.when(ok % 29 == 0, F.lit(".2")).otherwise(F.lit(".1"))).alias("src_ip"),
+        F.when(pk % 4 == 0, F.concat(F.lit("45.0."), _s(pk % 20 * 3), F.lit(".1")))
+        .otherwise(F.concat(F.lit("172.16."), _s(pk % 20), F.lit(".1"))).alias("dst_ip"),
         (F.lit(1024) + ok % 10).cast("bigint").alias("src_port"),
         _case(ln, FLOW_DST_PORTS, 8080).cast("bigint").alias("dst_port"),
         F.when(F.col("l_returnflag") == "R", F.lit(17)).otherwise(F.lit(6)).cast("bigint").alias("protocol"),
@@ -129,8 +142,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLOWS_SQL = f"""
 flows AS (
-  SELECT '10.' || CAST(l_suppkey // 250 AS VARCHAR) || '.' || CAST(l_suppkey % 250 AS VARCHAR) || '.1' AS src_ip,
-         '172.16.' || CAST(l_partkey % 20 AS VARCHAR) || '.1' AS dst_ip,
+  SELECT CASE WHEN l_suppkey % 3 = 0 THEN '45.' ELSE '10.' END || CAST(l_suppkey // 250 AS VARCHAR) || '.'
+           || CAST(l_suppkey % 250 AS VARCHAR) || CASE WHEN l_orderkey % 29 = 0 THEN '.2' ELSE '.1' END AS src_ip,
+         CASE WHEN l_partkey % 4 = 0 THEN '45.0.' || CAST(l_partkey % 20 * 3 AS VARCHAR) || '.1'
+              ELSE '172.16.' || CAST(l_partkey % 20 AS VARCHAR) || '.1' END AS dst_ip,
          CAST(1024 + l_orderkey % 10 AS BIGINT) AS src_port,
          CAST({_sql_case('l_linenumber', FLOW_DST_PORTS, 8080)} AS BIGINT) AS dst_port,
          CAST(CASE WHEN l_returnflag = 'R' THEN 17 ELSE 6 END AS BIGINT) AS protocol,
@@ -151,10 +166,10 @@ flows AS (
 # ---------------------------------------------------------------- B3 ip_intel
 def ip_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`supplier` -> IP reputation dimension (one row per IP)."""
-    s = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 4 != 0)
+    s = table(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
     return s.select(
-        F.concat(F.lit("10."), _s(F.expr("s_suppkey div 250")), F.lit("."), _s(sk % 250), F.lit(".1")).alias("ip"),
+        F.concat(_net(sk), _s(F.expr("s_suppkey div 250")), F.lit("."), _s(sk % 250), F.lit(".1")).alias("ip"),
         (F.floor(F.abs(F.col("s_acctbal"))) % 101).cast("bigint").alias("fraud_score"),
         _case(sk % 3, dict(enumerate(IP_TYPES)), "mobile").alias("ip_type"),
         (F.lit(64500) + F.col("s_nationkey")).cast("bigint").alias("asn"),
@@ -164,12 +179,13 @@ def ip_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IP_INTEL_SQL = f"""
 ip_intel AS (
-  SELECT '10.' || CAST(s_suppkey // 250 AS VARCHAR) || '.' || CAST(s_suppkey % 250 AS VARCHAR) || '.1' AS ip,
+  SELECT CASE WHEN s_suppkey % 3 = 0 THEN '45.' ELSE '10.' END || CAST(s_suppkey // 250 AS VARCHAR) || '.'
+           || CAST(s_suppkey % 250 AS VARCHAR) || '.1' AS ip,
          CAST(floor(abs(s_acctbal)) % 101 AS BIGINT) AS fraud_score,
          {_sql_case('s_suppkey % 3', dict(enumerate(IP_TYPES)), 'mobile')} AS ip_type,
          CAST(64500 + s_nationkey AS BIGINT) AS asn,
          CAST(s_suppkey % 4 AS BIGINT) AS is_proxy
-  FROM supplier WHERE s_suppkey % 4 <> 0
+  FROM supplier
 )"""
 
 
@@ -191,7 +207,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" rcvdbyte="), _s(F.col("o_custkey") % 3),
         F.lit(" duration="), _s(ok % 7),
         F.lit(" action="), F.when(F.col("o_orderstatus") == "F", F.lit("deny")).otherwise(F.lit("accept")),
-        F.lit(" sessionid="), _s(ok),
+        F.lit(" sentpkt="), _s(ok % 50), F.lit(" rcvdpkt="), _s(ok % 4),
+        F.when(ok % 13 == 0, F.lit(" crlevel=high")).otherwise(F.lit("")),
+        F.when(ok % 19 == 0, F.lit(" threats=scan")).otherwise(F.lit("")),
+        F.lit(" sessionid="), _s(ok - ok % 3),
     )
     return o.select(ok.alias("line_no"), line.alias("line"))
 
@@ -209,7 +228,10 @@ log_lines AS (
          || ' rcvdbyte=' || CAST(o_custkey % 3 AS VARCHAR)
          || ' duration=' || CAST(o_orderkey % 7 AS VARCHAR)
          || ' action=' || CASE WHEN o_orderstatus = 'F' THEN 'deny' ELSE 'accept' END
-         || ' sessionid=' || CAST(o_orderkey AS VARCHAR) AS line
+         || ' sentpkt=' || CAST(o_orderkey % 50 AS VARCHAR) || ' rcvdpkt=' || CAST(o_orderkey % 4 AS VARCHAR)
+         || CASE WHEN o_orderkey % 13 = 0 THEN ' crlevel=high' ELSE '' END
+         || CASE WHEN o_orderkey % 19 = 0 THEN ' threats=scan' ELSE '' END
+         || ' sessionid=' || CAST(o_orderkey - o_orderkey % 3 AS VARCHAR) AS line
   FROM orders
 )"""
 
@@ -258,27 +280,37 @@ decisions AS (
 
 
 # ---------------------------------------------------------------- B6 payloads
+DIGESTS = 32  # of 32 bytes each: entropy of about 7.8
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` -> payloads(doc_id, src_ip, dst_ip, src_port, dst_port, payload).
 
-    Directed endpoints come from (source, lang); the payload is the UTF-8 text.
+    Directed endpoints come from (source, lang); the payload is the UTF-8 text,
+    or, for every fifth document, digests of it (as random as encrypted bytes)
+    to endpoints of their own, some on a VPN port.
     """
     d = table(spark, sf_dir, "documents")
+    enc = F.col("doc_id") % 5 == 0
+    digests = F.concat(*[F.sha2(F.concat("text", F.lit(f"#{i}")), 256) for i in range(DIGESTS)])
     return d.select(
         F.col("doc_id").alias("packet_no"),
         F.concat(F.lit("src-"), F.col("source")).alias("src_ip"),
-        F.concat(F.lit("lang-"), F.col("lang")).alias("dst_ip"),
+        F.concat(F.when(enc, F.lit("enc-")).otherwise(F.lit("lang-")), F.col("lang")).alias("dst_ip"),
         F.lit(443).cast("bigint").alias("src_port"),
-        F.lit(443).cast("bigint").alias("dst_port"),
-        F.encode(F.col("text"), "UTF-8").alias("payload"),
+        F.when(enc & F.col("lang").isin("en", "de"), F.lit(1194)).otherwise(F.lit(443)).cast("bigint").alias("dst_port"),
+        F.when(enc, F.unhex(digests)).otherwise(F.encode(F.col("text"), "UTF-8")).alias("payload"),
     )
 
 
-PAYLOADS_SQL = """
+PAYLOADS_SQL = f"""
 payloads AS (
-  SELECT doc_id AS packet_no, 'src-' || source AS src_ip, 'lang-' || lang AS dst_ip,
-         CAST(443 AS BIGINT) AS src_port, CAST(443 AS BIGINT) AS dst_port,
-         encode(text) AS payload
+  SELECT doc_id AS packet_no, 'src-' || source AS src_ip,
+         CASE WHEN doc_id % 5 = 0 THEN 'enc-' ELSE 'lang-' END || lang AS dst_ip,
+         CAST(443 AS BIGINT) AS src_port,
+         CAST(CASE WHEN doc_id % 5 = 0 AND lang IN ('en', 'de') THEN 1194 ELSE 443 END AS BIGINT) AS dst_port,
+         CASE WHEN doc_id % 5 = 0 THEN unhex({' || '.join(f"sha256(text || '#{i}')" for i in range(DIGESTS))})
+              ELSE encode(text) END AS payload
   FROM documents
 )"""
 
@@ -288,6 +320,7 @@ def with_sql(*ctes: str) -> str:
 
 
 # ---------------------------------------------------------------- B7 records
+REPEAT = 1_000_000_000
 RECORD_LABELS = ["VPN-Chat", "novpn", "Benign", "tor", "yes", ""]  # by user_id % 6
 # odd event_id rows use the first alias set, even rows the second (A9 aliases)
 RECORD_ALIASES_ODD = ["time", "source_ip", "destination_ip", "sport", "dport", "proto", "length", "class"]
@@ -301,8 +334,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec_no = event_id. Odd rows carry an epoch-seconds `time`, even rows a
     'yyyy-MM-dd HH:mm:ss' `ts`; ports '0' now and then (falsy), sizes '' now
     and then; labels cycle through RECORD_LABELS; `props` is the spill-over.
+    Every eleventh record comes twice, the second time numbered REPEAT higher.
     """
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumn("rec_no", F.col("event_id"))
+    e = e.unionByName(e.where(F.col("event_id") % 11 == 0).withColumn("rec_no", F.col("event_id") + REPEAT))
     uid, eid = F.col("user_id"), F.col("event_id")
     odd = eid % 2 == 1
     c2s = ~F.col("event_type").isin("error", "signup")
@@ -324,7 +359,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     vals_even = [F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), src, dst, sport, dport,
                  F.when(tcp, F.lit("6")).otherwise(F.lit("17")), size, label]
     return e.select(
-        eid.alias("rec_no"),
+        "rec_no",
         *[F.when(odd, v).alias(n) for n, v in zip(RECORD_ALIASES_ODD, vals_odd)],
         *[F.when(~odd, v).alias(n) for n, v in zip(RECORD_ALIASES_EVEN, vals_even)],
         F.col("props"),
@@ -351,8 +386,9 @@ def _records_sql() -> str:
     cols += [f"CASE WHEN event_id % 2 = 0 THEN {v} END AS {n}" for n, v in zip(RECORD_ALIASES_EVEN, vals_even)]
     return f"""
 records AS (
-  SELECT event_id AS rec_no, {', '.join(cols)}, props
-  FROM events
+  SELECT rec_no, {', '.join(cols)}, props
+  FROM (SELECT *, event_id AS rec_no FROM events
+        UNION ALL SELECT *, event_id + {REPEAT} AS rec_no FROM events WHERE event_id % 11 = 0)
 )"""
 
 

@@ -12,9 +12,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the cluster's cores when the scan yields
-    fewer splits than cores (a small file has one row group, so one task
-    would run all per-row work before the first shuffle). On large inputs
-    the scan already has enough splits and nothing is added."""
+    fewer splits than cores. For compute-bound operators only (a small file has
+    one row group, so one task would run all their per-row work): reading a
+    table never shuffles."""
     try:
         spark = df.sparkSession
         cores = spark.sparkContext.defaultParallelism
@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
     configure(spark)
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

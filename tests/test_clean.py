@@ -61,7 +61,7 @@ def test_kth_smallest_narrowing_with_hot_value(spark):
     vals = [5.0] * 3000 + [float(i) for i in range(2000)] + [1e9, -7.0]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     ks = [0, 1, 2500, 4000, len(vals) - 1]
-    got = st.kth_smallest(df, "x", ks, fanout=8, collect_below=50)
+    got = st.kth_smallest(df, "x", ks, fanout=8, exact=50)
     srt = sorted(vals)
     assert got == {k: srt[k] for k in ks}
     q = st.exact_quantiles(df, "x", [0.25, 0.75])

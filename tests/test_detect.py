@@ -37,7 +37,7 @@ def test_psi_alerts_and_retention(spark):
     now = dt.datetime(2024, 1, 10)
     d = spark.createDataFrame([(1, now - dt.timedelta(hours=1), "10.0.0.1"), (2, now - dt.timedelta(days=2), "10.0.0.2"),
                                (3, now - dt.timedelta(days=9), "10.0.0.3")], "id long, ts timestamp, src_ip string")
-    p = {r.id: r.src_ip for r in mo.pseudonymize(d, now, ip_cols=("src_ip",), salt="s").collect()}
+    p = {r.id: r.src_ip for r in mo.pseudonymize(mo.drop_expired(d, now, 7), now, ip_cols=("src_ip",), salt="s").collect()}
     assert p[1] == "10.0.0.1" and len(p[2]) == 64 and 3 not in p
 
 

@@ -1,6 +1,7 @@
 """Stream = batch for the rollups; late rows past the watermark are dropped."""
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -97,7 +98,7 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
     p = fx.packets(spark, SF)
     n = p.count()
     src = str(tmp_path / "pk")
-    p.withColumn("part", F.floor(F.col("packet_no") * 3 / F.lit(n))).coalesce(1).write.partitionBy("part").parquet(src)
+    p.withColumn("part", F.ntile(3).over(Window.orderBy("ts_us"))).coalesce(1).write.partitionBy("part").parquet(src)
     stream = read_stream(spark, src + "/*", p.schema, max_files_per_trigger=1)
     out = str(tmp_path / "out")
     # append mode: a session is emitted once the watermark passes its end
