@@ -43,14 +43,17 @@ def is_private(ip: Column, rule: str = "python") -> Column:
     """Private-address test (J5). rule='python' is the wider IANA list that the
     reference's check applies; 'declared' the list it declares.
     Non-IPv4 text -> False."""
-    v = ipv4_to_long(ip)
+    # the address is parsed once, not once per range
+    return F.coalesce(F.exists(F.array(ipv4_to_long(ip)), lambda v: is_private_number(v, rule)), F.lit(False))
+
+
+def is_private_number(v: Column, rule: str = "python") -> Column:
+    """The same for an address as a number."""
     if rule == "declared":
-        hit = in_ranges(v, PRIVATE_RANGES_DECLARED)
-    elif rule == "python":
-        hit = in_ranges(v, PRIVATE_RANGES_IANA) & ~in_ranges(v, PRIVATE_EXCEPTIONS_IANA)
-    else:
-        raise ValueError(rule)
-    return F.coalesce(hit, F.lit(False))
+        return in_ranges(v, PRIVATE_RANGES_DECLARED)
+    if rule == "python":
+        return in_ranges(v, PRIVATE_RANGES_IANA) & ~in_ranges(v, PRIVATE_EXCEPTIONS_IANA)
+    raise ValueError(rule)
 
 
 def ranges_table(spark: SparkSession, cidrs_with_attrs: list[tuple]) -> DataFrame:
