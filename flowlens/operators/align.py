@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: the core columns, in order
 CORE = [
     "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
     "timestamp", "flow_duration",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.exprs import digits_int
 from flowlens.functions.parse import date_time_ts, kv_map
 from flowlens.operators.topk import first_per_key
+from flowlens.sources.tables import spread
 
 # fixed values: application/service name -> unified app label (J6), default 'Unknown'
 APP_LABELS = {
@@ -37,7 +38,8 @@ SUSPICIOUS_CRLEVELS = ["high", "critical"]
 def lookup(c: Column, mapping: dict, default) -> Column:
     """Literal map lookup with a default."""
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, c), F.lit(default))
+    found = F.try_element_at(m, c)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def parse_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -46,7 +48,7 @@ def parse_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     The map is produced by a one-element generator: later filters on the
     parsed fields cannot be pushed below it, so the regex parse runs once per
     line instead of once per field referenced by a filter."""
-    return lines.select("*", F.explode(F.array(kv_map(F.col(line_col)))).alias("fields")) \
+    return spread(lines).select("*", F.explode(F.array(kv_map(F.col(line_col)))).alias("fields")) \
         .where(F.col("fields").isNotNull())
 
 

@@ -8,7 +8,7 @@ expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -115,20 +115,39 @@ def features_map(df: DataFrame, mapping: dict[str, str]) -> Column:
 def apply_model(df: DataFrame, vector_col: str, predict: Callable[[np.ndarray], np.ndarray],
                 out_col: str = "p") -> DataFrame:
     """Run a user model on Arrow batches: `predict(matrix) -> probabilities`
-    (the stage-2 model of the reference is a boosted-tree classifier).
-    A failing batch yields NULL probabilities, which M3 maps to its error
-    result, so one bad batch never fails the job (R9)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType())])
+    (the stage-2 model of the reference is a boosted-tree classifier). A row
+    that the model fails on has a NULL probability, which M3 maps to its error
+    result, and the reason in `<out_col>_error`; the other rows of its batch are
+    scored (R9)."""
+    fields = [T.StructField(out_col, T.DoubleType()), T.StructField(f"{out_col}_error", T.StringType())]
 
     def run(batches):
         for pdf in batches:
-            try:
-                m = np.stack(pdf[vector_col].to_numpy()) if len(pdf) else np.zeros((0, 0))
-                pdf[out_col] = np.asarray(predict(m), dtype="float64") if len(pdf) else []
-            except Exception:  # noqa: BLE001 - per-batch failure becomes NULL scores
-                pdf[out_col] = pd.Series([None] * len(pdf), dtype="float64")
+            scored = list(_predicted(list(pdf[vector_col]), predict))
+            pdf[out_col] = pd.Series([p for p, _ in scored], dtype="float64", index=pdf.index)
+            pdf[f"{out_col}_error"] = pd.Series([e for _, e in scored], dtype="object", index=pdf.index)
             yield pdf
-    return df.mapInPandas(run, schema)
+
+    return df.mapInPandas(run, T.StructType(df.schema.fields + fields))
+
+
+def _predicted(vectors: list, predict) -> Iterator[tuple[float | None, str | None]]:
+    """(probability, error) of each row; a batch that fails is halved until the
+    rows that it fails on are alone."""
+    if not vectors:
+        return
+    try:
+        out = np.asarray(predict(np.stack(vectors)), dtype="float64")
+        if out.shape != (len(vectors),):
+            raise ValueError(f"{out.shape} probabilities for {len(vectors)} rows")
+        yield from ((float(p), None) for p in out)
+    except Exception as e:  # noqa: BLE001 - whatever a user's model raises becomes the row's error
+        if len(vectors) == 1:
+            yield None, f"{type(e).__name__}: {e}"
+        else:
+            half = len(vectors) // 2
+            yield from _predicted(vectors[:half], predict)
+            yield from _predicted(vectors[half:], predict)
 
 
 # ------------------------------------------------------------------ M5 / M6

@@ -32,14 +32,12 @@ def top_k_counts(df: DataFrame, key: str, k: int, count_name: str = "count") ->
 
 def first_per_key(df: DataFrame, key_cols: list[str], order_cols: list) -> DataFrame:
     """Keep-first dedupe (A1-A3, W5): the first row of every key under an
-    explicit total order. `min_by` over a struct of the row is an aggregate,
-    so it combines map-side; no key's rows are ever buffered together."""
-    rest = [c for c in df.columns if c not in key_cols]
-    order = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
-    row = F.struct(*[F.col(c) for c in rest])
-    return (df.groupBy(*key_cols).agg(F.min_by(row, order).alias("_r"))
-              .select(*key_cols, *[F.col(f"_r.{c}").alias(c) for c in rest])
-              .select(*df.columns))
+    explicit total order. Spark keeps the first row of a key in each task before
+    the shuffle (a group limit on the rank), so a key sends one row a task
+    however often it occurs, and rows cross the network once, as they are."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    w = Window.partitionBy(*key_cols).orderBy(*order)
+    return df.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1).drop("_first")
 
 
 def ordinal_within_group(df: DataFrame, group_cols: list[str], order_cols: list, bucket,

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import parse as ps
 from flowlens.operators.topk import first_per_key
+from flowlens.sources.tables import spread
 
+# fixed values (P1): the columns of a unified record, in order
 UNIFIED_COLUMNS = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_len",
                    "direction", "label", "source_type", "additional_meta"]
 # fixed values (P1): accepted source names per unified field, first truthy wins
@@ -37,7 +39,7 @@ def normalize(records: DataFrame, source_type: str, *, keep: list[str] | None =
     """Resolve aliases (P1) and spill every other non-NULL field into a JSON
     string, '' when there is none (P2). `keep` lists bookkeeping columns
     (file, row number) carried through unchanged and left out of the spill."""
-    keep = list(keep or [])
+    records, keep = spread(records), list(keep or [])
     cols = set(records.columns)
     out = {}
     for field, names in ALIASES.items():

@@ -1956,3 +1956,70 @@ def d14_indicators_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tr.zscore(tr.missing_indicators(fx.flows(spark, sf_dir), ["flow_duration"]), ["byte_count_fwd"])
     return f.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flow_duration_missing",
                     round3("byte_count_fwd_z").alias("byte_count_fwd_z"))
+
+
+# ---------------------------------------------------------------- J6, J7, S8 label dictionaries
+from flowlens.operators import labels as lb  # noqa: E402
+
+RAW_LABELS = ["streaming", "chat", "voip", "file_transfer", "browsing", "c2", "email", "p2p", "Benign", "Bot", "DDoS", "DoS",
+              "PortScan", "Infiltration", "Web Attack", "other"]
+RAW_DATASETS = ["vnat", "iscxvpn2016", "cic_ids_2017", "ustc_tfc2016", "university_traffic", "unknown"]
+RAW_CLASSES = ["BitTorrent", "Facetime", "FTP", "Gmail", "MySQL", "Outlook", "Skype", "SMB", "Weibo", "WorldOfWarcraft", "Cridex",
+               "Geodo", "Htbot", "Miuref", "Neris", "Nsis-ay", "Shifu", "Tinba", "Virut", "Zeus", "Other"]
+
+
+def _pick(names: list[str], n):
+    return F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+
+
+def _pick_sql(names: list[str], n: str) -> str:
+    return f"[{', '.join(repr(x) for x in names)}][{n} % {len(names)} + 1]"
+
+
+@register("j7_dataset_labels", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_pick_sql(RAW_DATASETS, 'l_suppkey')} AS dataset,
+                  {_pick_sql(RAW_LABELS, 'l_partkey')} AS raw_label FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dataset, raw_label,
+       CASE WHEN dataset = 'vnat' THEN CASE raw_label WHEN 'streaming' THEN 'Video_Streaming' WHEN 'chat' THEN 'Chat'
+              WHEN 'voip' THEN 'VoIP' WHEN 'file_transfer' THEN 'File_Transfer' WHEN 'browsing' THEN 'Browsing'
+              WHEN 'c2' THEN 'C2_Communication' ELSE raw_label END
+            WHEN dataset = 'iscxvpn2016' THEN CASE raw_label WHEN 'browsing' THEN 'Browsing' WHEN 'email' THEN 'Email'
+              WHEN 'chat' THEN 'Chat' WHEN 'streaming' THEN 'Video_Streaming' WHEN 'voip' THEN 'VoIP' WHEN 'p2p' THEN 'P2P'
+              WHEN 'file_transfer' THEN 'File_Transfer' ELSE raw_label END
+            WHEN dataset = 'cic_ids_2017' THEN CASE raw_label WHEN 'Bot' THEN 'Botnet' WHEN 'PortScan' THEN 'Portscan'
+              WHEN 'Web Attack' THEN 'Web_Attack' ELSE raw_label END
+            ELSE raw_label END AS label,
+       CASE dataset WHEN 'vnat' THEN 'app_classification' WHEN 'iscxvpn2016' THEN 'app_classification'
+            WHEN 'cic_ids_2017' THEN 'intent_classification' WHEN 'ustc_tfc2016' THEN 'both'
+            WHEN 'university_traffic' THEN 'test' END AS purpose,
+       CASE dataset WHEN 'vnat' THEN 0 WHEN 'iscxvpn2016' THEN 1 WHEN 'cic_ids_2017' THEN 0 WHEN 'ustc_tfc2016' THEN 0 END
+         AS vpn_flag
+FROM r""")
+def j7_dataset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw labels of several datasets through each dataset's map."""
+    from flowlens.sources.tables import table
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _pick(RAW_DATASETS, F.col("l_suppkey")).alias("dataset"),
+        _pick(RAW_LABELS, F.col("l_partkey")).alias("raw_label"))
+    return lb.with_dataset_labels(rows)
+
+
+@register("j6_capture_classes", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_pick_sql(RAW_CLASSES, 'l_partkey')} AS name FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE name WHEN 'BitTorrent' THEN 'P2P' WHEN 'Facetime' THEN 'VoIP' WHEN 'FTP' THEN 'File_Transfer' WHEN 'Gmail' THEN 'Email'
+            WHEN 'MySQL' THEN 'Browsing' WHEN 'Outlook' THEN 'Email' WHEN 'Skype' THEN 'VoIP' WHEN 'SMB' THEN 'File_Transfer'
+            WHEN 'Weibo' THEN 'Chat' WHEN 'WorldOfWarcraft' THEN 'Gaming' ELSE 'Unknown' END AS app_label,
+       CASE WHEN name IN ('Cridex', 'Geodo', 'Miuref', 'Nsis-ay', 'Shifu', 'Tinba', 'Virut', 'Zeus') THEN 'Malware'
+            WHEN name IN ('Htbot', 'Neris') THEN 'Botnet' WHEN name = 'Other' THEN 'Unknown' ELSE 'Benign' END AS intent_label
+FROM r""")
+def j6_capture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of captures by their folder's class, some with a number."""
+    from flowlens.sources.tables import table
+    name = _pick(RAW_CLASSES, F.col("l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(name, F.lit("-"), F.col("l_linenumber").cast("string")))
+        .otherwise(name).alias("class_name"))
+    return lb.capture_class_labels(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "app_label",
+                                                "intent_label")

@@ -3,8 +3,9 @@
 The decision cache keeps, per key (src, dst, dst_port), only the current
 entry: write time, TTL and the written result -- constant state per key,
 whatever the traffic. Requests of a key inside one micro-batch are replayed
-in event-time order; the entry is evicted once the watermark passes its
-expiry. The batch replay `operators.chains.decision_cache` is the oracle.
+in event-time order; a request earlier than the stored write (late, but
+accepted) is a miss served by itself and leaves the newer entry; the entry is
+evicted once the watermark passes its expiry. The batch replay `operators.chains.decision_cache` is the oracle.
 A key's rows of one micro-batch are handled by one task, so the trigger size
 (`maxFilesPerTrigger` / `maxOffsetsPerTrigger`) bounds that work.
 """
@@ -38,14 +39,17 @@ def _replay(low_ttl_us: int, other_ttl_us: int, low_below: int):
         cached, writer, served = [], [], []
         for r in rows.itertuples(index=False):
             t = int(pd.Timestamp(r.ts).value // 1000)
-            if entry is not None and t - entry[0] < entry[1]:
+            if entry is not None and 0 <= t - entry[0] < entry[1]:
                 cached.append(True)
+                source = entry
             else:
                 ttl = low_ttl_us if r.risk < low_below else other_ttl_us
-                entry = (t, ttl, int(r.id), int(r.risk))
+                source = (t, ttl, int(r.id), int(r.risk))
                 cached.append(False)
-            writer.append(entry[2])
-            served.append(entry[3])
+                if entry is None or t >= entry[0]:
+                    entry = source
+            writer.append(source[2])
+            served.append(source[3])
         state.update(entry)
         state.setTimeoutTimestamp(int((entry[0] + entry[1]) // 1000))
         out = rows[["id", "ts", "src", "dst", "dst_port", "risk"]].copy()

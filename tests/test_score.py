@@ -32,3 +32,15 @@ def test_apply_model_failure_becomes_error_result(spark):
     assert [r[0] for r in out] == [50, 50]
     good = sc.apply_model(df, "v", lambda m: m.sum(axis=1) / 10.0).select("p").collect()
     assert [round(r[0], 6) for r in good] == [0.3, 0.7]
+
+
+def test_a_bad_row_fails_alone(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "i int, v array<float>").coalesce(1)
+
+    def picky(m):
+        if (m[:, 0] == 4).any():
+            raise ValueError("no four")
+        return m[:, 0] / 10.0
+    got = {r.i: (r.p, r.p_error) for r in sc.apply_model(df, "v", picky).collect()}
+    assert got.pop(4) == (None, "ValueError: no four")
+    assert all(e is None and abs(p - i / 10) < 1e-6 for i, (p, e) in got.items()) and len(got) == 8

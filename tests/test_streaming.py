@@ -108,3 +108,29 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
     want = sorted(map(tuple, ro.stream_sessions(p, "60 seconds").select("ip1", "start_us", "packets").collect()))
     assert got and set(got) <= set(want)
     assert len(want) - len(got) <= 60  # sessions still open at the end of the input are not emitted yet
+
+
+def test_cache_replay_with_a_late_request():
+    import pandas as pd
+
+    from flowlens.streaming.state import _replay
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+    def rows(*pairs):
+        return iter([pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s), "a", "b", 1, 5) for i, s in pairs],
+                                  columns=["id", "ts", "src", "dst", "dst_port", "risk"])])
+
+    state, replay = State(), _replay(300_000_000, 60_000_000, 20)
+    first, = replay(None, rows((1, 100)), state)
+    late, = replay(None, rows((2, 50), (3, 150)), state)
+    assert first.cached.tolist() == [False]
+    assert late.cached.tolist() == [False, True] and late.writer_id.tolist() == [2, 1]
+    assert state.get[2] == 1
