@@ -678,17 +678,14 @@ RAW_FLOW_COLS = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet
 
 
 @register("p15_missing_values", fx.with_sql(fx.FLOWS_SQL) + f"""
-SELECT intent_label, CAST(count(*) AS BIGINT) AS flows,
-       {sql_r3('sum(coalesce(flow_duration, 0))', 'duration_sum')}
+SELECT src_ip, dst_ip, src_port, dst_port, protocol, intent_label, byte_count_fwd, coalesce(flow_duration, 0) AS flow_duration
 FROM flows
-WHERE ({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in RAW_FLOW_COLS)}) / {float(len(RAW_FLOW_COLS))!r} <= 0.05
-GROUP BY intent_label""")
+WHERE ({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in RAW_FLOW_COLS)}) / {float(len(RAW_FLOW_COLS))!r} <= 0.05""")
 def p15_missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row NULL-share filter (threshold 5 % here) then typed NULL fill."""
     f = fx.flows(spark, sf_dir).select(*RAW_FLOW_COLS)
     f = cl.fill_missing(cl.drop_sparse_rows(f, 0.05))
-    return f.groupBy("intent_label").agg(F.count(F.lit(1)).alias("flows"),
-                                         round3(F.sum("flow_duration")).alias("duration_sum"))
+    return f.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "intent_label", "byte_count_fwd", "flow_duration")
 
 
 def outlier_sql(src: str, cols: list[str], factor: float = 3.0) -> tuple[str, str]:
@@ -846,8 +843,9 @@ def j3_enrich_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("m2_policy_actions", fx.with_sql(fx.DECISIONS_SQL) + f"""
 SELECT id, risk,
        CASE WHEN risk <= 20 THEN 'ALLOW' WHEN risk <= 60 THEN 'CHALLENGE' ELSE 'BLOCK' END AS action,
-       CASE WHEN risk <= 20 THEN '{sc.POLICY[0][2]}' WHEN risk <= 60 THEN '{sc.POLICY[1][2]}'
-            ELSE '{sc.POLICY[2][2]}' END AS reason
+       CASE WHEN risk <= 20 THEN 'Low risk - legitimate traffic pattern detected'
+            WHEN risk <= 60 THEN 'Medium risk - additional verification required (MFA/CAPTCHA)'
+            ELSE 'High risk - suspicious activity detected' END AS reason
 FROM decisions""")
 def m2_policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy action and reason from the risk score (M2)."""
@@ -1192,21 +1190,33 @@ def c30_packet_block_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("c31_packet_block_images", PIX_SQL + """
 SELECT ip1 AS src_ip, port1 AS src_port, ip2 AS dst_ip, port2 AS dst_port, protocol,
        CAST(count(*) AS BIGINT) AS lit_pixels, CAST(sum(r + g + b) AS BIGINT) AS pixel_sum,
-       12288 AS image_len, floor(sum(r + g + b) / 255.0 / 12288 * 1000000 + 0.5) / 1000000 AS mean_scaled
+       12288 AS image_len, floor(sum(r + g + b) / 255.0 / 12288 * 1000000 + 0.5) / 1000000 AS mean_scaled,
+       CAST(sum(r * (3 * idx % 997 + 1) + g * ((3 * idx + 1) % 997 + 1) + b * ((3 * idx + 2) % 997 + 1)) AS BIGINT)
+         AS pixel_places,
+       CAST(sum(r * (3 * idx % 991 + 1) + g * ((3 * idx + 1) % 991 + 1) + b * ((3 * idx + 2) % 991 + 1)) AS BIGINT)
+         AS scaled_places,
+       CAST(CAST(max(greatest(r, g, b)) / 255.0 AS FLOAT) AS DOUBLE) AS scaled_max
 FROM pix GROUP BY ip1, port1, ip2, port2, protocol, sess_no HAVING sum(r + g + b) > 0""")
 def c31_packet_block_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembled zero-padded images (flattened 64x64x3) and their /255
-    float32 scaling; summarised per image (C31, C32)."""
+    float32 scaling; sums weighted by place tell every pixel's place (C31, C32)."""
     _, p = _block(spark, sf_dir)
     img = im.images(p)
     total = F.aggregate(F.col("image"), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    scaled_sum = F.aggregate(im.scale_pixels(F.col("image")), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    img = img.withColumn("scaled", im.scale_pixels(F.col("image")))
+
+    def places(values, modulus: int):
+        weighted = F.transform(values, lambda x, i: x.cast("bigint") * (i % modulus + 1))
+        return F.aggregate(weighted, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
     return img.select(
         F.col("ip1").alias("src_ip"), F.col("port1").alias("src_port"), F.col("ip2").alias("dst_ip"),
         F.col("port2").alias("dst_port"), "protocol", F.col("packets_drawn").cast("bigint").alias("lit_pixels"),
         total.alias("pixel_sum"), F.size("image").alias("image_len"),
         (F.floor(total / F.lit(255.0) / F.lit(12288.0) * 1000000 + 0.5) / 1000000).alias("mean_scaled"),
-    ).where(scaled_sum >= 0)
+        places(F.col("image"), 997).alias("pixel_places"),
+        places(F.transform("scaled", lambda x: F.round(x * 255)), 991).alias("scaled_places"),
+        F.array_max("scaled").cast("double").alias("scaled_max"))
 
 
 @register("f14_image_manifest", PIX_SQL + """,
@@ -1791,15 +1801,13 @@ def t4_last_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("a4_dedupe_per_second", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL) + f"""
-SELECT intent_label, CAST(count(*) AS BIGINT) AS flows FROM (
-  SELECT * FROM aligned
-  QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol, date_trunc('second', timestamp)
-                             ORDER BY {', '.join(FLOW_ORDER)}) = 1)
-GROUP BY intent_label""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, intent_label, byte_count_total FROM aligned
+QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol, date_trunc('second', timestamp)
+                           ORDER BY {', '.join(FLOW_ORDER)}) = 1""")
 def a4_dedupe_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep-first on the 5-tuple plus the timestamp floored to the second (A4)."""
     d = cl.dedupe_flows_per_second(aligned_flows(spark, sf_dir), FLOW_ORDER)
-    return d.groupBy("intent_label").agg(F.count(F.lit(1)).alias("flows"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "intent_label", "byte_count_total")
 
 
 @register("a8_step_counts", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, fx.LOG_LINES_SQL, KV_SQL, FW_SQL, DEDUPED_SQL,
