@@ -78,15 +78,23 @@ def zero_if_not_finite(c) -> Column:
 
 # ---------------------------------------------------------------- exact moments
 # Mean / population variance / std of an integer column from exact integer
-# sums (count, sum, sum of squares as DECIMAL(38,0)). The sums are algebraic,
-# so they combine map-side before any shuffle; and being exact they give the
-# same bits whatever the partitioning or the engine (the DuckDB twin uses
-# HUGEINT), unlike floating running sums.
-
-def moment_aggs(x, name: str) -> list[Column]:
-    v = col(x).cast("decimal(38,0)")
+# sums: count and sum as BIGINT, the sum of squares as BIGINT for small values
+# (packet sizes) and DECIMAL(38,0) else (gaps in microseconds). The sums are
+# algebraic, so they combine map-side before any shuffle; and being exact they
+# give the same bits whatever the partitioning or the engine (the DuckDB twin
+# uses HUGEINT), unlike floating running sums.
+
+def moment_aggs(x, name: str, small: bool = False) -> list[Column]:
+    v = col(x).cast("bigint")
+    w = v if small else v.cast("decimal(18,0)")
     return [F.count(v).alias(f"_{name}_n"), F.sum(v).alias(f"_{name}_s1"),
-            F.sum(v * v).alias(f"_{name}_s2")]
+            F.sum(w * w).alias(f"_{name}_s2")]
+
+
+def _spread_of(name: str) -> Column:
+    """n * sum of squares - square of the sum, exactly."""
+    n, s1, s2 = (F.col(f"_{name}_{s}").cast("decimal(38,0)") for s in ("n", "s1", "s2"))
+    return (n * s2 - s1 * s1).cast("double")
 
 
 def m_mean(name: str, scale: float = 1.0) -> Column:
@@ -96,18 +104,16 @@ def m_mean(name: str, scale: float = 1.0) -> Column:
 
 
 def m_var(name: str, scale: float = 1.0) -> Column:
-    n, s1, s2 = (F.col(f"_{name}_{s}") for s in ("n", "s1", "s2"))
+    n = F.col(f"_{name}_n")
     nd = n.cast("decimal(38,0)")
-    num = (nd * s2 - s1 * s1).cast("double")
-    v = F.when(n > 0, num / (nd * nd).cast("double"))
+    v = F.when(n > 0, _spread_of(name) / (nd * nd).cast("double"))
     return v if scale == 1.0 else v / F.lit(float(scale) * float(scale))
 
 
 def m_std(name: str, scale: float = 1.0) -> Column:
-    n, s1, s2 = (F.col(f"_{name}_{s}") for s in ("n", "s1", "s2"))
+    n = F.col(f"_{name}_n")
     nd = n.cast("decimal(38,0)")
-    num = (nd * s2 - s1 * s1).cast("double")
-    s = F.when(n > 0, F.sqrt(num / (nd * nd).cast("double")))
+    s = F.when(n > 0, F.sqrt(_spread_of(name) / (nd * nd).cast("double")))
     return s if scale == 1.0 else s / F.lit(float(scale))
 
 

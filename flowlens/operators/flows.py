@@ -142,6 +142,12 @@ def sessionize(keyed: DataFrame, idle_timeout: float | None = 60.0, *,
                     F.when(gap_dir >= 0, gap_dir).alias("dir_gap_us"))
 
 
+def _last_ts(order: str) -> Column:
+    """Time of the flow's last packet; its first one is the session id. In time
+    order that is a flat maximum, which a hash aggregate can hold."""
+    return F.max("o.ts_us") if order == "time" else F.max("o")["ts_us"]
+
+
 def _flag_count(bit: int, where: Column | None = None) -> Column:
     hit = (F.col("protocol") == TCP) & ((F.col("flags").bitwiseAND(F.lit(bit))) != 0)
     if where is not None:
@@ -151,8 +157,9 @@ def _flag_count(bit: int, where: Column | None = None) -> Column:
 
 # ------------------------------------------------------------------ F5-F10
 def flow_stats(sessions: DataFrame, *, key_cols: list[str] | None = None,
-               min_packets: int = 1) -> DataFrame:
-    """Per-flow record of the packet-level flow builder.
+               min_packets: int = 1, order: str = "time") -> DataFrame:
+    """Per-flow record of the packet-level flow builder (F5-F10); `order` as
+    given to `sessionize`.
 
     Directions follow the key order (F4). Population std/variance (F6);
     IAT lists per direction, 'total' = both lists together (F7); flag counts
@@ -164,14 +171,14 @@ def flow_stats(sessions: DataFrame, *, key_cols: list[str] | None = None,
     length = F.col("pkt_len")
     gap = F.col("dir_gap_us")
     agg = sessions.groupBy(*key_cols, "sid").agg(
-        F.min("o").alias("_first"), F.max("o").alias("_last"),
+        _last_ts(order).alias("_last_us"),
         F.count_if(fwd).alias("packet_count_fwd"),
         F.count_if(~fwd).alias("packet_count_bwd"),
         F.count(F.lit(1)).alias("packet_count_total"),
         F.coalesce(F.sum(F.when(fwd, length)), F.lit(0)).alias("byte_count_fwd"),
         F.coalesce(F.sum(F.when(~fwd, length)), F.lit(0)).alias("byte_count_bwd"),
         F.min(length).alias("packet_length_min"), F.max(length).alias("packet_length_max"),
-        *moment_aggs(length, "len"),
+        *moment_aggs(length, "len", small=True),
         *moment_aggs(F.when(fwd, gap), "gf"), *moment_aggs(F.when(~fwd, gap), "gb"),
         *moment_aggs(gap, "gt"),
         F.min(gap).alias("_gmin"), F.max(gap).alias("_gmax"),
@@ -181,7 +188,7 @@ def flow_stats(sessions: DataFrame, *, key_cols: list[str] | None = None,
     )
     if min_packets > 1:
         agg = agg.where(F.col("packet_count_total") >= min_packets)
-    dur = ((F.col("_last.ts_us") - F.col("_first.ts_us")) / F.lit(float(US)))
+    dur = ((F.col("_last_us") - F.col("sid.ts_us")) / F.lit(float(US)))
     zero = F.lit(0.0)
     iat = {
         "mean_iat_fwd": m_mean("gf", US), "mean_iat_bwd": m_mean("gb", US), "mean_iat_total": m_mean("gt", US),
@@ -193,8 +200,8 @@ def flow_stats(sessions: DataFrame, *, key_cols: list[str] | None = None,
         F.col("port1").alias("src_port"), F.col("port2").alias("dst_port"),
         *[c for c in key_cols if c not in KEY],
         "protocol",
-        F.timestamp_micros(F.col("_first.ts_us")).alias("timestamp"),
-        F.col("_first.ts_us").alias("start_us"),
+        F.timestamp_micros(F.col("sid.ts_us")).alias("timestamp"),
+        F.col("sid.ts_us").alias("start_us"),
         dur.alias("flow_duration"),
         "packet_count_fwd", "packet_count_bwd", "packet_count_total",
         F.col("byte_count_fwd").cast("bigint").alias("byte_count_fwd"),
@@ -219,11 +226,11 @@ def build_flows(packets: DataFrame, *, key: str = "ip", idle_timeout: float | No
                 min_packets: int = 1, order: str = "time", bucket=None) -> DataFrame:
     """F1 -> F2 -> F5-F10 in one chain."""
     return flow_stats(sessionize(canonical_key(packets, key), idle_timeout, order=order, bucket=bucket),
-                      min_packets=min_packets)
+                      min_packets=min_packets, order=order)
 
 
 # ------------------------------------------------------------------ F11
-def nfstream_stats(sessions: DataFrame, *, key_cols: list[str] | None = None) -> DataFrame:
+def nfstream_stats(sessions: DataFrame, *, key_cols: list[str] | None = None, order: str = "time") -> DataFrame:
     """NFStream-shaped column families over three scopes.
 
     bidirectional = all packets (gaps interleaved), src2dst = key direction,
@@ -233,7 +240,7 @@ def nfstream_stats(sessions: DataFrame, *, key_cols: list[str] | None = None) ->
     fwd = F.col("is_fwd")
     ms = F.lit(1000.0)
     scopes = {"bidirectional": None, "src2dst": fwd, "dst2src": ~fwd}
-    aggs = [F.min("o").alias("_first"), F.max("o").alias("_last")]
+    aggs = [_last_ts(order).alias("_last_us")]
     derived = []
     for name, cond in scopes.items():
         def w(c, cond=cond):
@@ -244,7 +251,7 @@ def nfstream_stats(sessions: DataFrame, *, key_cols: list[str] | None = None) ->
             (F.count(F.lit(1)) if cond is None else F.count_if(cond)).alias(f"{name}_packets"),
             F.coalesce(F.sum(ln), F.lit(0)).cast("bigint").alias(f"{name}_bytes"),
             F.min(ln).alias(f"{name}_min_ps"), F.max(ln).alias(f"{name}_max_ps"),
-            *moment_aggs(ln, f"{name}_ps"),
+            *moment_aggs(ln, f"{name}_ps", small=True),
             F.min(gap).alias(f"_{name}_gmin"), F.max(gap).alias(f"_{name}_gmax"),
             *moment_aggs(gap, f"{name}_iat"),
             *[_flag_count(bit, cond).alias(f"{name}_{f}_packets") for f, bit in TCP_FLAG_BITS.items()],
@@ -255,13 +262,13 @@ def nfstream_stats(sessions: DataFrame, *, key_cols: list[str] | None = None) ->
             (f"{name}_stddev_iat", m_std(f"{name}_iat", 1000.0)), (f"{name}_max_iat", F.col(f"_{name}_gmax") / ms),
         ]
     agg = sessions.groupBy(*key_cols, "sid").agg(*aggs)
-    keep = [c for c in agg.columns if c not in (*key_cols, "sid", "_first", "_last") and not c.startswith("_")]
+    keep = [c for c in agg.columns if c not in (*key_cols, "sid") and not c.startswith("_")]
     return agg.select(
         F.col("ip1").alias("src_ip"), F.col("ip2").alias("dst_ip"),
         F.col("port1").alias("src_port"), F.col("port2").alias("dst_port"), "protocol",
-        F.floor(F.col("_first.ts_us") / F.lit(1000)).cast("bigint").alias("bidirectional_first_seen_ms"),
-        F.floor(F.col("_last.ts_us") / F.lit(1000)).cast("bigint").alias("bidirectional_last_seen_ms"),
-        ((F.col("_last.ts_us") - F.col("_first.ts_us")) / ms).alias("bidirectional_duration_ms"),
+        F.floor(F.col("sid.ts_us") / F.lit(1000)).cast("bigint").alias("bidirectional_first_seen_ms"),
+        F.floor(F.col("_last_us") / F.lit(1000)).cast("bigint").alias("bidirectional_last_seen_ms"),
+        ((F.col("_last_us") - F.col("sid.ts_us")) / ms).alias("bidirectional_duration_ms"),
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c.endswith(("_min_ps", "_max_ps")) else F.col(c)
           for c in keep],
         *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in derived],
