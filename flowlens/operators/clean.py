@@ -3,6 +3,8 @@ P15-P18, P23, P24)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,23 @@ def dedupe_flows_per_second(df: DataFrame, order_cols: list) -> DataFrame:
     return first_per_key(d, FIVE_TUPLE + ["_sec"], order_cols).drop("_sec")
 
 
+def similarity_cell(value, similarity: float = 0.95):
+    """Cell of a non-negative measure on a logarithmic grid: two values in one
+    cell have (1 + smaller) / (1 + larger) > `similarity`. NULL has its own."""
+    return F.floor(F.log(F.lit(1.0) + F.greatest(F.col(value).cast("double"), F.lit(0.0))) / F.lit(-math.log(similarity)))
+
+
+def drop_near_duplicates(df: DataFrame, features: list[str], order_cols: list, *, key_cols: list[str] | None = None,
+                         similarity: float = 0.95) -> DataFrame:
+    """Near-duplicate flows (D11): rows with the same key whose features all lie
+    in the same cells count as one flow, the first under `order_cols` stays. The
+    cells are equality keys, so no pair of rows is ever compared and a dense
+    neighbourhood costs as much as any other key."""
+    cells = {f"_cell_{c}": similarity_cell(c, similarity) for c in features}
+    keys = [*(key_cols or ["src_ip", "dst_ip", "dst_port", "protocol"]), *cells]
+    return first_per_key(df.withColumns(cells), keys, order_cols).drop(*cells)
+
+
 def null_count_expr(columns: list[str]):
     return sum((F.col(f"`{c}`").isNull().cast("int") for c in columns), F.lit(0))
 

@@ -2031,3 +2031,44 @@ def j6_capture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(name).alias("class_name"))
     return lb.capture_class_labels(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "app_label",
                                                 "intent_label")
+
+
+# ---------------------------------------------------------------- D11, P18, D8
+D11_FEATURES = ["packet_count_fwd", "byte_count_fwd"]
+
+
+@register("d11_near_duplicates", fx.with_sql(fx.FLOWS_SQL) + f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, byte_count_fwd FROM flows
+QUALIFY row_number() OVER (
+  PARTITION BY dst_ip, dst_port, protocol,
+               {', '.join(f'floor(ln(1.0 + CAST({c} AS DOUBLE)) / -ln(0.95::DOUBLE))' for c in D11_FEATURES)}
+  ORDER BY {', '.join(FLOW_ORDER)}) = 1""")
+def d11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows without those that resemble an earlier one in every feature at a
+    similarity of 0.95 (D11)."""
+    kept = cl.drop_near_duplicates(fx.flows(spark, sf_dir), D11_FEATURES, FLOW_ORDER, key_cols=["dst_ip", "dst_port", "protocol"])
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "byte_count_fwd")
+
+
+@register("p18_finite_or_zero", fx.with_sql(fx.FLOWS_SQL) + f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       {sql_r3("CASE WHEN byte_count_bwd = 0 OR l_orderkey % 7 = 0 OR flow_duration IS NULL THEN 0.0 "
+               "ELSE byte_count_fwd / CAST(byte_count_bwd AS DOUBLE) END", 'byte_ratio')}
+FROM flows""")
+def p18_finite_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios that are infinite, not a number or missing become 0."""
+    ratio = F.when(F.col("flow_duration").isNull(), F.lit(None)).when(F.col("l_orderkey") % 7 == 0, F.lit(float("nan"))) \
+        .when(F.col("byte_count_bwd") == 0, F.lit(float("inf"))) \
+        .otherwise(F.col("byte_count_fwd").cast("double") / F.col("byte_count_bwd").cast("double"))
+    f = cl.finite_or_zero(fx.flows(spark, sf_dir).withColumn("byte_ratio", ratio), ["byte_ratio"])
+    return f.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", round3("byte_ratio").alias("byte_ratio"))
+
+
+@register("d8_alerts", f"""
+WITH h AS ({_latency_sql()})
+SELECT 'latency_p99' AS rule, CAST(window_start AS VARCHAR) AS subject, p99_ms AS value FROM h WHERE p99_ms > 300""")
+def d8_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert rows of the latency windows whose p99 is over 300 ms."""
+    h = ro.latency_histogram(decision_events(spark, sf_dir), "5 minutes", "1 minute")
+    a = mo.alerts(latency=h)
+    return a.select("rule", "subject", round3("value").alias("value"))
