@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from flowlens.session import materialize
 
 #: A sketch of 2 * EXACT entries keeps every value of a range this long.
-EXACT = 10_000
+EXACT = 20_000
+#: Ranges that one pass cuts a column into.
+FANOUT = 32
 
 
-def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = 128, exact: int = EXACT) -> dict[int, float]:
+def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = FANOUT, exact: int = EXACT) -> dict[int, float]:
     """Exact k-th smallest values (0-based) of a numeric column by iterated
     range narrowing: a mergeable quantile sketch proposes cut points, one
     grouped count places every wanted position in a range, and the search
@@ -35,6 +37,11 @@ def _rank_expr(x, cuts: list[float], lo: int = 0, hi: int | None = None):
     return F.when(x > F.lit(cuts[mid]), _rank_expr(x, cuts, mid + 1, hi)).otherwise(_rank_expr(x, cuts, lo, mid))
 
 
+def _cuts(x, fanout: int):
+    """Cut points of a column, values of it, from a mergeable sketch."""
+    return F.percentile_approx(x, [i / fanout for i in range(1, fanout)], 10 * fanout)
+
+
 def _from_sketch(cur: DataFrame, ranges: list[tuple], exact: int) -> dict[int, float]:
     """Positions of short ranges (condition, positions, offset, rows), all in
     one aggregate: with fewer rows than entries the sketch is exact."""
@@ -46,13 +53,12 @@ def _from_sketch(cur: DataFrame, ranges: list[tuple], exact: int) -> dict[int, f
 
 def _kth(cur: DataFrame, ks: list[int], fanout: int, exact: int, stats) -> dict[int, float]:
     if stats is None:
-        stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first().asDict()
     if stats["lo"] == stats["hi"]:
         return {k: float(stats["lo"]) for k in ks}
     if stats["n"] <= exact:
         return _from_sketch(cur, [(F.lit(True), ks, 0, stats["n"])], exact)
-    probs = [i / fanout for i in range(1, fanout)]
-    cuts = cur.select(F.percentile_approx("x", probs, 10 * fanout)).first()[0]
+    cuts = stats.get("cuts") or cur.select(_cuts(F.col("x"), fanout)).first()[0]
     cuts = sorted(set(float(c) for c in cuts))
     # key 2i: strictly between cut i-1 and cut i; key 2i+1: equal to cut i.
     # Cut points are data values, so every open range loses rows: progress.
@@ -91,7 +97,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats=None) ->
     aggregate, which merges a map of all of them in one task."""
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     if stats is None:
-        stats = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        stats = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first().asDict()
     n = stats["n"]
     if n == 0:
         return [None for _ in probs]
@@ -100,7 +106,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], stats=None) ->
         h = (n - 1) * p
         lo = int(math.floor(h))
         want[p] = (lo, min(lo + 1, n - 1), h - lo)
-    got = _kth(x, sorted({i for lo, hi, _ in want.values() for i in (lo, hi)}), 128, EXACT, stats)
+    got = _kth(x, sorted({i for lo, hi, _ in want.values() for i in (lo, hi)}), FANOUT, EXACT, stats)
     return [got[lo] + (got[hi] - got[lo]) * frac for lo, hi, frac in (want[p] for p in probs)]
 
 
@@ -124,9 +130,10 @@ def outlier_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str
             and not c.endswith(OUTLIER_EXCLUDED_SUFFIXES)]
 
 
-def _column_stats(df: DataFrame, cols: list[str], chunk: int = 8) -> dict:
-    """std, count, min, max of several columns; a few columns per aggregate
-    keep each generated aggregation method small."""
+def _column_stats(df: DataFrame, cols: list[str], chunk: int = 8, cuts: bool = False) -> dict:
+    """std, count, min and max of several columns; a few columns per aggregate
+    keep each generated aggregation method small. With `cuts` also the cut
+    points with which a search for quantiles begins."""
     out = {}
     for start in range(0, len(cols), chunk):
         part = cols[start:start + chunk]
@@ -136,8 +143,11 @@ def _column_stats(df: DataFrame, cols: list[str], chunk: int = 8) -> dict:
             ok = x.isNotNull() & ~F.isnan(x)
             aggs += [F.stddev_samp(x).alias(f"sd{j}"), F.count_if(ok).alias(f"n{j}"),
                      F.min(F.when(ok, x)).alias(f"lo{j}"), F.max(F.when(ok, x)).alias(f"hi{j}")]
+            if cuts:
+                aggs.append(_cuts(F.when(ok, x), FANOUT).alias(f"cuts{j}"))
         r = df.agg(*aggs).first()
-        out.update({c: {"sd": r[f"sd{j}"], "n": r[f"n{j}"], "lo": r[f"lo{j}"], "hi": r[f"hi{j}"]}
+        out.update({c: {"sd": r[f"sd{j}"], "n": r[f"n{j}"], "lo": r[f"lo{j}"], "hi": r[f"hi{j}"],
+                        "cuts": r[f"cuts{j}"] if cuts else None}
                     for j, c in enumerate(part)})
     return out
 
@@ -170,7 +180,7 @@ def remove_outliers(df: DataFrame, factor: float = 3.0, *, mode: str = "sequenti
             report.append({"column": c, "std": 0.0, "q1": None, "q3": None, "applied": False})
             continue
         if stats is None:
-            stats = _column_stats(src, [c])
+            stats = _column_stats(src, [c], cuts=True)
         st = stats[c]
         sd = st["sd"]
         rec = {"column": c, "std": sd, "q1": None, "q3": None, "applied": False}
