@@ -28,6 +28,11 @@ How it runs on Spark:
    likeliest links between components, then, where there were any, for all
    pairs that the bound leaves between the components that remain.
 5. Surviving pairs are verified on the whole sets, and components follow.
+6. `jaccard_links` also counts links: two linked sets lie in one component, so
+   the sets of a component are dealt out in pairs of blocks of bounded size, and
+   a task counts the shared shingles of every pair of sets of its two blocks,
+   each pair in one task. Its work grows with the square of a component's
+   different sets, its rows with a set's number of blocks.
 
 Defined results: null, empty and blank texts have no shingles, size 0 and are
 linked with nothing; rows with equal sets are linked, also when all columns
@@ -56,6 +61,10 @@ COUNTS = 1 << 17
 WORD_COUNTS = 1 << 16
 #: Points of one block of the search in a cell.
 BLOCK = 1024
+#: Shingles of one block of the count of links, about, and steps of its work.
+BLOCK_SHINGLES = 1 << 20
+DENSE = 1 << 13
+AT_ONCE = 1 << 22
 FANOUT = 32
 PAIRS_AT_ONCE = 4096
 #: Bits of the table that keeps texts from being read for nothing.
@@ -455,11 +464,125 @@ def _tiles(cells: DataFrame, parts: DataFrame, small: DataFrame) -> DataFrame:
         .repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
 
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Number of shared values of each set of `one` with each of `two`."""
+    n, m = len(one), len(two)
+    out = np.zeros((n, m), np.int64)
+    values, which = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    half = sum(map(len, one))
+    sides = []
+    for sets, of in ((one, which[:half]), (two, which[half:])):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(of, kind="stable")
+        sides.append((row[order], np.bincount(of, minlength=len(values))))
+    (rows, k), (cols, l) = sides
+    at, to = np.cumsum(k) - k, np.cumsum(l) - l  # where a value's rows begin on each side
+    often = k * l > DENSE
+    dense = np.flatnonzero(often)
+    for lo in range(0, len(dense), 1024):  # values that many pairs share: products of 0/1 tables
+        part = dense[lo:lo + 1024]
+        x, y = np.zeros((n, len(part)), np.float32), np.zeros((m, len(part)), np.float32)
+        for j, v in enumerate(part):
+            x[rows[at[v]:at[v] + k[v]], j] = 1
+            y[cols[to[v]:to[v] + l[v]], j] = 1
+        out += (x @ y.T).astype(np.int64)
+    sparse = np.flatnonzero(~often & (k > 0) & (l > 0))
+    ends = np.cumsum(k[sparse] * l[sparse])
+    lo = 0
+    while lo < len(sparse):  # all others: their pairs one by one
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        v = sparse[lo:hi]
+        size = k[v] * l[v]
+        owner = np.repeat(v, size)
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        pair = rows[at[owner] + nth // l[owner]] * m + cols[to[owner] + nth % l[owner]]
+        out += np.bincount(pair, minlength=n * m).reshape(n, m)
+        lo = hi
+    return out
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    at = column.offsets.to_numpy()
+    data = column.values.to_numpy()
+    return [data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _counted(tiles: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (root, i, j, block, fp, copies, s) sorted by (root, i, j): the sets
+    of blocks i and j of a component -> (fp, links), links being the rows of
+    other sets of the tile that are linked with fp; a pair of sets of one block
+    counts in its tile (i, i) only."""
+    def linked(rows: list) -> pa.RecordBatch:
+        block, fp, copies = (np.concatenate([r[k] for r in rows]) for k in range(3))
+        sets = [s for r in rows for s in r[3]]
+        low = block == block.min()
+        a, b = np.flatnonzero(low), np.flatnonzero(~low)
+        own = not len(b)
+        b = a if own else b
+        na, nb = (np.array([len(sets[r]) for r in side], np.int64) for side in (a, b))
+        shared = _overlaps([sets[r] for r in a], [sets[r] for r in b])
+        link = rule.enough(shared, na[:, None], nb[None]) & (shared > 0)
+        if own:
+            np.fill_diagonal(link, False)
+            fp, count = fp[a], link @ copies[b]
+        else:
+            fp, count = np.concatenate([fp[a], fp[b]]), np.concatenate([link @ copies[b], copies[a] @ link])
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(count.astype(np.int64))], ["fp", "links"])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            turns = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            rest = [batch.column(i).to_numpy().astype(np.int64) for i in range(3, 6)]
+            sets = _lists(batch.column(6))
+            for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+                if key != (now := tuple(keys[:, lo].tolist())):
+                    if held:
+                        yield linked(held)
+                    key, held = now, []
+                held.append([c[lo:hi] for c in rest] + [sets[lo:hi]])
+        if held:
+            yield linked(held)
+
+    return tiles.mapInArrow(run, "fp long, links long")
+
+
+def _links(parts: DataFrame, sizes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(fp, links) of every class of a component of two classes or more; `sizes`
+    has (fp, n, copies) of all classes, `sets` the sets of those at least."""
+    roots = parts.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()
+    placed = parts.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(roots).join(sizes, "fp")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = placed.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")  # a row for BLOCK classes at most
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    tiles = placed.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) \
+        .withColumn("block", block).join(sets, "fp") \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp",
+                "copies", "s")
+    return _counted(tiles.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), rule) \
+        .groupBy("fp").agg(F.sum("links").alias("links"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                        percent: int = 75) -> DataFrame:
     """One row (id, n_shingles, component_id) per row of `docs`: the size of its
     n-gram set and the smallest id that it reaches over links, which two rows
     have when 100 * intersection >= percent * union of their sets."""
+    return _joined(docs, id_col, text_col, n, percent, False)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
+                  percent: int = 75) -> DataFrame:
+    """`jaccard_components`, and n_links: the number of other rows that a row
+    is linked with, whether their sets are equal to its own or not."""
+    return _joined(docs, id_col, text_col, n, percent, True)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, counted: bool) -> DataFrame:
     spark = configure(docs.sparkSession)
     rule, scratch = Rule(percent), Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -472,7 +595,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = first.where("bucket is null")
     classes = scratch.write(
         rows.where("fp is not null").groupBy("fp")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"),
+             F.count(F.lit(1)).alias("copies")), "classes")
 
     dealt = entries(texts, n, rule, counts).repartition("h", "part").sortWithinPartitions("h", "part", "fp")
     cells = scratch.write(members(dealt), "cells")
@@ -514,9 +638,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("fp", "id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     owner = named.join(lowest, "root").select("fp", "component_id")
-    result = scratch.write(
-        rows.select("id", "fp", "n").join(owner, "fp", "left")
-        .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-                F.coalesce("component_id", "id").alias("component_id")), "result")
+    columns = [F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
+               F.coalesce("component_id", "id").alias("component_id")]
+    if counted:
+        links = scratch.write(_links(parts, classes.select("fp", "n", "copies"), sets, rule), "links")
+        owner = owner.join(classes.select("fp", "copies"), "fp").join(links, "fp", "left") \
+            .select("fp", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    result = scratch.write(rows.select("id", "fp", "n").join(owner, "fp", "left").select(*columns), "result")
     scratch.keep_only("result")
     return result

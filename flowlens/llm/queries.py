@@ -13,7 +13,7 @@ from flowlens.llm.chat_tree import read_conversations, tree_packs
 from flowlens.llm.class_lm import class_lm_scores
 from flowlens.llm.content_dedup import content_duplicates
 from flowlens.llm.fingerprints import fingerprint_edits
-from flowlens.llm.jaccard_rtree import jaccard_components
+from flowlens.llm.jaccard_rtree import jaccard_components, jaccard_links
 from flowlens.llm.piece_viterbi import encode_and_decode
 from flowlens.llm.rule_ensemble import held_out, quality_model
 from flowlens.llm.token_store import store_index, write_store
@@ -155,6 +155,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@register("op8_ngram_jaccard_links", f"""
+WITH RECURSIVE {COMPONENTS_SQL}, linked AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, n_shingles, component_id, coalesce(linked.n, 0) AS n_links FROM components LEFT JOIN linked USING (doc_id)""")
+def op8_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
