@@ -50,15 +50,68 @@ def similarity_cell(value, similarity: float = 0.95):
 
 def drop_near_duplicates(df: DataFrame, features: list[str], order_cols: list, *, key_cols: list[str] | None = None,
                          similarity: float = 0.95) -> DataFrame:
-    """Near-duplicate flows (D11): rows with the same key whose features all lie
-    in the same cells count as one flow, the first under `order_cols` stays. The
-    cells are equality keys, so no pair of rows is ever compared and a dense
-    neighbourhood costs as much as any other key."""
+    """Flows of one cell (D11, coarse): rows with the same key whose features all
+    lie in the same cells count as one flow, the first under `order_cols` stays.
+    The cells are equality keys, so no pair of rows is ever compared, and alike
+    flows on both sides of a border both stay; `drop_similar` finds those too."""
     cells = {f"_cell_{c}": similarity_cell(c, similarity) for c in features}
     keys = [*(key_cols or ["src_ip", "dst_ip", "dst_port", "protocol"]), *cells]
     return first_per_key(df.withColumns(cells), keys, order_cols).drop(*cells)
 
 
+def _measure(column):
+    """A non-negative measure; not a number counts as missing."""
+    x = column.cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(None)).otherwise(F.greatest(x, F.lit(0.0)))
+
+
+def drop_similar(df: DataFrame, features: list[str], order_cols: list[str], *, key_cols: list[str] | None = None,
+                 similarity: float = 0.95) -> DataFrame:
+    """Near-duplicate flows by definition (D11): a row goes where an earlier row
+    of the same key (kept or not, under the ascending `order_cols`) resembles it,
+    which means min / max >= `similarity` in every feature; zeros resemble zeros
+    and NULLs resemble NULLs only.
+
+    Cells of a logarithmic grid are buckets. Rows of one cell resemble each
+    other, so only its first row can stay, and that one is held against the
+    earlier rows of the adjacent cells: a row meets a few others, however dense
+    its cell is."""
+    if not 0 < similarity < 1:
+        raise ValueError("similarity must lie between 0 and 1")
+    keys = list(key_cols or ["src_ip", "dst_ip", "dst_port", "protocol"])
+    width, reach = -math.log(similarity) * (1 - 1e-9), -math.log(similarity) * (1 + 1e-9)  # safe from rounding
+
+    def cell(column, shift=0.0):
+        x = _measure(column)
+        return F.when(x.isNull(), F.lit(-1 << 41)).when(x == 0, F.lit(-1 << 40)) \
+            .otherwise(F.floor((F.log(x) + F.lit(shift)) / F.lit(width)))
+
+    cells = [f"_cell_{i}" for i in range(len(features))]
+    placed = df.withColumns({c: cell(F.col(f)) for c, f in zip(cells, features)})
+    first = first_per_key(placed, keys + cells, order_cols)
+    rows = placed.groupBy(*keys, *cells, *features).agg(F.min(F.struct(*order_cols)).alias("_at"))
+    looks = first.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+                         *(F.col(c).alias(f"_own{i}") for i, c in enumerate(cells)),
+                         *(F.col(f).alias(f"_f{i}") for i, f in enumerate(features)),
+                         F.struct(*order_cols).alias("_own_at"))
+    for i in range(len(features)):
+        f = F.col(f"_f{i}")
+        looks = looks.withColumn(f"_look{i}", F.explode(F.sequence(cell(f, -reach), cell(f, reach))))
+    met = F.col("_at") < F.col("_own_at")
+    for i, k in enumerate(keys):
+        met &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    for i, (c, f) in enumerate(zip(cells, features)):
+        a, b = _measure(F.col(f)), _measure(F.col(f"_f{i}"))
+        met &= (F.col(c) == F.col(f"_look{i}")) & ((a.isNull() & b.isNull()) | (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)))
+    gone = rows.join(looks, met).select([f"_k{i}" for i in range(len(keys))] + [f"_own{i}" for i in range(len(cells))]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    for i, c in enumerate(cells):
+        same &= F.col(c) == F.col(f"_own{i}")
+    return first.join(gone, same, "left_anti").drop(*cells)
+
+
 def null_count_expr(columns: list[str]):
     return sum((F.col(f"`{c}`").isNull().cast("int") for c in columns), F.lit(0))
 

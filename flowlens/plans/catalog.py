@@ -2044,9 +2044,24 @@ QUALIFY row_number() OVER (
                {', '.join(f'floor(ln(1.0 + CAST({c} AS DOUBLE)) / -ln(0.95::DOUBLE))' for c in D11_FEATURES)}
   ORDER BY {', '.join(FLOW_ORDER)}) = 1""")
 def d11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first flow of every cell of a logarithmic grid of step 0.95 over the
+    features (D11, coarse): alike flows on both sides of a border both stay."""
+    kept = cl.drop_near_duplicates(fx.flows(spark, sf_dir), D11_FEATURES, FLOW_ORDER, key_cols=["dst_ip", "dst_port", "protocol"])
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "byte_count_fwd")
+
+
+@register("d11_similar_flows", fx.with_sql(fx.FLOWS_SQL) + f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, byte_count_fwd FROM flows f
+WHERE NOT EXISTS (
+  SELECT 1 FROM flows g
+  WHERE g.dst_ip IS NOT DISTINCT FROM f.dst_ip AND g.dst_port IS NOT DISTINCT FROM f.dst_port
+    AND g.protocol IS NOT DISTINCT FROM f.protocol
+    AND ({', '.join(f'g.{c}' for c in FLOW_ORDER)}) < ({', '.join(f'f.{c}' for c in FLOW_ORDER)})
+    AND {' AND '.join(f'least(CAST(g.{c} AS DOUBLE), CAST(f.{c} AS DOUBLE)) >= 0.95::DOUBLE * greatest(CAST(g.{c} AS DOUBLE), CAST(f.{c} AS DOUBLE))' for c in D11_FEATURES)})""")
+def d11_similar_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows without those that resemble an earlier one in every feature at a
     similarity of 0.95 (D11)."""
-    kept = cl.drop_near_duplicates(fx.flows(spark, sf_dir), D11_FEATURES, FLOW_ORDER, key_cols=["dst_ip", "dst_port", "protocol"])
+    kept = cl.drop_similar(fx.flows(spark, sf_dir), D11_FEATURES, FLOW_ORDER, key_cols=["dst_ip", "dst_port", "protocol"])
     return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "byte_count_fwd")
 
 
