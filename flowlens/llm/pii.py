@@ -2,8 +2,9 @@
 adjust the score.
 
 Kinds and what confirms them: email; ip (four parts of at most 255); card (13 to
-19 digits, Luhn); phone (9 to 15 digits after a plus); iban (letters, length and
-mod-97 of ISO 13616); ssn (three groups of digits, ruled-out areas left out).
+19 digits, Luhn); phone (9 to 15 digits after a plus); iban (letters, the
+country's length and mod-97 of ISO 13616; codes without a known length end at
+the last border of a word that mod-97 confirms); ssn (three groups of digits, ruled-out areas left out).
 Every confirmed span starts with its kind's score; words of the kind's context
 within CONTEXT code points before it raise the score, words that tell of other
 numbers lower it. Spans of the first four kinds stay at any score; the added
@@ -11,7 +12,8 @@ kinds need THRESHOLD, which ssn reaches only with its context.
 
 Positions are code points, ends exclusive. Per kind the spans are the leftmost
 non-overlapping matches, and a match that a check rejects is dropped without
-another try inside it. The search runs from the characters that a kind can't
+another try inside it; only after a rejected iban the search goes on behind its
+first four characters. The search runs from the characters that a kind can't
 miss (an @, a plus, a digit run), so it takes time in proportion to the text,
 also for very long runs.
 
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,7 +61,16 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)*")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Characters of an account number by country, of ISO 13616's registry and of countries that use IBANs outside it.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+    "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 "
+    "YE30 AO25 BF28 BJ28 CF27 CG27 CI28 CM27 CV25 DZ26 GA27 GQ27 GW25 IR26 KM27 MA28 MG27 ML28 MZ25 NE28 SN28 TD27 "
+    "TG28").split()}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 WORD = re.compile(r"[a-z-]+")
 
@@ -125,11 +136,34 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("+", m.end() if m else at + 1)
 
 
+def _account_end(text: str, m: re.Match, lengths: Iterable[int], bound: int) -> int:
+    """End of the proposed account by the first length that fits, 0 for none."""
+    account = m[0].replace(" ", "")
+    ends = [m.start() + i + 1 for i, c in enumerate(m[0]) if c != " "]
+    for n in lengths:
+        if n <= len(account) and ends[n - 1] <= bound and not ALNUM.match(text, ends[n - 1]) and mod97(account[:n]):
+            return ends[n - 1]
+    return 0
+
+
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield m.span()
+    found, others, at = [], [], 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 4
+        if not (length := IBAN_LENGTHS.get(m[0][:2])):
+            others.append(m)
+        elif end := _account_end(text, m, (length,), len(text)):
+            found.append((m.start(), end))
+            at = end
+    starts, k, last = [s for s, _ in found], 0, 0
+    for m in others:  # not over an account of a known length
+        while k < len(starts) and starts[k] < m.start():
+            k += 1
+        bound = starts[k] if k < len(starts) else len(text)
+        if m.start() >= last and (end := _account_end(text, m, range(34, 14, -1), bound)):
+            found.append((m.start(), end))
+            last = end
+    yield from sorted(found)
 
 
 def ssns(text: str) -> Iterator[tuple[int, int]]:
