@@ -4,10 +4,10 @@ A document longer than the capacity is cut into whole sequences of its own and
 a remainder. The remainders are packed best-fit decreasing: bins are kept in
 order of their room, and the search starts at the bin that fits tightest and
 goes on to the next larger room until one is compatible, or opens a new bin. A
-bin carries two bitmaps, one of sources and one of duplicate clusters, and takes
-no document whose bits it has. Sources and clusters are hashed to BITS bits, so
-two different ones may exclude each other by chance, but equal ones always do.
-A row without a source or cluster conflicts with nothing on that account.
+bin takes no two documents of one source or of one duplicate cluster, and any
+others: for each source and cluster that occurs twice or more in a shard, the
+bins that hold it are listed. Sources and clusters stand for their 64-bit
+hashes. A row without a source or cluster conflicts with nothing on that account.
 
 Remainders are dealt out by the hash of their id into shards of about SHARD
 rows, so that every shard is a sample of all sources and lengths, however large
@@ -33,58 +33,88 @@ from flowlens.session import Scratch, configure
 
 CAPACITY = 4096
 SHARD = 20_000
-BITS = 63
 NO_BIN = 1 << 40
 
 
+class Holders:
+    """Bins that hold each value, 0 and values that occur once left out."""
+
+    def __init__(self, values: np.ndarray):
+        known, of, counts = np.unique(values, return_inverse=True, return_counts=True)
+        wanted = (counts > 1) & (known != 0)
+        number = np.where(wanted, np.cumsum(wanted) - 1, -1)
+        self.of = number[of].tolist()
+        begin = np.cumsum(counts[wanted]) - counts[wanted]
+        self.begin, self.end = begin.tolist(), begin.tolist()
+        self.bins = np.zeros(int(counts[wanted].sum()), np.int64)
+
+    def get(self, i: int) -> np.ndarray:
+        """Bins with the value of item i."""
+        k = self.of[i]
+        return self.bins[self.begin[k]:self.end[k]] if k >= 0 else self.bins[:0]
+
+    def add(self, i: int, b: int) -> None:
+        if (k := self.of[i]) >= 0:
+            self.bins[self.end[k]] = b
+            self.end[k] += 1
+
+
 def best_fit(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin of each item, and its place in the bin, for items in descending
-    order of length. `sources` and `clusters` are bitmaps of an item."""
+    order of length. Items with an equal value other than 0 in `sources` or
+    `clusters` don't share a bin."""
     n = len(lengths)
     room, number = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # open bins in order of room, then of number
-    bits = np.zeros((2, n + 1), np.int64)
+    held = Holders(np.asarray(sources)), Holders(np.asarray(clusters))
+    barred = np.full(n + 1, -1, np.int64)  # the last item that a bin was barred for
     bins, places, used = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
     opened = 0
     for i in range(n):
         size = lengths[i]
         at = int(np.searchsorted(room[:used], size, "left"))
         found = -1
+        if at < used:
+            for h in held:
+                barred[h.get(i)] = i
         while at < used:  # the next larger rooms, some at a time
             to = min(used, at + 256)
-            free = ((bits[0, at:to] & sources[i]) | (bits[1, at:to] & clusters[i])) == 0
+            free = barred[number[at:to]] != i
             k = int(np.argmax(free))
             if free[k]:
                 found = at + k
                 break
             at = to
         if found < 0:
-            left, b, s, c = capacity, opened, 0, 0
+            left, b = capacity, opened
             opened += 1
         else:
-            left, b, s, c = room[found], number[found], bits[0, found], bits[1, found]
-            for x in (room, number, bits[0], bits[1]):
+            left, b = room[found], number[found]
+            for x in (room, number):
                 x[found:used - 1] = x[found + 1:used]
             used -= 1
         bins[i], places[i] = b, capacity - left
+        for h in held:
+            h.add(i, b)
         left -= size
         if left > 0:
             lo, hi = int(np.searchsorted(room[:used], left, "left")), int(np.searchsorted(room[:used], left, "right"))
             to = lo + int(np.searchsorted(number[lo:hi], b))
-            for x, value in ((room, left), (number, b), (bits[0], s | sources[i]), (bits[1], c | clusters[i])):
+            for x, value in ((room, left), (number, b)):
                 x[to + 1:used + 1] = x[to:used].copy()
                 x[to] = value
             used += 1
     return bins, places
 
 
-def _bit(value: Column) -> Column:
-    chosen = F.pmod(F.xxhash64(value), F.lit(BITS)).cast("int")
-    return F.when(value.isNull(), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), chosen))
+def _key(value: Column) -> Column:
+    """A value's hash, 0 for none."""
+    chosen = F.xxhash64(value)
+    return F.when(value.isNull(), F.lit(0).cast("long")).when(chosen == 0, F.lit(1).cast("long")).otherwise(chosen)
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str, source: Column, cluster: Column) -> DataFrame:
-    """(id, n, source, cluster): words and one end of each text, bits of the
-    source and the duplicate cluster."""
+    """(id, n, source, cluster): words and one end of each text, hashes of
+    the source and the duplicate cluster."""
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -94,7 +124,7 @@ def lengths(docs: DataFrame, id_col: str, text_col: str, source: Column, cluster
                                              ["id", "n", "source", "cluster"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                       _bit(source).alias("source"), _bit(cluster).alias("cluster"))
+                       _key(source).alias("source"), _key(cluster).alias("cluster"))
     return slim.mapInArrow(run, "id long, n long, source long, cluster long")
 
 
@@ -139,8 +169,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        size, source_bits, cluster_bits = (table.column(i).to_numpy() for i in (4, 5, 6))
-        bins, places = best_fit(size, source_bits, cluster_bits, capacity)
+        size, sources, clusters = (table.column(i).to_numpy() for i in (4, 5, 6))
+        bins, places = best_fit(size, sources, clusters, capacity)
         one = table.to_batches()[0]
         return pa.RecordBatch.from_arrays([*(one.column(i) for i in range(5)), pa.array(bins), pa.array(places)],
                                           [c.split()[0] for c in PACKED.split(", ")])
