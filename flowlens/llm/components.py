@@ -15,7 +15,8 @@ from flowlens.session import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+    sums = [F.sum(h.cast("decimal(20,0)")) for h in (F.xxhash64("u", "v"), F.xxhash64(F.lit(1), "v", "u"))]
+    row = edges.agg(F.count(F.lit(1)), *sums).first()
     return tuple(row)
 
 
