@@ -14,6 +14,7 @@ from flowlens.llm.class_lm import class_lm_scores
 from flowlens.llm.content_dedup import content_duplicates
 from flowlens.llm.fingerprints import fingerprint_edits
 from flowlens.llm.jaccard_rtree import jaccard_components, jaccard_links
+from flowlens.llm.phrase_rollup import collocations
 from flowlens.llm.piece_viterbi import encode_and_decode
 from flowlens.llm.rule_ensemble import held_out, quality_model
 from flowlens.llm.token_store import store_index, write_store
@@ -190,3 +191,31 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@register("op11_phrase_rollup", f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_extract_all({FOLD}, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+gram AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS words
+         FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, words, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 30),
+inner_f AS (
+  SELECT lang, part, max(f) AS outer_f FROM (
+    SELECT lang, f, unnest(list_concat([words[1:2], words[2:3]], CASE WHEN k = 4
+           THEN [words[3:4], words[1:3], words[2:4]] ELSE [] END)) AS part FROM f WHERE k > 2) GROUP BY ALL),
+cand AS (SELECT f.* FROM f LEFT JOIN inner_f i ON i.lang = f.lang AND i.part = f.words
+         WHERE f.k > 1 AND (i.outer_f IS NULL OR 100 * CAST(i.outer_f AS HUGEINT) < 80 * CAST(f.f AS HUGEINT))),
+cut AS (
+  SELECT c.lang, c.words, c.f AS a, j, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * c.f // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.words = c.words[1:j] JOIN f r ON r.lang = c.lang AND r.words = c.words[j + 1:c.k]),
+best AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM cut
+         QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, j) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN n USING (lang)
+WHERE rank <= 2000""")
+def op11_phrase_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

@@ -89,30 +89,31 @@ def groups(offsets: np.ndarray, limit: int = GROUP) -> Iterator[tuple[int, int]]
         i = j
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> int:
+def _cut(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, in_word: np.ndarray) -> int:
     """End of the window that begins at lo: where a word ends, or a document."""
     if lo + WINDOW >= hi:
         return hi
     at = lo + WINDOW
     stop = min(hi, int(offsets[np.searchsorted(offsets, at, "left")]))
     while at < stop:
-        gap = np.flatnonzero(~_WORD[data[at:min(stop, at + 4096)]])
+        gap = np.flatnonzero(~in_word[data[at:min(stop, at + 4096)]])
         if len(gap):
             return at + int(gap[0])
         at += 4096
     return stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
-    """All words of the documents that lie at `offsets` in `data`."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, in_word: np.ndarray = _WORD) -> Words:
+    """All words of the documents that lie at `offsets` in `data`: maximal runs
+    of the bytes that `in_word` marks."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     table = _FOLDED if fold else _PLAIN
     starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)]
     while lo < hi:
-        to = _cut(data, offsets, lo, hi)
+        to = _cut(data, offsets, lo, hi, in_word)
         b = data[lo:to]
         inner = offsets[np.searchsorted(offsets, lo, "right"):np.searchsorted(offsets, to, "left")] - lo
-        is_word = _WORD[b]
+        is_word = in_word[b]
         opens = is_word.copy()
         opens[1:] &= ~is_word[:-1]
         opens[inner] = is_word[inner]
