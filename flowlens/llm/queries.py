@@ -14,6 +14,7 @@ from flowlens.llm.class_lm import class_lm_scores
 from flowlens.llm.content_dedup import content_duplicates
 from flowlens.llm.fingerprints import fingerprint_edits
 from flowlens.llm.jaccard_rtree import jaccard_components, jaccard_links
+from flowlens.llm.label_shards import balanced_shards
 from flowlens.llm.phrase_rollup import collocations
 from flowlens.llm.piece_viterbi import encode_and_decode
 from flowlens.llm.rule_ensemble import held_out, quality_model
@@ -219,3 +220,8 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 WHERE rank <= 2000""")
 def op11_phrase_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op12_label_shards")
+def op12_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"))
