@@ -19,6 +19,7 @@ from flowlens.llm.phrase_rollup import collocations
 from flowlens.llm.piece_viterbi import encode_and_decode
 from flowlens.llm.rule_ensemble import held_out, quality_model
 from flowlens.llm.token_store import store_index, write_store
+from flowlens.llm.trie_pairs import spelling_forms
 from flowlens.session import Scratch, configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +226,8 @@ def op11_phrase_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_label_shards")
 def op12_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+@register("op13_trie_pairs")
+def op13_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
