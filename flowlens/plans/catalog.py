@@ -1872,12 +1872,53 @@ u AS (SELECT d.intent_label,
 SELECT intent_label, CAST(count(*) AS BIGINT) AS kept FROM u WHERE u < frac GROUP BY intent_label""")
 def d10_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random undersampling to a minority/majority ratio of at least 0.2 with
-    a seeded md5 row hash (D10 undersampling; SMOTE is not built)."""
+    a seeded md5 row hash (D10 undersampling)."""
     d = deduped_flows(spark, sf_dir)
     u = tr.undersample(d, "intent_label", ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"], target_ratio=0.2)
     return u.groupBy("intent_label").agg(F.count(F.lit(1)).alias("kept"))
 
 
+SMOTE_FEATURES = ["packet_count_fwd", "packet_count_bwd", "byte_count_fwd", "byte_count_bwd"]
+SMOTE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@register("d10_smote", fx.with_sql(fx.FLOWS_SQL, """
+r AS (SELECT CASE WHEN l_linenumber = 7 THEN 'Rare ' || intent_label ELSE intent_label END AS label,
+             l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             CAST([packet_count_fwd, packet_count_bwd, byte_count_fwd, byte_count_bwd] AS DOUBLE[]) AS x,
+             md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM flows),
+cnt AS (SELECT label, count(*) AS n FROM r GROUP BY label),
+need AS (SELECT label, n, CAST(floor(0.2::DOUBLE * (SELECT max(n) FROM cnt)) AS BIGINT) - n AS m FROM cnt),
+minor AS (SELECT r.*, need.n, need.m, row_number() OVER (PARTITION BY label ORDER BY h, l_orderkey, l_linenumber, l_partkey,
+                 l_suppkey) - 1 AS ord FROM r JOIN need USING (label) WHERE need.m > 0),
+pts AS (SELECT label, x, min(h) AS pid FROM minor GROUP BY label, x),
+ranked AS (
+  SELECT a.pid, b.pid AS other, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x[1] - b.x[1]) * (a.x[1] - b.x[1])
+      + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]) + (a.x[3] - b.x[3]) * (a.x[3] - b.x[3])
+      + (a.x[4] - b.x[4]) * (a.x[4] - b.x[4]), b.pid) AS k
+  FROM pts a JOIN pts b ON a.label = b.label AND a.pid <> b.pid QUALIFY k <= 5),
+near AS (SELECT pid, list(other ORDER BY k) AS near FROM ranked GROUP BY pid),
+drawn AS (
+  SELECT *, md5(h || '|' || CAST(copy AS VARCHAR)) AS draw FROM (
+    SELECT *, unnest(range(1, CAST(m // n + CASE WHEN ord < m % n THEN 1 ELSE 0 END AS BIGINT) + 1)) AS copy FROM minor)),
+picked AS (
+  SELECT d.*, CASE WHEN near IS NULL THEN p.pid
+                   ELSE near[CAST('0x' || substr(draw, 1, 8) AS BIGINT) % len(near) + 1] END AS near_id,
+         CAST('0x' || substr(draw, 9, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM drawn d JOIN pts p ON p.label = d.label AND p.x = d.x LEFT JOIN near ON near.pid = p.pid)""") + f"""
+SELECT q.label, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(copy AS INTEGER) AS copy, near_id AS near,
+       {', '.join(sql_r3(f"q.x[{i + 1}] + (e.x[{i + 1}] - q.x[{i + 1}]) * u", c) for i, c in enumerate(SMOTE_FEATURES))}
+FROM picked q JOIN pts e ON e.pid = q.near_id""")
+def d10_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMOTE to a ratio of 0.2 with 5 neighbours (D10): the neighbours are the
+    exact ones within a class; lines of number 7 are classes of their own."""
+    from flowlens.operators.oversample import smote
+    rare = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("Rare "), F.col("intent_label")))
+    f = fx.flows(spark, sf_dir).withColumn("label", F.coalesce(rare, F.col("intent_label")))
+    s = smote(f, "label", SMOTE_KEYS, SMOTE_FEATURES, target_ratio=0.2, k=5)
+    return s.select("label", *SMOTE_KEYS, "copy", "near", *r3(*SMOTE_FEATURES))
+
+
 # ---------------------------------------------------------------- C17, C27, C28, C29, P24, T5
 from flowlens.functions.exprs import clamp01  # noqa: E402
 from flowlens.operators.topk import top_n_per_group  # noqa: E402
