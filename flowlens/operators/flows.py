@@ -188,6 +188,11 @@ def flow_stats(sessions: DataFrame, *, key_cols: list[str] | None = None,
     )
     if min_packets > 1:
         agg = agg.where(F.col("packet_count_total") >= min_packets)
+    return flow_columns(agg, key_cols)
+
+
+def flow_columns(agg: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Counts and moments of flows, from `flow_stats` or a stream -> the record."""
     dur = ((F.col("_last_us") - F.col("sid.ts_us")) / F.lit(float(US)))
     zero = F.lit(0.0)
     iat = {

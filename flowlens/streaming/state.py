@@ -1,72 +1,71 @@
-"""Stateful streaming operators (R7 on a live stream).
+"""Decision cache on a live stream.
 
-The decision cache keeps, per key (src, dst, dst_port), only the current
-entry: write time, TTL and the written result -- constant state per key,
-whatever the traffic. Requests of a key inside one micro-batch are replayed
-in event-time order; a request earlier than the stored write (late, but
-accepted) is a miss served by itself and leaves the newer entry; the entry is
-evicted once the watermark passes its expiry. The batch replay `operators.chains.decision_cache` is the oracle.
-A key's rows of one micro-batch are handled by one task, so the trigger size
-(`maxFilesPerTrigger` / `maxOffsetsPerTrigger`) bounds that work.
+Per key (src, dst, dst_port) the cache keeps the current entry: write time, TTL
+and the written result. Requests are replayed in event time (see `replay`), so
+the served results are those of the batch form `operators.chains.decision_cache`
+for every request that isn't late, whatever the order of arrival; an entry is
+evicted by a timer once its TTL is over.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowlens.operators.chains import LOW_RISK_BELOW, TTL_LOW_RISK_S, TTL_OTHER_S
+from flowlens.streaming.replay import EventTimeReplay
 
 CACHE_OUT = ("id long, ts timestamp, src string, dst string, dst_port long, risk long, "
              "cached boolean, writer_id long, served_risk long")
-CACHE_STATE = "t_write_us long, ttl_us long, writer_id long, served_risk long"
+KEY = ["src", "dst", "dst_port"]
 
 
-def _replay(low_ttl_us: int, other_ttl_us: int, low_below: int):
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        entry = state.get if state.exists else None
-        outs = []
-        for pdf in pdfs:
-            outs.append(pdf)
-        if not outs:
-            return
-        rows = pd.concat(outs).sort_values(["ts", "id"])
-        cached, writer, served = [], [], []
-        for r in rows.itertuples(index=False):
-            t = int(pd.Timestamp(r.ts).value // 1000)
-            if entry is not None and 0 <= t - entry[0] < entry[1]:
-                cached.append(True)
-                source = entry
-            else:
-                ttl = low_ttl_us if r.risk < low_below else other_ttl_us
-                source = (t, ttl, int(r.id), int(r.risk))
-                cached.append(False)
-                if entry is None or t >= entry[0]:
-                    entry = source
-            writer.append(source[2])
-            served.append(source[3])
-        state.update(entry)
-        state.setTimeoutTimestamp(int((entry[0] + entry[1]) // 1000))
-        out = rows[["id", "ts", "src", "dst", "dst_port", "risk"]].copy()
-        out["cached"], out["writer_id"], out["served_risk"] = cached, writer, served
-        yield out
-    return fn
+class DecisionCache(EventTimeReplay):
+    fields = {"t_us": "long", "id": "long", "risk": "long"}
+    order = ["t_us", "id"]
+    entry = "t_write_us long, ttl_us long, writer_id long, served_risk long"
+
+    def __init__(self, low_ttl_us: int, other_ttl_us: int, low_below: int, width_ms: int = 1000):
+        self.low_ttl_us, self.other_ttl_us, self.low_below, self.width_ms = low_ttl_us, other_ttl_us, low_below, width_ms
+        self.hold_us = max(low_ttl_us, other_ttl_us)
+
+    def expiry_us(self, entry: tuple) -> int:
+        return entry[0] + entry[1]
+
+    def replay(self, key, rows, entry):
+        t, risk, ids = (rows[c].to_numpy() for c in ("t_us", "risk", "id"))
+        ttl = np.where(risk < self.low_below, self.low_ttl_us, self.other_ttl_us)
+        cached = np.ones(len(t), bool)
+        writer, served = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        i = 0
+        while i < len(t):  # a turn for each write
+            if entry is None or t[i] >= entry[0] + entry[1]:
+                entry, cached[i] = (int(t[i]), int(ttl[i]), int(ids[i]), int(risk[i])), False
+            j = max(i + 1, int(np.searchsorted(t, entry[0] + entry[1], "left")))
+            writer[i:j], served[i:j] = entry[2], entry[3]
+            i = j
+        out = pd.DataFrame({"id": ids, "ts": pd.to_datetime(t, unit="us"), "src": key[0], "dst": key[1],
+                            "dst_port": key[2], "risk": risk, "cached": cached, "writer_id": writer,
+                            "served_risk": served})
+        return out, entry
 
 
 def decision_cache_stream(requests: DataFrame, *, watermark: str = "1 hour", low_ttl_s: int = TTL_LOW_RISK_S,
-                          other_ttl_s: int = TTL_OTHER_S, low_below: int = LOW_RISK_BELOW) -> DataFrame:
-    """Streaming decision cache (R7): one output row per request, `append` mode."""
-    r = requests.select("id", "ts", "src", "dst", "dst_port", "risk").withWatermark("ts", watermark)
-    return r.groupBy("src", "dst", "dst_port").applyInPandasWithState(
-        _replay(low_ttl_s * 1_000_000, other_ttl_s * 1_000_000, low_below),
-        CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+                          other_ttl_s: int = TTL_OTHER_S, low_below: int = LOW_RISK_BELOW,
+                          width_ms: int = 1000) -> DataFrame:
+    """Streaming decision cache (R7): one output row per request, `append`
+    mode, once the watermark has passed it. Null keys are keys."""
+    r = requests.select("id", "ts", *KEY, "risk", F.unix_micros("ts").alias("t_us")).withWatermark("ts", watermark)
+    cache = DecisionCache(low_ttl_s * 1_000_000, other_ttl_s * 1_000_000, low_below, width_ms)
+    return r.groupBy(*KEY).transformWithStateInPandas(
+        cache, CACHE_OUT, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
 
 
-def hit_counts(cache_out: DataFrame) -> DataFrame:
-    """Running hit/miss counts of the streaming cache."""
-    return cache_out.groupBy(F.when(F.col("cached"), "hit").otherwise("miss").alias("status")).count()
+def hit_counts(cache_out: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Hits and misses by event-time window behind the streaming cache (R6),
+    each window once in `append` mode; their sums are `rollups.cache_counts`."""
+    status = F.when(F.col("cached"), "hit").otherwise("miss")
+    return cache_out.groupBy(F.window("ts", width).alias("w"), status.alias("status")) \
+        .agg(F.count(F.lit(1)).alias("count")).select(F.col("w.start").alias("window_start"), "status", "count")

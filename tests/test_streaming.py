@@ -78,22 +78,6 @@ def test_decision_cache_fixture(spark):
     assert out == {1: (False, 1, 25), 2: (True, 1, 25), 3: (False, 3, 5), 4: (True, 3, 5), 5: (False, 5, 70)}
 
 
-def test_streaming_cache_equals_batch_replay(spark, tmp_path):
-    from flowlens.operators import chains as ch
-    from flowlens.streaming.state import decision_cache_stream
-    d = fx.decisions(spark, SF).select("id", "ts", "src", "dst", "dst_port", "risk")
-    n = d.count()
-    src = str(tmp_path / "req")
-    d.withColumn("part", F.floor(F.col("id") * 3 / F.lit(n))).coalesce(1).write.partitionBy("part").parquet(src)
-    stream = read_stream(spark, src + "/*", d.schema, max_files_per_trigger=1)
-    out = str(tmp_path / "out")
-    run_available_now(stream, decision_cache_stream, out, checkpoint=str(tmp_path / "ck"))
-    got = sorted(map(tuple, spark.read.parquet(out).select("id", "cached", "writer_id", "served_risk").collect()))
-    want = sorted(map(tuple, ch.decision_cache(d, checkpoint=False)
-                      .select("id", "cached", "writer_id", "served_risk").collect()))
-    assert got == want
-
-
 def test_stream_sessions_equal_batch(spark, tmp_path):
     p = fx.packets(spark, SF)
     n = p.count()
@@ -110,32 +94,6 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
     assert len(want) - len(got) <= 60  # sessions still open at the end of the input are not emitted yet
 
 
-def test_cache_replay_with_a_late_request():
-    import pandas as pd
-
-    from flowlens.streaming.state import _replay
-
-    class State:
-        exists, hasTimedOut, get = False, False, None
-
-        def update(self, value):
-            self.get, self.exists = value, True
-
-        def setTimeoutTimestamp(self, ms):
-            self.timeout = ms
-
-    def rows(*pairs):
-        return iter([pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s), "a", "b", 1, 5) for i, s in pairs],
-                                  columns=["id", "ts", "src", "dst", "dst_port", "risk"])])
-
-    state, replay = State(), _replay(300_000_000, 60_000_000, 20)
-    first, = replay(None, rows((1, 100)), state)
-    late, = replay(None, rows((2, 50), (3, 150)), state)
-    assert first.cached.tolist() == [False]
-    assert late.cached.tolist() == [False, True] and late.writer_id.tolist() == [2, 1]
-    assert state.get[2] == 1
-
-
 def _in_time_order(df, path, files=4):
     """Parquet files that follow each other in event time, the way a stream gets them."""
     import os
