@@ -8,14 +8,15 @@ of its occurrences, so ROLLUP (lang, w1, w2, w3, w4) gives the counts of all
 shorter phrases as sums over the windows that they begin; no n-grams of other
 lengths are ever made.
 
-Before that, windows lose what can't matter. A phrase with a count of `least`
-holds only words and neighbouring pairs with such counts. A first pass counts
-words and pairs by their hashes in a table of 2^TABLE_BITS counters for each
-task, which Spark sums; a window ends before a pair, and none begins at a word,
+Before that, windows lose what can't matter: all parts of a phrase with a count
+of `least` have such counts, too. A first pass over the texts counts words and
+neighbouring pairs by their hashes, a second one the phrases of three and four
+words whose pairs passed, each in a table of 2^TABLE_BITS counters for a task,
+which Spark sums; a window ends before a phrase, and none begins at a word,
 whose counter stays under `least`. A counter never is below the count of any of
-its words or pairs, so no phrase is lost and no count that is looked at later
-changes. The table has the same size for every input: it saves the more the
-smaller the input is to it, and decides no result.
+its phrases, so none is lost and no count that is looked at later changes. The
+tables have the same size for every input: they save the more the smaller the
+input is to them, and decide no result.
 
 A candidate's cuts look up the counts of both parts by one join (parts of one
 word, the only ones that very many candidates share, over SALTS copies), longer
@@ -31,11 +32,13 @@ is read in windows of bounded size.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ from flowlens.session import Scratch, configure
 
 ORDER = 4
 NO_LANG = "und"
-TABLE_BITS = 25
+TABLE_BITS = 26
 #: Counters in one row of a table.
 BLOCK = 1 << 15
 SALTS = 16
@@ -61,6 +64,7 @@ _LEAD = mix(np.arange(1, ORDER + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 WINDOW = ", ".join(f"w{k} string" for k in range(1, ORDER + 1))
 COUNTERS = "block int, lang string, n long, counts binary"
+_COUNTERS = (pa.int32(), pa.string(), pa.int64(), pa.binary())
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
@@ -81,9 +85,14 @@ def _lead(x: np.ndarray, k: int, pad=0) -> np.ndarray:
     return out
 
 
+def _marked(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the bits at `place` are set in a packed table."""
+    return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
 class _Pieces:
     """Words of some documents, which neighbours share a piece, and the table
-    places of words and of pairs."""
+    places of the phrases that begin at each word."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, bits: int):
         self.words = w = words(data, offsets, in_word=_IN_WORD)
@@ -92,49 +101,85 @@ class _Pieces:
         lo, hi = int(offsets[0]), int(offsets[-1])
         breaks = np.flatnonzero(_IS_BREAK[data[lo:hi]]) + lo
         before = np.searchsorted(breaks, w.start)
-        self.joined = np.zeros(n, bool)
-        self.joined[:-1] = (before[1:] == before[:-1]) & (self.doc[1:] == self.doc[:-1])
-        self.key = w.hash + lang[self.doc]
-        shift = U(64 - bits)
-        self.single = (mix(self.key * _LEAD[0]) >> shift).astype(np.int64)
-        self.pair = (mix(self.key * _LEAD[1] + _lead(w.hash, 1) * _LEAD[2]) >> shift).astype(np.int64)
-
-
-def count_places(batches: Iterator[pa.RecordBatch], bits: int = TABLE_BITS) -> Iterator[pa.RecordBatch]:
-    """Words of each lang, and the table of this task in compressed blocks."""
+        joined = np.zeros(n, bool)
+        joined[:-1] = (before[1:] == before[:-1]) & (self.doc[1:] == self.doc[:-1])
+        self.lang, self.shift = lang[self.doc], U(64 - bits)
+        #: whether a phrase of k + 1 words fits the piece
+        self.fits = [np.ones(n, bool), joined]
+        for k in range(2, ORDER):
+            self.fits.append(self.fits[-1] & _lead(joined, k - 1, False))
+
+    def key(self, size: int) -> np.ndarray:
+        key = self.lang + U(size)
+        for k in range(size):
+            key = key + _lead(self.words.hash, k) * _LEAD[k]
+        return key
+
+    def place(self, size: int) -> np.ndarray:
+        return (mix(self.key(size)) >> self.shift).astype(np.int64)
+
+    def often(self, tables: list[np.ndarray]) -> list[np.ndarray]:
+        """For 1, 2 words and, with both tables, 3 and 4 words: whether the
+        phrase's counter and those of its parts reach the threshold."""
+        has = []
+        for size in range(1, 2 * len(tables) + 1):
+            parts = self.fits[size - 1].copy()
+            if has:
+                parts &= has[-1] & _lead(has[-1], 1, False)
+            at = np.flatnonzero(parts)
+            parts[at] = _marked(tables[(size - 1) // 2], self.place(size)[at])
+            has.append(parts)
+        return has
+
+
+def count_places(batches: Iterator[pa.RecordBatch], bits: int, tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The table of this task in compressed blocks: of words and pairs, with the
+    words of each lang, or after those, of the phrases of three and four words."""
     table = np.zeros(1 << bits, np.uint8)
     total: dict[str, int] = {}
     for batch in batches:
         for data, offsets, lang, names in _texts(batch):
             p = _Pieces(data, offsets, lang, bits)
-            for name, n in zip(names.to_pylist(), np.diff(p.words.first).tolist()):
-                total[name] = total.get(name, 0) + n
-            at, n = np.unique(np.concatenate((p.single, p.pair[p.joined])), return_counts=True)
+            if tables:
+                pair = p.often(tables)[1]
+                three = pair & _lead(pair, 1, False)
+                which = [(3, three), (4, three & _lead(pair, 2, False))]
+            else:
+                which = [(1, p.fits[0]), (2, p.fits[1])]
+                for name, n in zip(names.to_pylist(), np.diff(p.words.first).tolist()):
+                    total[name] = total.get(name, 0) + n
+            at, n = np.unique(np.concatenate([p.place(size)[ok] for size, ok in which]), return_counts=True)
             table[at] = np.minimum(table[at] + n, 255)
     blocks = table.reshape(-1, min(BLOCK, len(table)))
     used = np.flatnonzero(blocks.any(axis=1)).tolist()
-    rows = [(None, k, n, None) for k, n in total.items()]
-    rows += [(b, None, None, pa.compress(blocks[b].tobytes(), "zstd", asbytes=True)) for b in used]
-    for i in range(0, len(rows), 64):
-        block, name, n, counts = zip(*rows[i:i + 64])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block, pa.int32()), pa.array(name, pa.string()), pa.array(n, pa.int64()),
-             pa.array(counts, pa.binary())], ["block", "lang", "n", "counts"])
+    def rows() -> Iterator[tuple]:
+        yield from ((-1, k, n, None) for k, n in total.items())
+        for block in used:
+            yield block, None, None, pa.compress(blocks[block].tobytes(), "zstd", asbytes=True)
+
+    left = rows()
+    while part := list(itertools.islice(left, 64)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), _COUNTERS)],
+                                         ["block", "lang", "n", "counts"])
 
 
 def sum_blocks(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
     """Rows ordered by block -> for each block a bit for each counter that
-    reaches `least` in sum."""
+    reaches `least` in sum; rows of langs pass."""
     now, total = None, np.zeros(size, np.uint16)
 
     def done() -> Iterator[pa.RecordBatch]:
         if now is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())],
-                ["block", "often"])
+                [pa.array([now], pa.int32()), pa.array([None], pa.string()), pa.array([None], pa.int64()),
+                 pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["block", "lang", "n", "often"])
 
     for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
+        langs = batch.filter(pa.compute.less(batch.column("block"), 0))
+        if len(langs):
+            yield langs.rename_columns(["block", "lang", "n", "often"])
+        blocks = batch.slice(len(langs))  # they follow, in order
+        for block, counts in zip(blocks.column("block").to_pylist(), blocks.column("counts")):
             if block != now:
                 yield from done()
                 now, total = block, np.zeros(size, np.uint16)
@@ -143,28 +188,21 @@ def sum_blocks(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iter
     yield from done()
 
 
-def count_windows(batches: Iterator[pa.RecordBatch], often: np.ndarray) -> Iterator[pa.RecordBatch]:
+def count_windows(batches: Iterator[pa.RecordBatch], bits: int, tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Distinct windows of a few documents at a time, with their counts."""
-    bits = len(often).bit_length() - 1
     for batch in batches:
         for data, offsets, lang, names in _texts(batch):
             p = _Pieces(data, offsets, lang, bits)
             w, n = p.words, len(p.words.hash)
-            if n == 0:
+            has = p.often(tables)
+            at = np.flatnonzero(has[0])
+            if len(at) == 0:
                 continue
-            first = often[p.single]
-            pair = p.joined & often[p.pair] & first & _lead(first, 1, False)
-            has = [first, pair]
-            for k in range(2, ORDER):
-                has.append(has[-1] & _lead(pair, k - 1, False))
-            key = p.key * _LEAD[0]
+            key = p.key(1)
             for k in range(1, ORDER):
                 key = key + np.where(has[k], _lead(w.hash, k), U(0)) * _LEAD[k]
-            at = np.flatnonzero(first)
             _, one, count = np.unique(mix(key[at]), return_index=True, return_counts=True)
             at = at[one]
-            if len(at) == 0:
-                continue
             lo, hi = int(offsets[0]), int(offsets[-1])
             text = _FOLD[data[lo:hi][_IN_WORD[data[lo:hi]]]]
             ends = np.zeros(n + 2, np.int32)
@@ -182,18 +220,26 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = 30, bits: int
     `least` at least, and (lang, n), the number of words of each lang.
     `docs` has lang and text; `least` is 255 at most for the table's sake."""
     spark = docs.sparkSession
-    size = min(BLOCK, 1 << bits)
-    places = scratch.write(docs.mapInArrow(lambda b: count_places(b, bits), COUNTERS), "places")
-    total = scratch.write(places.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "total")
-    marked = places.where("block is not null").repartition("block").sortWithinPartitions("block") \
-        .select("block", "counts").mapInArrow(lambda b: sum_blocks(b, min(least, 255), size), "block int, often binary")
-    table = np.zeros(1 << bits, bool)
-    for row in marked.toLocalIterator():  # 2^bits bits at every size of the input
-        table[row.block * size:(row.block + 1) * size] = np.unpackbits(np.frombuffer(row.often, np.uint8)).view(bool)
-    packed = spark.sparkContext.broadcast(np.packbits(table))
+    size, packed = min(BLOCK, 1 << bits), []
+
+    def values() -> list[np.ndarray]:
+        return [np.frombuffer(t.value, np.uint8) for t in packed]
+
+    def places(batches):
+        yield from count_places(batches, bits, values())
 
     def windows(batches):
-        yield from count_windows(batches, np.unpackbits(packed.value).view(bool))
+        yield from count_windows(batches, bits, values())
+
+    for turn in ("pairs", "longer"):
+        dealt = docs.mapInArrow(places, COUNTERS).repartition("block").sortWithinPartitions("block")
+        summed = scratch.write(dealt.mapInArrow(lambda b: sum_blocks(b, min(least, 255), size),
+                                                "block int, lang string, n long, often binary"), turn)
+        table = np.zeros((1 << bits) // 8, np.uint8)
+        for row in summed.where("block >= 0").toLocalIterator():  # 2^bits bits at every size of the input
+            table[row.block * size // 8:(row.block + 1) * size // 8] = np.frombuffer(row.often, np.uint8)
+        packed.append(spark.sparkContext.broadcast(table.tobytes()))
+    total = spark.read.parquet(scratch.path("pairs")).where("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
     names = [f"w{k}" for k in range(1, ORDER + 1)]
     longest = docs.mapInArrow(windows, f"lang string, {WINDOW}, n long") \
