@@ -45,13 +45,22 @@ def credential_stuffing(logins: DataFrame, *, window: str = "5 minutes", min_vol
     """Clusters = (ip, 5-minute window); features: volume, failure rate,
     account velocity (distinct accounts), agent diversity; flagged when
     failure rate > 0.7 and volume > threshold (D3). Distinct counts are
-    exact here; `approx_count_distinct` is the drop-in at very large scale."""
+    exact here; `approx_count_distinct` is the drop-in at very large scale.
+
+    Where `logins` has previous_ip (the address of the account's request before,
+    see `sequence.previous_in_key`), the IP change rate is given, too: the share
+    of requests whose account came from another address then."""
+    changes = []
+    if "previous_ip" in logins.columns:
+        moved = F.coalesce(F.col("previous_ip") != F.col(ip_col), F.lit(False))
+        changes = [F.avg(moved.cast("double")).alias("ip_change_rate")]
     g = logins.groupBy(F.col(ip_col).alias("ip"), F.window(ts_col, window).alias("w")).agg(
         F.count(F.lit(1)).alias("volume"),
         F.avg((~F.col(success_col)).cast("double")).alias("failure_rate"),
         F.count_distinct(account_col).alias("account_velocity"),
-        F.count_distinct(agent_col).alias("agents"))
+        F.count_distinct(agent_col).alias("agents"), *changes)
     return g.select("ip", F.col("w.start").alias("window_start"), "volume", "failure_rate", "account_velocity",
+                    *(["ip_change_rate"] if changes else []),
                     (F.col("agents") / F.col("volume")).alias("agent_diversity"),
                     ((F.col("failure_rate") > max_failure_rate) & (F.col("volume") > min_volume)).alias("flagged"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.enrich import PROXY_CODES
+
 DRIFT_ALERT = 0.3
 P99_ALERT_MS = 300.0
 FPR_ALERT = 0.05
@@ -89,6 +91,23 @@ def session_trend(events: DataFrame, origin_col: str = "src", width: str = "1 ho
         .select(F.col("w.start").alias("window_start"), origin_col, "sessions")
 
 
+def provider_trend(sessions: DataFrame, intel: DataFrame, *, ip_col: str = "src_ip", provider_col: str = "asn",
+                   ts_col: str = "timestamp", width: str = "24 hours", unknown: str = "unknown") -> DataFrame:
+    """Sessions by window and provider of the origin, those through a proxy
+    code of J4, and the provider's share of the window (D17). Addresses that
+    `intel` (one row an address) doesn't have are `unknown`. Sessions are counted
+    by address before the join, so an origin crosses it once a window."""
+    counted = sessions.groupBy(F.window(ts_col, width).alias("w"), F.col(ip_col).alias("_ip")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    dim = intel.select(F.col("ip").alias("_ip"), F.col(provider_col).cast("string").alias("provider"),
+                       F.coalesce(F.col("is_proxy").isin(PROXY_CODES), F.lit(False)).alias("proxy"))
+    g = counted.join(dim, "_ip", "left").groupBy(
+        F.col("w.start").alias("window_start"), F.coalesce("provider", F.lit(unknown)).alias("provider")).agg(
+        F.sum("n").alias("sessions"), F.coalesce(F.sum(F.when(F.col("proxy"), F.col("n"))), F.lit(0)).alias("proxied"))
+    total = g.groupBy("window_start").agg(F.sum("sessions").alias("_all"))
+    return g.join(total, "window_start").withColumn("share", F.col("sessions") / F.col("_all")).drop("_all")
+
+
 def review_queue(decisions: DataFrame, feedback: DataFrame, training: DataFrame | None = None, *,
                  id_col: str = "id", predicted_col: str = "action", truth_col: str = "true_action") -> DataFrame:
     """Mislabelled decisions (D19): decisions joined with analyst feedback
