@@ -168,12 +168,15 @@ def read_store(spark, path: str, columns: str = STORE) -> DataFrame:
 
 def starts(store: DataFrame) -> DataFrame:
     """(file, row, start): tokens of the store before each row, from the counts
-    alone. A file's rows are added up in the file, and the few files in order."""
+    alone. A file's rows are added up in the file, and the few files in order
+    of their part numbers, which follow the ranges of ids."""
     place = store.select("n_tokens", "doc_id", F.col("_metadata.file_path").alias("file"),
                          F.col("_metadata.row_index").alias("row"))
+    # from the sixth digit on, numbers don't sort as text
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
     files = place.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = files.select("file", F.coalesce(
-        F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        F.sum("total").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("n_tokens").over(
         Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return place.select("file", "row", "doc_id", "n_tokens", inside.alias("inside")).join(F.broadcast(before), "file") \
