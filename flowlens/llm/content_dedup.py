@@ -9,6 +9,9 @@ range are found first by their digests (a partial aggregate; at most
 `4 x ranges` of them by construction) and sorted in several parts, whose
 results are joined by digest afterwards.
 
+`distinct_contents` gives the rows that stay, whole: they take part in the sort
+as they are, so they cross the network once and nothing is joined to them after.
+
 All of it is DataFrame operations.
 
 Defined results: a null text equals the empty text; of rows with the same id
@@ -69,3 +72,32 @@ def content_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                    "text_sha256"), "result")
     scratch.keep_only("result")
     return out
+
+
+def distinct_contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of `docs` that stay, one of each group of equal texts: that with
+    the `smallest` or `largest` id, and any one of several rows with that id.
+    Columns are those of `docs`, whatever their names."""
+    spark = configure(docs.sparkSession)
+    scratch = Scratch(spark, "content-rows")
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    body = F.translate(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")), UPPER, UPPER.lower())
+    keyed = rows.withColumn("digest", F.unhex(F.sha2(body, 256)))
+    copies = scratch.write(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    repeated = copies.agg(F.sum("copies")).first()[0] or 0
+    per_part = max(1, repeated // (4 * ranges))
+    heavy = copies.where(F.col("copies") > per_part)  # at most 4 * ranges rows
+    parts = F.coalesce(F.ceil(F.col("copies") / per_part).cast("int"), F.lit(1))
+    head = F.substring(body, 1, HEAD)
+    dealt = keyed.join(F.broadcast(heavy), "digest", "left") \
+        .withColumn("part", F.pmod(F.xxhash64(F.col(f"row.`{id_col}`")), parts).cast("int")) \
+        .withColumn("head", head).repartitionByRange(ranges, "head", "digest", "part")
+    id_of = F.col(f"row.`{id_col}`")
+    best = id_of.desc_nulls_last() if keep == "largest" else id_of.asc_nulls_last()
+    equal = Window.partitionBy("head", "digest", body, "part").orderBy(best)
+    first = dealt.withColumn("place", F.row_number().over(equal)).where("place = 1")
+    # a text in several parts: one row of each part is left
+    again = Window.partitionBy("digest", body).orderBy(best)
+    joined = first.where("copies is not null").withColumn("place", F.row_number().over(again)).where("place = 1")
+    return first.where("copies is null").select("row.*").unionByName(joined.select("row.*"))
