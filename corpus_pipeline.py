@@ -11,11 +11,12 @@ classifier scores it, exact duplicates of it go, it is linked with nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.bin_packing import pack
-from flowlens.llm.content_dedup import content_duplicates
+from flowlens.llm.content_dedup import distinct_contents
 from flowlens.llm.jaccard_rtree import jaccard_components
 from flowlens.llm.pii import redact
 from flowlens.llm.rule_ensemble import quality_model, with_statistics
@@ -41,21 +42,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_statistics(docs, "text", stats).where(rules.score(stats) >= QUALITY).drop(stats)
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of `docs` with an id of `kept`, a null id included."""
-    wanted = kept.select(F.col("doc_id").alias(name := _free_name(docs, "kept_id"))).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for the case of A-Z) the row with the largest id."""
-    return _keep(docs, content_duplicates(docs).where("kept"))
+    return distinct_contents(docs)
+
+
+def _numbered(spark: SparkSession, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """`docs` with a number of its own for every row, the same whenever it is
+    read: of its file and its place there. Rows that no file holds are written
+    first."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], place.alias(name))
+    except AnalysisException:
+        docs = scratch.write(docs, "docs")
+        placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], place.alias(name))
+    files = placed.select(F.col(name)["file_path"].alias("path")).distinct()
+    files = scratch.write(files.withColumn("file", F.row_number().over(Window.orderBy("path"))), "files")  # a row a file
+    return placed.join(F.broadcast(files), F.col(name)["file_path"] == F.col("path")) \
+        .withColumn(name, F.col("file").cast("long") * (1 << 40) + F.col(name)["row_index"]).drop("path", "file")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of the n-gram join connect, the smallest id."""
-    groups = jaccard_components(docs)
-    return _keep(docs, groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    """Of each group that links of the n-gram join connect, the row with the
+    smallest id; rows are told apart by their place, not by their ids."""
+    name, scratch = _free_name(docs, "row_number"), Scratch(spark, "pipeline-near")
+    numbered = _numbered(spark, docs, scratch, name)
+    slim = numbered.select(F.col(name).alias("row"), F.col("text"), F.col("doc_id").cast("long").alias("id"))
+    groups = jaccard_components(slim, id_col="row")
+    first = groups.join(slim.select("row", "id"), "row").groupBy("component_id") \
+        .agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    dropped = scratch.write(groups.join(first, "component_id").where("row <> first")
+                            .select(F.col("row").alias(name)), "dropped")
+    return numbered.join(dropped, name, "left_anti").drop(name)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
