@@ -1,4 +1,4 @@
-"""More registered queries: sequences, attribution, calendar parts."""
+"""More registered queries: sequences, attribution, networks, calendar parts."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import parse as ps
-from flowlens.functions.exprs import round3
+from flowlens.functions.exprs import ipv4_to_long, round3
 from flowlens.operators import detect as de
+from flowlens.operators import intervals as iv
 from flowlens.operators import monitor as mo
 from flowlens.operators import sequence as sq
-from flowlens.plans.catalog import register, sql_r3
+from flowlens.plans.catalog import register, sql_ip_long, sql_r3
 from flowlens.sources import fixtures as fx
 from flowlens.sources.tables import table
 
@@ -52,6 +53,29 @@ def d17_provider_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("window_start", "provider", "sessions", "proxied", round3("share").alias("share"))
 
 
+@register("j5_nested_ranges", fx.with_sql(fx.FLOWS_SQL, f"""
+nets AS (SELECT n_nationkey, n_name, 2886729728 + n_nationkey * 256 AS lo, 2886729728 + n_nationkey * 256 + 255 AS hi FROM nation
+         UNION ALL SELECT -1, 'hot', 2886729728, 2886729728 + 65535 UNION ALL SELECT -2, 'ten', 167772160, 184549375
+         UNION ALL SELECT -10 - n_nationkey, n_name || ' host', 2886729728 + n_nationkey * 256 + 1, 2886729728 + n_nationkey * 256 + 1
+         FROM nation WHERE n_nationkey % 3 = 0),
+ends AS (SELECT src_ip AS ip FROM flows UNION ALL SELECT dst_ip FROM flows),
+ips AS (SELECT ip, {sql_ip_long('ip')} AS x, count(*) AS n FROM ends GROUP BY 1),
+best AS (SELECT ips.ip, arg_min(n_name, hi - lo) AS n_name FROM ips JOIN nets ON x BETWEEN lo AND hi GROUP BY 1)""") + """
+SELECT ip, n_name AS network, CAST(n AS BIGINT) AS ends FROM ips LEFT JOIN best USING (ip)""")
+def j5_nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every end of every flow to the narrowest of nested networks, one of
+    which holds most of the ends (J5)."""
+    f, n = fx.flows(spark, sf_dir), table(spark, sf_dir, "nation")
+    base, key = 2886729728, F.col("n_nationkey")
+    lo = F.lit(base) + key * 256
+    nets = n.select("n_name", lo.alias("lo"), (lo + 255).alias("hi")).unionByName(
+        n.where(key % 3 == 0).select(F.concat("n_name", F.lit(" host")).alias("n_name"), (lo + 1).alias("lo"), (lo + 1).alias("hi"))
+    ).unionByName(spark.createDataFrame([("hot", base, base + 65535), ("ten", 167772160, 184549375)], "n_name string, lo long, hi long"))
+    ends = f.select(F.col("src_ip").alias("ip")).unionByName(f.select(F.col("dst_ip").alias("ip")))
+    found = iv.narrowest_range(ends, ipv4_to_long(F.col("ip")), nets, name="net")
+    return found.groupBy("ip", F.col("net.n_name").alias("network")).agg(F.count(F.lit(1)).alias("ends"))
+
+
 @register("c17_calendar_days", """
 SELECT event_id AS id, CAST(hour(t) AS INTEGER) AS hour, CAST(isodow(t) - 1 AS INTEGER) AS weekday,
        CASE WHEN isodow(t) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend
