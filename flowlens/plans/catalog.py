@@ -997,12 +997,7 @@ GROUP BY 1, 2"""
     _hist_sql(*h) for h in pr.FLOW_HISTOGRAMS))
 def a11_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six 50-bin flow histograms (clip / log10(x+1) transforms)."""
-    d = deduped_flows(spark, sf_dir)
-    out = None
-    for col, tr, arg in pr.FLOW_HISTOGRAMS:
-        h = pr.histogram(d, col, tr, arg).select("column", "bin", "count")
-        out = h if out is None else out.unionByName(h)
-    return out
+    return pr.histograms(deduped_flows(spark, sf_dir), pr.FLOW_HISTOGRAMS).select("column", "bin", "count")
 
 
 GROUP_FIELDS = ["vpn_flag", "dataset_source", "app_label", "intent_label"]
@@ -1636,12 +1631,8 @@ FROM (SELECT b, y, n, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION
           " UNION ALL ".join(_mi_sql(c) for c in MI_FEATURES))
 def d12_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutual information between 10-bin features and the intent label."""
-    d = deduped_flows(spark, sf_dir)
-    out = None
-    for c in MI_FEATURES:
-        m = tr.mutual_information(d, c, "intent_label").select("feature", round3("mi").alias("mi"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    m = tr.mutual_informations(deduped_flows(spark, sf_dir), MI_FEATURES, "intent_label")
+    return m.select("feature", round3("mi").alias("mi"))
 
 
 @register("m12_class_weights", fx.with_sql(fx.FLOWS_SQL, ALIGNED_SQL, DEDUPED_SQL) + f"""
