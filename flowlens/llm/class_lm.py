@@ -5,17 +5,27 @@ transitions and word emissions counted over the whole training part.
 
 1. Words are counted over all training texts (map-side sums, then one
    shuffle), which gives N, V and every word's count.
-2. The VOCABULARY most frequent words get their classes by exchange: each word
-   moves to the class that raises the classes' mutual information most, over
-   bigram counts of the whole training part. Their table has a fixed size.
-   All other words have one of TAIL fixed classes, by the hash of the word.
-3. Every text is scored: transitions and the counts of the most frequent words
+2. The VOCABULARY most frequent words are moved one after the other, each to
+   the class that raises the classes' mutual information most, over bigram
+   counts of the whole training part; their table has a fixed size.
+3. All other words that occur LEAST times are moved in sweeps, each a Spark job:
+   a pass over the texts counts the classes before and after every word, the
+   counts meet by ranges of the words' hashes, and every word goes where the
+   gain over the class table is largest, all at the same time. Words occurring
+   less, and words that training never saw, are one class more: words seen once
+   tell what new ones follow.
+4. Every text is scored: transitions and the counts of the most frequent words
    (TABLE at most) come from tables of fixed size; the counts of rarer words by a join on the
    word, of which a text sends each distinct one once.
 
+Classes are kept by the low bits of the word's hash, a byte for each of SLOTS
+slots, so the table that tasks get has the same size for any corpus; words of
+one slot share their class, and are moved as one.
+
 Tokens are words outside [\\x20\\x09-\\x0D] with A-Z folded, then one end. A
 transition is smoothed by one count a class, an emission by one count a word
-and one more for all words that the class has never had.
+and one more for all words that the class has never had. Each unseen word gets
+that one count, so the probabilities of all possible words don't sum to one.
 
 Defined results: a null text is empty and has the end as its only token; no
 training text gives N = V = 0, a base score of 0 a token, and scores from
@@ -38,9 +48,17 @@ from flowlens.session import Scratch, configure
 
 VOCABULARY = 1024
 CLASSES = 48
-TAIL = 16
+#: Classes of the words that aren't moved.
+TAIL = 1
 TABLE = 1 << 16
 SWEEPS = 3
+#: Occurrences from which on a word is moved.
+LEAST = 2
+#: Slots of the table of classes, and those that one reducer's step holds.
+SLOTS = 1 << 25
+PART = 1 << 15
+#: Sweeps over the words that aren't among the most frequent ones.
+WIDE_SWEEPS = 2
 #: Hash that stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -116,6 +134,10 @@ def bigram_counts(texts: DataFrame, known: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
+def nlogn(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
 def exchange(counts: np.ndarray, movable: int, classes: int = CLASSES, tail: int = TAIL, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of every unit of the square bigram table `counts`: the first
     `movable` units are moved among `classes` classes, the others keep one each.
@@ -126,9 +148,6 @@ def exchange(counts: np.ndarray, movable: int, classes: int = CLASSES, tail: int
     of = np.concatenate([np.argsort(np.argsort(-counts[:movable].sum(1), kind="stable"), kind="stable") % classes,
                          classes + np.arange(units - movable)]).astype(np.int64)
 
-    def nlogn(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
     member = np.zeros((units, total))
     member[np.arange(units), of] = 1
     after, before = counts @ member, counts.T @ member  # of each unit, by class of the neighbour
@@ -169,12 +188,174 @@ def exchange(counts: np.ndarray, movable: int, classes: int = CLASSES, tail: int
     return of
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & U(SLOTS - 1)).astype(np.int64)
+
+
+def _neighbours(of: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every token, of the one before and of the one after it in its
+    text; before a text's first and after its last is the end."""
+    own, end = of[_slots(hashes)].astype(np.int64), int(of[_slots(np.array([END]))[0]])
+    before, after = np.append(end, own[:-1]), np.append(own[1:], end)
+    before[first[:-1]] = end
+    return own, before, after
+
+
+def class_pairs(texts: DataFrame, of: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring classes over the training rows."""
+    shared, total = texts.sparkSession.sparkContext.broadcast(of), CLASSES + TAIL
+
+    def run(batches):
+        table = np.zeros(total * total, np.int64)
+        for batch in batches:
+            for _, hashes, first in _tokens(batch, 1, 3):
+                own, before, _ = _neighbours(shared.value, hashes, first)
+                table += np.bincount(before * total + own, minlength=total * total)
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["pair", "c"])
+
+    table = np.zeros(total * total)
+    for pair, c in texts.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c")).collect():  # total^2 rows
+        table[pair] = c
+    return table.reshape(total, total)
+
+
+def contexts(texts: DataFrame, of: np.ndarray, fixed: np.ndarray) -> DataFrame:
+    """(part, keys, counts): how often a slot of the part, but the `fixed` ones,
+    occurs between two classes, in the training rows; key = (slot, class before,
+    class after)."""
+    shared = texts.sparkSession.sparkContext.broadcast((of, fixed))
+    names = ["part", "keys", "counts"]
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        part = keys // (PART << 12)
+        at = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys))
+        inside, counts = (keys % (PART << 12)).astype(np.uint32), counts.astype(np.uint32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[at[:-1]], pa.int32()), *[pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+                                                   for x in (inside, counts)]], names)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, hashes, first in _tokens(batch, 1, 3):
+                of, fixed = shared.value
+                slot, (_, before, after) = _slots(hashes), _neighbours(of, hashes, first)
+                free = fixed[np.minimum(np.searchsorted(fixed, slot), len(fixed) - 1)] != slot
+                held.append(((slot << 12) + (before << 6) + after)[free])
+                size += len(held[-1])
+                if size > 3_000_000:  # summed before they are sent
+                    yield summed(held)
+                    held, size = [], 0
+        if size:
+            yield summed(held)
+
+    return texts.mapInArrow(run, "part int, keys binary, counts binary")
+
+
+def gains(side: np.ndarray, table: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """(words, classes): growth of the sum of n log n over the cells of
+    `table[:, k]`, when a word with the neighbour counts `side` (words, classes)
+    joins class k; a word is taken out of its class `old` first."""
+    out = np.zeros((len(side), CLASSES))
+    word, near = np.nonzero(side)
+    grown = nlogn(table)
+    for at in range(0, len(word), 1 << 16):
+        w, k = word[at:at + (1 << 16)], near[at:at + (1 << 16)]
+        x = side[w, k].astype(float)
+        part = nlogn(table[k, :CLASSES] + x[:, None]) - grown[k, :CLASSES]
+        inside = np.flatnonzero(old[w] < CLASSES)
+        cell = table[k[inside], old[w[inside]]]
+        part[inside, old[w[inside]]] = nlogn(cell) - nlogn(np.maximum(cell - x[inside], 0))
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        out[w[first]] += np.add.reduceat(part, first)
+    return out
+
+
+def best_classes(before: np.ndarray, after: np.ndarray, table: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The class that each word gains most from, by its counts of the classes
+    before and after it; the other words stay where they are."""
+    n = after.sum(1).astype(float)
+    gain = gains(before, table, old) + gains(after, table.T, old)
+    for margin in (table.sum(0), table.sum(1)):
+        size = np.repeat(margin[None, :CLASSES], len(n), 0)
+        inside = np.flatnonzero(old < CLASSES)
+        size[inside, old[inside]] = np.maximum(size[inside, old[inside]] - n[inside], 0)
+        gain -= nlogn(size + n[:, None]) - nlogn(size)
+    return gain.argmax(1)
+
+
+def sweep(texts: DataFrame, of: np.ndarray, fixed: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Classes of all slots after one move of every word that occurs LEAST times,
+    but those in the `fixed` slots (sorted)."""
+    total = CLASSES + TAIL
+    shared = texts.sparkSession.sparkContext.broadcast((of, fixed, table))
+
+    def moved(part: int, row: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        of, _, table = shared.value
+        own = of[part * PART:(part + 1) * PART].copy()
+        used = np.flatnonzero(row >= 0)
+        before, after = before.reshape(-1, total)[row[used]], after.reshape(-1, total)[row[used]]
+        often = after.sum(1) >= LEAST
+        used, before, after = used[often], before[often], after[often]
+        own[used] = best_classes(before, after, table, own[used].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(
+            [pa.compress(own, "zstd", asbytes=True)], pa.binary())], ["part", "classes"])
+
+    def run(batches):
+        at = None
+        for batch in batches:
+            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    if at is not None:
+                        yield moved(at, row, before, after)
+                    at, row, rows = part, np.full(PART, -1), 0
+                    before, after = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                keys, counts = np.frombuffer(keys, np.uint32).astype(np.int64), np.frombuffer(counts, np.uint32)
+                slot = keys >> 12
+                new = np.unique(slot[row[slot] < 0])
+                row[new] = rows + np.arange(len(new))
+                rows += len(new)
+                if rows * total > len(before):  # doubled, up to PART rows
+                    more = np.zeros(max(rows * total, 2 * len(before)) - len(before), np.int64)
+                    before, after = np.append(before, more), np.append(after, more)
+                np.add.at(before, row[slot] * total + (keys >> 6 & 63), counts)
+                np.add.at(after, row[slot] * total + (keys & 63), counts)
+        if at is not None:
+            yield moved(at, row, before, after)
+
+    rows = contexts(texts, of, fixed).repartition("part").sortWithinPartitions("part") \
+        .mapInArrow(run, "part int, classes binary")
+    of = of.copy()
+    for part, classes in rows.collect():  # a byte a slot at most
+        of[part * PART:(part + 1) * PART] = np.frombuffer(pa.decompress(classes, PART, "zstd", asbytes=True), np.uint8)
+    return of
+
+
+def class_sizes(counts: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of every class."""
+    shared, total = counts.sparkSession.sparkContext.broadcast(of), CLASSES + TAIL
+
+    def run(batches):
+        for batch in batches:
+            k = shared.value[_slots(batch.column(0).to_numpy().view(U))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(total)), pa.array(np.bincount(k, batch.column(1).to_numpy(), total).astype(np.int64)),
+                 pa.array(np.bincount(k, minlength=total).astype(np.int64))], ["k", "c", "v"])
+
+    tokens, distinct = np.zeros(total), np.zeros(total)
+    for k, c, v in counts.mapInArrow(run, "k long, c long, v long").groupBy("k").agg(F.sum("c"), F.sum("v")).collect():
+        tokens[k], distinct[k] = c, v
+    return tokens, distinct
+
+
 class Model:
     """Tables of fixed size that every task gets."""
 
-    def __init__(self, known: np.ndarray, of: np.ndarray, pairs: np.ndarray, table_words: np.ndarray,
+    def __init__(self, of: np.ndarray, pairs: np.ndarray, table_words: np.ndarray,
                  table_counts: np.ndarray, n: int, v: int, class_tokens: np.ndarray, class_words: np.ndarray):
-        self.known, self.of = known, of
+        self.of = of
         total = CLASSES + TAIL
         self.transition = np.log10((pairs + 1) / (pairs.sum(1, keepdims=True) + total))
         self.words, self.counts = table_words, table_counts
@@ -182,7 +363,7 @@ class Model:
         self.emission_of = np.log10(class_tokens + class_words + 1.0)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
-        return self.of[_class_ids(hashes, self.known)]
+        return self.of[_slots(hashes)]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of the most frequent words, 0 for all others."""
@@ -192,6 +373,38 @@ class Model:
         return np.where(self.words[at] == hashes, self.counts[at], 0)
 
 
+def fit(texts: DataFrame, counts: DataFrame) -> Model:
+    """The model of the training rows of (id, text, hash, train) and their
+    `word_counts`."""
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    # words at least as frequent as a step of counts that TABLE words reach at most
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # 16 a power of two
+    least, room = 1 << 30, TABLE
+    for s, size in sorted(map(tuple, steps), reverse=True):
+        if size > room:
+            break
+        least, room = s, room - size
+    top = counts.where(step >= least).toPandas().sort_values(["c", "w"], ascending=[False, True])  # TABLE rows at most
+    hashes, often = top["w"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64)
+    first = hashes[:VOCABULARY]
+    if len(first) < VOCABULARY:  # a step of more than TABLE words is among the first
+        first = counts.orderBy(F.desc("c"), "w").limit(VOCABULARY).toPandas()["w"].to_numpy(np.int64).view(U)
+    known = np.sort(first)
+    units = len(known) + TAIL
+    table = np.zeros(units * units)
+    pairs = bigram_counts(texts, known).toPandas()  # (VOCABULARY + TAIL)^2 rows at most
+    table[pairs["pair"].to_numpy(np.int64)] = pairs["c"].to_numpy(float)
+    of = np.full(SLOTS, CLASSES, np.uint8)
+    of[_slots(known)] = exchange(table.reshape(units, units), len(known))[:len(known)]
+    table = class_pairs(texts, of)
+    for _ in range(WIDE_SWEEPS if n else 0):
+        of = sweep(texts, of, np.unique(_slots(known)), table)
+        table = class_pairs(texts, of)
+    order = np.argsort(hashes)
+    return Model(of, table, hashes[order], often[order], n, v, *class_sizes(counts, of))
+
+
 SCORED = "id long, hash long, w long, tf long, n_tokens long, n_known long, logs double, fixed double"
 
 
@@ -203,14 +416,11 @@ def partial_scores(texts: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m: Model = shared.value
-        start = m.classes(np.array([END]))[0]
         for batch in batches:
             for rows, hashes, first in _tokens(batch, 1):
                 n = rows.num_rows
                 owner = np.repeat(np.arange(n), np.diff(first))
-                own = m.classes(hashes)
-                before = np.append(0, own[:-1])
-                before[first[:-1]] = start
+                own, before, _ = _neighbours(m.of, hashes, first)
                 fixed = np.bincount(owner, m.transition[before, own] - m.emission_of[own], n)
                 count = m.lookup(hashes)
                 known = count > 0
@@ -247,37 +457,8 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.xxhash64(text_col).alias("hash"), F.coalesce(train, F.lit(True)).alias("train"))
 
     counts = scratch.write(word_counts(texts), "counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # words at least as frequent as a step of counts that TABLE words reach at most
-    step = F.floor(F.log2("c") * 16).cast("int")
-    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # 16 a power of two
-    least, room = 1 << 30, TABLE
-    for s, size in sorted(map(tuple, steps), reverse=True):
-        if size > room:
-            break
-        least, room = s, room - size
-    top = counts.where(step >= least).toPandas().sort_values(["c", "w"], ascending=[False, True])  # TABLE rows at most
-    hashes, often = top["w"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64)
-    known = np.sort(hashes[:VOCABULARY])
-    units = len(known) + TAIL
-    table = np.zeros(units * units)
-    pairs = bigram_counts(texts, known).toPandas()  # (VOCABULARY + TAIL)^2 rows at most
-    table[pairs["pair"].to_numpy(np.int64)] = pairs["c"].to_numpy(float)
-    table = table.reshape(units, units)
-    of = exchange(table, len(known))
-    total = CLASSES + TAIL
-    member = np.zeros((units, total))
-    member[np.arange(units), of] = 1
-
-    in_known = F.col("w").isin([int(x) for x in known.view(np.int64)]) if len(known) else F.lit(False)
-    tail = F.pmod(F.col("w"), F.lit(TAIL)).cast("int")  # the hash's low bits, also of a negative long
-    sizes = counts.where(~in_known).groupBy(tail.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    class_tokens, class_words = member.T @ table.sum(0), member.sum(0)
-    class_words[CLASSES:] = 0
-    for k, c, words_in in sizes:  # TAIL rows at most
-        class_tokens[CLASSES + k], class_words[CLASSES + k] = c, words_in
-    order = np.argsort(hashes)
-    model = Model(known, of, member.T @ table @ member, hashes[order], often[order], n, v, class_tokens, class_words)
+    model = fit(texts, counts)
+    n, v = model.n, model.v
 
     scored = scratch.write(partial_scores(texts, model), "scored")
     rare = scored.where("w is not null").select("id", "hash", "w", "tf").join(counts, "w") \
