@@ -6,11 +6,15 @@ order of their room, and the search starts at the bin that fits tightest and
 goes on to the next larger room until one is compatible, or opens a new bin. A
 bin takes no two documents of one source or of one duplicate cluster, and any
 others: for each source and cluster that occurs twice or more in a shard, the
-bins that hold it are listed. Sources and clusters stand for their 64-bit
+bins that hold it are listed, which is a bitmap over bins written as its set
+bits, and exact for any number of values. Sources and clusters stand for their 64-bit
 hashes. A row without a source or cluster conflicts with nothing on that account.
 
-Remainders are dealt out by the hash of their id into shards of about SHARD
-rows, so that every shard is a sample of all sources and lengths, however large
+Lengths are ids of a tokenizer, the end of a text included, where its file is
+given, and words between white space plus the end without one.
+
+Remainders are dealt out by the hash of their id, length and cluster into shards
+of about SHARD rows (rows equal in all three share a shard), so that every shard is a sample of all sources and lengths, however large
 one source is; a shard is packed by one task and holds lengths, not texts. The
 number of shards follows from the number of rows alone, so the result doesn't
 depend on the cluster.
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.text import groups, utf8, words
+from flowlens.llm.token_store import END_ID, ids_of
 from flowlens.session import Scratch, configure
 
 CAPACITY = 4096
@@ -112,13 +117,16 @@ def _key(value: Column) -> Column:
     return F.when(value.isNull(), F.lit(0).cast("long")).when(chosen == 0, F.lit(1).cast("long")).otherwise(chosen)
 
 
-def lengths(docs: DataFrame, id_col: str, text_col: str, source: Column, cluster: Column) -> DataFrame:
-    """(id, n, source, cluster): words and one end of each text, hashes of
-    the source and the duplicate cluster."""
+def lengths(docs: DataFrame, id_col: str, text_col: str, source: Column, cluster: Column,
+            tokenizer: str | None = None) -> DataFrame:
+    """(id, n, source, cluster): ids of each text, or its words, and one end;
+    hashes of the source and the duplicate cluster."""
     def run(batches):
+        known = ids_of(tokenizer) if tokenizer else None
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            counts = [np.diff(words(data, offsets[i:j + 1]).first) + 1 for i, j in groups(offsets)]
+            counts = [np.diff(known.encode(data, offsets[i:j + 1], END_ID)[1]) if known else
+                      np.diff(words(data, offsets[i:j + 1]).first) + 1 for i, j in groups(offsets)]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), batch.column(3)],
                                              ["id", "n", "source", "cluster"])
@@ -138,18 +146,19 @@ PACKED = "shard int, id long, piece long, start long, n long, bin long, place lo
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: Column | None = None,
-         cluster: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+         cluster: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of a document: piece (number), piece_start and n_tokens
-    (its tokens), bin_id and bin_start (where it lies)."""
+    (its tokens), bin_id and bin_start (where it lies). `tokenizer` is the file
+    of a word tokenizer (see `token_store`), whose ids are counted."""
     spark = configure(docs.sparkSession)
     scratch = Scratch(spark, "packing")
     source = F.col("source") if source is None else source
     cluster = same_text(text_col) if cluster is None else cluster
-    rows = scratch.write(lengths(docs, id_col, text_col, source, cluster), "lengths")
+    rows = scratch.write(lengths(docs, id_col, text_col, source, cluster, tokenizer), "lengths")
     shards = max(1, -(-rows.count() // shard))
     whole = (F.col("n") / capacity).cast("long")
     rows = rows.withColumn("whole", whole).withColumn("rest", F.col("n") - whole * capacity) \
-        .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64("id", "n", "cluster", F.lit(7)), F.lit(shards)).cast("int"))
 
     def run(batches):
         key, held = None, []

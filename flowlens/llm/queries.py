@@ -192,7 +192,7 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json"))
 
 
 @register("op11_phrase_rollup", f"""
