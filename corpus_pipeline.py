@@ -19,6 +19,7 @@ from flowlens.llm.bin_packing import pack
 from flowlens.llm.content_dedup import distinct_contents
 from flowlens.llm.jaccard_rtree import jaccard_components
 from flowlens.llm.pii import redact
+from flowlens.llm.queries import vocabulary
 from flowlens.llm.rule_ensemble import quality_model, with_statistics
 from flowlens.session import Scratch, configure
 
@@ -83,8 +84,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
-    return pack(docs)
+    """Where each piece of each document lies in the packed sequences, in token ids."""
+    return pack(docs, tokenizer=vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
