@@ -40,6 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +193,20 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & U(SLOTS - 1)).astype(np.int64)
 
 
+class Classes:
+    """Class of every slot; compressed on the way to the tasks."""
+
+    def __init__(self, of: np.ndarray):
+        self.of = of
+
+    def __reduce__(self):
+        return _unpacked, (pa.compress(self.of, "zstd", asbytes=True), len(self.of))
+
+
+def _unpacked(packed: bytes, size: int) -> Classes:
+    return Classes(np.frombuffer(pa.decompress(packed, size, "zstd", asbytes=True), np.uint8))
+
+
 def _neighbours(of: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of every token, of the one before and of the one after it in its
     text; before a text's first and after its last is the end."""
@@ -201,15 +216,16 @@ def _neighbours(of: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[
     return own, before, after
 
 
-def class_pairs(texts: DataFrame, of: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring classes over the training rows."""
-    shared, total = texts.sparkSession.sparkContext.broadcast(of), CLASSES + TAIL
+def class_pairs(texts: DataFrame, shared: Broadcast) -> np.ndarray:
+    """Counts of neighbouring classes over the training rows; `shared` are the
+    Classes."""
+    total = CLASSES + TAIL
 
     def run(batches):
         table = np.zeros(total * total, np.int64)
         for batch in batches:
             for _, hashes, first in _tokens(batch, 1, 3):
-                own, before, _ = _neighbours(shared.value, hashes, first)
+                own, before, _ = _neighbours(shared.value.of, hashes, first)
                 table += np.bincount(before * total + own, minlength=total * total)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["pair", "c"])
@@ -220,11 +236,10 @@ def class_pairs(texts: DataFrame, of: np.ndarray) -> np.ndarray:
     return table.reshape(total, total)
 
 
-def contexts(texts: DataFrame, of: np.ndarray, fixed: np.ndarray) -> DataFrame:
+def contexts(texts: DataFrame, shared: Broadcast, fixed: np.ndarray) -> DataFrame:
     """(part, keys, counts): how often a slot of the part, but the `fixed` ones,
     occurs between two classes, in the training rows; key = (slot, class before,
     class after)."""
-    shared = texts.sparkSession.sparkContext.broadcast((of, fixed))
     names = ["part", "keys", "counts"]
 
     def summed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -240,8 +255,7 @@ def contexts(texts: DataFrame, of: np.ndarray, fixed: np.ndarray) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for _, hashes, first in _tokens(batch, 1, 3):
-                of, fixed = shared.value
-                slot, (_, before, after) = _slots(hashes), _neighbours(of, hashes, first)
+                slot, (_, before, after) = _slots(hashes), _neighbours(shared.value.of, hashes, first)
                 free = fixed[np.minimum(np.searchsorted(fixed, slot), len(fixed) - 1)] != slot
                 held.append(((slot << 12) + (before << 6) + after)[free])
                 size += len(held[-1])
@@ -286,15 +300,13 @@ def best_classes(before: np.ndarray, after: np.ndarray, table: np.ndarray, old:
     return gain.argmax(1)
 
 
-def sweep(texts: DataFrame, of: np.ndarray, fixed: np.ndarray, table: np.ndarray) -> np.ndarray:
+def sweep(texts: DataFrame, shared: Broadcast, fixed: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Classes of all slots after one move of every word that occurs LEAST times,
     but those in the `fixed` slots (sorted)."""
     total = CLASSES + TAIL
-    shared = texts.sparkSession.sparkContext.broadcast((of, fixed, table))
 
     def moved(part: int, row: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-        of, _, table = shared.value
-        own = of[part * PART:(part + 1) * PART].copy()
+        own = shared.value.of[part * PART:(part + 1) * PART].copy()
         used = np.flatnonzero(row >= 0)
         before, after = before.reshape(-1, total)[row[used]], after.reshape(-1, total)[row[used]]
         often = after.sum(1) >= LEAST
@@ -325,21 +337,21 @@ def sweep(texts: DataFrame, of: np.ndarray, fixed: np.ndarray, table: np.ndarray
         if at is not None:
             yield moved(at, row, before, after)
 
-    rows = contexts(texts, of, fixed).repartition("part").sortWithinPartitions("part") \
+    rows = contexts(texts, shared, fixed).repartition("part").sortWithinPartitions("part") \
         .mapInArrow(run, "part int, classes binary")
-    of = of.copy()
+    of = shared.value.of.copy()
     for part, classes in rows.collect():  # a byte a slot at most
         of[part * PART:(part + 1) * PART] = np.frombuffer(pa.decompress(classes, PART, "zstd", asbytes=True), np.uint8)
     return of
 
 
-def class_sizes(counts: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def class_sizes(counts: DataFrame, shared: Broadcast) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of every class."""
-    shared, total = counts.sparkSession.sparkContext.broadcast(of), CLASSES + TAIL
+    total = CLASSES + TAIL
 
     def run(batches):
         for batch in batches:
-            k = shared.value[_slots(batch.column(0).to_numpy().view(U))]
+            k = shared.value.of[_slots(batch.column(0).to_numpy().view(U))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(total)), pa.array(np.bincount(k, batch.column(1).to_numpy(), total).astype(np.int64)),
                  pa.array(np.bincount(k, minlength=total).astype(np.int64))], ["k", "c", "v"])
@@ -355,7 +367,7 @@ class Model:
 
     def __init__(self, of: np.ndarray, pairs: np.ndarray, table_words: np.ndarray,
                  table_counts: np.ndarray, n: int, v: int, class_tokens: np.ndarray, class_words: np.ndarray):
-        self.of = of
+        self.slots = Classes(of)
         total = CLASSES + TAIL
         self.transition = np.log10((pairs + 1) / (pairs.sum(1, keepdims=True) + total))
         self.words, self.counts = table_words, table_counts
@@ -363,7 +375,7 @@ class Model:
         self.emission_of = np.log10(class_tokens + class_words + 1.0)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
-        return self.of[_slots(hashes)]
+        return self.slots.of[_slots(hashes)]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of the most frequent words, 0 for all others."""
@@ -397,12 +409,18 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
     table[pairs["pair"].to_numpy(np.int64)] = pairs["c"].to_numpy(float)
     of = np.full(SLOTS, CLASSES, np.uint8)
     of[_slots(known)] = exchange(table.reshape(units, units), len(known))[:len(known)]
-    table = class_pairs(texts, of)
+    send = texts.sparkSession.sparkContext.broadcast
+    shared = send(Classes(of))
+    table = class_pairs(texts, shared)
     for _ in range(WIDE_SWEEPS if n else 0):
-        of = sweep(texts, of, np.unique(_slots(known)), table)
-        table = class_pairs(texts, of)
+        of = sweep(texts, shared, np.unique(_slots(known)), table)
+        shared.destroy()  # its jobs are done
+        shared = send(Classes(of))
+        table = class_pairs(texts, shared)
+    tokens_in, words_in = class_sizes(counts, shared)
+    shared.destroy()
     order = np.argsort(hashes)
-    return Model(of, table, hashes[order], often[order], n, v, *class_sizes(counts, of))
+    return Model(of, table, hashes[order], often[order], n, v, tokens_in, words_in)
 
 
 SCORED = "id long, hash long, w long, tf long, n_tokens long, n_known long, logs double, fixed double"
@@ -420,7 +438,7 @@ def partial_scores(texts: DataFrame, model: Model) -> DataFrame:
             for rows, hashes, first in _tokens(batch, 1):
                 n = rows.num_rows
                 owner = np.repeat(np.arange(n), np.diff(first))
-                own, before, _ = _neighbours(m.of, hashes, first)
+                own, before, _ = _neighbours(m.slots.of, hashes, first)
                 fixed = np.bincount(owner, m.transition[before, own] - m.emission_of[own], n)
                 count = m.lookup(hashes)
                 known = count > 0
