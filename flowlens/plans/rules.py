@@ -11,8 +11,9 @@ from flowlens.operators import detect as de
 from flowlens.operators import intervals as iv
 from flowlens.operators import monitor as mo
 from flowlens.operators import sequence as sq
-from flowlens.plans.catalog import register, sql_ip_long, sql_r3
+from flowlens.plans.catalog import derived_dir, register, sql_ip_long, sql_r3
 from flowlens.sources import fixtures as fx
+from flowlens.sources import status as st
 from flowlens.sources.tables import table
 
 
@@ -114,3 +115,43 @@ def t1_sort_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t1_sort_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One time that can't be parsed cancels the sort."""
     return _sorted(spark, sf_dir, F.col("event_id") == 5)
+
+
+@register("s14_record_status", """
+WITH r AS (SELECT o_orderkey AS k, o_orderkey // 1500 AS file FROM orders),
+k AS (SELECT file, CASE file % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' ELSE 'flow_txt' END AS kind,
+             CASE WHEN file % 2 = 1 THEN false WHEN file % 3 = 1 THEN true ELSE k % 101 = 0 END AS bad FROM r),
+c AS (SELECT kind, file, count(*) FILTER (NOT bad) AS records, count(*) FILTER (bad) AS wrong FROM k GROUP BY 1, 2)
+SELECT kind, CAST(file AS BIGINT) AS file, CAST(records AS BIGINT) AS records,
+       CAST(CASE WHEN kind = 'json' THEN least(wrong, 1) ELSE wrong END AS BIGINT) AS bad_records,
+       CASE WHEN wrong > 0 THEN CASE kind WHEN 'csv' THEN 'fields unlike the header' WHEN 'json' THEN 'no JSON document'
+            ELSE 'no source or destination' END END AS reason,
+       CASE WHEN wrong > 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status
+FROM c""")
+def s14_record_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as record files of three kinds, 1,500 keys a file, some of
+    them damaged: CSV rows with a field too many, text lines without addresses,
+    JSON files that end early. Per file: records read, bad ones, status (S14)."""
+    path = derived_dir(spark, "record_status")
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.floor(k / 1500).cast("bigint").alias("file"),
+                                                 F.concat(F.lit("10.0.0."), (k % 250).cast("string")).alias("ip"))
+    damaged, bad = F.col("file") % 2 == 0, k % 101 == 0
+    lines = {
+        "csv": F.concat(F.lit("2024-01-01 00:00:00,"), "ip", F.lit(",443"), F.when(damaged & bad, F.lit(",x")).otherwise("")),
+        "json": F.to_json(F.struct(F.col("ip").alias("src_ip"), k.cast("string").alias("id"))),
+        "flow_txt": F.when(damaged & bad, F.lit("damaged")).otherwise(
+            F.concat(F.lit("2024-01-01T00:00:00 "), "ip", F.lit(":1 > 10.9.9.9:443 TCP 60"))),
+    }
+    around = {"csv": ("time,src_ip,dport\n", "\n", ""), "flow_txt": ("", "\n", ""),
+              "json": ("[", ",", F.when(damaged, F.lit("")).otherwise("]"))}
+    for i, (kind, line) in enumerate(lines.items()):
+        before, between, after = around[kind]
+        docs = rows.where(F.col("file") % 3 == i).groupBy("file").agg(F.array_join(F.collect_list(line), between).alias("body"))
+        docs.select("file", F.concat(F.lit(before), "body", after if kind == "json" else F.lit(after)).alias("value")) \
+            .write.partitionBy("file").text(f"{path}/{kind}")
+    folders = {kind: f"{path}/{kind}/*" for kind in lines}
+    out = st.file_status(*st.read_checked(spark, folders), st.listed(spark, folders))
+    return out.select(F.regexp_extract("source_path", r"/([a-z_]+)/file=", 1).alias("kind"),
+                      F.regexp_extract("source_path", r"/file=(\d+)/", 1).cast("bigint").alias("file"),
+                      "records", "bad_records", "reason", "status")
