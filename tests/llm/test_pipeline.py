@@ -1,8 +1,11 @@
 import collections
 import hashlib
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline as cp
 from flowlens.llm import pii
+from flowlens.llm.queries import vocabulary
 
 from .test_jaccard_rtree import brute
 
@@ -41,7 +44,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
             total = collections.Counter()
             for r in after:
                 total[r.doc_id] += r.n_tokens
-            assert total == {r.doc_id: len(r.text.split()) + 1 for r in before}
+            of = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+            assert total == {r.doc_id: len(of.encode(r.text, add_special_tokens=False).ids) + 1 for r in before}
         last = after
     assert sorted(map(tuple, cp.run(spark, SF).collect())) == sorted(map(tuple, last))
 
