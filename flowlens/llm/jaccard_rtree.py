@@ -26,7 +26,8 @@ How it runs on Spark:
 4. Cells that still hold several components are searched with an R-tree
    bulk-loaded over their points, in blocks of bounded size: first for the
    likeliest links between components, then, where there were any, for all
-   pairs that the bound leaves between the components that remain.
+   pairs that the bound leaves between the components that remain. A pair comes
+   out of the first cell that both points are in, and out of no other.
 5. Surviving pairs are verified on the whole sets, and components follow.
 6. `jaccard_links` also counts links: two linked sets lie in one component, so
    the sets of a component are dealt out in pairs of blocks of bounded size, and
@@ -46,7 +47,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import components
@@ -344,10 +345,11 @@ def _forest(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 
 def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
-    """Rows (h, i, j, block, fp, c, n, point) sorted by (h, i, j): the points of
-    blocks i and j of cell h, c their component. Pairs of points in different
-    components that the trees of the two blocks leave, or as many of them
-    (likeliest first) as would make one of what they connect."""
+    """Rows (h, i, j, block, fp, c, n, point, hs) sorted by (h, i, j): the points
+    of blocks i and j of cell h, c their component, hs the searched cells they
+    are in. Pairs of points in different components that the trees of the two
+    blocks leave, each out of the first cell that both are in, or as many of
+    them (likeliest first) as would make one of what they connect."""
     def trees(rows: np.ndarray, vectors: list[np.ndarray], n: np.ndarray) -> dict[int, tuple]:
         """By their number of groups, and folded to half of it."""
         out = {}
@@ -360,6 +362,7 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
     def joined(h: int, rows: list) -> list:
         block, fp, c, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
         vectors = [v for r in rows for v in r[4]]
+        before = [hs[:np.searchsorted(hs, h)] for r in rows for hs in r[5]]
         low = block == block.min()
         one = trees(np.flatnonzero(low), vectors, n)
         own = bool(low.all())
@@ -377,6 +380,8 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
         if not out:
             return out
         a, b, share = (np.concatenate(x) for x in zip(*out))
+        first = _apart(before, a, b)
+        a, b, share = a[first], b[first], share[first]
         if spanning and len(a):
             few = _forest(c[a], c[b], share)
             a, b = a[few], b[few]
@@ -392,7 +397,7 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
             turns = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             rest = [batch.column(i).to_numpy().astype(np.int64) for i in range(3, 7)]
-            vectors = _vectors(batch.column(7))
+            vectors, lists = _vectors(batch.column(7)), _lists(batch.column(8))
             for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
                 if hi == lo:
                     continue
@@ -400,7 +405,7 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
                     if held:
                         found += joined(key[0], held)
                     key, held = now, []
-                held.append([c[lo:hi] for c in rest] + [vectors[lo:hi]])
+                held.append([c[lo:hi] for c in rest] + [vectors[lo:hi], lists[lo:hi]])
             if sum(f.shape[1] for f in found) > 100_000:
                 yield pairs(found)
                 found = []
@@ -449,7 +454,8 @@ def _set_rows(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def _tiles(cells: DataFrame, parts: DataFrame, small: DataFrame) -> DataFrame:
     """Cells of three points or more in several components, dealt out in pairs
-    of blocks; one cell of those with the same points."""
+    of blocks; one cell of those with the same points. A point's cells, which
+    come with each of its rows, are `Rule.prefix` of its set's size at most."""
     label = parts.select(F.col("u").alias("fp"), F.col("v").alias("c"))
     placed = cells.select("h", "fp").join(label, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     mixed = placed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"),
@@ -458,9 +464,11 @@ def _tiles(cells: DataFrame, parts: DataFrame, small: DataFrame) -> DataFrame:
         .select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return placed.join(mixed, "h").select("h", "fp", "c", block.alias("block"), other).join(small, "fp") \
+    cells_of = F.sort_array(F.collect_list("h").over(Window.partitionBy("fp"))).alias("hs")
+    return placed.join(mixed, "h").select("h", "fp", "c", "blocks", cells_of).join(small, "fp") \
+        .select("h", "fp", "c", block.alias("block"), other, "n", "point", "hs") \
         .select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "c",
-                "n", "point") \
+                "n", "point", "hs") \
         .repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
 
@@ -501,6 +509,15 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _apart(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets of a pair (a, b) share nothing, for each pair."""
+    if not len(a):
+        return np.zeros(0, bool)
+    left, i = np.unique(a, return_inverse=True)
+    right, j = np.unique(b, return_inverse=True)
+    return _overlaps([sets[k] for k in left], [sets[k] for k in right])[i, j] == 0
+
+
 def _lists(column: pa.Array) -> list[np.ndarray]:
     at = column.offsets.to_numpy()
     data = column.values.to_numpy()
@@ -626,7 +643,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, c
     searched = cells
     for turn, spanning in ((2, True), (3, False)):  # what anchors didn't bring together: likely links, then all others
         found = scratch.write(_search(_tiles(searched, parts, small), rule, spanning), f"found-{turn}")
-        fresh = scratch.write(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"fresh-{turn}")
+        fresh = scratch.write(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), f"fresh-{turn}")
         late = _set_rows(texts, ends(fresh).join(sets, "fp", "left_anti"), n)
         sets = sets.unionByName(scratch.write(late, f"sets-{turn}"))
         links = scratch.write(verified(fresh, sets).unionByName(parts), f"links-{turn}")
