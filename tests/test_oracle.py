@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from flowlens.sources.tables import TABLES
 
 FAST = ["f2_sessionize", "f12_first_syn", "c26_firewall_flows", "a2_dedupe_flows", "m1_stratified_split",
-        "j3_enrich_ips", "m3_risk_scoring", "p1_normalize_records"]
+        "j3_enrich_ips", "m3_risk_scoring", "p1_normalize_records", "d6_feature_drift", "d6_state_quantiles"]
 
 
 def _norm(v):
