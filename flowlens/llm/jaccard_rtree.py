@@ -359,13 +359,15 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
             out[g] = own, RTree(full, n[own]), RTree(_folded(full, g // 2), n[own]) if g > GROUPS else None
         return out
 
-    def joined(h: int, rows: list) -> list:
+    def joined(h: int, i: int, j: int, rows: list) -> list:
         block, fp, c, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
         vectors = [v for r in rows for v in r[4]]
         before = [hs[:np.searchsorted(hs, h)] for r in rows for hs in r[5]]
-        low = block == block.min()
+        low = block == i
+        own = i == j
+        if not own and (low.all() or not low.any()):  # the other block is empty
+            return []
         one = trees(np.flatnonzero(low), vectors, n)
-        own = bool(low.all())
         two = one if own else trees(np.flatnonzero(~low), vectors, n)
         out = []
         for g, (ra, full, _) in one.items():  # linked sets differ by one step of the number of groups at most
@@ -403,14 +405,14 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
                     continue
                 if key != (now := tuple(keys[:, lo].tolist())):
                     if held:
-                        found += joined(key[0], held)
+                        found += joined(*key, held)
                     key, held = now, []
                 held.append([c[lo:hi] for c in rest] + [vectors[lo:hi], lists[lo:hi]])
             if sum(f.shape[1] for f in found) > 100_000:
                 yield pairs(found)
                 found = []
         if held:
-            found += joined(key[0], held)
+            found += joined(*key, held)
         if found:
             yield pairs(found)
 
@@ -529,13 +531,13 @@ def _counted(tiles: DataFrame, rule: Rule) -> DataFrame:
     of blocks i and j of a component -> (fp, links), links being the rows of
     other sets of the tile that are linked with fp; a pair of sets of one block
     counts in its tile (i, i) only."""
-    def linked(rows: list) -> pa.RecordBatch:
+    def linked(i: int, j: int, rows: list) -> pa.RecordBatch:
         block, fp, copies = (np.concatenate([r[k] for r in rows]) for k in range(3))
         sets = [s for r in rows for s in r[3]]
-        low = block == block.min()
-        a, b = np.flatnonzero(low), np.flatnonzero(~low)
-        own = not len(b)
-        b = a if own else b
+        own, low = i == j, block == i
+        a, b = np.flatnonzero(low), np.flatnonzero(low if own else ~low)
+        if not len(a) or not len(b):  # the other block is empty
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["fp", "links"])
         na, nb = (np.array([len(sets[r]) for r in side], np.int64) for side in (a, b))
         shared = _overlaps([sets[r] for r in a], [sets[r] for r in b])
         link = rule.enough(shared, na[:, None], nb[None]) & (shared > 0)
@@ -558,11 +560,11 @@ def _counted(tiles: DataFrame, rule: Rule) -> DataFrame:
             for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
                 if key != (now := tuple(keys[:, lo].tolist())):
                     if held:
-                        yield linked(held)
+                        yield linked(*key[1:], held)
                     key, held = now, []
                 held.append([c[lo:hi] for c in rest] + [sets[lo:hi]])
         if held:
-            yield linked(held)
+            yield linked(*key[1:], held)
 
     return tiles.mapInArrow(run, "fp long, links long")
 
