@@ -59,8 +59,10 @@ def train_gbt(train: DataFrame, features: list[str], label_col: str = "y", *, ma
     loss (M7). A single-class training set raises, as the reference guards."""
     if train.select(label_col).distinct().limit(2).count() < 2:
         raise ValueError("training data holds a single class")
+    # a row finds its node by at most `max_depth` comparisons, which costs less
+    # than an array of node ids kept for every row and rewritten at every level
     gbt = GBTClassifier(featuresCol="features", labelCol=label_col, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step_size, seed=seed, lossType="logistic", cacheNodeIds=True)
+                        stepSize=step_size, seed=seed, lossType="logistic", cacheNodeIds=False)
     if weight_col:
         gbt.setWeightCol(weight_col)
     # the boosting rounds re-read the training rows: cut the lineage once
