@@ -39,18 +39,20 @@ def next_after_deadline(df: DataFrame, key_cols: list[str], id_col: str, t_col:
     probes = ev.select(*key_cols, F.col("_dl").alias("_pt"), F.lit(probe_typ).alias("_typ"),
                        F.lit(None).cast(ev.schema["_id"].dataType).alias("_rid"), F.col("_id").alias("_qid"))
     u = real.unionByName(probes).withColumn("_b", _bucket(F.col("_pt"), bucket_width))
-    order = [F.col("_pt"), F.col("_typ"), F.col("_rid")]
-    w_after = Window.partitionBy(*key_cols, "_b").orderBy(*order).rowsBetween(Window.currentRow,
-                                                                               Window.unboundedFollowing)
-    u = u.withColumn("_next_local", F.first(F.when(F.col("_typ") == 1, F.struct("_pt", "_rid")),
-                                            ignorenulls=True).over(w_after))
+    # backwards: a frame that grows keeps its last value, one that shrinks (current row to the end) is read again
+    # for every row
+    order = [F.col(c).desc() for c in ("_pt", "_typ", "_rid")]
+    w_after = Window.partitionBy(*key_cols, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding,
+                                                                               Window.currentRow)
+    u = u.withColumn("_next_local", F.last(F.when(F.col("_typ") == 1, F.struct("_pt", "_rid")),
+                                           ignorenulls=True).over(w_after))
     # first real event of every (key, bucket) -- over all buckets that hold a
     # real event or a probe -- carried back to earlier buckets
     firsts = real.withColumn("_b", _bucket(F.col("_pt"), bucket_width)).groupBy(*key_cols, "_b") \
         .agg(F.min(F.struct("_pt", "_rid")).alias("_first_real"))
     allb = u.select(*key_cols, "_b").distinct().join(firsts, on=[*key_cols, "_b"], how="left")
-    w_later = Window.partitionBy(*key_cols).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    summ_full = allb.select(*key_cols, "_b", F.first("_first_real", ignorenulls=True).over(w_later).alias("_carry"))
+    w_later = Window.partitionBy(*key_cols).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summ_full = allb.select(*key_cols, "_b", F.last("_first_real", ignorenulls=True).over(w_later).alias("_carry"))
     pb = u.where(F.col("_typ") != 1).select(*key_cols, "_b", "_qid", "_next_local")
     out = pb.join(summ_full, on=[*key_cols, "_b"], how="left")
     nxt = F.coalesce(F.col("_next_local"), F.col("_carry"))
