@@ -175,9 +175,9 @@ def add_missing_core(df: DataFrame, require_key: bool = False, dataset_source: s
     return df.withColumns({c: default_for(c, require_key, dataset_source) for c in CORE if c not in df.columns})
 
 
-def coerce_types(df: DataFrame) -> DataFrame:
+def coerce_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """19 ints (bad -> 0), 23 floats (bad -> 0.0), 6 strings (NULL/'nan' ->
-    'Unknown'), timestamp (bad -> NULL) (P9)."""
+    'Unknown'), timestamp (bad -> NULL) (P9); of `columns` only, where given."""
     out = {}
     types = dict(df.dtypes)
     integral = ("bigint", "int", "smallint", "tinyint")
@@ -205,7 +205,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
             out[c] = F.when(s.isNull() | (s == "nan"), F.lit("Unknown")).otherwise(s)
     if "timestamp" in df.columns and dict(df.dtypes)["timestamp"] != "timestamp":
         out["timestamp"] = F.col("timestamp").cast("string").try_cast("timestamp")
-    return df.withColumns(out)
+    return df.withColumns({c: e for c, e in out.items() if columns is None or c in columns})
 
 
 def reorder(df: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.session import materialize
+from flowlens.session import Scratch, materialize
 
 #: A sketch of 2 * EXACT entries keeps every value of a range this long.
 EXACT = 20_000
-#: Ranges that one pass cuts a column into.
+#: A pass leaves about a share of 6 / (100 * FANOUT) of the rows around a wanted position.
 FANOUT = 32
 
 
@@ -19,7 +19,7 @@ def kth_smallest(df: DataFrame, col: str, ks: list[int], *, fanout: int = FANOUT
     """Exact k-th smallest values (0-based) of a numeric column by iterated
     range narrowing: a mergeable quantile sketch proposes cut points, one
     grouped count places every wanted position in a range, and the search
-    repeats inside each such range. It ends where a range holds a single value
+    repeats inside each such range, whose few rows are written first. It ends where a range holds a single value
     (so a value repeated a billion times costs one pass, not one task) or so few
     rows that the sketch keeps them all and answers exactly. All positions
     share each pass, and only cut points and counts leave the executors."""
@@ -37,9 +37,12 @@ def _rank_expr(x, cuts: list[float], lo: int = 0, hi: int | None = None):
     return F.when(x > F.lit(cuts[mid]), _rank_expr(x, cuts, mid + 1, hi)).otherwise(_rank_expr(x, cuts, lo, mid))
 
 
-def _cuts(x, fanout: int):
-    """Cut points of a column, values of it, from a mergeable sketch."""
-    return F.percentile_approx(x, [i / fanout for i in range(1, fanout)], 10 * fanout)
+def _cuts(x, probs: list[float], fanout: int):
+    """Cut points of a column, values of it, on both sides of the wanted shares:
+    from a mergeable sketch whose rank error is half of the distance."""
+    accuracy = 100 * fanout
+    around = sorted({min(1.0, max(0.0, p + d / accuracy)) for p in probs for d in (-2, 2)})
+    return F.percentile_approx(x, around, accuracy)
 
 
 def _from_sketch(cur: DataFrame, ranges: list[tuple], exact: int) -> dict[int, float]:
@@ -58,7 +61,7 @@ def _kth(cur: DataFrame, ks: list[int], fanout: int, exact: int, stats) -> dict[
         return {k: float(stats["lo"]) for k in ks}
     if stats["n"] <= exact:
         return _from_sketch(cur, [(F.lit(True), ks, 0, stats["n"])], exact)
-    cuts = stats.get("cuts") or cur.select(_cuts(F.col("x"), fanout)).first()[0]
+    cuts = stats.get("cuts") or cur.select(_cuts(F.col("x"), [(k + 0.5) / stats["n"] for k in ks], fanout)).first()[0]
     cuts = sorted(set(float(c) for c in cuts))
     # key 2i: strictly between cut i-1 and cut i; key 2i+1: equal to cut i.
     # Cut points are data values, so every open range loses rows: progress.
@@ -85,8 +88,11 @@ def _kth(cur: DataFrame, ks: list[int], fanout: int, exact: int, stats) -> dict[
     if short:
         out.update(_from_sketch(cur, short, exact))
     for cond, inside, off, n in long:
-        sub = _kth(cur.where(cond), [k - off for k in inside], fanout, exact, {"n": n, "lo": None, "hi": 0})
-        out.update({k: sub[k - off] for k in inside})
+        scratch = Scratch(cur.sparkSession, "quantile-range")
+        part = scratch.write(cur.where(cond), "rows")  # later passes read these rows only
+        found = _kth(part, [k - off for k in inside], fanout, exact, {"n": n, "lo": None, "hi": 0})
+        scratch.keep_only()
+        out.update({k: found[k - off] for k in inside})
     return out
 
 
@@ -130,10 +136,10 @@ def outlier_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str
             and not c.endswith(OUTLIER_EXCLUDED_SUFFIXES)]
 
 
-def _column_stats(df: DataFrame, cols: list[str], chunk: int = 8, cuts: bool = False) -> dict:
+def _column_stats(df: DataFrame, cols: list[str], chunk: int = 8, cuts: list[float] | None = None) -> dict:
     """std, count, min and max of several columns; a few columns per aggregate
     keep each generated aggregation method small. With `cuts` also the cut
-    points with which a search for quantiles begins."""
+    points with which a search for these quantiles begins."""
     out = {}
     for start in range(0, len(cols), chunk):
         part = cols[start:start + chunk]
@@ -144,7 +150,7 @@ def _column_stats(df: DataFrame, cols: list[str], chunk: int = 8, cuts: bool = F
             aggs += [F.stddev_samp(x).alias(f"sd{j}"), F.count_if(ok).alias(f"n{j}"),
                      F.min(F.when(ok, x)).alias(f"lo{j}"), F.max(F.when(ok, x)).alias(f"hi{j}")]
             if cuts:
-                aggs.append(_cuts(F.when(ok, x), FANOUT).alias(f"cuts{j}"))
+                aggs.append(_cuts(F.when(ok, x), cuts, FANOUT).alias(f"cuts{j}"))
         r = df.agg(*aggs).first()
         out.update({c: {"sd": r[f"sd{j}"], "n": r[f"n{j}"], "lo": r[f"lo{j}"], "hi": r[f"hi{j}"],
                         "cuts": r[f"cuts{j}"] if cuts else None}
@@ -180,7 +186,7 @@ def remove_outliers(df: DataFrame, factor: float = 3.0, *, mode: str = "sequenti
             report.append({"column": c, "std": 0.0, "q1": None, "q3": None, "applied": False})
             continue
         if stats is None:
-            stats = _column_stats(src, [c], cuts=True)
+            stats = _column_stats(src, [c], cuts=[0.25, 0.75] if method == "exact" else None)
         st = stats[c]
         sd = st["sd"]
         rec = {"column": c, "std": sd, "q1": None, "q3": None, "applied": False}
