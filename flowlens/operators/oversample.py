@@ -86,16 +86,22 @@ def _visit(k: int, width: int):
     def best(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("pid")  # ties go to the smallest pid
         names, at = members["pid"].to_numpy(), _matrix(members["x"], width)
+        own = pd.Index(names).get_indexer(queries["pid"])  # -1: not a member
         out: list[tuple] = []
         pids, q = queries["pid"].to_numpy(), _matrix(queries["x"], width)
         for part in _blocks(len(q), len(at)):
             d = squared_distances(q[part], at)
-            d[pids[part][:, None] == names[None, :]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(d, order, 1)
-            for pid, o, v in zip(pids[part], order, found):
-                ok = np.isfinite(v)
-                out.append((pid, v[ok].tolist(), names[o[ok]].tolist()))
+            inside = np.flatnonzero(own[part] >= 0)
+            d[inside, own[part][inside]] = np.inf
+            # the k-th distance ends each row's choice, so that only few are sorted
+            last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+            i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+            order = np.lexsort((j, d[i, j], i))
+            i, j = i[order], j[order]
+            ends = np.searchsorted(i, np.arange(len(d) + 1))
+            for row, pid in enumerate(pids[part]):
+                o = j[ends[row]:min(ends[row] + k, ends[row + 1])]
+                out.append((pid, d[row, o].tolist(), names[o].tolist()))
         return pd.DataFrame(out, columns=["pid", "d2", "near"])
     return best
 
@@ -183,13 +189,13 @@ def smote(df: DataFrame, label_col: str, key_cols: list[str], features: list[str
     scratch = Scratch(spark, "smote")
     x = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features])  # -0.0 is 0.0
     rows = df.where(F.col(label_col).isNotNull()).dropna(subset=features).select(
-        F.col(label_col).cast("string").alias("cls"), *key_cols, x.alias("x")).withColumn("h", hash_order(key_cols, seed))
-    rows = scratch.write(rows, "rows")
+        F.col(label_col).cast("string").alias("cls"), *key_cols, x.alias("x"))
     sizes = {r.cls: r.n for r in rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
     target = int(target_ratio * max(sizes.values(), default=0))
     wanted = {c: (target - n) for c, n in sizes.items() if n < target}
     lacking = F.create_map(*[F.lit(v) for kv in wanted.items() for v in kv]) if wanted else None
-    minor = rows.where(F.col("cls").isin(list(wanted)))
+    # digests and a stage of their own for the rows of the classes to fill only
+    minor = scratch.write(rows.where(F.col("cls").isin(list(wanted))).withColumn("h", hash_order(key_cols, seed)), "rows")
 
     points = minor.groupBy("cls", "x").agg(F.min("h").alias("pid"))
     near = nearest_in_class(points, k, scratch, cell=cell, pivots=pivots, chunk=chunk)
