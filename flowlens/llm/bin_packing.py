@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.text import groups, utf8, words
-from flowlens.llm.token_store import END_ID, ids_of
+from flowlens.llm.text import groups, trimmed, utf8, words
+from flowlens.llm.token_store import counts_of
 from flowlens.session import Scratch, configure
 
 CAPACITY = 4096
 SHARD = 20_000
 NO_BIN = 1 << 40
+#: Bytes of text whose words are counted at a time (or one document, if longer).
+GROUP = 1 << 20
 
 
 class Holders:
@@ -122,18 +124,18 @@ def lengths(docs: DataFrame, id_col: str, text_col: str, source: Column, cluster
     """(id, n, source, cluster): ids of each text, or its words, and one end;
     hashes of the source and the duplicate cluster."""
     def run(batches):
-        known = ids_of(tokenizer) if tokenizer else None
+        known = counts_of(tokenizer) if tokenizer else None
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            counts = [np.diff(known.encode(data, offsets[i:j + 1], END_ID)[1]) if known else
-                      np.diff(words(data, offsets[i:j + 1]).first) + 1 for i, j in groups(offsets)]
+            counts = [known.count(data, offsets[i:j + 1]) if known else
+                      np.diff(words(data, offsets[i:j + 1]).first) + 1 for i, j in groups(offsets, GROUP)]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), batch.column(3)],
                                              ["id", "n", "source", "cluster"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                        _key(source).alias("source"), _key(cluster).alias("cluster"))
-    return slim.mapInArrow(run, "id long, n long, source long, cluster long")
+    return slim.mapInArrow(trimmed(run), "id long, n long, source long, cluster long")
 
 
 def same_text(text_col: str) -> Column:

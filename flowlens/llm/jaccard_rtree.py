@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import components
-from flowlens.llm.text import U, groups, shingle_sets, utf8, words
+from flowlens.llm.text import U, groups, shingle_sets, trimmed, utf8, words
 from flowlens.session import Scratch, configure
 
 #: Least groups of a point; longer sets have more (a power of two, so that a
@@ -169,7 +169,7 @@ def points(docs: DataFrame, n: int) -> DataFrame:
                 [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
                  pa.array(part.astype(np.int32)), pa.array(counts[part])], ["id", "fp", "n", "point", "bucket", "cnt"])
 
-    return docs.mapInArrow(run, POINTS)
+    return docs.mapInArrow(trimmed(run), POINTS)
 
 
 ENTRIES = "h long, part int, hot boolean, fp long"
@@ -207,7 +207,7 @@ def entries(docs: DataFrame, n: int, rule: Rule, counts: np.ndarray) -> DataFram
                      pa.array((owner.view(U) % parts.astype(U)).astype(np.int32)),
                      pa.array(parts > 1), pa.array(owner)], ["h", "part", "hot", "fp"])
 
-    return docs.mapInArrow(run, ENTRIES)
+    return docs.mapInArrow(trimmed(run), ENTRIES)
 
 
 MEMBERS = "h long, hot boolean, fp long, anchor long"
@@ -276,7 +276,7 @@ def _bounded(pairs: DataFrame, rule: Rule) -> DataFrame:
                 keep = pa.array(np.flatnonzero(keep))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(3).take(keep)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(trimmed(run), "a long, b long")
 
 
 class RTree:
@@ -416,7 +416,7 @@ def _search(cells: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
         if found:
             yield pairs(found)
 
-    return cells.mapInArrow(run, "h long, a long, b long")
+    return cells.mapInArrow(trimmed(run), "h long, a long, b long")
 
 
 def _slots(ids: str):
@@ -450,7 +450,7 @@ def _set_rows(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     [pa.array(fps, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["fp", "s"])
 
-    found = texts.select("id", "text", slot.alias("slot")).mapInArrow(run, "fp long, s array<long>")
+    found = texts.select("id", "text", slot.alias("slot")).mapInArrow(trimmed(run), "fp long, s array<long>")
     return found.join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
 
 
@@ -566,7 +566,7 @@ def _counted(tiles: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield linked(*key[1:], held)
 
-    return tiles.mapInArrow(run, "fp long, links long")
+    return tiles.mapInArrow(trimmed(run), "fp long, links long")
 
 
 def _links(parts: DataFrame, sizes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.llm.text import trimmed
 from flowlens.session import configure
 
 BASE = ("email", "ip", "card", "phone")
@@ -258,7 +259,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType() if i == place else f.dataType, True)
                            for i, f in enumerate(docs.schema.fields)])
     plain = docs.toDF(*schema.names).withColumn(f"c{place}", F.col(f"c{place}").cast("string"))
-    out = plain.mapInArrow(run, schema).toDF(*names)
+    out = plain.mapInArrow(trimmed(run), schema).toDF(*names)
     if chars_col not in names:
         return out
     kind = docs.schema[chars_col].dataType

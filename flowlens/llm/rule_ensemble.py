@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.text import U, Words, groups, mix, utf8, words
+from flowlens.llm.text import U, Words, groups, mix, trimmed, utf8, words
 from flowlens.session import configure
 
 SAMPLE = 20_000
@@ -125,7 +125,7 @@ def with_statistics(docs: DataFrame, text_col: str, name: str) -> DataFrame:
             yield batch.append_column(name, stats)
 
     fields = [T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)]
-    return docs.toDF(*[f.name for f in fields]).mapInArrow(run, T.StructType([*fields, T.StructField(name, STRUCT)])) \
+    return docs.toDF(*[f.name for f in fields]).mapInArrow(trimmed(run), T.StructType([*fields, T.StructField(name, STRUCT)])) \
         .toDF(*names, name)
 
 

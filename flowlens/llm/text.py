@@ -7,7 +7,8 @@ of bounded size, so memory follows the window and not the document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +40,32 @@ _FOLDED[ord("A"):ord("Z") + 1] = _PLAIN[ord("a"):ord("z") + 1]
 _LENGTH = U(0xE7037ED1A0B428DB)
 _POSITION = mix(np.arange(1, 9, dtype=U) * U(0x8EBC6AF09C88C6E3)) | U(1)
 
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """`run` of a mapInArrow, whose worker is kept for later tasks but not the
+    memory that it freed: given back after each batch of texts and at the end."""
+    def each(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            trim()
+
+    def lean(batches):
+        yield from run(each(batches))
+        trim()
+
+    return lean
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.text import U, groups, utf8, words
+from flowlens.llm.text import U, Words, groups, utf8, words
 from flowlens.session import configure
 
 END_ID = 2
 #: Words that a worker keeps encoded.
 CACHE = 3_000_000
+#: Words whose ids are held at a time to count them.
+AT_ONCE = 20_000
 MARKS = ",.!?;:"
 ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -45,7 +47,7 @@ OPTIONS = {
     "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "PARQUET_2_0",
 }
 
-_caches: dict[str, WordIds] = {}
+_caches: dict[tuple[type, str], WordIds] = {}
 
 
 def _of_letters(word: str) -> bool:
@@ -85,8 +87,8 @@ class WordIds:
             out[i] = np.array(found.ids, np.int32)
         return out
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Add words; a mark after letters is encoded apart, as it is a token
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of words; a mark after letters is encoded apart, as it is a token
         of its own."""
         stems: dict[str, int] = {}
         parts = []
@@ -97,7 +99,11 @@ class WordIds:
         plain, found = list(stems), []
         for at in range(0, len(plain), 5_000):
             found += self._encoded(plain[at:at + 5_000])
-        ids = [found[a] if b is None else np.concatenate([found[a], found[b]]) for a, b in parts]
+        return [found[a] if b is None else np.concatenate([found[a], found[b]]) for a, b in parts]
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Add words."""
+        ids = self._ids(texts)
         size = np.array(list(map(len, ids)), np.int64)
         total = int(size.sum())
         while self.used + total > len(self.pool):
@@ -109,9 +115,8 @@ class WordIds:
         self.keys, self.at, self.size = (np.insert(x, place, y) for x, y in
                                          ((self.keys, hashes), (self.at, at), (self.size, size)))
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts at `offsets`, each with the end id, and their offsets."""
-        w = words(data, offsets)
+    def _places(self, data: np.ndarray, w: Words) -> np.ndarray:
+        """Place of each word among those kept, where new ones are added."""
         keys, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
@@ -124,7 +129,13 @@ class WordIds:
             texts = [data[a:b].tobytes().decode() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
             self._learn(keys[new], texts)
             place = np.searchsorted(self.keys, keys)
-        at, size = self.at[place][word], self.size[place][word]
+        return place[word]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts at `offsets`, each with the end id, and their offsets."""
+        w = words(data, offsets)
+        place = self._places(data, w)
+        at, size = self.at[place], self.size[place]
         ends = np.cumsum(np.append(0, size))
         stops = ends[w.first]
         take = np.repeat(at - ends[:-1], size) + np.arange(int(ends[-1]))
@@ -132,11 +143,40 @@ class WordIds:
         return ids, stops + np.arange(len(stops))
 
 
-def ids_of(path: str) -> WordIds:
-    if path not in _caches:
+class WordCounts(WordIds):
+    """Only the numbers of ids of the words met so far: 12 bytes a word."""
+
+    def forget(self) -> None:
+        self.keys, self.size = np.zeros(0, U), np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        size = np.zeros(len(texts), np.int32)
+        for at in range(0, len(texts), AT_ONCE):
+            size[at:at + AT_ONCE] = list(map(len, self._ids(texts[at:at + AT_ONCE])))
+        place = np.searchsorted(self.keys, hashes)
+        self.keys, self.size = np.insert(self.keys, place, hashes), np.insert(self.size, place, size)
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Number of ids of each text at `offsets`, its end included."""
+        w = words(data, offsets)
+        place = self._places(data, w)
+        ends = np.cumsum(np.append(0, self.size[place]))
+        return np.diff(ends[w.first]) + 1
+
+
+def _kept(kind: type, path: str):
+    if (kind, path) not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _caches[path] = WordIds(path)
-    return _caches[path]
+        _caches[kind, path] = kind(path)
+    return _caches[kind, path]
+
+
+def ids_of(path: str) -> WordIds:
+    return _kept(WordIds, path)
+
+
+def counts_of(path: str) -> WordCounts:
+    return _kept(WordCounts, path)
 
 
 STORE = "doc_id long, n_tokens long, ids array<int>"
