@@ -44,7 +44,9 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: list[str], *,
     # by a single-valued label gives the same ordinals)
     group = [label_col] if stratify else []
     # the leading hex digits of the digest are a bucket that follows the order
-    bucket = F.conv(F.substring("_h", 1, bucket_hex_digits), 16, 10).cast("bigint")
+    # (never null, which the planner must see: else it tests the digest for null
+    # at the scan, with all expressions of its keys written out once more)
+    bucket = F.coalesce(F.conv(F.substring("_h", 1, bucket_hex_digits), 16, 10).cast("bigint"), F.lit(0))
     d = ordinal_within_group(d, group, ["_h", *key_cols], bucket, name="_ord") \
         .withColumnRenamed("_ord_group_size", "_n")
     n_hold = F.floor(F.col("_n") * F.lit(holdout))

@@ -47,10 +47,15 @@ def class_weights(df: DataFrame, label_col: str, out_col: str = "weight") -> Dat
     return df.join(w, on=label_col, how="inner")
 
 
+def finite(df: DataFrame, features: list[str]) -> DataFrame:
+    """+-inf / NaN -> 0."""
+    return df.withColumns({c: zero_if_not_finite(F.col(c)) for c in features})
+
+
 def prepare(df: DataFrame, features: list[str]) -> DataFrame:
     """+-inf / NaN -> 0 (P18), then a feature vector."""
-    clean = df.withColumns({c: zero_if_not_finite(F.col(c)) for c in features})
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(clean)
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep") \
+        .transform(finite(df, features))
 
 
 def train_gbt(train: DataFrame, features: list[str], label_col: str = "y", *, max_iter: int = 200,
@@ -66,9 +71,15 @@ def train_gbt(train: DataFrame, features: list[str], label_col: str = "y", *, ma
     if weight_col:
         gbt.setWeightCol(weight_col)
     # the boosting rounds re-read the training rows: cut the lineage once
+    from flowlens.operators import boosting
     from flowlens.session import materialize
     cols = [*features, label_col, *([weight_col] if weight_col else [])]
-    return gbt.fit(prepare(materialize(train.select(*cols), "gbt-train"), features))
+    rows = materialize(train.select(*cols), "gbt-train")
+    if max_depth > boosting.MAX_DEPTH:
+        return gbt.fit(prepare(rows, features))
+    # Spark ML's own `fit` reads all rows, one object each, in more than eight
+    # jobs a tree; `boosting` grows the same trees over arrays of bins, a job a level
+    return boosting.fit(gbt, finite(rows, features).withColumns({c: F.col(c).cast("double") for c in features}), features)
 
 
 def probability(model, df: DataFrame, features: list[str], out_col: str = "p") -> DataFrame:
