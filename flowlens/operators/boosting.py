@@ -231,7 +231,8 @@ class Tree:
                 share = [np.where(x > 0, y * y / x, 0.0) for x, y in ((left_n, left_s), (right_n, right_s))]
                 gain = (share[0] + share[1] - all_s * all_s / all_n) / all_n
             gain = np.where(in_use & (left_c > 0) & (left_c < all_c), gain, -1.0)
-            best = int(np.argmax(gain))
+            # the first of equal gains, however their sums were rounded
+            best = int(np.argmax(gain >= gain.max() - 1e-12 * abs(impurity)))
             feature, last = divmod(best, in_use.shape[1])
             if not gain[feature, last] > 4 * EPSILON * abs(impurity):
                 continue

@@ -77,9 +77,10 @@ def train_gbt(train: DataFrame, features: list[str], label_col: str = "y", *, ma
     rows = materialize(train.select(*cols), "gbt-train")
     if max_depth > boosting.MAX_DEPTH:
         return gbt.fit(prepare(rows, features))
-    # Spark ML's own `fit` reads all rows, one object each, in more than eight
-    # jobs a tree; `boosting` grows the same trees over arrays of bins, a job a level
-    return boosting.fit(gbt, finite(rows, features).withColumns({c: F.col(c).cast("double") for c in features}), features)
+    # the trees of Spark ML's own `fit`, which walks over one object a row,
+    # grown over arrays of bins
+    return boosting.fit(gbt, finite(rows, features).withColumns({c: F.col(c).cast("double") for c in features}),
+                        features)
 
 
 def probability(model, df: DataFrame, features: list[str], out_col: str = "p") -> DataFrame:
